@@ -5,22 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import decontaminate as op2
+from tidemark.llm import language_id as op5
 from tidemark.llm import licence_scan as op6
 from tidemark.llm import token_counts as op3
+from tidemark.llm import vector_search as op9
 from tidemark.llm.common import table
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return op2.digest(op2.match(documents, table(spark, sf_dir, "benchmark")))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3.token_counts(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").withColumn("held_out", op5.held_out("doc_id", 3, 1))
+    net = op5.fit(documents.where(~F.col("held_out") & F.col("doc_id").isNotNull()))
+    return op5.predict(documents, net, keep=["doc_id", "held_out"])
+
+
 def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6.licence_scan(table(spark, sf_dir, "documents"))
 
 
+def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return op9.exact_top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def queries() -> dict:
-    return {"op3_token_counts": op3_token_counts, "op6_licence_scan": op6_licence_scan}
+    return {q.__name__: q for q in (op2_decontaminate, op3_token_counts, op5_language_id, op6_licence_scan, op9_vector_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_licence_scan": op6.sql()}
+    return {"op6_licence_scan": op6.sql(), "op9_vector_search": op9.sql()}
