@@ -9,10 +9,18 @@ from tidemark.llm import decontaminate as op2
 from tidemark.llm import language_id as op5
 from tidemark.llm import licence_scan as op6
 from tidemark.llm import token_counts as op3
+from tidemark.llm import toxicity as op1
 from tidemark.llm import vector_search as op9
 from tidemark.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    open_rows = documents.where(~op5.held_out("doc_id", 4, 2))
+    model = op1.fit(open_rows, table(spark, sf_dir, "labels"), F.crc32(F.col("id").cast("string").cast("binary")) % 4)
+    return op1.predict(documents.withColumn("held_out", op5.held_out("doc_id", 4, 2)), model, keep=["doc_id", "held_out"])
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return op2.digest(op2.match(documents, table(spark, sf_dir, "benchmark")))
@@ -38,7 +46,7 @@ def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (op2_decontaminate, op3_token_counts, op5_language_id, op6_licence_scan, op9_vector_search)}
+    return {q.__name__: q for q in (op1_toxicity, op2_decontaminate, op3_token_counts, op5_language_id, op6_licence_scan, op9_vector_search)}
 
 
 def oracle_sql() -> dict[str, str]:
