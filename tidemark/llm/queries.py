@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate as op2
+from tidemark.llm import html_extract as op7
 from tidemark.llm import language_id as op5
 from tidemark.llm import licence_scan as op6
 from tidemark.llm import token_counts as op3
@@ -40,13 +41,18 @@ def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6.licence_scan(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return op7.html_text(pages, op7.fit(pages), keep=["page_id", "url"])
+
+
 def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return op9.exact_top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (op1_toxicity, op2_decontaminate, op3_token_counts, op5_language_id, op6_licence_scan, op9_vector_search)}
+    return {q.__name__: q for q in (op1_toxicity, op2_decontaminate, op3_token_counts, op5_language_id, op6_licence_scan, op7_html_extract, op9_vector_search)}
 
 
 def oracle_sql() -> dict[str, str]:
