@@ -9,6 +9,7 @@ from tidemark.llm import decontaminate as op2
 from tidemark.llm import html_extract as op7
 from tidemark.llm import language_id as op5
 from tidemark.llm import licence_scan as op6
+from tidemark.llm import near_duplicates as op10
 from tidemark.llm import token_counts as op3
 from tidemark.llm import toxicity as op1
 from tidemark.llm import vector_search as op9
@@ -51,8 +52,12 @@ def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9.exact_top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10.classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {q.__name__: q for q in (op1_toxicity, op2_decontaminate, op3_token_counts, op5_language_id, op6_licence_scan, op7_html_extract, op9_vector_search)}
+    return {q.__name__: q for q in (op1_toxicity, op2_decontaminate, op3_token_counts, op5_language_id, op6_licence_scan, op7_html_extract, op9_vector_search, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
