@@ -10,6 +10,7 @@ from tidemark.llm import html_extract as op7
 from tidemark.llm import language_id as op5
 from tidemark.llm import licence_scan as op6
 from tidemark.llm import near_duplicates as op10
+from tidemark.llm import substring_dedup as op4
 from tidemark.llm import token_counts as op3
 from tidemark.llm import toxicity as op1
 from tidemark.llm import vector_search as op9
@@ -32,6 +33,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3.token_counts(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4.repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").withColumn("held_out", op5.held_out("doc_id", 3, 1))
     net = op5.fit(documents.where(~F.col("held_out") & F.col("doc_id").isNotNull()))
@@ -57,7 +62,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (op1_toxicity, op2_decontaminate, op3_token_counts, op5_language_id, op6_licence_scan, op7_html_extract, op9_vector_search, op10_near_duplicates)}
+    return {q.__name__: q for q in (op1_toxicity, op2_decontaminate, op3_token_counts, op4_substring_dedup, op5_language_id, op6_licence_scan, op7_html_extract, op9_vector_search, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
