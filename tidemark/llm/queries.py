@@ -10,6 +10,7 @@ from tidemark.llm import html_extract as op7
 from tidemark.llm import language_id as op5
 from tidemark.llm import licence_scan as op6
 from tidemark.llm import near_duplicates as op10
+from tidemark.llm import sentence_pieces as op8
 from tidemark.llm import substring_dedup as op4
 from tidemark.llm import token_counts as op3
 from tidemark.llm import toxicity as op1
@@ -52,6 +53,10 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7.html_text(pages, op7.fit(pages), keep=["page_id", "url"])
 
 
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8.round_trip(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return op9.exact_top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
@@ -62,7 +67,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (op1_toxicity, op2_decontaminate, op3_token_counts, op4_substring_dedup, op5_language_id, op6_licence_scan, op7_html_extract, op9_vector_search, op10_near_duplicates)}
+    return {q.__name__: q for q in (op1_toxicity, op2_decontaminate, op3_token_counts, op4_substring_dedup, op5_language_id, op6_licence_scan, op7_html_extract, op8_sentence_pieces, op9_vector_search, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
