@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from tidemark.plans import q_events, q_scalars, q_series  # noqa: F401 - they register their queries
+from tidemark.plans.registry import ORACLES, QUERIES, Query
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
