@@ -94,7 +94,7 @@ def f12_f13_age_and_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """SELECT game_id, entity_id, date, total_bases + walks + stolen_bases AS hitter_score,
        CAST(50 + outs + 2 * greatest(0, floor((outs - 12) / 3.0)) + strike_outs - 2 * hits - 4 * earned_runs - 2 * greatest(0, runs - earned_runs) - walks AS BIGINT) AS pitcher_score,
-       round(hits / nullif(at_bats, 0), 3) AS hit_rate FROM v_logs""",
+       round(hits / nullif(at_bats, 0) + 1e-9, 3) AS hit_rate FROM v_logs""",
     "v_logs",
 )
 def f14_f15_f16_f19_game_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,9 +63,9 @@ HIT_SUMS = "sum(hits) AS hits, sum(at_bats) AS at_bats, sum(walks) AS walks, sum
        s AS (SELECT c.entity_id, c.season, c.cut, count(l.date) AS n_rows, coalesce(sum(hits), 0)::BIGINT AS hits, coalesce(sum(at_bats), 0)::BIGINT AS at_bats, coalesce(sum(walks), 0)::BIGINT AS walks,
          coalesce(sum(hit_by_pitch), 0)::BIGINT AS hit_by_pitch, coalesce(sum(sac_flies), 0)::BIGINT AS sac_flies, coalesce(sum(total_bases), 0)::BIGINT AS total_bases
          FROM c LEFT JOIN v_logs l ON l.entity_id = c.entity_id AND l.season = c.season AND l.date <= c.cut GROUP BY ALL)
-       SELECT *, round(hits / nullif(at_bats, 0), 3) AS avg, round((hits + walks + hit_by_pitch) / nullif(at_bats + walks + hit_by_pitch + sac_flies, 0), 3) AS obp,
-         round(total_bases / nullif(at_bats, 0), 3) AS slg,
-         round(round((hits + walks + hit_by_pitch) / nullif(at_bats + walks + hit_by_pitch + sac_flies, 0), 3) + round(total_bases / nullif(at_bats, 0), 3), 3) AS ops FROM s""",
+       SELECT *, round(hits / nullif(at_bats, 0) + 1e-9, 3) AS avg, round((hits + walks + hit_by_pitch) / nullif(at_bats + walks + hit_by_pitch + sac_flies, 0) + 1e-9, 3) AS obp,
+         round(total_bases / nullif(at_bats, 0) + 1e-9, 3) AS slg,
+         round(round((hits + walks + hit_by_pitch) / nullif(at_bats + walks + hit_by_pitch + sac_flies, 0) + 1e-9, 3) + round(total_bases / nullif(at_bats, 0) + 1e-9, 3), 3) AS ops FROM s""",
     "v_logs",
 )
 def j04_a04_hitting_to_date(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,7 @@ def j04_a04_hitting_to_date(spark: SparkSession, sf_dir: str) -> DataFrame:
        s AS (SELECT c.entity_id, c.season, c.cut, count(l.date) AS n_rows, coalesce(sum(earned_runs), 0)::BIGINT AS earned_runs, coalesce(sum(outs), 0)::BIGINT AS outs, coalesce(sum(hits), 0)::BIGINT AS hits,
          coalesce(sum(walks), 0)::BIGINT AS walks, coalesce(sum(strike_outs), 0)::BIGINT AS strike_outs, coalesce(sum(batters_faced), 0)::BIGINT AS batters_faced
          FROM c LEFT JOIN v_logs l ON l.entity_id = c.entity_id AND l.season = c.season AND l.date <= c.cut GROUP BY ALL)
-       SELECT *, round(earned_runs * 27 / nullif(outs, 0), 3) AS era, round((hits + walks) * 3 / nullif(outs, 0), 3) AS whip, round((strike_outs - walks) / nullif(batters_faced, 0), 3) AS k_bb_pct FROM s""",
+       SELECT *, round(earned_runs * 27 / nullif(outs, 0) + 1e-9, 3) AS era, round((hits + walks) * 3 / nullif(outs, 0) + 1e-9, 3) AS whip, round((strike_outs - walks) / nullif(batters_faced, 0), 3) AS k_bb_pct FROM s""",
     "v_logs",
 )
 def a05_pitching_to_date(spark: SparkSession, sf_dir: str) -> DataFrame:
