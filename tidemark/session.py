@@ -26,3 +26,12 @@ def ship(spark: SparkSession) -> SparkSession:
     context.addPyFile(str(folder / "tidemark_package.zip"))
     context._tidemark_shipped = True
     return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared folder that the session names; one of this machine where it names none."""
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="scratch-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
