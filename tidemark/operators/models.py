@@ -111,7 +111,7 @@ def select_alpha(folds: list[Moments], one_se: bool = True) -> float:
 def moments_by(frame: DataFrame, features: Sequence[str], target: str, by: Sequence[str], weight: Column | None = None) -> dict[tuple, Moments]:
     """Moments of each group; groups are folds, periods or resamples, so they are few."""
     k = len(features) + 2
-    return {tuple(r[c] for c in by): Moments(as_matrix(r["gram"], k)) for r in grams(frame, features, target, by, weight).collect()}
+    return {tuple(r[c] for c in by): Moments(as_matrix(r["gram"], k)) for r in grams(frame, features, target, by, weight).collect() if r["gram"][0] is not None}
 
 
 def lasso_cv(frame: DataFrame, features: Sequence[str], target: str, key: str, folds: int = 5, seed: int = 42) -> DataFrame:

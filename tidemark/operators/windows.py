@@ -85,7 +85,7 @@ def pick_spikes(found: DataFrame, key: str, day: str, days: int = 7) -> DataFram
     near = lambda acc, x: F.exists(acc, lambda k: (F.signum(k["delta"]) == F.signum(x["delta"])) & (F.abs(F.datediff(k["day"], x["day"])) <= days))
     sorted_items = found.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("__items"))
     picked = F.aggregate(F.col("__items"), F.slice(F.col("__items"), 1, 0), lambda acc, x: F.when(near(acc, x), acc).otherwise(F.array_append(acc, x)))
-    return sorted_items.select(key, F.explode(picked).alias("k")).select(key, F.col("k.day").alias(day), F.col("k.delta").alias("delta"))
+    return sorted_items.select(key, F.explode(picked).alias("__k")).select(key, F.col("__k.day").alias(day), F.col("__k.delta").alias("delta"))
 
 
 def fill_gaps(series: DataFrame, keys: list[str], position: str, value: str, limit: int = 3, strict: bool = False) -> DataFrame:
