@@ -59,14 +59,14 @@ def j05_asof_last_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT e.entity_id, e.event_date, s.card_slug, count(*) AS n, round(median(price), 6) AS mid FROM v_registry e JOIN v_sales s ON s.entity_id = e.entity_id
+    """SELECT e.entity_id, e.event_date, s.card_slug, count(*) AS n, median(price) AS mid FROM v_registry e JOIN v_sales s ON s.entity_id = e.entity_id
        AND s.sale_date BETWEEN e.event_date - INTERVAL 56 DAY AND e.event_date + INTERVAL 21 DAY GROUP BY ALL""",
     "v_registry",
     "v_sales",
 )
 def j06_event_sales_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = joins.event_sales(views.registry(spark, sf_dir), views.sales(spark, sf_dir), "entity_id", 56, 21)
-    return rounded(met.groupBy("entity_id", "event_date", "card_slug").agg(F.count("*").alias("n"), F.median("price").alias("mid")))
+    return rounded(met.groupBy("entity_id", "event_date", "card_slug").agg(F.count("*").alias("n"), F.median("price").alias("mid")), exact=("mid",))
 
 
 WINDOWS_SQL = """r AS (SELECT card_slug, entity_id, month, ln(price / lag(price) OVER w) AS log_ret, CAST(year(month) * 12 + month(month) - lag(year(month) * 12 + month(month)) OVER w AS INTEGER) AS months_since_prev

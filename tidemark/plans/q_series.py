@@ -14,14 +14,14 @@ from tidemark.sources import views
 KEYS = ["card_slug", "entity_id", "grade"]
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles to so many digits: sums in another order differ in the last ones."""
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+def rounded(df: DataFrame, digits: int = 6, exact: tuple[str, ...] = ()) -> DataFrame:
+    """Doubles to so many digits: sums in another order differ in the last ones. Prices and medians (`exact`) don't."""
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" and c not in exact else F.col(c) for c, t in df.dtypes))
 
 
-@query("SELECT card_slug, grade, week, round(median_price, 6) AS median_price, n_sales, round(best_offer_share, 6) AS best_offer_share FROM v_weekly", "v_weekly")
+@query("SELECT card_slug, grade, week, median_price, n_sales, round(best_offer_share, 6) AS best_offer_share FROM v_weekly", "v_weekly")
 def a01_weekly_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(a.weekly_series(views.sales(spark, sf_dir)))
+    return rounded(a.weekly_series(views.sales(spark, sf_dir)), exact=("median_price",))
 
 
 @query(
@@ -32,7 +32,7 @@ def a01_weekly_series(spark: SparkSession, sf_dir: str) -> DataFrame:
        w AS (SELECT card_slug, coalesce(grade, 'ungraded') AS grade, CAST(date_trunc('week', sale_date) AS TIMESTAMP) AS week, median(price) AS median_price, count(*) AS n_sales FROM k GROUP BY ALL HAVING count(*) >= 2),
        r AS (SELECT *, ln(median_price / lag(median_price) OVER s) AS log_ret, CAST(date_diff('day', lag(week) OVER s, week) AS INTEGER) AS days_since_prev FROM w WINDOW s AS (PARTITION BY card_slug, grade ORDER BY week)),
        m AS (SELECT grade, week, median(log_ret) AS market_median FROM r GROUP BY ALL)
-       SELECT r.card_slug, r.grade, r.week, round(median_price, 6) AS median_price, n_sales, round(log_ret, 6) AS log_ret, days_since_prev, round(log_ret - market_median, 6) AS excess_ret
+       SELECT r.card_slug, r.grade, r.week, median_price, n_sales, round(log_ret, 6) AS log_ret, days_since_prev, round(log_ret - market_median, 6) AS excess_ret
        FROM r LEFT JOIN m ON r.grade = m.grade AND r.week = m.week""",
     "v_sales",
 )
@@ -41,7 +41,7 @@ def n_weekly_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     flagged = a.flag_outliers(views.sales(spark, sf_dir), [F.col("card_slug"), F.col("grade"), f.month_start(F.col("sale_date"))])
     weekly = a.weekly_series(flagged.where(~F.col("outlier"))).drop("best_offer_share")
     panel = windows.observed_returns(weekly, ["card_slug", "grade"], "week", "median_price")
-    return rounded(windows.market_excess(panel, ["grade", "week"]).drop("market_median"))
+    return rounded(windows.market_excess(panel, ["grade", "week"]).drop("market_median"), exact=("median_price",))
 
 
 @query("SELECT card_slug, CAST(date_trunc('month', date) AS TIMESTAMP) AS month, max_by(price, date) AS price, min_by(entity_id, date) AS entity_id FROM v_chart WHERE grade = 'psa_10' GROUP BY 1, 2", "v_chart")
@@ -293,10 +293,10 @@ HOLD_SQL = """SELECT m.card_slug, m.entity_id, m.grade, m.month, m.price, {cols}
 )
 
 
-@query(HOLD_SQL.replace("m.price,", "round(m.price, 6) AS price,", 1), "v_month_ends")
+@query(HOLD_SQL, "v_month_ends")
 def w03_j08_hold_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     months = a.last_in_month(views.chart(spark, sf_dir), KEYS, ["psa_10", "ungraded"])
-    return rounded(windows.hold_returns(months, ["card_slug", "grade"], entries_from="1997-01-01"))
+    return rounded(windows.hold_returns(months, ["card_slug", "grade"], entries_from="1997-01-01"), exact=("price",))
 
 
 @query(

@@ -340,14 +340,14 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query(
     """WITH b AS (SELECT 'card-' || CAST(l_suppkey AS VARCHAR) AS card_slug, CASE l_returnflag WHEN 'A' THEN 'psa_10' WHEN 'R' THEN 'psa_9' ELSE 'ungraded' END AS grade, CAST(date_trunc('week', l_shipdate) AS TIMESTAMP) AS week, l_extendedprice / l_quantity AS price FROM lineitem)
-       SELECT card_slug, grade, week, round(median(price), 6) AS median_price, count(*) AS n_sales FROM b GROUP BY ALL HAVING week + INTERVAL 7 DAY <= (SELECT max(l_shipdate) - INTERVAL 14 DAY FROM lineitem)"""
+       SELECT card_slug, grade, week, median(price) AS median_price, count(*) AS n_sales FROM b GROUP BY ALL HAVING week + INTERVAL 7 DAY <= (SELECT max(l_shipdate) - INTERVAL 14 DAY FROM lineitem)"""
 )
 def q01_stream_weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _stream(spark, sf_dir, "lineitem")
     sales = lines.select(
         F.concat(F.lit("card-"), F.col("l_suppkey").cast("string")).alias("card_slug"), F.when(F.col("l_returnflag") == "A", "psa_10").when(F.col("l_returnflag") == "R", "psa_9").alias("grade"), F.col("l_shipdate").alias("sale_date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price")
     )
-    return rounded(jobs.run_available(jobs.weekly_bars(sales), scratch(spark, "bars")))
+    return jobs.run_available(jobs.weekly_bars(sales), scratch(spark, "bars"))
 
 
 def _odds_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,7 +355,8 @@ def _odds_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT event, market_id, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, arg_max(raw_price, (ts, event_id)) AS raw_price FROM v_odds GROUP BY ALL HAVING CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM v_odds)""",
+    """WITH d AS (SELECT event, market_id, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, arg_max(raw_price, (ts, event_id)) AS raw_price FROM v_odds GROUP BY ALL)
+       SELECT * FROM d WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM v_odds)""",
     "v_odds",
 )
 def q02_stream_daily_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
