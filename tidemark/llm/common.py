@@ -15,26 +15,45 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
+#: With this setting Spark removes the shuffle files of a query when it ends; a checkpoint doesn't need them any more.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the folder that spark.checkpoint.dir names.
+    """Cut the lineage with a checkpoint in the folder that spark.checkpoint.dir names; the shuffle files behind it are let go.
 
     Where that setting is unset, as in local tests, a folder of this machine is used.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    was = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a frame made under the setting
+    finally:
+        if was is None:
+            spark.conf.unset(_CLEAN_UP)
+        else:
+            spark.conf.set(_CLEAN_UP, was)
 
 
 def total_bytes(df: DataFrame, col: str) -> int:
     return df.agg(F.sum(F.octet_length(F.col(col)))).first()[0] or 0
 
 
+def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """About `most` rows picked by a hash of the key, or all if there are no more: no task sends more than its share."""
+    n = df.count()
+    return df if n <= most else df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * most / n))
+
+
 def byte_texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null becomes b''."""
     if not pa.types.is_binary(column.type):

@@ -38,7 +38,7 @@ GROUP_BYTES = 6 << 20
 #: Bytes that numpy handles at once; places in a piece take 24 bits of a 64-bit word.
 PIECE_BYTES = 1 << 20
 #: The longest text that goes through the columnar construction, and the cells of one call.
-LANE_SYMBOLS, LANE_CELLS = 400, 1 << 19
+LANE_SYMBOLS, LANE_CELLS = 1500, 1 << 19
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -280,6 +280,24 @@ def _documents(pack: pa.Table) -> tuple[list[bytes], np.ndarray]:
     return raws, np.asarray(pack.column("__id").fill_null(0)).astype(np.int64)
 
 
+_CODEC = pa.Codec("zstd", compression_level=1)
+
+
+def _squeeze(values: np.ndarray, rising: bool = False) -> bytes:
+    """An array as compressed bytes: first its number of items, then its bytes by place; rising ones as differences."""
+    if rising:
+        values = np.diff(values, prepend=values.dtype.type(0))
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes()
+    return len(values).to_bytes(4, "little") + _CODEC.compress(planes, asbytes=True)
+
+
+def _expand(raw: bytes, kind: type, rising: bool = False) -> np.ndarray:
+    n, size = int.from_bytes(raw[:4], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(_CODEC.decompress(raw[4:], n * size, asbytes=True), np.uint8)
+    values = np.ascontiguousarray(planes.reshape(size, n).T).reshape(-1).view(kind)
+    return np.cumsum(values, dtype=kind) if rising else values
+
+
 def _split(code: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, the rest of the hash) of anchors."""
     return ((code >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), (code & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -306,7 +324,7 @@ def _anchors(group: int, raws: list[bytes], ids: np.ndarray, shape: Shape, bucke
     first = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1])])) if len(low) else np.empty(0, np.int64)
     twice = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first) if len(first) else np.empty(0, bool)
     bucket, low = bucket[first], low[first]
-    rows = [(b, low[s:e][~twice[s:e]].tobytes(), low[s:e][twice[s:e]].tobytes()) for b, s, e in _runs(bucket)]
+    rows = [(b, _squeeze(low[s:e][~twice[s:e]], True), _squeeze(low[s:e][twice[s:e]], True)) for b, s, e in _runs(bucket)]
     return pa.RecordBatch.from_arrays(
         [pa.array([r[0] for r in rows], pa.int32()), pa.array([group] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
         names=["bucket", "g", "once", "twice"],
@@ -316,18 +334,17 @@ def _anchors(group: int, raws: list[bytes], ids: np.ndarray, shape: Shape, bucke
 def _shared(table: pa.Table) -> pa.Table:
     """Of a bucket's anchors those that stand in two documents, for each group that has them."""
     groups = np.asarray(table.column("g"))
-    once = [np.frombuffer(b, np.uint32) for b in table.column("once").to_pylist()]
-    twice = [np.frombuffer(b, np.uint32) for b in table.column("twice").to_pylist()]
+    once, twice = ([_expand(b, np.uint32, True) for b in table.column(c).to_pylist()] for c in ("once", "twice"))
     every = np.sort(np.concatenate([*once, *twice]))
     shared = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *twice]))
-    found = [(g, own[np.isin(own, shared, assume_unique=True)]) for g, a, b in zip(groups.tolist(), once, twice, strict=True) for own in (np.concatenate([a, b]),)]
+    found = [(g, np.sort(own[np.isin(own, shared, assume_unique=True)])) for g, a, b in zip(groups.tolist(), once, twice, strict=True) for own in (np.concatenate([a, b]),)]
     found = [(g, own) for g, own in found if len(own)]
     bucket = table.column("bucket")[0].as_py() if len(groups) else 0
-    return pa.table({"g": pa.array([g for g, _ in found], pa.int32()), "bucket": pa.array([bucket] * len(found), pa.int32()), "low": pa.array([o.tobytes() for _, o in found], pa.binary())})
+    return pa.table({"g": pa.array([g for g, _ in found], pa.int32()), "bucket": pa.array([bucket] * len(found), pa.int32()), "low": pa.array([_squeeze(o, True) for _, o in found], pa.binary())})
 
 
 def _codes(table: pa.Table) -> np.ndarray:
-    parts = [np.frombuffer(b, np.uint32).astype(np.uint64) | np.uint64(k << 32) for k, b in zip(table.column("bucket").to_pylist(), table.column("low").to_pylist(), strict=True)]
+    parts = [_expand(b, np.uint32, True).astype(np.uint64) | np.uint64(k << 32) for k, b in zip(table.column("bucket").to_pylist(), table.column("low").to_pylist(), strict=True)]
     return np.unique(np.concatenate([np.empty(0, np.uint64), *parts]))
 
 
@@ -359,20 +376,22 @@ def _contexts(group: int, raws: list[bytes], ids: np.ndarray, codes: np.ndarray,
     by = np.lexsort((own, key, code))
     by = by[np.concatenate([[True], key[by][1:] != key[by][:-1]])] if len(by) else by
     code, own, context = code[by], own[by], np.concatenate(contexts)[by]
-    rows = [(b, (code[s:e] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), context[s:e].tobytes(), own[s:e].tobytes()) for b, s, e in _runs((code >> np.uint64(32)).astype(np.int64))]
+    low = (code & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    rows = [(b, _squeeze(low[s:e], True), _CODEC.compress(context[s:e].tobytes(), asbytes=True), _squeeze(own[s:e])) for b, s, e in _runs((code >> np.uint64(32)).astype(np.int64))]
     kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
     columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
     return pa.table([columns[0], pa.array([group] * len(rows), pa.int32()), *columns[1:]], names=["bucket", "g", "low", "context", "own"])
 
 
 def _resolved(table: pa.Table, shape: Shape) -> pa.Table:
-    """Least id and earlier windows of each record, for each group that sent it."""
+    """Least id and earlier windows of each record, for each group that sent it, in the order in which it did."""
     groups = table.column("g").to_pylist()
     bucket = table.column("bucket")[0].as_py() if groups else 0
-    lows = [np.frombuffer(b, np.uint32) for b in table.column("low").to_pylist()]
+    lows = [_expand(b, np.uint32, True) for b in table.column("low").to_pylist()]
     low = np.concatenate(lows)
-    context = np.concatenate([np.frombuffer(b, np.uint8) for b in table.column("context").to_pylist()]).reshape(-1, shape.words * 8)
-    own = np.concatenate([np.frombuffer(b, np.int64) for b in table.column("own").to_pylist()])
+    wide = shape.words * 8
+    context = np.concatenate([np.frombuffer(_CODEC.decompress(b, len(x) * wide, asbytes=True), np.uint8) for b, x in zip(table.column("context").to_pylist(), lows, strict=True)]).reshape(-1, wide)
+    own = np.concatenate([_expand(b, np.int64) for b in table.column("own").to_pylist()])
     code = low.astype(np.uint64) | np.uint64(bucket << 32)
     key = record_keys(code, context)
     by = np.lexsort((key, code))
@@ -385,30 +404,40 @@ def _resolved(table: pa.Table, shape: Shape) -> pa.Table:
     out, a = [], 0
     for g, part in zip(groups, lows, strict=True):
         w = which[a : a + len(part)]
-        out.append((g, part.tobytes(), key[a : a + len(part)].tobytes(), least[w].tobytes(), bits[w].tobytes()))
+        out.append((g, _squeeze(part, True), _squeeze(least[w]), _squeeze(bits[w])))
         a += len(part)
-    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
     columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)]
-    return pa.table([columns[0], pa.array([bucket] * len(out), pa.int32()), *columns[1:]], names=["g", "bucket", "low", "keys", "least", "bits"])
+    return pa.table([columns[0], pa.array([bucket] * len(out), pa.int32()), *columns[1:]], names=["g", "bucket", "low", "least", "bits"])
 
 
 def spans_of(raws: list[bytes], ids: np.ndarray, resolved: pa.Table, shape: Shape, buckets: int) -> list[np.ndarray]:
     """Removed runs (start, end) of each document, in order."""
     codes = _codes(resolved)
-    join = lambda name, kind: np.concatenate([np.empty(0, kind), *(np.frombuffer(b, kind) for b in resolved.column(name).to_pylist())])
-    key, least, bits = join("keys", np.uint64), join("least", np.int64), join("bits", np.uint32)
-    by = np.argsort(key, kind="stable")
-    key, least, bits = key[by], least[by], bits[by]
-    found: list[list[np.ndarray]] = [[] for _ in raws]
-    for text, starts, docs, offsets in pieces_of(raws, shape):
+    resolved = resolved.sort_by("bucket")  # the order of the records' codes, in which the group sent them
+    join = lambda name, kind: np.concatenate([np.empty(0, kind), *(_expand(b, kind) for b in resolved.column(name).to_pylist())])
+    least, bits = join("least", np.int64), join("bits", np.uint32)
+    held = []
+    for text, starts, docs, offsets in pieces_of(raws, shape) if len(codes) else ():
         r = records_of(text, starts, docs, shape)
         pick, code = _matching(r, codes, buckets)
+        held.append((r, starts, docs, offsets, pick, code, record_keys(code, contexts_of(r, pick, shape))))
+    found: list[list[np.ndarray]] = [[] for _ in raws]
+    if held:
+        code, key = (np.concatenate([h[i] for h in held]) for i in (5, 6))
+        by = np.lexsort((key, code))
+        first = np.concatenate([[True], key[by][1:] != key[by][:-1]])
+        if int(first.sum()) != len(least):
+            raise RuntimeError("a group's records differ from those that it sent")
+        number = np.empty(len(by), np.int64)
+        number[by] = np.cumsum(first) - 1
+    done = 0
+    for r, starts, docs, offsets, pick, _, _ in held:
+        text = r.text
+        at = number[done : done + len(pick)]
+        done += len(pick)
         if not len(pick):
             continue
-        own = record_keys(code, contexts_of(r, pick, shape))
-        at = np.searchsorted(key, own)
-        at[at == len(key)] = 0
-        pick, at = pick[key[at] == own], at[key[at] == own]
         doc = ids[r.doc[pick]]
         change = np.zeros(len(text) + 1, np.int32)
         whole = doc > least[at]
@@ -464,7 +493,7 @@ def _scan(docs: DataFrame, key: str, text: str, finish: Callable[[pa.Table, list
             for group, raw in zip(batch.column("g").to_pylist(), batch.column("pack").to_pylist(), strict=True):
                 yield _anchors(group, *_documents(_unpack(raw)), shape, buckets)
 
-    shared = packs.mapInArrow(anchors, "bucket int, g int, once binary, twice binary").groupBy("bucket").applyInArrow(_shared, "g int, bucket int, low binary")
+    shared = cut(packs.mapInArrow(anchors, "bucket int, g int, once binary, twice binary").groupBy("bucket").applyInArrow(_shared, "g int, bucket int, low binary"))
 
     def contexts(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -472,7 +501,7 @@ def _scan(docs: DataFrame, key: str, text: str, finish: Callable[[pa.Table, list
         return _contexts(left.column("g")[0].as_py(), *_documents(_unpack(left.column("pack")[0].as_py())), _codes(right), shape, buckets)
 
     sent = packs.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(contexts, "bucket int, g int, low binary, context binary, own binary")
-    resolved = sent.groupBy("bucket").applyInArrow(lambda table: _resolved(table, shape), "g int, bucket int, low binary, keys binary, least binary, bits binary")
+    resolved = cut(sent.groupBy("bucket").applyInArrow(lambda table: _resolved(table, shape), "g int, bucket int, low binary, least binary, bits binary"))
 
     def last(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
