@@ -83,49 +83,61 @@ def suffix_arrays(lanes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     group = np.empty((depth, width), np.int16)
     np.put_along_axis(group, order, first.astype(np.int16), axis=0)
     group[~inside] = np.iinfo(np.int16).max
-    column = np.broadcast_to(np.arange(width), (depth, width))
+    lanes_all = np.arange(width)
+    final = np.ones((depth, width), bool)
+    final[:-1] = fresh[1:]
+    ends_with = np.zeros((depth + 1, width), np.int16)  # place behind a group -> group
+    np.copyto(ends_with[1:], first, where=final, casting="unsafe")
     size = np.zeros((depth, width), np.int16)
-    np.add.at(size, (group[inside], column[inside]), 1)
+    row, lane = np.nonzero(final)
+    size[first[row, lane], lane] = row + 1 - first[row, lane]
     previous = np.full((depth, width), -1, np.int16)
-    done = lengths.astype(np.int16)
-    counts = np.zeros((depth, width), np.int16)
-    none = np.int16(-1)
+    flat_group, flat_previous, flat_size, flat_ends = (x.reshape(-1) for x in (group, previous, size, ends_with))
+    done = lengths.astype(np.int64)
     while True:
-        current = np.where(group < done, group, none).max(axis=0)
-        if current.max() <= 0:
+        current = np.where(done > 0, ends_with[done, lanes_all], -1)
+        if current.max() <= 0:  # the last group holds the final 0 alone
             break
-        current[current <= 0] = none
-        own, lower = group == current, group < current
-        last, waiting = np.full(width, -1, np.int16), np.zeros(width, np.int16)
-        for i in range(depth):
-            np.copyto(previous[i], last, where=own[i])
-            last[lower[i]] = i
-        for i in range(depth - 1, -1, -1):
-            waiting += own[i]
-            np.multiply(waiting, lower[i], out=counts[i])
-            waiting[lower[i]] = 0
-        place, lane = np.nonzero(counts)
-        if len(place):
-            times, old = counts[place, lane].astype(np.int64), group[place, lane].astype(np.int64)
-            key = (lane * depth + old) * (depth + 1) + times
-            by = np.argsort(key, kind="stable")
-            key, place, lane, old = key[by], place[by], lane[by], old[by]
-            new_set = np.concatenate([[True], key[1:] != key[:-1]])
-            outer = key // (depth + 1)
-            new_old = np.concatenate([[True], outer[1:] != outer[:-1]])
-            at_old, at_set = np.flatnonzero(new_old), np.flatnonzero(new_set)
-            moved = np.diff(np.append(at_old, len(key)))
-            left = size[old[at_old], lane[at_old]] - moved
-            size[old[at_old], lane[at_old]] = left
-            which = np.cumsum(new_old) - 1
-            begin = old[at_set] + left[which[at_set]] + at_set - at_old[which[at_set]]
-            size[begin, lane[at_set]] = np.diff(np.append(at_set, len(key)))
-            group[place, lane] = begin[np.cumsum(new_set) - 1]
-        done = current
+        done = np.maximum(current, 0)
+        own = np.flatnonzero(group == np.where(current > 0, current, -1).astype(np.int16))
+        lane = own % width
+        low = current[lane]
+        # Back over what isn't lower: along the pointers of higher suffixes, one by one past those of this group.
+        at, walking = own - width, np.flatnonzero(own >= width)
+        while len(walking):
+            here = at[walking]
+            g = flat_group[here]
+            stay = g >= low[walking]
+            walking, here, g = walking[stay], here[stay], g[stay]
+            onward = np.where(g > low[walking], flat_previous[here].astype(np.int64) * width + lane[walking], here - width)
+            at[walking] = onward
+            walking = walking[onward >= 0]
+        found = at >= 0
+        flat_previous[own[found]] = at[found] // width
+        if not found.any():
+            continue
+        pointed, times = np.unique(at[found], return_counts=True)
+        lane, old = pointed % width, flat_group[pointed].astype(np.int64)
+        key = (lane * depth + old) * (depth + 1) + times
+        by = np.argsort(key, kind="stable")
+        key, pointed, lane, old = key[by], pointed[by], lane[by], old[by]
+        new_set = np.concatenate([[True], key[1:] != key[:-1]])
+        outer = key // (depth + 1)
+        new_old = np.concatenate([[True], outer[1:] != outer[:-1]])
+        at_old, at_set = np.flatnonzero(new_old), np.flatnonzero(new_set)
+        home = old[at_old] * width + lane[at_old]
+        left = flat_size[home] - np.diff(np.append(at_old, len(key)))
+        flat_size[home] = left
+        some = left > 0
+        flat_ends[home[some] + left[some] * width] = old[at_old[some]]
+        which = np.cumsum(new_old)[at_set] - 1
+        begin, many = old[at_set] + left[which] + at_set - at_old[which], np.diff(np.append(at_set, len(key)))
+        flat_size[begin * width + lane[at_set]] = many
+        flat_ends[(begin + many) * width + lane[at_set]] = begin
+        flat_group[pointed] = begin[np.cumsum(new_set) - 1]
     out = np.full((depth, width), -1, np.int16)
     free = np.broadcast_to(np.arange(depth, dtype=np.int16)[:, None], (depth, width)).copy()
     placed = ~inside
-    lanes_all = np.arange(width)
     out[0], placed[lengths - 1, lanes_all] = lengths - 1, True
     for k in range(depth):
         i = out[k].astype(np.int64) - 1
