@@ -11,7 +11,6 @@ each; a null item text has no window; a null item_id is left out of the list of
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -266,3 +265,20 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", width: int = WI
     out = extend(matched, text, {"__text": "string", "__gone": "boolean"}, run).where(~F.col("__gone"))
     out = out.withColumn("n_chars", F.when(F.col("__text") == F.col(text), F.col("n_chars")).otherwise(F.length("__text"))) if "n_chars" in columns else out
     return out.withColumn(text, F.col("__text")).select(*columns)
+
+
+def sql(width: int = WIDTH) -> str:
+    """The rows of digest(match(documents, benchmark)) in DuckDB's SQL, for ids that don't repeat."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, {words} AS w FROM benchmark),
+n AS (SELECT DISTINCT item, k, array_to_string(w[p : p + k - 1], ' ') AS g FROM (SELECT item, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM (SELECT *, least({width}, len(w)) AS k FROM i WHERE len(w) > 0))),
+d AS (SELECT doc_id, {words} AS w FROM documents),
+s AS (SELECT doc_id, p, k, array_to_string(w[p : p + k - 1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM n))),
+h AS (SELECT doc_id, p, s.k, item FROM s JOIN n ON s.k = n.k AND s.g = n.g),
+c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM h) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h WHERE item IS NOT NULL) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""

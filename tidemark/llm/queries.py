@@ -71,4 +71,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_licence_scan": op6.sql(), "op9_vector_search": op9.sql()}
+    return {"op2_decontaminate": op2.sql(), "op6_licence_scan": op6.sql(), "op9_vector_search": op9.sql()}
