@@ -19,13 +19,14 @@ def draw_sql(seed: int, rep: str, slot: str, n: str) -> str:
 def replicates(pool: DataFrame, n_reps: int, seed: int, order: list[str]) -> DataFrame:
     """(rep, row of pool) for replicates of as many draws as the pool has rows.
 
-    The pool is a table of periods or events: it is numbered in one place, and the replicates are spread.
+    The pool is a table of periods or events: it is numbered in one place, and the replicates are spread. It is joined without a hint,
+    as the number of events has no bound.
     """
     numbered = pool.withColumn("__i", F.row_number().over(Window.orderBy(*order)) - 1)
     size = pool.agg(F.count("*").alias("__n"))
     slots = pool.sparkSession.range(n_reps).withColumnRenamed("id", "rep").crossJoin(F.broadcast(size)).where("__n > 0")
     slots = slots.withColumn("__slot", F.explode(F.sequence(F.lit(0), F.col("__n").cast("int") - 1)))
-    return slots.withColumn("__i", draw(seed, F.col("rep"), F.col("__slot"), F.col("__n"))).join(F.broadcast(numbered), "__i").drop("__i", "__n", "__slot")
+    return slots.withColumn("__i", draw(seed, F.col("rep"), F.col("__slot"), F.col("__n"))).join(numbered, "__i").drop("__i", "__n", "__slot")
 
 
 def mean_interval(pool: DataFrame, value: str, order: list[str], n_reps: int, seed: int = 42) -> DataFrame:
