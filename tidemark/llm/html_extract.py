@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_texts, extend
+from tidemark.llm.common import bounded_sample, byte_texts, extend
 
 SAMPLE_PAGES = 300
 SAMPLE_PAGE_CHARS = 100_000
@@ -255,7 +255,8 @@ def extract(html: str, weights: np.ndarray) -> str:
 
 def fit(pages: DataFrame, key: str = "page_id", html: str = "html") -> np.ndarray:
     """Weights from the blocks of a bounded sample of pages that semantic markup labels."""
-    sample = pages.where(F.col(html).isNotNull() & (F.length(html) <= SAMPLE_PAGE_CHARS)).select(F.col(html).alias("html"), F.xxhash64(key).alias("h")).orderBy("h").limit(SAMPLE_PAGES).collect()
+    short = pages.where(F.col(html).isNotNull() & (F.length(html) <= SAMPLE_PAGE_CHARS))
+    sample = bounded_sample(short, key, SAMPLE_PAGES).select(F.col(html).alias("html")).limit(2 * SAMPLE_PAGES).collect()
     xs, ys = [], []
     for row in sample:
         blocks, has_main = blocks_of(row["html"])

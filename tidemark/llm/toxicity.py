@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_texts, cut, extend, slices
+from tidemark.llm.common import bounded_sample, byte_texts, cut, extend, slices
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -30,7 +30,7 @@ CALIBRATION_DOCS = 20_000
 #: Labels are sent to all tasks up to this number of rows (9 bytes each), and joined by a shuffle beyond it.
 MOST_SENT_LABELS = 5_000_000
 #: Words whose ratio a task remembers.
-MOST_WORDS = 400_000
+MOST_WORDS = 250_000
 
 _WORD = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
@@ -215,8 +215,8 @@ def fit(docs: DataFrame, labels: DataFrame, fold: Column, key: str = "doc_id", t
     """fold: a column over docs' key, named `id` here; rows of `calibration_fold` calibrate, all others are counted."""
     rows = labelled(docs, labels, key, text, label).withColumn("fold", fold)
     model = build(gram_counts(rows.where(F.col("fold") != calibration_fold)))
-    sample = rows.where(F.col("fold") == calibration_fold)
-    found = _featured(sample, model, "text", ["id", "toxic"]).orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_DOCS).toPandas()
+    sample = bounded_sample(rows.where(F.col("fold") == calibration_fold), "id", CALIBRATION_DOCS)
+    found = _featured(sample, model, "text", ["id", "toxic"]).toPandas()
     if len(found):
         calibrate(model, found[["f0", "f1", "f2"]].to_numpy(), (found["toxic"] > 0).to_numpy(float))
     return model
