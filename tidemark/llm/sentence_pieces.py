@@ -29,6 +29,8 @@ from tidemark.llm.common import byte_texts, extend
 SPACE = "▁"
 #: Units whose ids a task remembers.
 MOST_UNITS = 400_000
+#: Units up to this length aren't cut further.
+WHOLE = 32
 #: Units that advance together.
 BLOCK = 20_000
 _BASE = 0x100000001B3
@@ -91,6 +93,7 @@ class PieceModel:
         self.unknown = next((i for i, p in enumerate(proto.pieces) if p.type == 2), 0)
         self.neighbours = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.longest = max(map(len, self.ids))
+        self.characters = {p for p in self.ids if len(p) == 1}
         usable = [p for p in self.ids if not self.is_bpe or merge(list(p), self.score) == [p]]
         keys = np.array([self._key(p) for p in usable], np.uint64)
         order = np.argsort(keys)
@@ -197,21 +200,30 @@ class PieceModel:
         return [self.byte_ids[b] for b in raw] if self.byte_ids else [self.unknown]
 
     def learn(self, units: list[str]) -> None:
-        """Find the ids of new units, those of equal length together."""
-        split = {u: self.parts(u) for u in units}
-        by_length: dict[int, set[str]] = {}
-        for parts in split.values():
-            for p in parts:
-                if len(p) > 1:
-                    by_length.setdefault(len(p), set()).add(p)
-        found: dict[str, list[int]] = {}
+        """Find the ids of new units, those of equal length together. Short units of characters that all are pieces go as they
+        are; the others are cut first where no piece lies across."""
+        by_length: dict[int, list[str]] = {}
+        cut: dict[str, list[str]] = {}
+        for u in units:
+            if len(u) <= WHOLE and self.characters.issuperset(u):
+                by_length.setdefault(len(u), []).append(u)
+            else:
+                cut[u] = self.parts(u)
+        more = {p for parts in cut.values() for p in parts if len(p) > 1 and p not in self.known}
+        for p in more.difference(units):
+            by_length.setdefault(len(p), []).append(p)
+        found: dict[str, tuple[int, ...]] = {}
+        for p in more.intersection(units):
+            if p in cut:  # a long unit that is one part
+                by_length.setdefault(len(p), []).append(p)
         for length, strings in sorted(by_length.items()):
-            strings = sorted(strings)
             block = max(1, min(BLOCK, 4_000_000 // (length * self.longest)))
             for at in range(0, len(strings), block):
-                found.update(zip(strings[at : at + block], self.viterbi(strings[at : at + block]), strict=True))
-        for u, parts in split.items():
-            self.known[u] = tuple(i for p in parts for i in (found[p] if len(p) > 1 else self._character(p)))
+                found.update(zip(strings[at : at + block], map(tuple, self.viterbi(strings[at : at + block])), strict=True))
+        for u, parts in cut.items():
+            found[u] = found[u] if u in found else tuple(i for p in parts for i in (self._character(p) if len(p) == 1 else found.get(p) or self.known[p]))
+        for u in units:
+            self.known[u] = found[u]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         split = [self.units(t) for t in texts]
