@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handed to numpy in slices of about this many bytes, whatever the Arrow batch holds.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 #: With this setting Spark removes the shuffle files of a query when it ends; a checkpoint doesn't need them any more.
@@ -48,6 +50,15 @@ def total_bytes(df: DataFrame, col: str) -> int:
     return df.agg(F.sum(F.octet_length(F.col(col)))).first()[0] or 0
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker outlives its task and waits beside the next ones."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
 def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     """About `most` rows picked by a hash of the key, or all if there are no more: no task sends more than its share."""
     n = df.count()
@@ -71,10 +82,11 @@ def slices(batch: pa.RecordBatch, col: str, most: int = SLICE_BYTES) -> Iterator
         yield batch.slice(a, b - a)
 
 
-def extend(docs: DataFrame, col: str, adds: dict[str, str], fn: Callable[[pa.RecordBatch], list[pa.Array]], keep: list[str] | None = None, most: int = SLICE_BYTES) -> DataFrame:
+def extend(docs: DataFrame, col: str, adds: dict[str, str], fn: Callable[[pa.RecordBatch], list[pa.Array]], keep: list[str] | None = None, most: int = SLICE_BYTES, after: Callable[[], None] | None = None) -> DataFrame:
     """`docs` with the columns `adds` (name: SQL type) that fn makes of each slice of rows.
 
     keep: the columns that stay (all of them by default); a column of docs that bears an added name is replaced.
+    after: called when a task ends, to let go of what it remembers; Python workers outlive their tasks.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in adds]
     asked = docs.select(*keep, *([] if col in keep else [col]))
@@ -87,5 +99,8 @@ def extend(docs: DataFrame, col: str, adds: dict[str, str], fn: Callable[[pa.Rec
             for part in slices(batch, col, most):
                 made = fn(part)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], names=names)
+        if after is not None:
+            after()
+        release()
 
     return asked.mapInArrow(run, schema)

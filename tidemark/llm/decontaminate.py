@@ -235,35 +235,53 @@ def digest(matched: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
+def _without(raw: bytes, spans: np.ndarray) -> bytes:
+    """The text without the words of the spans and what stands between them."""
+    if not len(spans):
+        return raw
+    is_word = np.frombuffer(raw.translate(_WORD), np.uint8) != 0x20
+    edge = np.diff(np.concatenate([[0], is_word.view(np.int8), [0]]))
+    begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    keep, at = [], 0
+    for a, b in spans:
+        keep.append(raw[at : begins[a]])
+        at = ends[b - 1]
+    return b"".join([*keep, raw[at:]])
+
+
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", width: int = WIDTH, least_span: int = WIDTH, most_coverage: float = 0.5, **more) -> DataFrame:
     """docs without the hit spans of at least `least_span` words; those of which more than `most_coverage` is hit go.
 
     A span goes with the characters between its words; the columns of docs stay, text alone changes, and n_chars with it.
     """
     columns = docs.columns
-    matched = match(docs, items, text, width=width, **more)
+    adds = {"__text": "string", "__gone": "boolean"}
+    blocks = [*item_blocks(items, more.get("item_key", "item_id"), more.get("item_text", "text"), more.get("block_bytes", BLOCK_BYTES))]
 
-    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+    def trimmed(batch: pa.RecordBatch, found: list[np.ndarray], n_words: list[int]) -> list[pa.Array]:
         texts, gone = [], []
-        for raw, null, spans, n in zip(byte_texts(batch.column(text)), batch.column(text).is_null().to_pylist(), batch.column("hit_spans").to_pylist(), batch.column("n_words").to_pylist(), strict=True):
-            hit = np.array(spans, np.int64).reshape(-1, 2)
-            if not len(hit):
-                texts.append(None if null else raw.decode("utf-8", "replace"))
-                gone.append(False)
-                continue
-            gone.append(int((hit[:, 1] - hit[:, 0]).sum()) > most_coverage * n)
-            is_word = np.frombuffer(raw.translate(_WORD), np.uint8) != 0x20
-            edge = np.diff(np.concatenate([[0], is_word.view(np.int8), [0]]))
-            begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            keep, at = [], 0
-            for a, b in hit[hit[:, 1] - hit[:, 0] >= least_span]:
-                keep.append(raw[at : begins[a]])
-                at = ends[b - 1]
-            texts.append(b"".join([*keep, raw[at:]]).decode("utf-8", "replace"))
+        for raw, null, hit, n in zip(byte_texts(batch.column(text)), batch.column(text).is_null().to_pylist(), found, n_words, strict=True):
+            hit = hit.astype(np.int64)
+            gone.append(len(hit) > 0 and int((hit[:, 1] - hit[:, 0]).sum()) > most_coverage * n)
+            texts.append(None if null else _without(raw, hit[hit[:, 1] - hit[:, 0] >= least_span]).decode("utf-8", "replace"))
         return [pa.array(texts, pa.string()), pa.array(gone, pa.bool_())]
 
-    out = extend(matched, text, {"__text": "string", "__gone": "boolean"}, run).where(~F.col("__gone"))
-    out = out.withColumn("n_chars", F.when(F.col("__text") == F.col(text), F.col("n_chars")).otherwise(F.length("__text"))) if "n_chars" in columns else out
+    if len(blocks) <= 1:  # one automaton: find and cut in one go
+        block = blocks[0] if blocks else ()
+
+        def at_once(batch: pa.RecordBatch) -> list[pa.Array]:
+            split = [words_of(raw) for raw in byte_texts(batch.column(text))]
+            return trimmed(batch, [_automaton(block, width).scan(w)[0] for w in split], [len(w) for w in split])
+
+        out = extend(docs, text, adds, at_once)
+    else:
+
+        def from_spans(batch: pa.RecordBatch) -> list[pa.Array]:
+            return trimmed(batch, [np.array(s, np.int64).reshape(-1, 2) for s in batch.column("hit_spans").to_pylist()], batch.column("n_words").to_pylist())
+
+        out = extend(match(docs, items, text, width=width, **more), text, adds, from_spans)
+    out = out.where(~F.col("__gone"))
+    out = out.withColumn("n_chars", F.when(F.col("__text").eqNullSafe(F.col(text)), F.col("n_chars")).otherwise(F.length("__text"))) if "n_chars" in columns else out
     return out.withColumn(text, F.col("__text")).select(*columns)
 
 

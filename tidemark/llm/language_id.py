@@ -26,7 +26,7 @@ SAMPLE_DOCS = 4000
 SAMPLE_WINDOWS = 4
 EPOCHS = 6
 #: Windows that are scored at once.
-BLOCK = 2048
+BLOCK = 512
 UNDETERMINED = "und"
 
 

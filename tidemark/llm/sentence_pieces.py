@@ -28,7 +28,7 @@ from tidemark.llm.common import byte_texts, extend
 
 SPACE = "▁"
 #: Units whose ids a task remembers.
-MOST_UNITS = 400_000
+MOST_UNITS = 250_000
 #: Units up to this length aren't cut further.
 WHOLE = 32
 #: Units that advance together.
@@ -129,7 +129,7 @@ class PieceModel:
         """Whether merging the characters of two pieces gives the two again."""
         pairs, back = np.unique(left << 32 | right, return_inverse=True)
         known, pieces = self.stable, self.pieces
-        if len(known) > 4_000_000:
+        if len(known) > 2_000_000:
             known.clear()
         found = []
         for p in pairs.tolist():
@@ -240,6 +240,9 @@ class PieceModel:
             out.append(ids)
         return out
 
+    def forget(self) -> None:
+        self.known, self.stable = {}, {}
+
     def decode(self, ids: list[int] | np.ndarray) -> bytes:
         ids = np.asarray(ids, np.int64)
         sizes = self.raw_sizes[ids]
@@ -266,7 +269,7 @@ def encode(docs: DataFrame, text: str = "text", model: str | None = None, keep:
         ids = load(path).encode([b.decode("utf-8", "replace") for b in byte_texts(batch.column(text))])
         return [pa.array([None if n else i for i, n in zip(ids, null, strict=True)], pa.list_(pa.int32())), pa.array([None if n else len(i) for i, n in zip(ids, null, strict=True)], pa.int64())]
 
-    return extend(docs, text, {"ids": "array<int>", "n_tokens": "bigint"}, run, keep)
+    return extend(docs, text, {"ids": "array<int>", "n_tokens": "bigint"}, run, keep, after=lambda: load(path).forget())
 
 
 def decode(encoded: DataFrame, ids: str = "ids", to: str = "decoded", model: str | None = None) -> DataFrame:
@@ -297,4 +300,4 @@ def round_trip(docs: DataFrame, text: str = "text", model: str | None = None, ke
             same.append(pieces.decode(ids) == raw)
         return [pa.array(n, pa.int64(), mask=null), pa.array(digests, pa.string(), mask=null), pa.array(same, pa.bool_(), mask=null)]
 
-    return extend(docs, text, {"n_tokens": "bigint", "ids_sha256": "string", "round_trip": "boolean"}, run, keep)
+    return extend(docs, text, {"n_tokens": "bigint", "ids_sha256": "string", "round_trip": "boolean"}, run, keep, after=lambda: load(path).forget())
