@@ -7,8 +7,10 @@ a wide idf would make each shingle of a large group of near copies lighter than
 
 Texts of the same words are one from the start (`copies`), so a group of copies costs what one text costs. Each distinct text
 gets BANDS * ROWS consistent samples; texts that agree on a whole band meet in a bucket. No bucket emits all its pairs: each
-member is compared with the bucket's pivots (its least id and the least by two hashes), and the links whose exact weighted
-Jaccard similarity reaches the threshold go into connected components.
+member is first compared with the bucket's pivots (its least id and the least by two hashes), and the links whose exact
+weighted Jaccard similarity reaches the threshold go into connected components. Where a bucket's other members are then still
+in different components, they are compared by a prefix filter that drops no pair which can reach the threshold (`rest_pairs`),
+so no two texts of a bucket stay both unlinked and unexamined.
 
 Null texts and rows of a null id are classes of their own (of null ids, a null class); texts without words are copies if they
 are equal as texts. Repeated rows have one class.
@@ -198,32 +200,101 @@ def signatures(docs: DataFrame, sketch: np.ndarray, n_texts: int, key: str, text
     return extend(docs.select(F.col(key).cast("bigint").alias("id"), text), text, {"k1": "bigint", "k2": "bigint", "bands": "array<bigint>"}, run, ["id"])
 
 
-def candidate_pairs(distinct: DataFrame) -> DataFrame:
-    """(a, b), a > b: each member of a bucket with the bucket's pivots."""
+def _in_buckets(distinct: DataFrame) -> DataFrame:
+    """(band, h, id, n, pivots): each member of a bucket of several, with the bucket's size and pivots."""
     members = distinct.select("id", F.posexplode("bands").alias("band", "h"))
     pivots = [F.min("id").alias("p0"), *(F.min(F.struct(F.xxhash64("id", F.lit(j)).alias("x"), F.col("id"))).alias(f"q{j}") for j in (1, 2))]
-    buckets = members.groupBy("band", "h").agg(F.count("*").alias("n"), *pivots).where("n > 1").select("band", "h", F.array_distinct(F.array("p0", "q1.id", "q2.id")).alias("pivots"))
-    met = members.join(buckets, ["band", "h"]).select("id", F.explode("pivots").alias("pivot")).where("id <> pivot")
+    buckets = members.groupBy("band", "h").agg(F.count("*").alias("n"), *pivots).where("n > 1").select("band", "h", "n", F.array_distinct(F.array("p0", "q1.id", "q2.id")).alias("pivots"))
+    return members.join(buckets, ["band", "h"])
+
+
+def candidate_pairs(distinct: DataFrame) -> DataFrame:
+    """(a, b), a > b: each member of a bucket with the bucket's pivots."""
+    met = _in_buckets(distinct).select("id", F.explode("pivots").alias("pivot")).where("id <> pivot")
     return met.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
 
 
+def unsettled(distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, component) of the texts that share a bucket with one of another component, both of them no pivots of it."""
+    others = _in_buckets(distinct).where((F.col("n") - F.size("pivots") > 1) & ~F.array_contains("pivots", F.col("id"))).select("band", "h", "id")
+    others = cut(others.join(found.withColumnRenamed("node", "id"), "id", "left").select("band", "h", "id", F.coalesce("component", "id").alias("component")))
+    open_buckets = others.groupBy("band", "h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "h")
+    return others.join(open_buckets, ["band", "h"], "left_semi").select("id", "component").distinct()
+
+
+def prefix(shingles: bytes, threshold: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """(shingles from the rarest on, weight of the set from each of them on, weight of the set), as far as a match can begin.
+
+    Sets of weights A and B that reach the threshold t share at least t / (1 + t) * (A + B), and at least t * A. All of it
+    lies at or after the first shingle that both hold, in an order common to all sets, so the weight from there on is no less.
+    """
+    short, weight, rarity = _unpacked(shingles)
+    order = np.lexsort((short, -rarity.astype(np.int16)))
+    left = np.cumsum(weight[order][::-1])[::-1]
+    n = int((left >= (threshold - 1e-9) * left[0]).sum()) if len(left) else 0
+    return short[order[:n]], left[:n], float(left[0]) if len(left) else 0.0
+
+
+def rest_pairs(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a > b: the pairs of `rest` from different components that can reach the threshold, by their prefixes.
+
+    The first shingle that the two of a pair share must leave enough weight on both sides; see prefix(). Members of one
+    component are not paired: groups of a shingle and a component meet first, and only those of different components.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                made = [prefix(s, threshold) for s in part.column("shingles").to_pylist()]
+                sizes = [len(m[0]) for m in made]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(pa.array(np.repeat(part.column(c).to_numpy(), sizes), pa.int64()) for c in ("id", "component")),
+                        pa.array(np.concatenate([m[0] for m in made]).astype(np.int64)),
+                        pa.array(np.concatenate([m[1] for m in made])),
+                        pa.array(np.repeat([m[2] for m in made], sizes)),
+                    ],
+                    names=["id", "component", "shingle", "behind", "weight"],
+                )
+
+    posted = cut(rest.join(sets, "id").select("id", "component", "shingles").mapInArrow(run, "id bigint, component bigint, shingle bigint, behind double, weight double"))
+    share = threshold / (1 + threshold)
+    # The lighter set of a pair shares at least 2 t / (1 + t) of its own weight.
+    lighter, heavier = posted.where(F.col("behind") >= (2 * share - 1e-9) * F.col("weight")), posted
+    groups = lighter.select("shingle", "component").distinct().join(heavier.select("shingle", F.col("component").alias("other")).distinct(), "shingle").where("component <> other")
+    one = lighter.join(groups, ["shingle", "component"])
+    two = heavier.select("shingle", F.col("component").alias("other"), *(F.col(c).alias(f"{c}_2") for c in ("id", "behind", "weight")))
+    least = share * (F.col("weight") + F.col("weight_2")) - 1e-6
+    fits = (F.col("weight") <= F.col("weight_2")) & (F.least("behind", "behind_2") >= least)
+    return one.join(two, ["shingle", "other"]).where(fits).select(F.greatest("id", "id_2").alias("a"), F.least("id", "id_2").alias("b")).distinct()
+
+
 def weighted_sets(docs: DataFrame, sketch: np.ndarray, n_texts: int, key: str, text: str) -> DataFrame:
-    """(id, shingles): 32 bits of each shingle's hash in order, then the weights as half floats."""
+    """(id, shingles): 32 bits of each shingle's hash in order, then the weights as half floats, then a byte of rarity each."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         s, c, lengths, _ = shingles_of(byte_texts(batch.column(text)))
-        w = weights_of(s, c, shared.value, n_texts).astype(np.float16)
+        w = weights_of(s, c, shared.value, n_texts)
+        rarity = np.clip(np.round((w / (1 + np.log(c)) - 1) * (255 / DAMPING)), 0, 255).astype(np.uint8)
+        w = w.astype(np.float16)
         short = (s >> np.uint64(32)).astype(np.uint32)
         ends = np.cumsum(lengths)
-        return [pa.array([short[e - n : e].tobytes() + w[e - n : e].tobytes() for n, e in zip(lengths.tolist(), ends.tolist(), strict=True)], pa.binary())]
+        return [pa.array([short[e - n : e].tobytes() + w[e - n : e].tobytes() + rarity[e - n : e].tobytes() for n, e in zip(lengths.tolist(), ends.tolist(), strict=True)], pa.binary())]
 
     return extend(docs.select(F.col(key).cast("bigint").alias("id"), text), text, {"shingles": "binary"}, run, ["id"])
 
 
+def _unpacked(s: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles, weights and rarity of a set."""
+    n = len(s) // 7
+    return np.frombuffer(s, np.uint32, n), np.frombuffer(s, np.float16, n, 4 * n).astype(np.float64), np.frombuffer(s, np.uint8, n, 6 * n)
+
+
 def weighted_jaccard(a: bytes, b: bytes) -> float:
     """Sum of the lesser weights over the sum of the greater ones."""
-    (x, v), (y, w) = ((np.frombuffer(s, np.uint32, len(s) // 6), np.frombuffer(s, np.float16, len(s) // 6, len(s) // 6 * 4).astype(np.float64)) for s in (a, b))
+    (x, v, _), (y, w, _) = _unpacked(a), _unpacked(b)
     at = np.searchsorted(y, x)
     at[at == len(y)] = 0
     same = y[at] == x if len(y) else np.zeros(len(x), bool)
@@ -254,6 +325,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     sets = cut(weighted_sets(docs, sketch, n_texts, key, text).join(nodes, "id", "left_semi").groupBy("id").agg(F.min("shingles").alias("shingles")))
     links = cut(verified(pairs, sets, threshold))
     found = components(links)
+    rest = cut(unsettled(copies, found))
+    if not rest.isEmpty():
+        more = cut(verified(rest_pairs(rest, sets, threshold), sets, threshold))
+        links = links.unionByName(more)
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b")))
     counts = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     of_copies = (
         copies.select("k1", "k2", F.col("id").alias("node"))
