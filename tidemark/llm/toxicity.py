@@ -5,13 +5,15 @@ within a class; the lower orders are continuation counts that both classes share
 judged by its parts, and a rare one leans on the shared counts. The ratios are normalised by length, over the whole text and
 over its most toxic words, and a logistic regression on labelled rows that the counts leave out turns them into a score.
 
-All labelled rows but the held-out ones are counted, by Spark. The tables have a fixed number of hashed buckets, so what the
-tasks hold doesn't grow with the data. The regression learns from a bounded sample (`CALIBRATION_DOCS`). Null and empty texts
-score as texts without words do. Labels of an id that has several count as toxic if one of them is; null labels don't count.
+All labelled rows but the held-out ones are counted, exactly: the counts are Spark tables keyed by the n-gram, which grow with
+the data, and the distinct n-grams of the texts are joined to them. The regression learns from a bounded sample
+(`CALIBRATION_DOCS`); the rows that it comes from are counted once it is fitted. Null and empty texts score as texts without
+words do. Labels of an id that has several count as toxic if one of them is; null labels don't count.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,13 +26,15 @@ from tidemark.llm.common import bounded_sample, byte_texts, cut, extend, slices
 
 ORDER = 5
 DISCOUNT = 0.75
-#: Buckets of each table of n-grams, as a power of two.
-BUCKET_BITS = 19
 CALIBRATION_DOCS = 20_000
 #: Labels are sent to all tasks up to this number of rows (9 bytes each), and joined by a shuffle beyond it.
 MOST_SENT_LABELS = 5_000_000
-#: Words whose ratio a task remembers.
+#: Words that a task remembers.
 MOST_WORDS = 250_000
+#: Ratios of n-grams are sent to all tasks up to this number (16 bytes each), and joined by shuffles beyond it.
+MOST_SENT_GRAMS = 2_000_000
+#: Keys over which the texts that hold a word are spread in that join.
+SPREAD = 32
 
 _WORD = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
@@ -56,44 +60,12 @@ def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[keep], sizes - 5
 
 
-def bucket(key: np.ndarray, order: int) -> np.ndarray:
-    mixed = (key.astype(np.uint64) + np.uint64(order << 56)) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(32)
-    mixed *= np.uint64(0xD6E8FEB86659FD93)
-    return (mixed >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-
-
 @dataclass
 class Model:
-    #: Of the highest order: counts and, of its histories, totals and numbers of followers; a row for each class.
-    top: np.ndarray
-    total: np.ndarray
-    kinds: np.ndarray
-    #: Of the lower orders, shared: continuation counts, their totals and the followers of each history.
-    lower: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    #: (gram, ordinary, toxic): how often each n-gram of the highest order stands in either class; all else follows from it.
+    counts: DataFrame
     weights: np.ndarray
 
-    def ratios(self, words: list[bytes]) -> np.ndarray:
-        """Length-normalised log-likelihood ratio (toxic to ordinary) of each word."""
-        if not words:
-            return np.empty(0)
-        key, sizes = grams_of(words)
-        p = np.full(len(key), 1 / 256)
-        for order in range(2, ORDER):
-            own = key & ((1 << (8 * order)) - 1)
-            count, total, kinds = self.lower[order]
-            h = bucket(own >> 8, order - 1)
-            n = total[h]
-            seen = n > 0
-            with np.errstate(divide="ignore", invalid="ignore"):
-                p = np.where(seen, (np.maximum(count[bucket(own, order)] - DISCOUNT, 0) + DISCOUNT * kinds[h] * p) / np.maximum(n, 1e-9), p)
-        g, h = bucket(key, ORDER), bucket(key >> 8, ORDER - 1)
-        logs = []
-        for c in (0, 1):
-            n = self.total[c][h]
-            logs.append(np.log(np.where(n > 0, (np.maximum(self.top[c][g] - DISCOUNT, 0) + DISCOUNT * self.kinds[c][h] * p) / np.maximum(n, 1e-9), p) + 1e-12))
-        return np.add.reduceat(logs[1] - logs[0], np.cumsum(sizes) - sizes) / sizes
-
 
 def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame:
     """(id, text, toxic) of the labelled rows."""
@@ -131,47 +103,86 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text", "toxic").mapInArrow(run, "gram bigint, ordinary double, toxic double").groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
-def _bucket_udf(order: int):
-    @F.pandas_udf("bigint")
-    def of(key):
-        import pandas as pd
-
-        return pd.Series(bucket(key.to_numpy(), order))
+def _ending(order: int) -> Column:
+    return F.col("gram").bitwiseAND(F.lit((1 << (8 * order)) - 1))
 
-    return of
 
+def _discounted(count: Column, total: Column, kinds: Column, p: Column) -> Column:
+    """Kneser-Ney: the discounted count of a gram and its share of p; p alone after a history that was never seen."""
+    return F.when(total > 0, (F.greatest(F.coalesce(count, F.lit(0.0)) - DISCOUNT, F.lit(0.0)) + DISCOUNT * kinds * p) / total).otherwise(p)
 
-def _tables(df: DataFrame, key: Column, order: int, sums: list[Column]) -> list[np.ndarray]:
-    """Sums by bucket, as arrays of a fixed length: at most so many rows reach the driver."""
-    rows = df.groupBy(_bucket_udf(order)(key).alias("b")).agg(*(F.sum(s).cast("float").alias(f"s{i}") for i, s in enumerate(sums))).toPandas()
-    out = []
-    for i in range(len(sums)):
-        x = np.zeros(1 << BUCKET_BITS, np.float32)
-        x[rows["b"].to_numpy(np.int64)] = rows[f"s{i}"].to_numpy(np.float32)
-        out.append(x)
-    return out
 
+def gram_ratios(grams: DataFrame, counts: DataFrame) -> DataFrame:
+    """(gram, ratio): the log-likelihood ratio (toxic to ordinary) of each of the given distinct n-grams.
 
-def build(counts: DataFrame) -> Model:
-    """The tables, from the counts of distinct n-grams; the weights are still neutral."""
-    counts = cut(counts)
-    one = F.lit(1.0)
-    classes = ["ordinary", "toxic"]
-    top = _tables(counts, F.col("gram"), ORDER, [F.col(c) for c in classes])
-    history = F.shiftright("gram", 8)
-    by_history = _tables(counts, history, ORDER - 1, [*(F.col(c) for c in classes), *((F.col(c) > 0).cast("double") for c in classes)])
-    lower, grams = {}, counts.select("gram")
+    From short to long n-grams, each order joins its own counts, those of its histories and the order below. A key of these
+    joins has no more than 256 n-grams.
+    """
+    shorter, asked, lower = counts.select("gram"), {ORDER: grams}, {}
     for order in range(ORDER - 1, 1, -1):
         # How many distinct longer n-grams end with each: its continuation count.
-        grams = grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * order)) - 1)).alias("gram")).agg(F.count("*").cast("double").alias("n"))
-        (count,) = _tables(grams, F.col("gram"), order, [F.col("n")])
-        total, kinds = _tables(grams, history, order - 1, [F.col("n"), one])
-        lower[order] = (count, total, kinds)
-        grams = grams.select("gram")
-    return Model(np.stack(top), np.stack(by_history[:2]), np.stack(by_history[2:]), lower, np.zeros(5))
+        lower[order] = shorter.groupBy(_ending(order).alias("gram")).agg(F.count("*").cast("double").alias("n"))
+        shorter = lower[order].select("gram")
+        asked[order] = asked[order + 1].select(_ending(order).alias("gram")).distinct()
+    below = None
+    for order in range(2, ORDER):
+        histories = lower[order].groupBy(F.shiftright("gram", 8).alias("h")).agg(F.sum("n").alias("total"), F.count("*").cast("double").alias("kinds"))
+        out = asked[order].withColumn("h", F.shiftright("gram", 8)).join(histories, "h", "left").join(lower[order], "gram", "left")
+        out = out.withColumn("p", F.lit(1 / 256)) if below is None else out.withColumn("end", _ending(order - 1)).join(below, "end")
+        below = out.select(F.col("gram").alias("end"), _discounted(F.col("n"), F.col("total"), F.col("kinds"), F.col("p")).alias("p"))
+    classes = ["ordinary", "toxic"]
+    histories = counts.groupBy(F.shiftright("gram", 8).alias("h")).agg(*(F.sum(c).alias(f"{c}_total") for c in classes), *(F.sum((F.col(c) > 0).cast("double")).alias(f"{c}_kinds") for c in classes))
+    out = grams.withColumn("h", F.shiftright("gram", 8)).withColumn("end", _ending(ORDER - 1)).join(histories, "h", "left").join(counts, "gram", "left").join(below, "end")
+    ordinary, toxic = (F.log(_discounted(F.col(c), F.col(f"{c}_total"), F.col(f"{c}_kinds"), F.col("p")) + 1e-12) for c in classes)
+    return out.select("gram", (toxic - ordinary).alias("ratio"))
 
 
-def features(model: Model, raws: list[bytes], known: dict[bytes, float]) -> np.ndarray:
+def asked_ratios(docs: DataFrame, model: Model, text: str) -> DataFrame:
+    """(gram, ratio) of the distinct n-grams of docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty(0, np.int64)
+        for batch in batches:
+            for part in slices(batch, text):
+                words = [*{w for raw in byte_texts(part.column(text)) for w in words_of(raw)}]
+                if words:
+                    held = np.union1d(held, grams_of(words)[0])
+                if len(held) > 2_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(held)], names=["gram"])
+                    held = np.empty(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(held)], names=["gram"])
+
+    grams = cut(docs.select(text).mapInArrow(run, "gram bigint").distinct())
+    return cut(gram_ratios(grams, model.counts))
+
+
+def word_ratios(docs: DataFrame, ratios: DataFrame, text: str) -> DataFrame:
+    """(word, ratio): the length-normalised ratio of each distinct word of docs, from those of n-grams."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            for part in slices(batch, text):
+                new = {w for raw in byte_texts(part.column(text)) for w in words_of(raw)} - seen
+                if len(seen) > MOST_WORDS:
+                    seen = set()
+                seen |= new
+                yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary())], names=["word"])
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "word"):
+                words = part.column("word").to_pylist()
+                for at in range(0, len(words), 20_000):
+                    some = words[at : at + 20_000]
+                    key, sizes = grams_of(some)
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()).take(pa.array(np.repeat(np.arange(len(some)), sizes))), pa.array(key)], names=["word", "gram"])
+
+    stands = docs.select(text).mapInArrow(distinct, "word binary").distinct().mapInArrow(grams, "word binary, gram bigint")
+    return cut(stands.join(ratios, "gram").groupBy("word").agg(F.avg("ratio").alias("ratio")))
+
+
+def features(grams: np.ndarray, ratios: np.ndarray, raws: list[bytes], known: dict[bytes, float]) -> np.ndarray:
     """Of each text: ratio over all its words, of its most toxic word, and the mean of its three most toxic ones."""
     split = [words_of(raw) for raw in raws]
     new = [*{w for words in split for w in words if w not in known}]
@@ -180,7 +191,8 @@ def features(model: Model, raws: list[bytes], known: dict[bytes, float]) -> np.n
         new = [*{w for words in split for w in words}]
     for at in range(0, len(new), 20_000):
         part = new[at : at + 20_000]
-        known.update(zip(part, model.ratios(part).tolist(), strict=True))
+        key, sizes = grams_of(part)
+        known.update(zip(part, (np.add.reduceat(ratios[np.searchsorted(grams, key)], np.cumsum(sizes) - sizes) / sizes).tolist(), strict=True))
     out = np.zeros((len(raws), 3))
     for i, words in enumerate(split):
         if words:
@@ -195,11 +207,7 @@ def _expand(x: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(x)), 10 * x[:, 0], x[:, 1], x[:, 2], np.maximum(x[:, 1], 0) ** 2])
 
 
-def score(model: Model, x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(_expand(x) @ model.weights, -30, 30)))
-
-
-def calibrate(model: Model, x: np.ndarray, toxic: np.ndarray) -> None:
+def calibrate(x: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Logistic regression by Newton's steps, lightly regularised."""
     z, w = _expand(x), np.zeros(5)
     for _ in range(50):
@@ -208,36 +216,62 @@ def calibrate(model: Model, x: np.ndarray, toxic: np.ndarray) -> None:
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
-    model.weights = w
+    return w
 
 
 def fit(docs: DataFrame, labels: DataFrame, fold: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", calibration_fold: int = 3) -> Model:
-    """fold: a column over docs' key, named `id` here; rows of `calibration_fold` calibrate, all others are counted."""
+    """fold: a column over docs' key, named `id` here; rows of `calibration_fold` calibrate before they are counted too."""
     rows = labelled(docs, labels, key, text, label).withColumn("fold", fold)
-    model = build(gram_counts(rows.where(F.col("fold") != calibration_fold)))
+    model = Model(cut(gram_counts(rows.where(F.col("fold") != calibration_fold))), np.zeros(5))
     sample = bounded_sample(rows.where(F.col("fold") == calibration_fold), "id", CALIBRATION_DOCS)
     found = _featured(sample, model, "text", ["id", "toxic"]).toPandas()
     if len(found):
-        calibrate(model, found[["f0", "f1", "f2"]].to_numpy(), (found["toxic"] > 0).to_numpy(float))
+        model.weights = calibrate(found[["f0", "f1", "f2"]].to_numpy(), (found["toxic"] > 0).to_numpy(float))
+    left_out = gram_counts(rows.where(F.col("fold") == calibration_fold))
+    model.counts = cut(model.counts.unionByName(left_out).groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")))
     return model
 
 
 def _featured(docs: DataFrame, model: Model, text: str, keep: list[str]) -> DataFrame:
-    shared, known = docs.sparkSession.sparkContext.broadcast(model), {}
+    """The columns of keep with the features f0, f1 and f2."""
+    ratios = asked_ratios(docs, model, text)
+    if ratios.count() > MOST_SENT_GRAMS:
+        return _joined(docs, word_ratios(docs, ratios, text), text, keep)
+    held = ratios.toPandas().sort_values("gram")
+    shared, known = docs.sparkSession.sparkContext.broadcast((held["gram"].to_numpy(np.int64), held["ratio"].to_numpy(np.float64))), {}
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        x = features(shared.value, byte_texts(batch.column(text)), known)
+        x = features(*shared.value, byte_texts(batch.column(text)), known)
         return [pa.array(x[:, i], pa.float64()) for i in range(3)]
 
     return extend(docs, text, {f"f{i}": "double" for i in range(3)}, run, keep)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
-    """docs with score and predicted (score >= threshold); columns of these names are replaced."""
-    shared, known = docs.sparkSession.sparkContext.broadcast(model), {}
+def _joined(docs: DataFrame, words: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """features() by a join of each text's distinct words with their ratios; frequent words are spread over SPREAD keys."""
+    rows = cut(docs.select(*{*keep, text}).withColumn("__row", F.monotonically_increasing_id()))
 
-    def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        s = score(shared.value, features(shared.value, byte_texts(batch.column(text)), known))
-        return [pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                for row, raw in zip(part.column("__row").to_pylist(), byte_texts(part.column(text)), strict=True):
+                    n = Counter(words_of(raw))
+                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(n), pa.int64()), pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], names=["__row", "word", "n"])
+
+    stand = rows.select("__row", text).mapInArrow(run, "__row bigint, word binary, n bigint").withColumn("spread", F.col("__row") % SPREAD)
+    held = words.withColumn("spread", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))))
+    size = (F.octet_length("word") + 1) * F.col("n")
+    top = F.slice(F.sort_array(F.flatten(F.collect_list(F.array_repeat("ratio", F.least("n", F.lit(3)).cast("int")))), asc=False), 1, 3)
+    found = stand.join(held, ["word", "spread"]).groupBy("__row").agg((F.sum(F.col("ratio") * size) / F.sum(size)).alias("f0"), F.max("ratio").alias("f1"), top.alias("top"))
+    mean = F.aggregate("top", F.lit(0.0), lambda acc, x: acc + x) / F.size("top")
+    found = found.select("__row", "f0", "f1", mean.alias("f2"))
+    return rows.join(found, "__row", "left").select(*keep, *(F.coalesce(f"f{i}", F.lit(0.0)).alias(f"f{i}") for i in range(3)))
 
-    return extend(docs, text, {"score": "double", "predicted": "int"}, run, keep)
+
+def predict(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
+    """docs with score and predicted (score >= threshold); columns of these names are replaced."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
+    z = [F.lit(1.0), 10 * F.col("f0"), F.col("f1"), F.col("f2"), F.pow(F.greatest("f1", F.lit(0.0)), F.lit(2.0))]
+    dot = sum((float(w) * c for w, c in zip(model.weights, z, strict=True)), F.lit(0.0))
+    s = 1 / (1 + F.exp(-F.least(F.greatest(dot, F.lit(-30.0)), F.lit(30.0))))
+    return _featured(docs, model, text, keep).select(*keep, s.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
