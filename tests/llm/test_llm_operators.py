@@ -131,9 +131,13 @@ def test_sentence_pieces_equal_the_library(docs, none):
     rng = random.Random(8)
     texts = ["", " ", "  a  b ", "\n\t x", "日本語 here 🙂", "a" * 700, "<s> <0x0A>", *("".join(rng.choice("etaoinshrdlu ETA.,12é▁") for _ in range(50)) for _ in range(400))]
     model = sentence_pieces.load(sentence_pieces.default_model())
-    for text, ids in zip(texts, model.encode(texts), strict=True):
-        assert ids == lib.encode(text)
-        assert model.decode(ids).decode() == text.replace("▁", " ") if not text.startswith("▁") else True
+    rng.shuffle(texts)
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(0x370, 0x530), rng.randrange(0x4E00, 0x5000), rng.randrange(0x1F600, 0x1F640), 32])) for _ in range(60)) for _ in range(300)]
+    ids, sizes = model.encode(texts)
+    parts = np.split(ids, np.cumsum(sizes)[:-1])
+    for text, own, back in zip(texts, parts, model.decode(ids, sizes), strict=True):
+        assert own.tolist() == lib.encode(text)
+        assert back.decode() == text.replace("▁", " ") if not text.startswith("▁") else True
     got = sentence_pieces.round_trip(docs).select("doc_id", "n_tokens", "round_trip").collect()
     assert sorted((r["round_trip"] for r in got), key=str) == [None] + [True] * 7
     back = sentence_pieces.decode(sentence_pieces.encode(docs)).collect()
@@ -141,18 +145,40 @@ def test_sentence_pieces_equal_the_library(docs, none):
     assert sentence_pieces.encode(none).count() == 0
 
 
+def test_pairs_stay_apart_as_merging_leaves_them():
+    model = sentence_pieces.load(sentence_pieces.default_model())
+    rng = np.random.default_rng(4)
+    usable = np.flatnonzero(model.usable)
+    left, right = rng.choice(usable, 3000), rng.choice(usable, 3000)
+    short = [model.ids[p] for p in model.ids if set(p) <= set("▁ateon")]
+    left, right = np.append(left, rng.choice(short, 3000)), np.append(right, rng.choice(short, 3000))
+    want = [sentence_pieces.merge([*model.pieces[a], *model.pieces[b]], model.score) == [model.pieces[a], model.pieces[b]] for a, b in zip(left, right, strict=True)]
+    assert model.are_stable(left, right).tolist() == want and 0 < sum(want) < 6000
+
+
+def test_a_wrong_key_does_not_decide(monkeypatch):
+    """Where the search accepts a piece by its key alone, the pieces' characters find out."""
+    model = sentence_pieces.load(sentence_pieces.default_model())
+    rows = ["▁there", "▁these", "▁other"]
+    right = [sentence_pieces.merge(list(r), model.score) for r in rows]
+    monkeypatch.setattr(model, "viterbi", lambda rows: (np.array([model.ids["▁the"], model.ids["▁the"], model.ids["▁the"]]), np.ones(3, np.int64)))
+    ids, sizes = model._search(rows)
+    assert [[model.pieces[i] for i in part] for part in np.split(ids, np.cumsum(sizes)[:-1])] == right
+
+
 def test_unigram_viterbi_takes_the_best_sum():
     model = object.__new__(sentence_pieces.PieceModel)
     model.__dict__.update(sentence_pieces.load(sentence_pieces.default_model()).__dict__)
     rng = random.Random(9)
     pieces = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))) for _ in range(40)} | set("abc"))
     score = {p: -rng.random() * 5 for p in pieces}
-    keys = np.array([model._key(p) for p in pieces], np.uint64)
+    keys = sentence_pieces._mix(np.array([model._sum(p) for p in pieces], np.uint64))
     order = np.argsort(keys)
-    model.__dict__.update(is_bpe=False, longest=4, keys=keys[order], key_ids=order.astype(np.int64), scores=np.array([score[p] for p in pieces]), filter=np.ones_like(model.filter))
+    model.__dict__.update(is_bpe=False, longest=4, keys=keys[order], key_ids=order.astype(np.int64), scores=np.array([score[p] for p in pieces]), filter=np.ones_like(model.filter), usable=np.ones(len(pieces), bool))
     for n in (1, 2, 5, 9):
         rows = ["".join(rng.choice("abc") for _ in range(n)) for _ in range(30)]
-        for row, ids in zip(rows, model.viterbi(rows), strict=True):
+        found, sizes = model.viterbi(rows)
+        for row, ids in zip(rows, np.split(found, np.cumsum(sizes)[:-1]), strict=True):
             best = [0.0] + [-1e9] * n
             for e in range(1, n + 1):
                 best[e] = max(best[e - k] + score.get(row[e - k : e], -1e9) for k in range(1, min(4, e) + 1))

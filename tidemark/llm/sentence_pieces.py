@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ BLOCK = 20_000
 _BASE = 0x100000001B3
 _BACK = pow(_BASE, -1, 1 << 64)
 _FILTER_BITS = 21
+#: Places of the table that remembers which pairs of pieces are stable.
+_PAIR_BITS = 20
 
 
 def default_model() -> str:
@@ -56,14 +60,16 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def merge(chars: list[str], rank: dict[str, float]) -> list[str]:
-    """Pieces that repeated merging of the best pair, the leftmost of equals, leaves."""
+def merge(chars: list[str], rank: dict[str, float], parts_of: dict[str, tuple[str, str]] | None = None) -> list[str]:
+    """Pieces that repeated merging of the best pair, the leftmost of equals, leaves; parts_of takes the last merge down."""
     parts = list(chars)
     while len(parts) > 1:
         best = max(((rank[ab], -i) for i in range(len(parts) - 1) if (ab := parts[i] + parts[i + 1]) in rank), default=None)
         if best is None:
             break
         i = -best[1]
+        if parts_of is not None and len(parts) == 2:
+            parts_of[parts[0] + parts[1]] = (parts[0], parts[1])
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
     return parts
 
@@ -94,26 +100,53 @@ class PieceModel:
         self.neighbours = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.longest = max(map(len, self.ids))
         self.characters = {p for p in self.ids if len(p) == 1}
-        usable = [p for p in self.ids if not self.is_bpe or merge(list(p), self.score) == [p]]
-        keys = np.array([self._key(p) for p in usable], np.uint64)
+        last_merge: dict[str, tuple[str, str]] = {}
+        usable = {p for p in self.ids if not self.is_bpe or merge(list(p), self.score, last_merge) == [p]}
+        named = list(self.ids)
+        self.sums = np.zeros(len(self.pieces), np.uint64)
+        self.sums[list(self.ids.values())] = [self._sum(p) for p in named]
+        keys = _mix(self.sums[list(self.ids.values())])
         order = np.argsort(keys)
-        self.keys, self.key_ids = keys[order], np.array([self.ids[p] for p in usable], np.int64)[order]
+        self.keys, self.key_ids = keys[order], np.array(list(self.ids.values()), np.int64)[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have one key")
+        self.usable = np.zeros(len(self.pieces), bool)
+        self.usable[[self.ids[p] for p in usable]] = True
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self.keys >> np.uint64(64 - _FILTER_BITS)] = True
         self.scores = np.array([self.score.get(p, -np.inf) for p in self.pieces])
-        self.stable: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.lengths = np.array([len(p) for p in self.pieces], np.int64)
+        self.shift = _powers(_BASE, self.longest + 1)[np.minimum(self.lengths, self.longest)]
+        # When merging makes each piece, and the two pieces that its last merge joins; characters are there from the start.
+        self.made = np.full(len(self.pieces), -1, np.int64)
+        self.left, self.right = np.arange(len(self.pieces)), np.arange(len(self.pieces))
+        longer = sorted((p for p in self.ids if len(p) > 1), key=lambda p: -self.score[p])
+        self.made[[self.ids[p] for p in longer]] = np.arange(len(longer))
+        for p, (a, b) in last_merge.items():
+            if p in usable:
+                self.left[self.ids[p]], self.right[self.ids[p]] = self.ids[a], self.ids[b]
+        # Pieces of which the order of merges isn't plain (equal scores, or made before their parts) are merged one by one.
+        times = Counter(self.score[p] for p in longer)
+        self.odd = np.zeros(len(self.pieces), bool)
+        for i in (self.ids[p] for p in longer):
+            a, b = self.left[i], self.right[i]
+            self.odd[i] = times[self.score[self.pieces[i]]] > 1 or self.made[a] >= self.made[i] or self.made[b] >= self.made[i] or self.odd[a] or self.odd[b]
         raw = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.replace(SPACE, " ").encode() if p.type == 1 else " ⁇ ".encode() if p.type == 2 else b"" for p in proto.pieces]
         self.raw_sizes = np.array([len(r) for r in raw], np.int64)
         self.raw_starts = np.cumsum(self.raw_sizes) - self.raw_sizes
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        self.forget()
+
+    def forget(self) -> None:
+        """Let go of the units and pairs that a task has seen."""
+        self.known: dict[str, int] = {}
+        self.pool, self.ends = np.empty(0, np.int32), np.zeros(1, np.int64)
+        self.pairs, self.verdicts = np.full(1 << _PAIR_BITS, -1, np.int64), np.zeros(1 << _PAIR_BITS, bool)
 
     @staticmethod
-    def _key(piece: str) -> int:
+    def _sum(piece: str) -> int:
         codes = np.array([ord(c) for c in piece], np.uint64) + np.uint64(1)
-        return int(_mix((codes * _powers(_BASE, len(codes))).sum(dtype=np.uint64, keepdims=True))[0])
+        return (codes * _powers(_BASE, len(codes))).sum(dtype=np.uint64)
 
     def probe(self, keys: np.ndarray) -> np.ndarray:
         """Ids of the pieces of these keys, -1 for none."""
@@ -127,18 +160,33 @@ class PieceModel:
 
     def are_stable(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether merging the characters of two pieces gives the two again."""
-        pairs, back = np.unique(left << 32 | right, return_inverse=True)
-        known, pieces = self.stable, self.pieces
-        if len(known) > 2_000_000:
-            known.clear()
-        found = []
-        for p in pairs.tolist():
-            s = known.get(p)
-            if s is None:
-                a, b = pieces[p >> 32], pieces[p & 0xFFFFFFFF]
-                s = known[p] = a[-1] + b[0] not in self.neighbours or merge([*a, *b], self.score) == [a, b]
-            found.append(s)
-        return np.array(found, bool)[back]
+        pairs = left << 32 | right
+        slot = (_mix(pairs.view(np.uint64)) >> np.uint64(64 - _PAIR_BITS)).astype(np.int64)
+        out = self.verdicts[slot]
+        new = np.flatnonzero(self.pairs[slot] != pairs)
+        if len(new):
+            odd = self.odd[left[new]] | self.odd[right[new]]
+            found, names = np.ones(len(new), bool), self.pieces
+            found[~odd] = self._stay_apart(left[new[~odd]], right[new[~odd]])
+            found[odd] = [merge([*names[a], *names[b]], self.score) == [names[a], names[b]] for a, b in zip(left[new[odd]].tolist(), right[new[odd]].tolist(), strict=True)]
+            out[new], self.pairs[slot[new]], self.verdicts[slot[new]] = found, pairs[new], found
+        return out
+
+    def _stay_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """are_stable() for all pairs at once, going back in time: the younger piece is taken apart, and what then stands at the
+        border must not make a piece sooner than the merge that was taken back (which, of equals, the left one makes first)."""
+        out = np.ones(len(left), bool)
+        at, before = np.arange(len(left)), np.full(len(left), np.iinfo(np.int64).max)
+        while len(at):
+            joined = self.probe(_mix(self.sums[left] + self.shift[left] * self.sums[right]))
+            apart = (joined < 0) | (self.made[joined] >= before)
+            out[at[~apart]] = False
+            undo_left, more = self.made[left] > self.made[right], (self.made[left] >= 0) | (self.made[right] >= 0)
+            before = np.where(undo_left, self.made[left], self.made[right] + 1)
+            left, right = np.where(undo_left, self.right[left], left), np.where(undo_left, right, self.left[right])
+            on = apart & more
+            at, before, left, right = at[on], before[on], left[on], right[on]
+        return out
 
     def units(self, text: str) -> list[str]:
         if not text:
@@ -151,8 +199,8 @@ class PieceModel:
         cuts = [0, *(i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in self.neighbours), len(unit)]
         return [unit[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def viterbi(self, rows: list[str]) -> list[list[int]]:
-        """Ids of strings of one length, all of whose neighbouring characters stand together in some piece."""
+    def viterbi(self, rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all strings one after the other, number of each) of strings of one length made of the pieces' characters."""
         n, m = len(rows[0]), len(rows)
         codes = np.frombuffer("".join(rows).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n).astype(np.uint64) + np.uint64(1)
         sums = np.zeros((n + 1, m), np.uint64)
@@ -161,36 +209,36 @@ class PieceModel:
         best = np.full((n + 1, m), -np.inf)
         best[0] = 0
         step, last = np.zeros((n + 1, m), np.int16), np.full((n + 1, m), -1, np.int64)
+        columns = np.arange(m)
         for e in range(1, n + 1):
             most = min(e, self.longest)
             starts = np.arange(e - most, e)
-            ids = self.probe(_mix(((sums[e] - sums[starts]) * back[starts][:, None]).reshape(-1))).reshape(most, m)
-            value = np.full((most, m), -np.inf)
-            a, c = np.nonzero((ids >= 0) & (best[starts] > -np.inf))
-            t = ids[a, c]
+            ids = self.probe(_mix(((sums[e] - sums[starts]) * back[starts][:, None]).reshape(-1)))
+            at = np.flatnonzero(ids >= 0)
+            at = at[self.usable[ids[at]]]
+            a, c, t = at // m, at % m, ids[at]
+            held = best[starts[a], c]
             if self.is_bpe:
-                before = last[starts[a], c]
-                fine = before < 0
-                rest = np.flatnonzero(~fine)
+                fine, before = held > -np.inf, last[starts[a], c]
+                rest = np.flatnonzero(fine & (before >= 0))
                 fine[rest] = self.are_stable(before[rest], t[rest])
-                value[a[fine], c[fine]] = 0
+                a, c, t, value = a[fine], c[fine], t[fine], held[fine]
             else:
-                value[a, c] = best[starts[a], c] + self.scores[t]
-            pick = value.argmax(axis=0)
-            columns = np.arange(m)
-            best[e], step[e], last[e] = value[pick, columns], most - pick, ids[pick, columns]
-        out: list[list[int]] = [[] for _ in range(m)]
+                value = held + self.scores[t]
+            # The maximum of each column; of equals the longest candidate, which comes first.
+            np.maximum.at(best[e], c, value)
+            wins = np.flatnonzero(value == best[e, c])[::-1]
+            step[e, c[wins]], last[e, c[wins]] = most - a[wins], t[wins]
         at = np.full(m, n)
         pieces = np.full((n, m), -1, np.int64)
         for k in range(n):  # back along the pointers
-            active = np.flatnonzero(at > 0)
+            active = columns[(at > 0) & (best[at, columns] > -np.inf)]
             if not len(active):
                 break
             pieces[n - 1 - k, active] = last[at[active], active]
             at[active] -= step[at[active], active]
-        for c, ids in enumerate(pieces.T):
-            out[c] = ids[ids >= 0].tolist()
-        return out
+        pieces, here = pieces.T, pieces.T >= 0
+        return pieces[here], here.sum(axis=1)
 
     def _character(self, c: str) -> list[int]:
         i = self.ids.get(c)
@@ -199,6 +247,22 @@ class PieceModel:
         raw = c.encode("utf-8", "surrogatepass")
         return [self.byte_ids[b] for b in raw] if self.byte_ids else [self.unknown]
 
+    def _search(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """viterbi(), with its pieces held against the strings: where keys alone agreed, merging (or nothing) decides."""
+        ids, sizes = self.viterbi(strings)
+        ends = np.cumsum(sizes)
+        if "".join(map(self.pieces.__getitem__, ids.tolist())) == "".join(strings) and sizes.all() and (np.add.reduceat(self.lengths[ids], ends - sizes) == len(strings[0])).all():
+            return ids, sizes
+        parts = []
+        for s, e, n in zip(strings, ends.tolist(), sizes.tolist(), strict=True):
+            own = ids[e - n : e]
+            if "".join(map(self.pieces.__getitem__, own.tolist())) != s:
+                if not self.is_bpe:
+                    raise RuntimeError("no segmentation of characters that are pieces")
+                own = np.array([self.ids[p] for p in merge(list(s), self.score)], np.int64)
+            parts.append(own)
+        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+
     def learn(self, units: list[str]) -> None:
         """Find the ids of new units, those of equal length together. Short units of characters that all are pieces go as they
         are; the others are cut first where no piece lies across."""
@@ -209,47 +273,63 @@ class PieceModel:
                 by_length.setdefault(len(u), []).append(u)
             else:
                 cut[u] = self.parts(u)
-        more = {p for parts in cut.values() for p in parts if len(p) > 1 and p not in self.known}
-        for p in more.difference(units):
+        whole = {u for strings in by_length.values() for u in strings}
+        for p in {p for parts in cut.values() for p in parts if len(p) > 1} - whole:
             by_length.setdefault(len(p), []).append(p)
-        found: dict[str, tuple[int, ...]] = {}
-        for p in more.intersection(units):
-            if p in cut:  # a long unit that is one part
-                by_length.setdefault(len(p), []).append(p)
+        names, pools, counts = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for length, strings in sorted(by_length.items()):
             block = max(1, min(BLOCK, 4_000_000 // (length * self.longest)))
             for at in range(0, len(strings), block):
-                found.update(zip(strings[at : at + block], map(tuple, self.viterbi(strings[at : at + block])), strict=True))
-        for u, parts in cut.items():
-            found[u] = found[u] if u in found else tuple(i for p in parts for i in (self._character(p) if len(p) == 1 else found.get(p) or self.known[p]))
-        for u in units:
-            self.known[u] = found[u]
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+                ids, sizes = self._search(strings[at : at + block])
+                names += strings[at : at + block]
+                pools.append(ids)
+                counts.append(sizes)
+        pool, ends = np.concatenate(pools), np.cumsum(np.concatenate(counts))
+        if cut:  # their parts are put together behind the others
+            place = dict(zip(names, zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True), strict=True))
+            ids: list[int] = []
+            more = []
+            for parts in cut.values():
+                for p in parts:
+                    if len(p) == 1:
+                        ids += self._character(p)
+                    else:
+                        a, b = place[p]
+                        ids += pool[a:b].tolist()
+                more.append(len(ids))
+            ends = np.concatenate([ends, np.array(more, np.int64) + len(pool)])
+            pool = np.concatenate([pool, np.array(ids, np.int64)])
+        first = len(self.ends) - 1
+        self.known.update(zip(names, range(first, first + len(names)), strict=True))
+        self.known.update(zip(cut, range(first + len(names), first + len(names) + len(cut)), strict=True))
+        self.ends = np.concatenate([self.ends, ends + len(self.pool)])
+        self.pool = np.concatenate([self.pool, pool.astype(np.int32)])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of each)."""
         split = [self.units(t) for t in texts]
-        new = {u for units in split for u in units if u not in self.known}
-        if len(self.known) + len(new) > MOST_UNITS:
-            self.known.clear()
-            new = {u for units in split for u in units}
+        every = set().union(*split)
+        new = every.difference(self.known)
+        if len(self.known) + len(new) > MOST_UNITS and self.known:
+            self.forget()
+            new = every
         self.learn(sorted(new))
-        out = []
-        for units in split:
-            ids: list[int] = []
-            for found in map(self.known.__getitem__, units):
-                ids += found
-            out.append(ids)
-        return out
-
-    def forget(self) -> None:
-        self.known, self.stable = {}, {}
-
-    def decode(self, ids: list[int] | np.ndarray) -> bytes:
-        ids = np.asarray(ids, np.int64)
-        sizes = self.raw_sizes[ids]
+        which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        sizes = np.diff(self.ends)[which]
         ends = np.cumsum(sizes)
-        at = np.repeat(self.raw_starts[ids] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+        at = np.repeat(self.ends[which] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+        text_ends = np.append(0, ends)[np.cumsum([0, *map(len, split)])]
+        return self.pool[at], np.diff(text_ends)
+
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """The text of each run of `sizes` ids."""
+        lengths = self.raw_sizes[ids]
+        ends = np.cumsum(lengths)
+        at = np.repeat(self.raw_starts[ids] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
         raw = self.raw[at].tobytes()
-        return raw[1:] if self.dummy_prefix and raw[:1] == b" " else raw
+        cuts = np.append(0, ends)[np.cumsum(np.append(0, sizes))].tolist()
+        texts = [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return [t[1:] if self.dummy_prefix and t[:1] == b" " else t for t in texts]
 
 
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -265,9 +345,11 @@ def encode(docs: DataFrame, text: str = "text", model: str | None = None, keep:
     path = model or default_model()
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        null = batch.column(text).is_null().to_pylist()
-        ids = load(path).encode([b.decode("utf-8", "replace") for b in byte_texts(batch.column(text))])
-        return [pa.array([None if n else i for i, n in zip(ids, null, strict=True)], pa.list_(pa.int32())), pa.array([None if n else len(i) for i, n in zip(ids, null, strict=True)], pa.int64())]
+        null = np.asarray(batch.column(text).is_null())
+        ids, sizes = load(path).encode([b.decode("utf-8", "replace") for b in byte_texts(batch.column(text))])
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()), mask=pa.array(null))
+        return [lists, pa.array(sizes, pa.int64(), mask=null)]
 
     return extend(docs, text, {"ids": "array<int>", "n_tokens": "bigint"}, run, keep, after=lambda: load(path).forget())
 
@@ -280,8 +362,12 @@ def decode(encoded: DataFrame, ids: str = "ids", to: str = "decoded", model: str
 
     def run(batches):
         for batch in batches:
-            texts = [None if i is None else load(path).decode(i).decode("utf-8", "replace") for i in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(texts, pa.string())], names=[*others, to])
+            null = np.asarray(batch.column(ids).is_null())
+            runs = batch.column(ids).to_pylist()
+            flat = np.array([i for r in runs for i in r or ()], np.int64)
+            texts = load(path).decode(flat, np.array([len(r or ()) for r in runs], np.int64))
+            texts = pa.array([None if n else t.decode("utf-8", "replace") for t, n in zip(texts, null, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), texts], names=[*others, to])
 
     return encoded.mapInArrow(run, schema)
 
@@ -293,11 +379,10 @@ def round_trip(docs: DataFrame, text: str = "text", model: str | None = None, ke
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         pieces, raws = load(path), byte_texts(batch.column(text))
         null = np.asarray(batch.column(text).is_null())
-        n, digests, same = [], [], []
-        for raw, ids in zip(raws, pieces.encode([b.decode("utf-8", "replace") for b in raws]), strict=True):
-            n.append(len(ids))
-            digests.append(hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest())
-            same.append(pieces.decode(ids) == raw)
-        return [pa.array(n, pa.int64(), mask=null), pa.array(digests, pa.string(), mask=null), pa.array(same, pa.bool_(), mask=null)]
+        ids, sizes = pieces.encode([b.decode("utf-8", "replace") for b in raws])
+        raw_ids, cuts = ids.astype("<i4").tobytes(), np.cumsum(np.append(0, 4 * sizes)).tolist()
+        digests = [hashlib.sha256(raw_ids[a:b]).hexdigest() for a, b in zip(cuts, cuts[1:], strict=False)]
+        same = [a == b for a, b in zip(pieces.decode(ids, sizes), raws, strict=True)]
+        return [pa.array(sizes, pa.int64(), mask=null), pa.array(digests, pa.string(), mask=null), pa.array(same, pa.bool_(), mask=null)]
 
     return extend(docs, text, {"n_tokens": "bigint", "ids_sha256": "string", "round_trip": "boolean"}, run, keep, after=lambda: load(path).forget())
