@@ -16,10 +16,10 @@ def _ratios(rows):
     top, lower = (Counter(), Counter()), {}
     for text, toxic in rows:
         for w in text.split():
-            line = "\0\0\0\0 " + w + " "
-            top[toxic].update(line[i - 4 : i + 1] for i in range(5, len(line)))
+            line = "\0\0\0\0\0 " + w + " "
+            top[toxic].update(line[i - 5 : i + 1] for i in range(6, len(line)))
     longer = {*top[0], *top[1]}
-    for order in (4, 3, 2):
+    for order in (5, 4, 3, 2):
         lower[order] = Counter(g[1:] for g in longer)
         longer = set(lower[order])
 
@@ -30,7 +30,7 @@ def _ratios(rows):
             kinds[g[:-1]] += 1
         return counts, total, kinds
 
-    tables = [histories(lower[2]), histories(lower[3]), histories(lower[4])]
+    tables = [histories(lower[2]), histories(lower[3]), histories(lower[4]), histories(lower[5])]
     tops = [histories(c) for c in top]
 
     def step(table, g, p):
@@ -39,12 +39,12 @@ def _ratios(rows):
         return (max(counts.get(g, 0) - 0.75, 0) + 0.75 * kinds[g[:-1]] * p) / n if n else p
 
     def ratio(w):
-        line, logs = "\0\0\0\0 " + w + " ", []
-        for i in range(5, len(line)):
-            g, p = line[i - 4 : i + 1], 1 / 256
-            for order in (2, 3, 4):
+        line, logs = "\0\0\0\0\0 " + w + " ", []
+        for i in range(6, len(line)):
+            g, p = line[i - 5 : i + 1], 1 / 256
+            for order in (2, 3, 4, 5):
                 p = step(tables[order - 2], g[-order:], p)
-            logs.append(math.log(step(tops[1], g, p) + 1e-12) - math.log(step(tops[0], g, p) + 1e-12))
+            logs.append(math.log(step(tops[1], g, p)) - math.log(step(tops[0], g, p)))
         return sum(logs) / len(logs)
 
     return ratio

@@ -3,12 +3,17 @@
 Two models, one of toxic and one of ordinary labelled texts, give each word a log-likelihood ratio. The highest order counts
 within a class; the lower orders are continuation counts that both classes share, so a word neither class has seen whole is
 judged by its parts, and a rare one leans on the shared counts. The ratios are normalised by length, over the whole text and
-over its most toxic words, and a logistic regression on labelled rows that the counts leave out turns them into a score.
+over its most toxic words, and a logistic regression on labelled rows that the counts leave out turns them into a score. An
+n-gram holds bytes of one word and the spaces around it; n-grams that reach into the word before made the scores worse (README).
 
 All labelled rows but the held-out ones are counted, exactly: the counts are Spark tables keyed by the n-gram, which grow with
-the data, and the distinct n-grams of the texts are joined to them. The regression learns from a bounded sample
-(`CALIBRATION_DOCS`); the rows that it comes from are counted once it is fitted. Null and empty texts score as texts without
-words do. Labels of an id that has several count as toxic if one of them is; null labels don't count.
+the data. The shared counts cancel out for an n-gram that no labelled text has, so its ratio depends on its history alone, and
+the ratios of the n-grams and histories of the labelled texts say all. The regression learns from a bounded sample
+(`CALIBRATION_DOCS`); the rows that it comes from are counted once it is fitted.
+
+Null and empty texts, and those without a word, have ratios of 0. Very long texts are scored whole. Repeated rows score alike.
+Labels of an id that has several count as toxic if one of them is; null labels and ids don't count. Empty tables give no rows;
+without labelled rows every score is 1/2. Columns named score and predicted are replaced.
 """
 
 from __future__ import annotations
@@ -24,15 +29,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_sample, byte_texts, cut, extend, slices
 
-ORDER = 5
+ORDER = 6
 DISCOUNT = 0.75
 CALIBRATION_DOCS = 20_000
 #: Labels are sent to all tasks up to this number of rows (9 bytes each), and joined by a shuffle beyond it.
 MOST_SENT_LABELS = 5_000_000
 #: Words that a task remembers.
 MOST_WORDS = 250_000
-#: Ratios of n-grams are sent to all tasks up to this number (16 bytes each), and joined by shuffles beyond it.
-MOST_SENT_GRAMS = 2_000_000
+#: Ratios of n-grams are sent to all tasks up to this number (16 bytes each), and joined by shuffles beyond it; the scores are the same.
+MOST_SENT_GRAMS = 4_000_000
 #: Keys over which the texts that hold a word are spread in that join.
 SPREAD = 32
 
@@ -48,16 +53,17 @@ def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
     A word stands between spaces; what would come before the first of them is zero.
     """
-    line = np.frombuffer(b"".join(b"\0\0\0\0 " + w + b" " for w in words), np.uint8).astype(np.int64)
+    before = b"\0" * (ORDER - 1) + b" "
+    line = np.frombuffer(b"".join(before + w + b" " for w in words), np.uint8).astype(np.int64)
     key = line.copy()
     for j in range(1, ORDER):
         key[j:] |= line[:-j] << (8 * j)
-    sizes = np.array([len(w) + 6 for w in words], np.int64)
+    sizes = np.array([len(w) + ORDER + 1 for w in words], np.int64)
     starts = np.cumsum(sizes) - sizes
     keep = np.ones(len(line), bool)
-    for j in range(5):
+    for j in range(ORDER):
         keep[starts + j] = False
-    return key[keep], sizes - 5
+    return key[keep], sizes - ORDER
 
 
 @dataclass
@@ -112,48 +118,47 @@ def _discounted(count: Column, total: Column, kinds: Column, p: Column) -> Colum
     return F.when(total > 0, (F.greatest(F.coalesce(count, F.lit(0.0)) - DISCOUNT, F.lit(0.0)) + DISCOUNT * kinds * p) / total).otherwise(p)
 
 
-def gram_ratios(grams: DataFrame, counts: DataFrame) -> DataFrame:
-    """(gram, ratio): the log-likelihood ratio (toxic to ordinary) of each of the given distinct n-grams.
+def gram_ratios(counts: DataFrame) -> DataFrame:
+    """(gram, ratio): the log-likelihood ratio (toxic to ordinary) of each n-gram of the counts; and under the negative of each
+    history, less 1, that of an n-gram that follows the history but isn't among them.
 
     From short to long n-grams, each order joins its own counts, those of its histories and the order below. A key of these
     joins has no more than 256 n-grams.
     """
-    shorter, asked, lower = counts.select("gram"), {ORDER: grams}, {}
+    shorter, lower = counts.select("gram"), {}
     for order in range(ORDER - 1, 1, -1):
         # How many distinct longer n-grams end with each: its continuation count.
         lower[order] = shorter.groupBy(_ending(order).alias("gram")).agg(F.count("*").cast("double").alias("n"))
         shorter = lower[order].select("gram")
-        asked[order] = asked[order + 1].select(_ending(order).alias("gram")).distinct()
     below = None
     for order in range(2, ORDER):
         histories = lower[order].groupBy(F.shiftright("gram", 8).alias("h")).agg(F.sum("n").alias("total"), F.count("*").cast("double").alias("kinds"))
-        out = asked[order].withColumn("h", F.shiftright("gram", 8)).join(histories, "h", "left").join(lower[order], "gram", "left")
+        out = lower[order].withColumn("h", F.shiftright("gram", 8)).join(histories, "h", "left")
         out = out.withColumn("p", F.lit(1 / 256)) if below is None else out.withColumn("end", _ending(order - 1)).join(below, "end")
         below = out.select(F.col("gram").alias("end"), _discounted(F.col("n"), F.col("total"), F.col("kinds"), F.col("p")).alias("p"))
     classes = ["ordinary", "toxic"]
-    histories = counts.groupBy(F.shiftright("gram", 8).alias("h")).agg(*(F.sum(c).alias(f"{c}_total") for c in classes), *(F.sum((F.col(c) > 0).cast("double")).alias(f"{c}_kinds") for c in classes))
-    out = grams.withColumn("h", F.shiftright("gram", 8)).withColumn("end", _ending(ORDER - 1)).join(histories, "h", "left").join(counts, "gram", "left").join(below, "end")
-    ordinary, toxic = (F.log(_discounted(F.col(c), F.col(f"{c}_total"), F.col(f"{c}_kinds"), F.col("p")) + 1e-12) for c in classes)
-    return out.select("gram", (toxic - ordinary).alias("ratio"))
+    histories = cut(counts.groupBy(F.shiftright("gram", 8).alias("h")).agg(*(F.sum(c).alias(f"{c}_total") for c in classes), *(F.sum((F.col(c) > 0).cast("double")).alias(f"{c}_kinds") for c in classes)))
+    out = counts.withColumn("h", F.shiftright("gram", 8)).withColumn("end", _ending(ORDER - 1)).join(histories, "h").join(below, "end")
+    ordinary, toxic = (F.log(_discounted(F.col(c), F.col(f"{c}_total"), F.col(f"{c}_kinds"), F.col("p"))) for c in classes)
+    # What is left for grams that a class hasn't seen is a share of p, the same p in both classes.
+    share = [F.log(_discounted(F.lit(0.0), F.col(f"{c}_total"), F.col(f"{c}_kinds"), F.lit(1.0))) for c in classes]
+    return out.select("gram", (toxic - ordinary).alias("ratio")).unionByName(histories.select((-F.col("h") - 1).alias("gram"), (share[1] - share[0]).alias("ratio")))
 
 
-def asked_ratios(docs: DataFrame, model: Model, text: str) -> DataFrame:
-    """(gram, ratio) of the distinct n-grams of docs."""
+class Ratios:
+    """Ratios of n-grams from gram_ratios(), sorted."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty(0, np.int64)
-        for batch in batches:
-            for part in slices(batch, text):
-                words = [*{w for raw in byte_texts(part.column(text)) for w in words_of(raw)}]
-                if words:
-                    held = np.union1d(held, grams_of(words)[0])
-                if len(held) > 2_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(held)], names=["gram"])
-                    held = np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(held)], names=["gram"])
+    def __init__(self, grams: np.ndarray, ratios: np.ndarray):
+        self.grams, self.ratios = np.append(grams, np.iinfo(np.int64).max), np.append(ratios, 0.0)
 
-    grams = cut(docs.select(text).mapInArrow(run, "gram bigint").distinct())
-    return cut(gram_ratios(grams, model.counts))
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.grams, grams)
+        out = np.where(self.grams[at] == grams, self.ratios[at], 0.0)
+        rest = np.flatnonzero(self.grams[at] != grams)
+        histories = -(grams[rest] >> 8) - 1
+        at = np.searchsorted(self.grams, histories)
+        out[rest] = np.where(self.grams[at] == histories, self.ratios[at], 0.0)
+        return out
 
 
 def word_ratios(docs: DataFrame, ratios: DataFrame, text: str) -> DataFrame:
@@ -179,10 +184,13 @@ def word_ratios(docs: DataFrame, ratios: DataFrame, text: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()).take(pa.array(np.repeat(np.arange(len(some)), sizes))), pa.array(key)], names=["word", "gram"])
 
     stands = docs.select(text).mapInArrow(distinct, "word binary").distinct().mapInArrow(grams, "word binary, gram bigint")
-    return cut(stands.join(ratios, "gram").groupBy("word").agg(F.avg("ratio").alias("ratio")))
+    asked = cut(stands.select("gram").distinct())
+    of_histories = ratios.where("gram < 0").select((-F.col("gram") - 1).alias("h"), F.col("ratio").alias("other"))
+    own = asked.join(ratios, "gram", "left").withColumn("h", F.shiftright("gram", 8)).join(of_histories, "h", "left").select("gram", F.coalesce("ratio", "other", F.lit(0.0)).alias("ratio"))
+    return cut(stands.join(own, "gram").groupBy("word").agg(F.avg("ratio").alias("ratio")))
 
 
-def features(grams: np.ndarray, ratios: np.ndarray, raws: list[bytes], known: dict[bytes, float]) -> np.ndarray:
+def features(ratios: Ratios, raws: list[bytes], known: dict[bytes, float]) -> np.ndarray:
     """Of each text: ratio over all its words, of its most toxic word, and the mean of its three most toxic ones."""
     split = [words_of(raw) for raw in raws]
     new = [*{w for words in split for w in words if w not in known}]
@@ -192,7 +200,7 @@ def features(grams: np.ndarray, ratios: np.ndarray, raws: list[bytes], known: di
     for at in range(0, len(new), 20_000):
         part = new[at : at + 20_000]
         key, sizes = grams_of(part)
-        known.update(zip(part, (np.add.reduceat(ratios[np.searchsorted(grams, key)], np.cumsum(sizes) - sizes) / sizes).tolist(), strict=True))
+        known.update(zip(part, (np.add.reduceat(ratios(key), np.cumsum(sizes) - sizes) / sizes).tolist(), strict=True))
     out = np.zeros((len(raws), 3))
     for i, words in enumerate(split):
         if words:
@@ -234,14 +242,17 @@ def fit(docs: DataFrame, labels: DataFrame, fold: Column, key: str = "doc_id", t
 
 def _featured(docs: DataFrame, model: Model, text: str, keep: list[str]) -> DataFrame:
     """The columns of keep with the features f0, f1 and f2."""
-    ratios = asked_ratios(docs, model, text)
+    ratios = cut(gram_ratios(model.counts))
     if ratios.count() > MOST_SENT_GRAMS:
         return _joined(docs, word_ratios(docs, ratios, text), text, keep)
-    held = ratios.toPandas().sort_values("gram")
-    shared, known = docs.sparkSession.sparkContext.broadcast((held["gram"].to_numpy(np.int64), held["ratio"].to_numpy(np.float64))), {}
+    held = ratios.toArrow().sort_by("gram")
+    shared, made = docs.sparkSession.sparkContext.broadcast((np.asarray(held.column("gram"), np.int64), np.asarray(held.column("ratio"), np.float64))), []
+    known: dict[bytes, float] = {}
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        x = features(*shared.value, byte_texts(batch.column(text)), known)
+        if not made:
+            made.append(Ratios(*shared.value))
+        x = features(made[0], byte_texts(batch.column(text)), known)
         return [pa.array(x[:, i], pa.float64()) for i in range(3)]
 
     return extend(docs, text, {f"f{i}": "double" for i in range(3)}, run, keep)
@@ -249,23 +260,24 @@ def _featured(docs: DataFrame, model: Model, text: str, keep: list[str]) -> Data
 
 def _joined(docs: DataFrame, words: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """features() by a join of each text's distinct words with their ratios; frequent words are spread over SPREAD keys."""
-    rows = cut(docs.select(*{*keep, text}).withColumn("__row", F.monotonically_increasing_id()))
+    named = [F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]
+    rows = cut(docs.select(*named, F.col(text).alias("text"), F.monotonically_increasing_id().alias("row")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
-                for row, raw in zip(part.column("__row").to_pylist(), byte_texts(part.column(text)), strict=True):
+            for part in slices(batch, "text"):
+                for row, raw in zip(part.column("row").to_pylist(), byte_texts(part.column("text")), strict=True):
                     n = Counter(words_of(raw))
-                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(n), pa.int64()), pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], names=["__row", "word", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(n), pa.int64()), pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], names=["row", "word", "n"])
 
-    stand = rows.select("__row", text).mapInArrow(run, "__row bigint, word binary, n bigint").withColumn("spread", F.col("__row") % SPREAD)
+    stand = rows.select("row", "text").mapInArrow(run, "row bigint, word binary, n bigint").withColumn("spread", F.col("row") % SPREAD)
     held = words.withColumn("spread", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))))
     size = (F.octet_length("word") + 1) * F.col("n")
     top = F.slice(F.sort_array(F.flatten(F.collect_list(F.array_repeat("ratio", F.least("n", F.lit(3)).cast("int")))), asc=False), 1, 3)
-    found = stand.join(held, ["word", "spread"]).groupBy("__row").agg((F.sum(F.col("ratio") * size) / F.sum(size)).alias("f0"), F.max("ratio").alias("f1"), top.alias("top"))
+    found = stand.join(held, ["word", "spread"]).groupBy("row").agg((F.sum(F.col("ratio") * size) / F.sum(size)).alias("f0"), F.max("ratio").alias("f1"), top.alias("top"))
     mean = F.aggregate("top", F.lit(0.0), lambda acc, x: acc + x) / F.size("top")
-    found = found.select("__row", "f0", "f1", mean.alias("f2"))
-    return rows.join(found, "__row", "left").select(*keep, *(F.coalesce(f"f{i}", F.lit(0.0)).alias(f"f{i}") for i in range(3)))
+    found = found.select("row", "f0", "f1", mean.alias("f2"))
+    return rows.join(found, "row", "left").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), *(F.coalesce(f"f{i}", F.lit(0.0)).alias(f"f{i}") for i in range(3)))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
