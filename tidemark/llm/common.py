@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +12,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import scratch
+
 #: Texts are handed to numpy in slices of about this many bytes, whatever the Arrow batch holds.
 SLICE_BYTES = 2 << 20
 
@@ -28,13 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the folder that spark.checkpoint.dir names; the shuffle files behind it are let go.
 
-    Where that setting is unset, as in local tests, a folder of this machine is used.
+    Where that setting is unset, as in local tests, a folder of this machine is used; on a cluster that is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or scratch(spark, "checkpoint"))
     was = spark.conf.get(_CLEAN_UP, None)
     spark.conf.set(_CLEAN_UP, "true")
     try:

@@ -4,27 +4,36 @@ Words are the runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` after A-Z is lower-
 of an item; an item of fewer words, but not none, is one window. The texts stream through the automaton, which tracks the
 longest match that ends at each word; from its state follow the windows that end there, and the items that hold them.
 
-The items are taken in blocks of bounded size, one automaton each, and each block is one more pass over the texts, so what a
-task holds doesn't grow with the item table. Null and empty texts have no words. Repeated items and repeated rows count
-each; a null item text has no window; a null item_id is left out of the list of items (its windows still hit).
+The automaton is a few numbers a state in flat arrays. The items are written in blocks of bounded size, and each block is an
+automaton and one more pass over the texts; the driver holds one block at a time, and a task no more than one automaton. The
+results are the same however many blocks there are.
+
+Null and empty texts have no words; very long ones stream like others. Items of the same words are one in the automaton, and all
+of them count; repeated rows of documents count each. A null item text has no window; a null item_id is left out of the list of
+items (its windows still hit). An empty table of documents gives no rows, one of items no hits. Other columns keep their names
+and values, but match() replaces those named as what it adds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+import hashlib
+import uuid
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_texts, cut, extend
+from tidemark.llm.common import byte_texts, cut, extend, total_bytes
+from tidemark.session import scratch
 
 #: Consecutive words in a window.
 WIDTH = 10
-#: Item text in one automaton, in bytes.
-BLOCK_BYTES = 16 << 20
+#: Item text in one automaton, in bytes; in the worst case it takes about 100 times as much while it is built.
+BLOCK_BYTES = 4 << 20
 
 _WORD = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
@@ -34,111 +43,147 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """Of several word sequences; `ends[state]` holds the items whose windows end with the state's match."""
+    """Of several word sequences. The moves of state 0, the empty match, are an array by word; another state's first move is in two
+    arrays, and further ones are in a dictionary."""
 
     def __init__(self, items: list[tuple[str | None, list[bytes]]], width: int = WIDTH):
         self.width = width
         self.ids: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        at: list[tuple[int, int]] = []  # state after each word, item
-        whole: list[tuple[int, int, int]] = []
-        self.names = [name for name, _ in items]
-        for k, (_, words) in enumerate(items):
+        self.word, self.to = array("i", [-1]), array("i", [-1])  # the first move of each state
+        self.start = array("i")
+        self.more: dict[int, int] = {}
+        self.moves: dict[int, array] = {}  # words of further moves
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        same: dict[bytes, int] = {}
+        self.names: list[list[str | None]] = []
+        at, owner, whole = array("i"), array("i"), []
+        for name, words in items:
+            numbers = array("i", [self.ids.setdefault(w, len(self.ids)) for w in words])
+            self.start.extend([-1] * (len(self.ids) - len(self.start)))
+            k = same.setdefault(hashlib.blake2b(b" ".join(words), digest_size=32).digest(), len(self.names))
+            if k < len(self.names):
+                self.names[k].append(name)
+                continue
+            self.names.append([name])
             last = 0
-            for w in words:
-                last = self._append(last, self.ids.setdefault(w, len(self.ids)))
-                at.append((last, k))
-            if 0 < len(words) < width:
-                whole.append((last, len(words), k))
-        # The items of each state, gathered from longer to shorter matches along the links.
-        held: list[set[int]] = [set() for _ in self.link]
-        for state, k in at:
-            held[state].add(k)
-        for state in sorted(range(1, len(self.link)), key=lambda s: -self.length[s]):
-            if self.length[self.link[state]] >= width:
-                held[self.link[state]] |= held[state]
-            elif self.length[state] >= width:
-                held[state] = set(held[state])
-        # A match of `width` words belongs to the state on the link path with link length < width <= length.
-        self.window = [-1] * len(self.link)
-        for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
-            up = self.link[state]
-            if self.length[state] >= width:
-                self.window[state] = self.window[up] if self.length[up] >= width else state
-        self.window_items = {s: frozenset(held[s]) for s in set(self.window) - {-1}}
-        # Items shorter than a window, by the state of their whole text and by all states that end with it.
-        own: dict[int, list[tuple[int, int]]] = {}
+            for c in numbers:
+                last = self._append(last, c)
+                at.append(last)
+                owner.append(k)
+            if 0 < len(numbers) < width:
+                whole.append((last, len(numbers), k))
+        same.clear()
+        link, length = np.frombuffer(self.link, np.int32), np.frombuffer(self.length, np.int32)
+        by_length = np.argsort(length, kind="stable")
+        # The state of the window that ends a match: the one on the link path with link length < width <= length.
+        window = array("i", [-1]) * len(link)
+        is_long = length >= width
+        for s in by_length[is_long[by_length]].tolist():
+            up = self.link[s]
+            window[s] = window[up] if self.length[up] >= width else s
+        self.window = window
+        # Items by window: each place of an item is in a state, whose window they are.
+        states = np.frombuffer(window, np.int32)[np.frombuffer(at, np.int32)] if len(at) else np.empty(0, np.int32)
+        pairs = np.unique(states.astype(np.int64) << 32 | np.frombuffer(owner, np.int32)) if len(at) else np.empty(0, np.int64)
+        pairs = pairs[pairs >= 0]
+        self.item_keys, self.item_values = (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)
+        # Items shorter than a window: the state of each one's whole text, and from any state the nearest of these on its path.
+        self.short: dict[int, tuple[int, int]] = {}
         for state, n, k in whole:
             while self.length[self.link[state]] >= n:
                 state = self.link[state]
-            own.setdefault(state, []).append((n, k))
-        self.short: list[tuple[tuple[int, int], ...]] = [()] * len(self.link)
-        for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
-            self.short[state] = self.short[self.link[state]] + tuple(own.get(state, ()))
+            self.short[state] = (n, k)
+        self.short_at = array("i")
+        if self.short:
+            self.short_at = array("i", [-1]) * len(link)
+            for s in by_length[1:].tolist():
+                self.short_at[s] = s if s in self.short else self.short_at[self.link[s]]
+
+    def _go(self, state: int, c: int) -> int:
+        if not state:
+            return self.start[c]
+        return self.to[state] if self.word[state] == c else self.more.get(state << 32 | c, -1)
+
+    def _put(self, state: int, c: int, to: int) -> None:
+        if not state:
+            self.start[c] = to
+        elif self.word[state] in (-1, c):
+            self.word[state], self.to[state] = c, to
+        else:
+            if state << 32 | c not in self.more:
+                self.moves.setdefault(state, array("i")).append(c)
+            self.more[state << 32 | c] = to
 
     def _append(self, last: int, c: int) -> int:
-        found = self.next[last].get(c)
-        if found is not None:  # an earlier item went this way
+        found = self._go(last, c)
+        if found >= 0:  # an earlier item went this way
             return found if self.length[found] == self.length[last] + 1 else self._split(last, c, found)
-        new = self._state(self.length[last] + 1, {}, 0)
+        new = self._state(self.length[last] + 1, 0)
         p = last
-        while p >= 0 and c not in self.next[p]:
-            self.next[p][c] = new
+        while p >= 0 and self._go(p, c) < 0:
+            self._put(p, c, new)
             p = self.link[p]
         if p >= 0:
-            q = self.next[p][c]
+            q = self._go(p, c)
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, c, q)
         return new
 
-    def _state(self, length: int, moves: dict[int, int], link: int) -> int:
-        self.next.append(moves)
+    def _state(self, length: int, link: int) -> int:
+        self.word.append(-1)
+        self.to.append(-1)
         self.length.append(length)
         self.link.append(link)
         return len(self.link) - 1
 
     def _split(self, p: int, c: int, q: int) -> int:
-        copy = self._state(self.length[p] + 1, dict(self.next[q]), self.link[q])
+        copy = self._state(self.length[p] + 1, self.link[q])
+        self.word[copy], self.to[copy] = self.word[q], self.to[q]
+        for w in self.moves.get(q, ()):
+            self._put(copy, w, self.more[q << 32 | w])
         self.link[q] = copy
-        while p >= 0 and self.next[p].get(c) == q:
-            self.next[p][c] = copy
+        while p >= 0 and self._go(p, c) == q:
+            self._put(p, c, copy)
             p = self.link[p]
         return copy
 
     def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[int]]:
-        """Spans (start, end) of words inside windows, merged; the items found."""
-        width, moves, link, length, window, short = self.width, self.next, self.link, self.length, self.window, self.short
+        """Spans (start, end) of words inside windows, merged; the groups of equal items found."""
+        width, start, first, to, more = self.width, self.start, self.word, self.to, self.more
+        link, length, window, short_at = self.link, self.length, self.window, self.short_at
         spans: list[list[int]] = []
         items: set[int] = set()
         seen: set[int] = set()
         state = matched = 0
-        get = self.ids.get
-        for i, c in enumerate(map(get, words)):
+        for i, c in enumerate(map(self.ids.get, words)):
             if c is None:
                 state = matched = 0
                 continue
-            step = moves[state].get(c)
-            while step is None and state:
+            step = -1
+            while state:
+                step = to[state] if first[state] == c else more.get(state << 32 | c, -1)
+                if step >= 0:
+                    break
                 state = link[state]
                 matched = length[state]
-                step = moves[state].get(c)
-            if step is None:
-                matched = 0
-                continue
+            if step < 0:
+                step = start[c]
+                if step < 0:
+                    matched = 0
+                    continue
             state = step
             matched += 1
             n = 0
             if matched >= width:
                 n = width
-                top = window[state]
-                if top not in seen:
-                    seen.add(top)
-                    items |= self.window_items[top]
-            if short[state]:
-                for m, k in short[state]:
+                seen.add(window[state])
+            if short_at:
+                at = short_at[state]
+                while at > 0:
+                    m, k = self.short[at]
                     if m <= matched:
                         n = max(n, m)
                         items.add(k)
+                    at = short_at[link[at]]
             if n:
                 if spans and spans[-1][1] >= i + 1 - n:
                     spans[-1][1] = i + 1
@@ -148,26 +193,38 @@ class SuffixAutomaton:
                         spans.pop()
                 else:
                     spans.append([i + 1 - n, i + 1])
+        for s in seen:
+            a, b = np.searchsorted(self.item_keys, s), np.searchsorted(self.item_keys, s, "right")
+            items.update(self.item_values[a:b].tolist())
         return np.array(spans, np.int32).reshape(-1, 2), items
 
+    def named(self, groups: set[int]) -> set[str]:
+        return {name for k in groups for name in self.names[k] if name is not None}
+
+
+#: The automaton of the block that this worker scanned last.
+_BUILT: dict[str, SuffixAutomaton] = {}
 
-@lru_cache(maxsize=2)
-def _automaton(items: tuple[tuple[str | None, bytes], ...], width: int) -> SuffixAutomaton:
-    return SuffixAutomaton([(name, words_of(text)) for name, text in items], width)
 
+def _automaton(block: Broadcast, name: str, width: int) -> SuffixAutomaton:
+    if name not in _BUILT:
+        _BUILT.clear()
+        keys, texts = block.value
+        _BUILT[name] = SuffixAutomaton([(k, words_of(t)) for k, t in zip(keys, texts, strict=True)], width)
+    return _BUILT[name]
 
-def item_blocks(items: DataFrame, key: str, text: str, most: int) -> Iterator[tuple[tuple[str | None, bytes], ...]]:
-    """(item_id as text, text) in blocks of about `most` bytes, read one by one."""
-    block, size = [], 0
-    for row in items.select(F.col(key).cast("string"), F.col(text).cast("binary")).where(F.col(text).isNotNull()).toLocalIterator():
-        raw = bytes(row[1])
-        if block and size + len(raw) > most:
-            yield tuple(block)
-            block, size = [], 0
-        block.append((row[0], raw))
-        size += len(raw)
-    if block:
-        yield tuple(block)
+
+def item_blocks(items: DataFrame, key: str, text: str, most: int) -> Iterator[tuple[list[str | None], list[bytes]]]:
+    """(item ids as text, texts) in blocks of about `most` bytes: Spark deals and writes them, and they are read one by one."""
+    rows = items.select(F.col(key).cast("string").alias("key"), F.col(text).cast("binary").alias("text")).where(F.col(text).isNotNull())
+    count = max(1, -(-total_bytes(rows, "text") // most))
+    path = scratch(items.sparkSession, "items")
+    rows.repartition(count).withColumn("block", F.spark_partition_id()).write.partitionBy("block").parquet(path)
+    written = items.sparkSession.read.schema("key string, text binary, block int").parquet(path)
+    for b in range(count):
+        block = written.where(F.col("block") == b).select("key", "text").toArrow()
+        if block.num_rows:
+            yield block.column("key").to_pylist(), block.column("text").to_pylist()
 
 
 def _merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -180,44 +237,44 @@ def _merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([both[first, 0], high[np.append(np.flatnonzero(first)[1:] - 1, len(both) - 1)]], axis=1).astype(np.int32)
 
 
+_ADDS = {"n_words": "bigint", "hit_spans": "array<int>", "hit_items": "array<string>"}
+
+
 def match(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_words, hit_spans (word positions: start, end, start, end, ...) and hit_items (sorted, without repeats)."""
-    out, first = docs, True
-    adds = {"n_words": "bigint", "hit_spans": "array<int>", "hit_items": "array<string>"}
-    for block in [*item_blocks(items, item_key, item_text, block_bytes)] or [()]:
-
-        def run(batch: pa.RecordBatch, block=block, first=first) -> list[pa.Array]:
-            automaton = _automaton(block, width)
-            n, spans, found = [], [], []
-            for i, raw in enumerate(byte_texts(batch.column(text))):
-                words = words_of(raw)
-                hit, names = automaton.scan(words)
-                names = {automaton.names[k] for k in names} - {None}
-                if not first:
-                    hit = _merge(np.array(batch.column("hit_spans")[i].as_py(), np.int32).reshape(-1, 2), hit)
-                    names |= set(batch.column("hit_items")[i].as_py())
-                n.append(len(words))
-                spans.append(hit.reshape(-1).tolist())
-                found.append(sorted(names))
-            return [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))]
-
-        if not first:
-            out = cut(out)
-        out = _extend_over(out, text, adds, run, first)
-        first = False
-    return out
-
-
-def _extend_over(docs: DataFrame, text: str, adds: dict[str, str], run, first: bool) -> DataFrame:
-    """Like extend(); later passes also read the columns that they replace."""
-    if first:
-        return extend(docs, text, adds, run)
-    was = docs.withColumnsRenamed({c: f"__{c}" for c in adds})
-
-    def again(batch: pa.RecordBatch) -> list[pa.Array]:
-        return run(batch.rename_columns([c.removeprefix("__") if c.removeprefix("__") in adds else c for c in batch.schema.names]))
+    keep = [c for c in docs.columns if c not in _ADDS]
+    own = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text).alias("text"))
+    out = None
+    for keys, texts in item_blocks(items, item_key, item_text, block_bytes):
+        shared, name = docs.sparkSession.sparkContext.broadcast((keys, texts)), uuid.uuid4().hex
+        out = _pass(own if out is None else cut(out), out is None, lambda shared=shared, name=name: _automaton(shared, name, width))
+    if out is None:
+        out = _pass(own, True, lambda: SuffixAutomaton([], width))
+    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *_ADDS)
+
+
+def _pass(docs: DataFrame, first: bool, automaton: Callable[[], SuffixAutomaton]) -> DataFrame:
+    """docs with what one automaton finds; what earlier ones found is kept."""
+
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        held = automaton()
+        n, spans, found = [], [], []
+        was = None if first else (batch.column("was_spans").to_pylist(), batch.column("was_items").to_pylist())
+        for i, raw in enumerate(byte_texts(batch.column("text"))):
+            words = words_of(raw)
+            hit, groups = held.scan(words)
+            names = held.named(groups)
+            if was is not None:
+                hit = _merge(np.array(was[0][i], np.int32).reshape(-1, 2), hit)
+                names |= set(was[1][i])
+            n.append(len(words))
+            spans.append(hit.reshape(-1).tolist())
+            found.append(sorted(names))
+        return [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))]
 
-    return extend(was, text, adds, again).drop(*(f"__{c}" for c in adds))
+    if first:
+        return extend(docs, "text", _ADDS, run)
+    return extend(docs.withColumnsRenamed({"hit_spans": "was_spans", "hit_items": "was_items"}), "text", _ADDS, run).drop("was_spans", "was_items")
 
 
 def digest(matched: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -252,37 +309,26 @@ def _without(raw: bytes, spans: np.ndarray) -> bytes:
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", width: int = WIDTH, least_span: int = WIDTH, most_coverage: float = 0.5, **more) -> DataFrame:
     """docs without the hit spans of at least `least_span` words; those of which more than `most_coverage` is hit go.
 
-    A span goes with the characters between its words; the columns of docs stay, text alone changes, and n_chars with it.
+    A span goes with the characters between its words; the columns of docs stay, text alone changes, and n_chars with it. Items of
+    fewer words than least_span stay where they stand, unless the rest of the document is mostly hit.
     """
     columns = docs.columns
-    adds = {"__text": "string", "__gone": "boolean"}
-    blocks = [*item_blocks(items, more.get("item_key", "item_id"), more.get("item_text", "text"), more.get("block_bytes", BLOCK_BYTES))]
+    plain = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)))
+    own, size = f"c{columns.index(text)}", f"c{columns.index('n_chars')}" if "n_chars" in columns else None
 
-    def trimmed(batch: pa.RecordBatch, found: list[np.ndarray], n_words: list[int]) -> list[pa.Array]:
+    def trim(batch: pa.RecordBatch) -> list[pa.Array]:
         texts, gone = [], []
-        for raw, null, hit, n in zip(byte_texts(batch.column(text)), batch.column(text).is_null().to_pylist(), found, n_words, strict=True):
-            hit = hit.astype(np.int64)
+        for raw, null, spans, n in zip(byte_texts(batch.column(own)), batch.column(own).is_null().to_pylist(), batch.column("hit_spans").to_pylist(), batch.column("n_words").to_pylist(), strict=True):
+            hit = np.array(spans, np.int64).reshape(-1, 2)
             gone.append(len(hit) > 0 and int((hit[:, 1] - hit[:, 0]).sum()) > most_coverage * n)
             texts.append(None if null else _without(raw, hit[hit[:, 1] - hit[:, 0] >= least_span]).decode("utf-8", "replace"))
         return [pa.array(texts, pa.string()), pa.array(gone, pa.bool_())]
 
-    if len(blocks) <= 1:  # one automaton: find and cut in one go
-        block = blocks[0] if blocks else ()
-
-        def at_once(batch: pa.RecordBatch) -> list[pa.Array]:
-            split = [words_of(raw) for raw in byte_texts(batch.column(text))]
-            return trimmed(batch, [_automaton(block, width).scan(w)[0] for w in split], [len(w) for w in split])
-
-        out = extend(docs, text, adds, at_once)
-    else:
-
-        def from_spans(batch: pa.RecordBatch) -> list[pa.Array]:
-            return trimmed(batch, [np.array(s, np.int64).reshape(-1, 2) for s in batch.column("hit_spans").to_pylist()], batch.column("n_words").to_pylist())
-
-        out = extend(match(docs, items, text, width=width, **more), text, adds, from_spans)
-    out = out.where(~F.col("__gone"))
-    out = out.withColumn("n_chars", F.when(F.col("__text").eqNullSafe(F.col(text)), F.col("n_chars")).otherwise(F.length("__text"))) if "n_chars" in columns else out
-    return out.withColumn(text, F.col("__text")).select(*columns)
+    out = extend(match(plain, items, own, width=width, **more), own, {"trimmed": "string", "gone": "boolean"}, trim).where("NOT gone")
+    made = {own: F.col("trimmed")}
+    if size:
+        made[size] = F.when(F.col("trimmed").eqNullSafe(F.col(own)), F.col(size)).otherwise(F.length("trimmed"))
+    return out.select(*(made.get(f"c{i}", F.col(f"c{i}")).alias(c) for i, c in enumerate(columns)))
 
 
 def sql(width: int = WIDTH) -> str:
