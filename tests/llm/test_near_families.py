@@ -1,4 +1,5 @@
-"""Pairs hidden in a family of texts that are just too different: every bucket holds many of them, and few are its pivots."""
+"""Classes against brute force; pairs hidden in a family of texts that are just too different: every bucket holds many of them,
+and few are its pivots."""
 
 import random
 
@@ -30,3 +31,52 @@ def test_a_family_under_the_threshold_hides_no_pair(spark):
     got = {r["doc_id"]: r["class_id"] for r in near_duplicates.classes(df).collect()}
     assert [(i, j) for i, j in alike if got[i] != got[j]] == []
     assert len(set(got.values())) == 200
+
+
+def _brute(texts, threshold=0.8):
+    """Classes by all pairs of the weighted sets, and the similarities around the threshold."""
+    raws = [t.encode() for t in texts]
+    s, c, sizes, _ = near_duplicates.shingles_of(raws)
+    sketch = sum_sketch(s)
+    w = near_duplicates.weights_of(s, c, sketch, len(texts))
+    sets, at = [], 0
+    for n in sizes.tolist():
+        sets.append(dict(zip(s[at : at + n].tolist(), w[at : at + n].tolist(), strict=True)))
+        at += n
+    parent, near = list(range(len(texts))), 0
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            low = sum(min(v, b[k]) for k, v in a.items() if k in b)
+            similarity = low / (sum(a.values()) + sum(b.values()) - low)
+            near += abs(similarity - threshold) < 1e-5
+            if similarity >= threshold:
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(texts))], near
+
+
+def sum_sketch(s):
+    import numpy as np
+
+    return np.stack([np.bincount(near_duplicates._sketch_at(s, row), minlength=1 << near_duplicates.SKETCH_BITS) for row in range(near_duplicates.SKETCH_ROWS)])
+
+
+def test_classes_equal_brute_force_of_weighted_sets(spark):
+    rng = random.Random(21)
+    texts = []
+    for k in range(40):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([40, 90, 200]))]
+        for _ in range(rng.randrange(1, 7)):
+            words = list(base)
+            for _ in range(rng.randrange(0, len(words) // 12 + 1)):
+                words[rng.randrange(len(words))] = f"w{rng.randrange(3000)}"
+            texts.append(" ".join(words if rng.random() < 0.8 else words + words[:20]))
+    want, near = _brute(texts)
+    assert near == 0
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == want and 40 <= len(set(want)) < len(texts)

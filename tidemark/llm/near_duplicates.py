@@ -3,17 +3,18 @@
 Texts are words (runs of letters and digits, A-Z lower-cased); a shingle is `SHINGLE` consecutive words, or all words of a
 shorter text. A shingle's weight is (1 + ln tf) * idf. Document frequencies come from all texts, through a count sketch of
 fixed size whose entries are corrected by their rows' mean load. The idf runs from 1 (in all texts) to 1 + `DAMPING` (in one):
-a wide idf would make each shingle of a large group of near copies lighter than the few that set its members apart.
+a wide idf would make each shingle of a large group of near copies lighter than the few that set its members apart (README).
 
 Texts of the same words are one from the start (`copies`), so a group of copies costs what one text costs. Each distinct text
 gets BANDS * ROWS consistent samples; texts that agree on a whole band meet in a bucket. No bucket emits all its pairs: each
 member is first compared with the bucket's pivots (its least id and the least by two hashes), and the links whose exact
-weighted Jaccard similarity reaches the threshold go into connected components. Where a bucket's other members are then still
-in different components, they are compared by a prefix filter that drops no pair which can reach the threshold (`rest_pairs`),
-so no two texts of a bucket stay both unlinked and unexamined.
+weighted Jaccard similarity (of 64-bit shingles and single floats) reaches the threshold go into connected components. Where a
+bucket's other members are then still in different components, they are compared by a prefix filter that drops no pair which
+can reach the threshold (`rest_pairs`), so no two texts of a bucket stay both unlinked and unexamined.
 
 Null texts and rows of a null id are classes of their own (of null ids, a null class); texts without words are copies if they
-are equal as texts. Repeated rows have one class.
+are equal as texts. Very long texts are taken whole. Repeated rows and texts have one class; of ties the least id names it. An
+empty table gives no rows. Other columns have no part in it; keep_one() leaves them as they are.
 """
 
 from __future__ import annotations
@@ -228,18 +229,18 @@ def prefix(shingles: bytes, threshold: float) -> tuple[np.ndarray, np.ndarray, f
     Sets of weights A and B that reach the threshold t share at least t / (1 + t) * (A + B), and at least t * A. All of it
     lies at or after the first shingle that both hold, in an order common to all sets, so the weight from there on is no less.
     """
-    short, weight, rarity = _unpacked(shingles)
-    order = np.lexsort((short, -rarity.astype(np.int16)))
+    whole, weight, rarity = _unpacked(shingles)
+    order = np.lexsort((whole, -rarity.astype(np.int16)))
     left = np.cumsum(weight[order][::-1])[::-1]
     n = int((left >= (threshold - 1e-9) * left[0]).sum()) if len(left) else 0
-    return short[order[:n]], left[:n], float(left[0]) if len(left) else 0.0
+    return whole[order[:n]].view(np.int64), left[:n], float(left[0]) if len(left) else 0.0
 
 
 def rest_pairs(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b), a > b: the pairs of `rest` from different components that can reach the threshold, by their prefixes.
 
-    The first shingle that the two of a pair share must leave enough weight on both sides; see prefix(). Members of one
-    component are not paired: groups of a shingle and a component meet first, and only those of different components.
+    The first shingle that the two of a pair share must leave enough weight on both sides; see prefix(). The conditions are the
+    join's own, so of a frequent shingle's texts only those come out that still can reach the threshold.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +252,7 @@ def rest_pairs(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(pa.array(np.repeat(part.column(c).to_numpy(), sizes), pa.int64()) for c in ("id", "component")),
-                        pa.array(np.concatenate([m[0] for m in made]).astype(np.int64)),
+                        pa.array(np.concatenate([m[0] for m in made])),
                         pa.array(np.concatenate([m[1] for m in made])),
                         pa.array(np.repeat([m[2] for m in made], sizes)),
                     ],
@@ -262,34 +263,35 @@ def rest_pairs(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     share = threshold / (1 + threshold)
     # The lighter set of a pair shares at least 2 t / (1 + t) of its own weight.
     lighter, heavier = posted.where(F.col("behind") >= (2 * share - 1e-9) * F.col("weight")), posted
-    groups = lighter.select("shingle", "component").distinct().join(heavier.select("shingle", F.col("component").alias("other")).distinct(), "shingle").where("component <> other")
-    one = lighter.join(groups, ["shingle", "component"])
-    two = heavier.select("shingle", F.col("component").alias("other"), *(F.col(c).alias(f"{c}_2") for c in ("id", "behind", "weight")))
+    two = heavier.select("shingle", *(F.col(c).alias(f"{c}_2") for c in ("id", "component", "behind", "weight")))
     least = share * (F.col("weight") + F.col("weight_2")) - 1e-6
-    fits = (F.col("weight") <= F.col("weight_2")) & (F.least("behind", "behind_2") >= least)
-    return one.join(two, ["shingle", "other"]).where(fits).select(F.greatest("id", "id_2").alias("a"), F.least("id", "id_2").alias("b")).distinct()
+    fits = (F.col("component") != F.col("component_2")) & (F.col("weight") <= F.col("weight_2")) & (F.least("behind", "behind_2") >= least)
+    # Sizes apart by more than the threshold can't match: neighbours among bins of that ratio meet, which splits frequent shingles.
+    size = lambda c: F.floor(F.log(F.col(c)) / np.log(1 / threshold))
+    one = lighter.withColumn("size", F.explode(F.array(size("weight"), size("weight") + 1)))
+    met = one.join(two.withColumn("size", size("weight_2")), ["shingle", "size"]).where(fits)
+    return met.select(F.greatest("id", "id_2").alias("a"), F.least("id", "id_2").alias("b")).distinct()
 
 
 def weighted_sets(docs: DataFrame, sketch: np.ndarray, n_texts: int, key: str, text: str) -> DataFrame:
-    """(id, shingles): 32 bits of each shingle's hash in order, then the weights as half floats, then a byte of rarity each."""
+    """(id, shingles): each shingle's hash in order, then the weights as floats, then a byte of rarity each."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         s, c, lengths, _ = shingles_of(byte_texts(batch.column(text)))
         w = weights_of(s, c, shared.value, n_texts)
         rarity = np.clip(np.round((w / (1 + np.log(c)) - 1) * (255 / DAMPING)), 0, 255).astype(np.uint8)
-        w = w.astype(np.float16)
-        short = (s >> np.uint64(32)).astype(np.uint32)
+        w = w.astype(np.float32)
         ends = np.cumsum(lengths)
-        return [pa.array([short[e - n : e].tobytes() + w[e - n : e].tobytes() + rarity[e - n : e].tobytes() for n, e in zip(lengths.tolist(), ends.tolist(), strict=True)], pa.binary())]
+        return [pa.array([s[e - n : e].tobytes() + w[e - n : e].tobytes() + rarity[e - n : e].tobytes() for n, e in zip(lengths.tolist(), ends.tolist(), strict=True)], pa.binary())]
 
     return extend(docs.select(F.col(key).cast("bigint").alias("id"), text), text, {"shingles": "binary"}, run, ["id"])
 
 
 def _unpacked(s: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shingles, weights and rarity of a set."""
-    n = len(s) // 7
-    return np.frombuffer(s, np.uint32, n), np.frombuffer(s, np.float16, n, 4 * n).astype(np.float64), np.frombuffer(s, np.uint8, n, 6 * n)
+    n = len(s) // 13
+    return np.frombuffer(s, np.uint64, n), np.frombuffer(s, np.float32, n, 8 * n).astype(np.float64), np.frombuffer(s, np.uint8, n, 12 * n)
 
 
 def weighted_jaccard(a: bytes, b: bytes) -> float:
@@ -315,7 +317,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(key, class_id, n_links) of each row of docs: the least id of its class, and the links that its distinct text has."""
+    """(key, class_id) of each row of docs: the least id of its class."""
     docs = docs.select(key, text)
     sketch, n_texts = document_frequencies(docs, text)
     signed = cut(signatures(docs, sketch, n_texts, key, text))
@@ -328,18 +330,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     rest = cut(unsettled(copies, found))
     if not rest.isEmpty():
         more = cut(verified(rest_pairs(rest, sets, threshold), sets, threshold))
-        links = links.unionByName(more)
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b")))
-    counts = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    of_copies = (
-        copies.select("k1", "k2", F.col("id").alias("node"))
-        .join(found, "node", "left")
-        .join(counts, "node", "left")
-        .select("k1", "k2", F.coalesce("component", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
-    )
+    of_copies = copies.select("k1", "k2", F.col("id").alias("node")).join(found, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("class_id"))
     rows = signed.select("id", "k1", "k2").join(of_copies, ["k1", "k2"], "left")
     own = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("class_id", "id"))
-    return rows.select(F.col("id").alias(key), own.cast("bigint").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    return rows.select(F.col("id").alias(key), own.cast("bigint").alias("class_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
