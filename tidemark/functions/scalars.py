@@ -8,14 +8,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The positions' groups, the accents that names are freed of, suffixes of names, words of contaminated
-#: titles and of parallel issues, and the form of a grade in a title.
-POSITION_GROUPS = {"SS": "IF", "2B": "IF", "3B": "IF", "1B": "IF", "IF": "IF", "LF": "OF", "CF": "OF", "RF": "OF", "OF": "OF", "C": "C", "DH": "DH", "P": "P", "TWP": "TWP"}
+#: titles and of parallel issues, and the forms of a grade and of an amount in a text.
+POSITION_GROUPS = {"P": "P", "C": "C", "1B": "IF", "2B": "IF", "3B": "IF", "SS": "IF", "OF": "OF", "LF": "OF", "CF": "OF", "RF": "OF", "DH": "OF"}
 ACCENTS = ("áàâäãåéèêëíìîïóòôöõúùûüñçýÿ", "aaaaaaeeeeiiiiooooouuuuncyy")
 SUFFIXES = ("jr", "sr", "ii", "iii", "iv", "v")
-CONTAMINATED = ("lot", "bundle", "reprint", "custom", "digital", "pack", "break")
-PARALLEL = ("refractor", "gold", "red", "blue", "green", "orange", "purple", "black", "superfractor", "shimmer", "wave")
-GRADE_PATTERN = r"(?i)\b(psa|bgs|sgc|cgc)\s*(?:gem\s*(?:mint|mt)\s*)?(\d+(?:\.5)?)\b"
-GEM_PATTERN = r"(?i)\bgem\s*(?:mint|mt)\s*(\d+)\b"
+CONTAMINATED = ("lot of", "reprint", "rp", "proxy", "custom card", "case break", "digital")
+PARALLEL = (
+    "autograph", "auto", "refractor", "shimmer", "gold", "orange", "purple", "blue", "green", "red", "black", "superfractor", "variation", "wave", "sparkle", "speckle", "mojo", "atomic", "lunar",
+    "rookie of the year favorites", "talent pipeline", "tp",
+)
+SEED_PARALLEL = ("refractor", "autograph", "gold", "orange", "purple", "blue", "green", "red", "superfractor", "variation")
+GRADE_PATTERN = r"(?i)\b(psa|bgs|sgc|cgc)\s*-?\s*(?:gem\s*(?:mt|mint)\s*|mint\s+|perfect\s+|pristine\s+)?(10|9\.5|9|8\.5|8)\b"
+GEM_PATTERN = r"(?i)\bgem\s*(?:mt|mint)\s*(10)\s+(psa|bgs|sgc|cgc)\b"
+MONEY_PATTERN = r"\$([\d,]+(?:\.\d{2})?)"
 
 
 def normalize_grade(grade: Column) -> Column:
@@ -131,12 +136,16 @@ def safe_key(slug: Column) -> Column:
 
 
 def grade_from_title(title: Column) -> Column:
-    """`psa_10` of `PSA 10` or `GEM MINT 10 PSA`; null if no grade stands there."""
-    first = F.concat_ws("_", F.lower(F.nullif(F.regexp_extract(title, GRADE_PATTERN, 1), F.lit(""))), F.nullif(F.regexp_extract(title, GRADE_PATTERN, 2), F.lit("")))
-    gem = F.regexp_extract(title, GEM_PATTERN, 1)
-    return F.coalesce(F.nullif(first, F.lit("")), F.when((gem != "") & F.lower(title).contains("psa"), F.concat(F.lit("psa_"), gem)))
+    """`psa_10` of `PSA 10`, `SGC-10` or `GEM MINT 10 PSA`; null if no grade stands there."""
+    named = lambda pattern, house, number: F.when(F.regexp_extract(title, pattern, house) != "", F.concat_ws("_", F.lower(F.regexp_extract(title, pattern, house)), F.regexp_extract(title, pattern, number)))
+    return F.coalesce(named(GRADE_PATTERN, 1, 2), named(GEM_PATTERN, 2, 1))
 
 
 def money(text: Column) -> Column:
-    """The first amount in a text (`$1,234.50`); null if there is none."""
-    return F.replace(F.nullif(F.regexp_extract(text, r"\$?\s*(\d[\d,]*(?:\.\d+)?)", 1), F.lit("")), F.lit(","), F.lit("")).try_cast("double")
+    """The first amount in a text (`$1,234.50`); null if there is none, and numbers without the sign are none."""
+    return F.replace(F.nullif(F.regexp_extract(text, MONEY_PATTERN, 1), F.lit("")), F.lit(","), F.lit("")).try_cast("double")
+
+
+def amounts(text: Column) -> Column:
+    """All amounts in a text, in order."""
+    return F.transform(F.regexp_extract_all(text, F.lit(MONEY_PATTERN), 1), lambda a: F.replace(a, F.lit(","), F.lit("")).try_cast("double"))

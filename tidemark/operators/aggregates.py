@@ -66,13 +66,20 @@ def league_means(lines: DataFrame, keys: list[str]) -> DataFrame:
     return lines.groupBy(*keys).agg((F.sum(F.col("rate") * F.col("weight")) / F.nullif(F.sum(F.when(F.col("rate").isNotNull(), F.col("weight"))), F.lit(0))).alias("league_mean"))
 
 
-def liquidity(sales: DataFrame, chart: DataFrame, series: str = "card_slug") -> DataFrame:
-    """Sales, span, sales a week, points of the chart, share of outliers and flagged titles of each series and grade."""
-    graded = sales.withColumn("grade", f.normalize_grade(F.col("grade")))
+#: The grades of which panels are built.
+PANEL_SERIES = ("ungraded", "psa_9", "psa_10")
+
+
+def liquidity(sales: DataFrame, chart: DataFrame, series: str = "card_slug", grades: tuple[str, ...] = PANEL_SERIES) -> DataFrame:
+    """Sales, first and last of them, span, sales a week, points of the chart, share of outliers and flagged titles of each series
+    and grade."""
+    graded = sales.withColumn("grade", f.normalize_grade(F.col("grade"))).where(F.col("grade").isin(*grades))
     flagged = flag_outliers(graded, [F.col(series), F.col("grade"), f.month_start(F.col("sale_date"))])
     span = F.greatest(F.datediff(F.max("sale_date"), F.min("sale_date")), F.lit(1))
     of_sales = flagged.groupBy(series, "grade").agg(
         F.count("*").alias("n_sales"),
+        F.min("sale_date").alias("first_sale"),
+        F.max("sale_date").alias("last_sale"),
         span.alias("span_days"),
         (F.count("*") / (span / 7)).alias("sales_per_week"),
         F.avg(F.col("outlier").cast("double")).alias("outlier_share"),
@@ -82,6 +89,46 @@ def liquidity(sales: DataFrame, chart: DataFrame, series: str = "card_slug") ->
     return of_sales.join(of_chart, [series, "grade"], "left")
 
 
+def league_means_to_date(logs: DataFrame) -> DataFrame:
+    """(season, role, month, league_mean): mean of the players' season rates from rows before the month, weighed by playing time,
+    for the months of the season's year. Rows are summed by month first, so a player's season is at most twelve rows."""
+    month = F.month("date").alias("__m")
+    counts = ["hits", "at_bats", "walks", "hit_by_pitch", "sac_flies", "total_bases", "plate_appearances", "earned_runs", "outs", "batters_faced"]
+    months = logs.groupBy("entity_id", "season", "role", month).agg(*(F.sum(c).alias(c) for c in counts))
+    later = months.where("__m < 12").withColumn("__to", F.explode(F.sequence(F.col("__m") + 1, F.lit(12))))
+    parts = [sums_with_rates(later, ["entity_id", "season", "role", "__to"], role) for role in ("hitting", "pitching")]
+    means = league_means(parts[0].unionByName(parts[1]).where("weight > 0"), ["season", "role", "__to"])
+    day = F.make_timestamp_ntz(F.col("season").cast("int"), F.col("__to"), F.lit(1), F.lit(0), F.lit(0), F.lit(0.0))
+    return means.select("season", "role", day.alias("month"), "league_mean")
+
+
+def pedigree(logs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, minor_games, max_level, max_level_rank, rate_at_max_level) of rows below the top level: the rate (OPS, or ERA of
+    pitchers) is that of the highest level alone."""
+    rank = level_rank(F.col("level")).alias("__rank")
+    counts = ["games", "hits", "at_bats", "walks", "hit_by_pitch", "sac_flies", "total_bases", "earned_runs", "outs", "strike_outs", "batters_faced"]
+    levels = logs.where(rank.isNotNull()).groupBy(*keys, "role", "level", rank).agg(*(F.sum(c).alias(c) for c in counts))
+    rated = pitching_rates(hitting_rates(levels)).withColumn("__rate", F.when(F.col("role") == "hitting", F.col("ops")).otherwise(F.col("era")))
+    return rated.groupBy(*keys).agg(F.sum("games").alias("minor_games"), F.max_by("level", "__rank").alias("max_level"), F.max("__rank").alias("max_level_rank"), F.max_by("__rate", "__rank").alias("rate_at_max_level"))
+
+
+#: Levels below the top one, from the lowest on.
+LEVELS = ("a", "a_plus", "aa", "aaa")
+
+
+def level_rank(level: Column) -> Column:
+    return F.nullif(F.array_position(F.array(*map(F.lit, LEVELS)), level), F.lit(0)).cast("int")
+
+
+def dedupe_checklist(rows: DataFrame, name: str, number: str, key: str) -> DataFrame:
+    """Rows of one name and number, case and outer spaces of the name aside, keep the least key; `collides` marks numbers that
+    several names have left."""
+    plain = rows.withColumns({"__name": F.lower(F.trim(F.col(name))), "__number": F.lower(F.col(number).cast("string"))})
+    kept = plain.groupBy("__name", "__number").agg(F.min_by(F.struct(name, number), key).alias("__r"), F.min(key).alias(key)).select("__number", f"__r.{name}", f"__r.{number}", key)
+    names = kept.groupBy("__number").agg((F.count_distinct(name) > 1).alias("collides"))
+    return kept.join(names, "__number").drop("__number")
+
+
 def stale_series(weekly: DataFrame, as_of: Column, series: list[str], max_weeks: float = 3) -> DataFrame:
     """Series whose last week lies too far back."""
     last = weekly.groupBy(*series).agg(F.max("week").alias("last_week"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as f
-from tidemark.operators import joins
+from tidemark.operators import asof, joins, resample, windows
 
 
 def from_logs(logs: DataFrame) -> DataFrame:
@@ -33,28 +35,40 @@ def period_windows(events: DataFrame, panel: DataFrame, period: str, event_perio
     periods = panel.select(period).distinct()
     # Distinct periods are few (a calendar), so numbering them in one place is bounded.
     numbered = periods.select(period, F.dense_rank().over(Window.orderBy(period)).alias("__i"))
-    at = events.join(F.broadcast(numbered.select(F.col(period).alias(event_period), F.col("__i").alias("__c"))), event_period)
+    at = events.join(numbered.select(F.col(period).alias(event_period), F.col("__i").alias("__c")), event_period)
     spread = at.withColumn("offset", F.explode(F.sequence(F.lit(-pre), F.lit(post)))).withColumn("__i", F.col("__c") + F.col("offset"))
-    rows = spread.join(panel.join(F.broadcast(numbered), period), ["entity_id", "__i"])
+    rows = spread.join(panel.join(numbered, period), ["entity_id", "__i"])
     return rows.withColumn("horizon_ok", F.col(gap).isNull() | (F.col(gap) <= most_gap)).drop("__i", "__c")
 
 
-def sale_windows(sales: DataFrame, events: DataFrame, grade: str, baseline_days: int = 56, window_days: int = 21, min_baseline: int = 3, min_window: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(sales around events relative to the median before them, counts of events and series kept and dropped).
+def sale_pairs(sales: DataFrame, events: DataFrame, grade: str, baseline_days: int = 56, window_days: int = 21, min_baseline: int = 3, min_window: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(sales around events, each event with each of its entity's series and what becomes of the pair).
 
-    The baseline is [event - baseline_days, event), never after it; the window is +- window_days.
+    Every series of the entity that ever sells in the grade makes a pair. status: kept, dropped_baseline (looked at first) or
+    dropped_window. The baseline is [event - baseline_days, event), never after it; the window is +- window_days.
     """
-    rows = joins.event_sales(events, sales.where(f.grade_is(F.col("grade"), grade)), "entity_id", baseline_days, window_days)
+    graded = sales.where(f.grade_is(F.col("grade"), grade) & F.col("price").isNotNull())
+    rows = joins.event_sales(events, graded, "entity_id", baseline_days, window_days)
     near = F.abs(F.unix_micros(F.col("sale_date").cast("timestamp")) - F.unix_micros(F.col("event_date").cast("timestamp"))) <= window_days * 86_400_000_000
     before = F.col("sale_date") < F.col("event_date")
     keys = ["entity_id", "card_slug", "event_date"]
     base = rows.groupBy(*keys).agg(F.count(F.when(before, 1)).alias("n_base"), F.count(F.when(near, 1)).alias("n_window"), F.percentile(F.when(before, F.col("price")), F.lit(0.5)).alias("baseline"))
-    status = F.when(F.col("n_base") < min_baseline, "thin_baseline").when(F.col("n_window") < min_window, "thin_window").otherwise("kept")
-    base = base.withColumn("status", status)
+    pairs = events.select("entity_id", "event_date").join(graded.select("entity_id", "card_slug").distinct(), "entity_id")
+    status = F.when(F.coalesce("n_base", F.lit(0)) < min_baseline, "dropped_baseline").when(F.col("n_window") < min_window, "dropped_window").otherwise("kept")
+    return rows.where(near), pairs.join(base, keys, "left").withColumn("status", status)
+
+
+def sale_windows(sales: DataFrame, events: DataFrame, grade: str, **limits) -> tuple[DataFrame, DataFrame]:
+    """(sales around events relative to the median before them, counts of pairs of event and series kept and dropped)."""
+    rows, pairs = sale_pairs(sales, events, grade, **limits)
+    return relative_windows(rows, pairs), pairs.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def relative_windows(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    keys = ["entity_id", "card_slug", "event_date"]
     days = (F.unix_micros(F.col("sale_date").cast("timestamp")) - F.unix_micros(F.col("event_date").cast("timestamp"))) / 86_400_000_000
-    kept = rows.where(near).join(base.where("status = 'kept'").select(*keys, "baseline"), keys)
-    windows = kept.select(*keys, "sale_date", days.alias("t_days"), (F.col("price") / F.col("baseline")).alias("rel_price"))
-    return windows, base.groupBy("status").agg(F.count("*").alias("n"))
+    kept = rows.join(pairs.where("status = 'kept'").select(*keys, "baseline"), keys)
+    return kept.select(*keys, "sale_date", days.alias("t_days"), (F.col("price") / F.col("baseline")).alias("rel_price"))
 
 
 def market_index(sales: DataFrame, grade: str, baseline_days: int = 28, min_series: int = 3) -> DataFrame:
@@ -67,31 +81,55 @@ def market_index(sales: DataFrame, grade: str, baseline_days: int = 28, min_seri
     return per_series.groupBy("day").agg(F.count("*").alias("n_series"), F.median(F.col("price") / F.col("baseline")).alias("index")).where(F.col("n_series") >= min_series)
 
 
-def on_grid(index: DataFrame) -> DataFrame:
-    """The index with a row for each day between its first and last."""
-    bounds = index.agg(F.min("day").alias("a"), F.max("day").alias("b"))
+def on_grid(index: DataFrame, sales: DataFrame, grade: str) -> DataFrame:
+    """The index with a row for each day from the grade's first sale to its last."""
+    day = F.unix_date(F.to_date("sale_date"))
+    bounds = sales.where(f.grade_is(F.col("grade"), grade) & F.col("price").isNotNull()).agg(F.min(day).alias("a"), F.max(day).alias("b"))
     return bounds.where("a IS NOT NULL").select(F.explode(F.sequence("a", "b")).alias("day")).join(index, "day", "left")
 
 
+def filled_index(sales: DataFrame, grade: str, most_gap: int = 3) -> DataFrame:
+    """(day, index) of market_index() on its calendar, with gaps filled from either side; a calendar is numbered in one place."""
+    grid = on_grid(market_index(sales, grade), sales, grade).withColumn("__one", F.lit(1))
+    return windows.fill_gaps(grid, ["__one"], "day", "index", most_gap).select("day", F.col("filled").alias("index"))
+
+
 def adjust_for_market(windows: DataFrame, index: DataFrame) -> DataFrame:
-    """rel_adj: relative price over the market's index of the day; null where the index is."""
-    return windows.withColumn("day", F.unix_date(F.to_date("sale_date"))).join(F.broadcast(index.select("day", "index")), "day", "left").withColumn("rel_adj", F.col("rel_price") / F.nullif("index", F.lit(0.0))).drop("day", "index")
+    """rel_adj: relative price over the market's (filled) index of the day; null where the index is."""
+    return windows.withColumn("day", F.unix_date(F.to_date("sale_date"))).join(index.select("day", "index"), "day", "left").withColumn("rel_adj", F.col("rel_price") / F.nullif("index", F.lit(0.0))).drop("day", "index")
 
 
 def lag_bins(windows: DataFrame, value: str, low: int = -14, high: int = 14) -> DataFrame:
-    """Median by day relative to the event, and the sales there."""
+    """Median by day relative to the event, and the sales there; a row for each day from low to high."""
     t = F.floor(F.col("t_days") + 0.5)
     rows = windows.where(F.col(value).isNotNull()).withColumn("t_bin", t).where(t.between(low, high))
-    return rows.groupBy("t_bin").agg(F.median(value).alias("median"), F.count("*").alias("n_sales"))
+    found = rows.groupBy("t_bin").agg(F.median(value).alias("median"), F.count("*").alias("n_sales"))
+    days = windows.sparkSession.range(low, high + 1).select(F.col("id").alias("t_bin"))
+    return days.join(found, "t_bin", "left").withColumn("n_sales", F.coalesce("n_sales", F.lit(0)))
 
 
-def estimate_lag(curve: DataFrame, threshold: float = 1.0, hold: int = 3) -> DataFrame:
-    """The first day from 0 on from which `hold` consecutive days lie above the threshold by their lower bound (column ci_lo)."""
+def lag_bounds(windows: DataFrame, value: str, n_reps: int = 2000, seed: int = 42, low: int = -14, high: int = 14, least_reps: int = 20) -> DataFrame:
+    """(t_bin, ci_lo, ci_hi): bounds of the medians over resampled events; all sales of an event that is drawn come along, as
+    often as it is drawn. An event's sales of a day are grouped first, so a replicate costs as many rows as events have days."""
+    t = F.floor(F.col("t_days") + 0.5)
+    event = ["entity_id", "event_date"]
+    rows = windows.where(F.col(value).isNotNull() & t.between(low, high)).groupBy(*event, t.alias("t_bin")).agg(F.collect_list(value).alias("__v"))
+    drawn = resample.drawn(rows.select(*event).distinct(), n_reps, seed, event)
+    met = drawn.join(rows, event).select("rep", "t_bin", "times", F.explode("__v").alias("__v"))
+    reps = met.groupBy("rep", "t_bin").agg(F.percentile("__v", F.lit(0.5), F.col("times")).alias("m"))
+    return reps.groupBy("t_bin").agg(F.percentile("m", F.lit(0.025)).alias("ci_lo"), F.percentile("m", F.lit(0.975)).alias("ci_hi"), F.count("*").alias("__n")).where(F.col("__n") >= least_reps).drop("__n")
+
+
+def estimate_lag(curve: DataFrame, threshold: float = 1.0, hold: int = 3, least_cover: float = 0.8) -> DataFrame:
+    """One row: lag_days, the first day from 0 on from which `hold` consecutive days lie above the threshold by their lower bound;
+    pre_cover_share, the share of days before 0 whose bounds hold the threshold between them; pre_ok, if that is enough."""
     w = Window.orderBy("t_bin")  # a curve has a few dozen rows
     ahead = w.rowsBetween(0, hold - 1)
-    rows = curve.withColumns({"__low": F.min("ci_lo").over(ahead), "__n": F.count("*").over(ahead), "__end": F.max("t_bin").over(ahead)})
+    rows = curve.withColumns({"__low": F.min("ci_lo").over(ahead), "__n": F.count("ci_lo").over(ahead), "__end": F.max("t_bin").over(ahead)})
     good = (F.col("t_bin") >= 0) & (F.col("__low") > threshold) & (F.col("__n") == hold) & (F.col("__end") - F.col("t_bin") == hold - 1)
-    return rows.agg(F.min(F.when(good, F.col("t_bin"))).alias("lag_days"))
+    covers = F.coalesce((F.col("ci_lo") <= threshold) & (F.col("ci_hi") >= threshold), F.lit(False))
+    share = F.coalesce(F.avg(F.when(F.col("t_bin") < 0, covers.cast("double"))), F.lit(0.0))
+    return rows.agg(F.min(F.when(good, F.col("t_bin"))).alias("lag_days"), (share >= least_cover).alias("pre_ok"), share.alias("pre_cover_share"))
 
 
 def half_life(curve: DataFrame, low: float = 0.25, high: float = 14.0, step: float = 0.25) -> DataFrame:
@@ -106,18 +144,51 @@ def half_life(curve: DataFrame, low: float = 0.25, high: float = 14.0, step: flo
     return best.select(F.when(fine, F.col("b.h")).alias("half_life"), F.when(fine, F.col("b.a")).alias("amplitude"))
 
 
-def classify(windows: DataFrame, keys: list[str], value: str, early: float = 3.5, late: float = 7.0, no_move: float = 0.02, late_move: float = 0.05, fast: float = 0.8) -> DataFrame:
-    """no_adjustment, fast, late or intermediate by the medians before, soon after and long after; insufficient below 2 sales."""
+def classify(windows: DataFrame, keys: list[str], value: str = "rel_adj", early: float = 3.5, late: float = 7.0, no_move: float = 0.02, late_move: float = 0.05, fast: float = 0.8) -> DataFrame:
+    """By the medians before, soon after and long after: no_adjustment if the price doesn't rise by more than no_move, fast if
+    most of the rise is there soon, late if next to nothing of a rise of late_move is, else intermediate; insufficient below two
+    sales in a part. Sales without a value don't count, so an event with none has no row."""
     t = F.col("t_days")
     part = {"pre": t < 0, "early": (t >= 0) & (t < early), "late": t >= late}
-    sums = [x for name, cond in part.items() for x in (F.percentile(F.when(cond, F.col(value)), F.lit(0.5)).alias(name), F.count(F.when(cond & F.col(value).isNotNull(), 1)).alias(f"n_{name}"))]
-    rows = windows.groupBy(*keys).agg(*sums)
-    total, soon = F.col("late") - F.col("pre"), F.col("early") - F.col("pre")
+    sums = [x for name, cond in part.items() for x in (F.percentile(F.when(cond, F.col(value)), F.lit(0.5)).alias(name), F.count(F.when(cond, 1)).alias(f"n_{name}"))]
+    rows = windows.where(F.col(value).isNotNull()).groupBy(*keys).agg(*sums)
+    move, soon = F.col("late") - F.col("pre"), F.col("early") - F.col("pre")
     kind = (
-        F.when((F.col("n_pre") < 2) | (F.col("n_early") < 2) | (F.col("n_late") < 2), "insufficient")
-        .when(F.abs(total) < no_move, "no_adjustment")
-        .when(soon / total >= fast, "fast")
-        .when(F.abs(F.col("late") - F.col("early")) >= late_move, "late")
+        F.when(F.least("n_pre", "n_early", "n_late") < 2, "insufficient")
+        .when(move <= no_move, "no_adjustment")
+        .when(soon / move >= fast, "fast")
+        .when((F.abs(soon) <= no_move) & (move >= late_move), "late")
         .otherwise("intermediate")
     )
     return rows.withColumn("adjustment", kind)
+
+
+def strata(events: DataFrame, top_logs: DataFrame) -> DataFrame:
+    """(entity_id, event_date, stratum): prospect up to the end of the first season at the top level, established afterwards."""
+    found = asof.asof_aggregate(events.select("entity_id", "event_date"), top_logs, ["entity_id"], "event_date", "date", {"first_season": (F.min, F.col("season"))}, inclusive=False)
+    young = F.col("first_season").isNull() | (f.season_year(F.col("event_date")) == F.col("first_season"))
+    return found.select("entity_id", "event_date", F.when(young, "prospect").otherwise("established").alias("stratum"))
+
+
+def adjustment_grid(sales: DataFrame, events: DataFrame, of_events: DataFrame, grades: tuple[str, ...] = ("ungraded", "psa_10"), least_kept: int = 5, dead: float = 0.8, plausible: float = 0.2) -> DataFrame:
+    """A row for each grade and stratum (and `all`): pairs kept and dropped, sales without an index, shares of the adjustment
+    classes, and what they say. Cells with too few pairs are skipped: they have no shares.
+
+    read_out: dead if the fast share reaches `dead`, plausible if the late share reaches `plausible`, else intermediate.
+    """
+    cells = of_events.withColumn("stratum", F.explode(F.array(F.lit("all"), F.col("stratum"))))
+    keys, event, kinds = ["grade_class", "stratum"], ["entity_id", "event_date"], ("fast", "late", "intermediate", "no_adjustment", "insufficient")
+    pairs, sold = [], []
+    for grade in grades:
+        rows, of_pairs = sale_pairs(sales, events, grade)
+        pairs.append(of_pairs.withColumn("grade_class", F.lit(grade)))
+        sold.append(adjust_for_market(relative_windows(rows, of_pairs), filled_index(sales, grade)).withColumn("grade_class", F.lit(grade)))
+    of_pairs, windows = (reduce(lambda a, b: a.unionByName(b), x) for x in (pairs, sold))
+    said = of_pairs.join(cells, event).groupBy(*keys).agg(*(F.count(F.when(F.col("status") == s, 1)).alias(s) for s in ("kept", "dropped_baseline", "dropped_window")))
+    unadjusted = windows.join(cells, event).groupBy(*keys).agg(F.count(F.when(F.col("rel_adj").isNull(), 1)).alias("n_unadjusted"))
+    classes = classify(windows, ["grade_class", *event]).join(cells, event).groupBy(*keys).agg(*(F.round(F.avg((F.col("adjustment") == k).cast("double")), 4).alias(f"share_{k}") for k in kinds))
+    out = said.join(unadjusted, keys, "left").join(classes, keys, "left")
+    enough = F.col("kept") >= least_kept
+    shares = {f"share_{k}": F.when(enough, F.col(f"share_{k}")) for k in kinds}
+    read_out = F.when(~enough, "skipped").when(F.col("share_fast") >= dead, "dead").when(F.col("share_late") >= plausible, "plausible").otherwise("intermediate")
+    return out.withColumns({**shares, "n_unadjusted": F.coalesce("n_unadjusted", F.lit(0)), "read_out": read_out})

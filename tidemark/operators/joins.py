@@ -77,29 +77,54 @@ def several_ids(validated: DataFrame, name: str, id_column: str) -> DataFrame:
     return validated.groupBy(name).agg(F.array_sort(F.collect_set(id_column)).alias("ids")).where(F.size("ids") >= 2)
 
 
-def reconcile(a: DataFrame, b: DataFrame, keys: list[str], floor: float = 0.85) -> DataFrame:
-    """One row: rows of a alone, of b alone, of both, and whether both hold enough of all."""
-    marked = a.select(*keys).distinct().withColumn("__a", F.lit(1)).join(b.select(*keys).distinct().withColumn("__b", F.lit(1)), keys, "full_outer")
-    counts = marked.agg(F.count(F.when(F.col("__b").isNull(), 1)).alias("a_only"), F.count(F.when(F.col("__a").isNull(), 1)).alias("b_only"), F.count(F.when(F.col("__a").isNotNull() & F.col("__b").isNotNull(), 1)).alias("both"))
-    share = F.col("both") / F.nullif(F.col("a_only") + F.col("b_only") + F.col("both"), F.lit(0))
-    return counts.withColumns({"share": share, "ok": share >= floor})
-
-
-def pick_search_result(results: DataFrame, key: str) -> DataFrame:
-    """Tiers of rules: the parallel's kind, then how the set and the number match, then universal matches, then population.
-
-    Columns: wanted_tokens, set_tokens, blocked (arrays), wanted_number, number, parallel, universal, population.
+def reconcile(ours: DataFrame, theirs: DataFrame, group: list[str], code: str, floor: float = 0.85) -> DataFrame:
+    """A row for each group (a set): lines of theirs and distinct codes of ours, the sorted codes that one side alone has, ok if
+    theirs has none alone, and whether ours has enough of theirs. Lists hold one set's codes."""
+    a = ours.select(*group, code).distinct().withColumn("__a", F.lit(True))
+    b = theirs.groupBy(*group, code).agg(F.count("*").alias("__b"))
+    both = a.join(b, [*group, code], "full_outer")
+    one = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col(code))))
+    counts = both.groupBy(*group).agg(
+        F.coalesce(F.sum("__b"), F.lit(0)).alias("their_total"),
+        F.count("__a").alias("our_total"),
+        one(F.col("__a").isNull()).alias("theirs_only"),
+        one(F.col("__b").isNull()).alias("ours_only"),
+        F.count("__b").alias("__theirs"),
+    )
+    share = 1 - F.size("theirs_only") / F.nullif(F.col("__theirs"), F.lit(0))
+    return counts.withColumns({"ok": F.size("theirs_only") == 0, "share": share, "complete": F.coalesce(share >= floor, F.lit(False))}).drop("__theirs")
+
+
+#: Words in a set's name that make it another product.
+BLOCKED_SET_TOKENS = ("refractor", "refractors", "fractor", "logofractor", "xfractor", "edition", "stars", "cosmic", "silver", "pack", "sapphire", "platinum", "anniversary")
+
+
+def plain_text(c: Column) -> Column:
+    """Lower case, letters, digits and single spaces; null is empty."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9 ]", " "), " +", " "))
+
+
+def pick_search_result(results: DataFrame, key: str, blocked: tuple[str, ...] = BLOCKED_SET_TOKENS) -> DataFrame:
+    """The result of each key by tiers: the base issue before a short print (no parallel is the base), the same set before one
+    whose name says more but no blocked word, the same number before the same digits; then universal results, then population.
+
+    Columns: wanted_name, name, wanted_year, year, wanted_set, set_name, wanted_number, number, parallel, universal, population,
+    result_id. Name and year must be the same; a number without digits has none in common with another.
     """
-    extra = F.array_except("set_tokens", "wanted_tokens")
-    missing = F.size(F.array_except("wanted_tokens", "set_tokens"))
-    set_tier = F.when((missing == 0) & (F.size(extra) == 0), 0).when((missing == 0) & ~F.arrays_overlap(extra, "blocked"), 1)
-    digits = lambda c: F.regexp_replace(c, r"\D", "")
-    number_tier = F.when(F.col("number") == F.col("wanted_number"), 0).when(digits("number") == digits("wanted_number"), 1)
-    parallel_tier = F.when(F.lower("parallel").isin("", "base"), 0).when(F.lower("parallel") == "sp", 1)
-    rows = results.withColumns({"__s": set_tier, "__n": number_tier, "__p": parallel_tier}).where("__s IS NOT NULL AND __n IS NOT NULL AND __p IS NOT NULL")
-    return best_candidate(rows, [key], [F.col("__p"), F.col("__s"), F.col("__n"), F.col("universal").desc(), F.col("population").desc(), F.col("result_id")]).drop("__s", "__n", "__p")
+    wanted, own = (F.split(plain_text(F.col(c)), " ") for c in ("wanted_set", "set_name"))
+    more = F.array_except(own, wanted)
+    set_tier = F.when(own == wanted, 0).when((F.size(F.array_except(wanted, own)) == 0) & ~F.arrays_overlap(more, F.array(*map(F.lit, blocked))), 1)
+    digits = lambda c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"\D", "")
+    same = F.upper(F.coalesce(F.col("number").cast("string"), F.lit(""))) == F.upper(F.col("wanted_number").cast("string"))
+    number_tier = F.when(same, 0).when((digits("wanted_number") != "") & (digits("wanted_number") == digits("number")), 1)
+    parallel = plain_text(F.coalesce(F.nullif("parallel", F.lit("")), F.lit("Base")))
+    parallel_tier = F.when(parallel == "base", 0).when(parallel == "sp", 1)
+    alike = (F.coalesce(F.col("year").cast("string"), F.lit("")) == F.col("wanted_year").cast("string")) & (plain_text(F.col("name")) == plain_text(F.col("wanted_name")))
+    rows = results.where(alike).withColumns({"__s": set_tier, "__n": number_tier, "__p": parallel_tier}).where("__s IS NOT NULL AND __n IS NOT NULL AND __p IS NOT NULL")
+    universal, population = F.coalesce("universal", F.lit(False)).desc(), F.coalesce("population", F.lit(0)).desc()
+    return best_candidate(rows, [key], [F.col("__p"), F.col("__s"), F.col("__n"), universal, population, F.col("result_id")]).drop("__s", "__n", "__p")
 
 
 def missing_cells(left: DataFrame, right: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """Cells of a small grid (two short lists of distinct values) that aren't found."""
-    return left.crossJoin(F.broadcast(right)).join(found, keys, "left_anti")
+    return left.crossJoin(right).join(found, keys, "left_anti")

@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import resample, windows
+
 
 def fold_of(key: Column, folds: int, seed: int = 42) -> Column:
     """A fold by hash, alike on every machine."""
@@ -127,7 +129,7 @@ def lasso_cv(frame: DataFrame, features: Sequence[str], target: str, key: str, f
     return spark.createDataFrame([(f, float(b), bool(abs(b) > 1e-9)) for f, b in zip(features, beta, strict=True)], schema).orderBy(F.abs("coefficient").desc(), "feature")
 
 
-def stability_selection(frame: DataFrame, features: Sequence[str], target: str, key: str, n_boot: int = 50, folds: int = 5, seed: int = 42) -> DataFrame:
+def stability_selection(frame: DataFrame, features: Sequence[str], target: str, key: str, n_boot: int = 200, folds: int = 5, seed: int = 42) -> DataFrame:
     """(feature, share): how many of the resamples select each feature. A row's weight in a resample is a Poisson draw from its
     hash, so resamples are sums of one pass over rows x resamples; the small problems are solved in the grouped step."""
     k, names = len(features) + 2, list(features)
@@ -153,27 +155,62 @@ def linear_score(features: Sequence[str], intercept: float, beta: Sequence[float
     return reduce(lambda acc, fb: acc + F.col(fb[0]) * F.lit(float(fb[1])), zip(features, beta, strict=True), F.lit(float(intercept)))
 
 
-def walk_forward(frame: DataFrame, features: Sequence[str], target: str, period: str, key: str, top_k: int = 2, min_train: int = 2, folds: int = 5) -> DataFrame:
-    """Per period a model of the earlier ones alone, and its top_k rows: (period, key, predicted, realized), realised over the
-    period's median. Scaling, missing values (train means) and the penalty know the earlier periods alone."""
-    filled = frame.where(F.col(target).isNotNull() & F.col(period).isNotNull())
-    for c in features:  # the mean of strictly earlier periods, from one running sum over the few periods
-        sums = filled.groupBy(period).agg(F.sum(c).alias("__s"), F.count(c).alias("__n"))
-        before = Window.orderBy(period).rowsBetween(Window.unboundedPreceding, -1)
-        means = sums.select(period, (F.sum("__s").over(before) / F.nullif(F.sum("__n").over(before), F.lit(0))).alias("__m"))
-        filled = filled.join(F.broadcast(means), period).withColumn(c, F.coalesce(F.col(c).cast("double"), F.col("__m"), F.lit(0.0))).drop("__m")
-    rows = filled.withColumn("__fold", fold_of(F.col(key), folds))
-    moments = moments_by(rows, features, target, [period, "__fold"])
-    periods = sorted({p for p, _ in moments})
-    predicted = F.lit(None).cast("double")
-    for i, p in enumerate(periods[min_train:], min_train):
-        parts = [reduce(lambda a, b: a + b, own) for f in range(folds) if (own := [m for (q, g), m in moments.items() if q in periods[:i] and g == f])]
-        intercept, beta, _ = lasso(reduce(lambda a, b: a + b, parts), select_alpha(parts))
-        predicted = F.when(F.col(period) == F.lit(p), linear_score(features, intercept, beta)).otherwise(predicted)
-    scored = rows.withColumn("predicted", predicted).where("predicted IS NOT NULL")
-    medians = scored.groupBy(period).agg(F.median(target).alias("__med"))
-    ranked = scored.join(F.broadcast(medians), period).withColumn("rank", F.row_number().over(Window.partitionBy(period).orderBy(F.col("predicted").desc(), key)))
-    return ranked.where(F.col("rank") <= top_k).select(period, key, "rank", "predicted", (F.col(target) - F.col("__med")).alias("realized"))
+def walk_forward(frame: DataFrame, features: Sequence[str], target: str, period: str, key: str, top_k: int = 5, min_train: int = 2, folds: int = 5, all_scores: bool = False) -> DataFrame:
+    """Per period a model of the earlier ones alone, and its top_k rows (all of them with all_scores): (period, key, rank,
+    predicted, realized), realised over the period's median.
+
+    Medians for missing values, scaling, and the penalty (the one of least error over folds of the training rows) know the earlier
+    periods alone. Each row goes once to every later period, so the frame is read a fixed number of times, whatever the features;
+    what reaches the driver is a row of medians, and sums of products by fold, for each period.
+    """
+    names = list(features)
+    rows = frame.where(F.col(target).isNotNull() & F.col(period).isNotNull()).select(F.col(period).alias("__p"), F.col(key).alias("__k"), *(F.col(c).cast("double").alias(c) for c in names), F.col(target).cast("double").alias("__y"))
+    periods = [r[0] for r in rows.select("__p").distinct().orderBy("__p").collect()]  # as many as there are months or years
+    tests = periods[min_train:]
+    schema = f"`{period}` {dict(frame.dtypes)[period]}, `{key}` {dict(frame.dtypes)[key]}, rank int, predicted double, realized double"
+    spark = frame.sparkSession
+    if not tests:
+        return spark.createDataFrame([], schema)
+    later = rows.withColumn("__test", F.explode(F.filter(F.array(*map(F.lit, tests)), lambda t: t > F.col("__p"))))
+    medians = later.groupBy("__test").agg(*(F.median(c).alias(f"__m_{c}") for c in names)).collect()
+    held = spark.createDataFrame([(r["__test"], *(float(r[f"__m_{c}"] or 0.0) for c in names)) for r in medians], f"__test {dict(frame.dtypes)[period]}, " + ", ".join(f"`__m_{c}` double" for c in names))
+    fill = {c: F.coalesce(F.col(c), F.col(f"__m_{c}")) for c in names}
+    filled = later.join(held, "__test").withColumns(fill).withColumn("__fold", fold_of(F.col("__k"), folds))
+    moments = moments_by(filled, names, "__y", ["__test", "__fold"])
+    fitted = []
+    for t in tests:
+        parts = [m for (p, _), m in sorted(moments.items(), key=lambda x: x[0]) if p == t]
+        if parts:
+            intercept, beta, _ = lasso(reduce(lambda a, b: a + b, parts), select_alpha(parts, one_se=False))
+            fitted.append((t, float(intercept), *map(float, beta)))
+    models_of = spark.createDataFrame(fitted, f"__test {dict(frame.dtypes)[period]}, __b double, " + ", ".join(f"`__b_{c}` double" for c in names))
+    scored = rows.withColumnRenamed("__p", "__test").join(held, "__test").join(models_of, "__test").withColumns(fill)
+    scored = scored.withColumn("predicted", reduce(lambda acc, c: acc + F.col(c) * F.col(f"__b_{c}"), names, F.col("__b"))).select("__test", "__k", "__y", "predicted")
+    bench = rows.groupBy(F.col("__p").alias("__test")).agg(F.median("__y").alias("__med"))
+    ranked = scored.join(bench, "__test").withColumn("rank", F.row_number().over(Window.partitionBy("__test").orderBy(F.col("predicted").desc(), "__k")))
+    kept = ranked if all_scores else ranked.where(F.col("rank") <= top_k)
+    return kept.select(F.col("__test").alias(period), F.col("__k").alias(key), "rank", "predicted", (F.col("__y") - F.col("__med")).alias("realized"))
+
+
+def gate_of_periods(picks: DataFrame, period: str, fee: float = 0.14, n_boot: int = 10_000, seed: int = 42) -> DataFrame:
+    """One row: mean of the periods' mean returns, its bounds over resampled periods, both less the fee, how many periods there are,
+    and PASS if the lower bound stays above 0 after the fee."""
+    yearly = picks.groupBy(period).agg(F.avg("realized").alias("m"))
+    found = resample.mean_interval(yearly, "m", [period], n_boot, seed).drop("p").withColumnRenamed("mean", "mean_excess").crossJoin(yearly.agg(F.count("*").alias("n_periods")))
+    net = F.col("ci_low") - fee
+    return found.withColumns({"net_mean": F.col("mean_excess") - fee, "net_ci_low": net, "verdict": F.when(net > 0, "PASS").otherwise("FAIL")})
+
+
+def compare_feature_sets(frame: DataFrame, baseline: Sequence[str], extended: Sequence[str], target: str, period: str, key: str, top_k: int = 5) -> DataFrame:
+    """Per period: mean realised return of the top_k of either feature set, the rank correlation of all their predictions with what
+    came, and what the larger set adds to both."""
+    parts = []
+    for name, features in (("baseline", baseline), ("extended", extended)):
+        scores = walk_forward(frame, features, target, period, key, all_scores=True)
+        top = scores.where(F.col("rank") <= top_k).groupBy(period).agg(F.avg("realized").alias(f"{name}_top"))
+        parts.append(top.join(spearman_by(scores, period, "predicted", "realized").select(period, F.col("spearman").alias(f"{name}_spearman")), period, "left"))
+    both = parts[0].join(parts[1], period)
+    return both.withColumns({f"delta_{what}": F.col(f"extended_{what}") - F.col(f"baseline_{what}") for what in ("top", "spearman")})
 
 
 def ols_hc1(frame: DataFrame, features: Sequence[str], target: str) -> DataFrame:
@@ -234,7 +271,7 @@ def out_of_fold_means(frame: DataFrame, group: str, value: str) -> DataFrame:
     parts = frame.groupBy(group, "fold").agg(F.sum(value).alias("__ps"), F.count(value).alias("__pn"))
     folds = frame.groupBy("fold").agg(F.sum(value).alias("__fs"), F.count(value).alias("__fn"))
     overall = frame.agg(F.sum(value).alias("__as"), F.count(value).alias("__an"))
-    joined = frame.join(totals, group).join(parts, [group, "fold"]).join(F.broadcast(folds), "fold").crossJoin(F.broadcast(overall))
+    joined = frame.join(totals, group).join(parts, [group, "fold"]).join(folds, "fold").crossJoin(F.broadcast(overall))
     own = (F.col("__gs") - F.coalesce("__ps", F.lit(0))) / F.nullif(F.col("__gn") - F.col("__pn"), F.lit(0))
     rest = (F.col("__as") - F.col("__fs")) / F.nullif(F.col("__an") - F.col("__fn"), F.lit(0))
     return joined.withColumn("oof_mean", F.coalesce(own, rest)).select(*frame.columns, "oof_mean")
@@ -263,11 +300,8 @@ def shrunken_slopes(frame: DataFrame, group: str, x: str, y: str) -> DataFrame:
 
 def spearman_by(frame: DataFrame, period: str, a: str, b: str) -> DataFrame:
     """Rank correlation per period, ties at their average; null where one side doesn't vary."""
-    from tidemark.operators.windows import average_rank
-
-    rows = frame.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumns({"__ra": average_rank(a, [period]), "__rb": average_rank(b, [period])})
-    varies = (F.stddev_pop("__ra") > 0) & (F.stddev_pop("__rb") > 0)
-    return rows.groupBy(period).agg(F.when(varies, F.corr("__ra", "__rb")).alias("spearman"), F.count("*").alias("n"))
+    rows = windows.average_ranks(windows.average_ranks(frame.where(F.col(a).isNotNull() & F.col(b).isNotNull()), period, a, "__ra"), period, b, "__rb")
+    return rows.groupBy(period).agg((F.covar_pop("__ra", "__rb") / F.nullif(F.stddev_pop("__ra") * F.stddev_pop("__rb"), F.lit(0.0))).alias("spearman"), F.count("*").alias("n"))
 
 
 def boosted_importance(frame: DataFrame, features: Sequence[str], target: str, key: str, folds: int = 3, iterations: int = 10, depth: int = 3) -> DataFrame:

@@ -12,8 +12,8 @@ def month_features(grid: DataFrame, snapshots: DataFrame, deltas: tuple[int, ...
     """grid (key, entry_month, season) with odds_level, odds_delta_N and has_market.
 
     level: the last probability before the entry; delta_N: level less the last one before the earlier of entry - N days and the
-    level's own day. Without a market in the season all are 0; with a market but nothing earlier they are null. The level looks at
-    all seasons, so a market that opened before its season still tells.
+    level's own day, null if there is none. Where nothing is earlier than the entry all are 0 without a market in the season and
+    null with one. The level looks at all seasons, so it stays where an earlier season's market has ended.
     """
     rows = snapshots.select(key, F.col("day"), F.struct("day", "implied_prob").alias("__s"))
     found = asof.last_before(grid, rows, [key], "entry_month", "day", "__s", "__level")
@@ -22,7 +22,7 @@ def month_features(grid: DataFrame, snapshots: DataFrame, deltas: tuple[int, ...
         found = asof.last_before(found.withColumn("__cut", cut), rows, [key], "__cut", "day", "__s", f"__d{n}").drop("__cut")
     markets = snapshots.select(key, F.year("day").alias("season")).distinct().withColumn("__m", F.lit(True))
     out = found.join(markets, [key, "season"], "left").withColumn("has_market", F.coalesce("__m", F.lit(False)))
-    value = lambda c: F.when(~F.col("has_market"), F.lit(0.0)).otherwise(c)
+    value = lambda c: F.when(~F.col("has_market") & F.col("__level").isNull(), F.lit(0.0)).otherwise(c)
     level = F.col("__level.implied_prob")
     return out.select(*grid.columns, "has_market", value(level).alias("odds_level"), *(value(level - F.col(f"__d{n}.implied_prob")).alias(f"odds_delta_{n}") for n in deltas))
 

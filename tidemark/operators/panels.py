@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as f
@@ -49,80 +49,203 @@ def weekly_panel(weekly: DataFrame, entities: DataFrame, logs: DataFrame, info:
     return _known(_with_season_stats(panel, logs, "stat_season", "lag"), info, "week")
 
 
-def multi_year_panel(chart: DataFrame, logs: DataFrame, awards: DataFrame, info: DataFrame, entries_from: str | None = None) -> DataFrame:
-    """Item x grade x entry month: yearly hold returns, trailing features, career to date, pedigree, stage and awards."""
+#: Counts of top-level rows up to the entry, and those of lower levels by which the rate at the highest of them is known.
+CAREER = ("games", "home_runs", "stolen_bases", "hits", "at_bats", "walks", "hit_by_pitch", "sac_flies", "total_bases", "earned_runs", "outs", "strike_outs", "batters_faced")
+LOWER = ("games", "hits", "at_bats", "walks", "hit_by_pitch", "sac_flies", "total_bases", "earned_runs", "outs", "strike_outs", "batters_faced")
+
+
+def priced_entries(chart: DataFrame, entries_from: str | None = None) -> DataFrame:
+    """Item x grade x entry month: yearly hold returns, trailing features, and the market's median of the three months before."""
     keys = ["card_slug", "entity_id", "grade"]
-    months = a.last_in_month(chart, keys, ["psa_10", "ungraded"])
-    held = windows.hold_returns(months, ["card_slug", "grade"], entries_from=entries_from)
-    trailing = windows.trailing_features(months, ["card_slug", "grade"]).select(*keys, "month", "price_level", "ret_3m")
-    panel = windows.market_excess(held.join(trailing, [*keys, "month"], "left"), ["month"], "ret_3m", "excess_3m").withColumnRenamed("market_median", "market_ret_3m")
-    panel = panel.withColumn("lag", F.col("month") - F.expr("INTERVAL 1 DAY"))
-    top = F.col("level") == "mlb"
-    career = {
-        "career_games": (F.sum, F.col("games")),
-        "career_hits": (F.sum, F.col("hits")),
-        "career_at_bats": (F.sum, F.col("at_bats")),
-        "minor_games": (F.sum, F.when(~top, F.col("games"))),
-        "first_top": (F.min, F.when(top, F.col("date"))),
-        "first_top_season": (F.min, F.when(top, F.col("season"))),
-    }
-    panel = asof.asof_aggregate(panel, logs, ["entity_id"], "lag", "date", career)
-    panel = asof.count_to_date(panel, awards, ["entity_id"], "lag", "event_date", "awards")
+    months = windows.trailing_features(a.last_in_month(chart, keys, ["psa_10", "ungraded"]), ["card_slug", "grade"])
+    held = windows.hold_returns(months, ["card_slug", "grade"])
+    market = months.groupBy("month").agg(F.median("ret_3m").alias("market_ret_3m"))
+    rows = held if entries_from is None else held.where(F.col("month") >= F.lit(entries_from).cast("timestamp"))
+    return rows.join(market, "month", "left")
+
+
+def career_features(entries: DataFrame, logs: DataFrame, awards: DataFrame, info: DataFrame) -> DataFrame:
+    """entries (entity_id, month) with the career up to the day before: top-level counts and rates of the entity's role, what it
+    did below, its stage, awards and age. One pass over an entity's rows tells both the top level and those below.
+
+    Top-level counts and rates are null for who never has a row there; rates below are those of the highest level alone.
+    """
+    top, rank = F.col("level") == "mlb", a.level_rank(F.col("level"))
+    sums = {f"t_{c}": (F.sum, F.when(top, F.col(c))) for c in CAREER}
+    sums |= {f"l{k}_{c}": (F.sum, F.when(rank == k, F.col(c))) for k in range(1, len(a.LEVELS) + 1) for c in LOWER}
+    sums |= {"first_top": (F.min, F.when(top, F.col("date"))), "first_top_season": (F.min, F.when(top, F.col("season")))}
+    lagged = entries.withColumn("__lag", F.col("month") - F.expr("INTERVAL 1 DAY"))
+    rows = asof.asof_aggregate(lagged, logs, ["entity_id"], "__lag", "date", sums)
+    rows = asof.count_to_date(rows, awards, ["entity_id"], "__lag", "event_date", "awards_to_date")
+    own = logs.groupBy("entity_id").agg(F.min_by("role", F.struct("date", "game_id")).alias("role"), F.min("season").alias("first_season"), F.max(top.cast("int")).alias("__top"))
+    rows = rows.join(own, "entity_id", "left").withColumn("role", F.coalesce("role", F.lit("hitting")))
+    known = F.col("__top") == 1
+    rows = rows.withColumns({c: F.when(known, F.coalesce(f"t_{c}", F.lit(0))) for c in CAREER})
+    rows = a.pitching_rates(a.hitting_rates(rows))
+    hitter = F.col("role") == "hitting"
+    level = F.coalesce(*(F.when(F.col(f"l{k}_games") > 0, F.lit(k)) for k in range(len(a.LEVELS), 0, -1)), F.lit(0))
+    rows = rows.withColumns({c: F.when(hitter, F.col(c)) for c in ("avg", "obp", "slg", "ops")} | {c: F.when(~hitter, F.col(c)) for c in ("era", "whip", "k_bb_pct")})
+    rows = rows.withColumns({"max_level_rank": level, "minor_games": sum((F.coalesce(f"l{k}_games", F.lit(0)) for k in range(1, len(a.LEVELS) + 1)), F.lit(0).cast("bigint"))})
+    rows = rows.withColumn("rate_at_max_level", F.when(hitter, _at_level("ops")).otherwise(_at_level("era")))
     years = f.season_year(F.col("month")) - F.col("first_top_season")
-    stage = F.when(F.col("first_top").isNull(), "prospect").when(years <= 0, "rookie").when(years == 1, "sophomore").otherwise("established")
-    out = panel.join(info, "entity_id", "left").withColumns(
-        {
-            "career_avg": F.col("career_hits") / F.nullif("career_at_bats", F.lit(0)),
-            "career_stage": stage,
-            "age_at_debut": F.datediff(F.coalesce("first_top", "month"), F.col("birth_date")) / 365.25,
-        }
-    )
-    return out.drop("lag", "name", "birth_date", "career_hits", "first_top", "first_top_season")
+    stage = F.when(F.col("first_top").isNull(), "prospect").when(years <= 0, "rookie_year").when(years == 1, "sophomore").otherwise("established")
+    rows = rows.join(info.select("entity_id", "birth_date", "position"), "entity_id", "left")
+    rows = rows.withColumns({"career_stage": stage, "age": f.years_between(F.col("month"), F.col("birth_date"), None)})
+    keep = ["role", "first_season", *CAREER, "avg", "obp", "slg", "ops", "era", "whip", "k_bb_pct", "max_level_rank", "minor_games", "rate_at_max_level", "career_stage", "awards_to_date", "age", "position", "birth_date", "first_top"]
+    return rows.select(*entries.columns, *keep)
+
+
+def _at_level(rate: str) -> Column:
+    """The rate of the counts of the highest level that has games."""
+    out = []
+    for k in range(len(a.LEVELS), 0, -1):
+        c = {x: F.col(f"l{k}_{x}") for x in LOWER}
+        if rate == "era":
+            value = f.ratio(c["earned_runs"] * 27, c["outs"])
+        else:
+            on_base = f.ratio(c["hits"] + c["walks"] + c["hit_by_pitch"], c["at_bats"] + c["walks"] + c["hit_by_pitch"] + c["sac_flies"])
+            value = F.round(on_base + f.ratio(c["total_bases"], c["at_bats"]), 3)
+        out.append((c["games"] > 0, value))
+    case = F.when(*out[0])
+    for cond, value in out[1:]:
+        case = case.when(cond, value)
+    return case
+
+
+def multi_year_panel(chart: DataFrame, logs: DataFrame, awards: DataFrame, info: DataFrame, entries_from: str | None = None) -> DataFrame:
+    """Item x grade x entry month: prices as in priced_entries(), the career as in career_features() for each entity and month, and
+    the age at the debut, or now if there was none yet."""
+    panel = priced_entries(chart, entries_from)
+    career = career_features(panel.select("entity_id", "month").distinct(), logs, awards, info)
+    debut = F.datediff(F.coalesce("first_top", "month"), F.col("birth_date")) / 365.25
+    return panel.join(career, ["entity_id", "month"], "left").withColumn("age_at_debut", debut).drop("birth_date", "first_top")
+
+
+def projections(logs: DataFrame, seasons: DataFrame, prior: float = 1200) -> DataFrame:
+    """(entity_id, season, played, recent): the weighed sums of the up to three seasons before that the entity played, the last one
+    first (a season that it missed lets the older ones move up), of which marcel_rate() makes a projection."""
+    lines = a.sums_with_rates(logs, ["entity_id", "season"], "hitting").unionByName(a.sums_with_rates(logs, ["entity_id", "season"], "pitching"))
+    usable = lines.where("rate IS NOT NULL AND weight > 0")
+    later = usable.withColumn("prior", F.col("season")).withColumn("season", F.explode(F.array(*(F.col("prior") + k for k in (1, 2, 3)))))
+    met = later.join(seasons.select("entity_id", "season").distinct(), ["entity_id", "season"], "left_semi")
+    ranked = met.withColumn("__w", F.lit(6) - F.row_number().over(Window.partitionBy("entity_id", "season").orderBy(F.col("prior").desc())))
+    return ranked.groupBy("entity_id", "season").agg(F.sum(F.col("__w") * F.col("weight")).alias("played"), F.sum(F.col("__w") * F.col("rate") * F.col("weight")).alias("recent"))
+
+
+def paces(entries: DataFrame, logs: DataFrame) -> DataFrame:
+    """entries (entity_id, month, season, role) with pace_rate: the season's rate from rows strictly before the month, unrounded."""
+    counts = ("hits", "at_bats", "walks", "hit_by_pitch", "sac_flies", "total_bases", "earned_runs", "outs")
+    found = asof.asof_aggregate(entries, logs, ["entity_id", "season"], "month", "date", {f"__{c}": (F.sum, F.col(c)) for c in counts}, inclusive=False)
+    c = {x: F.col(f"__{x}") for x in counts}
+    on_base = (c["hits"] + c["walks"] + c["hit_by_pitch"]) / F.nullif(c["at_bats"] + c["walks"] + c["hit_by_pitch"] + c["sac_flies"], F.lit(0))
+    ops, era = on_base + c["total_bases"] / F.nullif(c["at_bats"], F.lit(0)), c["earned_runs"] * 27 / F.nullif(c["outs"], F.lit(0))
+    return found.select(*entries.columns, F.when(F.col("role") == "hitting", ops).otherwise(era).alias("pace_rate"))
+
+
+def class_panel(chart: DataFrame, logs: DataFrame, awards: DataFrame, info: DataFrame, expectations: DataFrame, classes: DataFrame, visible_from: int = 2020, prior: float = 1200) -> DataFrame:
+    """Item x grade x entry month of the classes (entity_id, class_year, card_type): prices, the career so far, what sources
+    expected, and the surprise: the season's pace before the entry less its projection. A higher earned-run pace is worse, so the
+    sign of surprise_era is that of surprise_ops turned round.
+
+    The projection draws towards the league's mean of the season from rows before the entry; without one there is none.
+    """
+    panel = priced_entries(chart)
+    entries = panel.select("entity_id", "month").distinct()
+    career = career_features(entries, logs, awards, info).drop("first_top", "birth_date")
+    career = career.withColumns({"season": f.season_year(F.col("month")).cast("bigint"), "price_visible_breakout": F.coalesce("first_season", F.lit(9999)) >= visible_from})
+    of_class = career.join(classes, "entity_id", "left")
+    known = expectation_features(of_class.select("entity_id", "season", F.col("month").alias("entry_month"), "class_year"), expectations).withColumnRenamed("entry_month", "month").drop("class_year")
+    top = logs.where("level = 'mlb'")
+    rows = paces(of_class, top).join(known, ["entity_id", "month", "season"], "left").join(projections(top, career), ["entity_id", "season"], "left")
+    rows = rows.join(a.league_means_to_date(top), ["season", "role", "month"], "left")
+    marcel = F.when(F.col("league_mean").isNotNull() & (F.col("played") > 0), (F.col("recent") + F.col("league_mean") * prior) / (F.col("played") + prior))
+    rows = rows.withColumn("marcel_rate", marcel).drop("played", "recent", "league_mean", "first_season")
+    surprise = F.col("pace_rate") - F.col("marcel_rate")
+    rows = rows.withColumns({"surprise_ops": F.when(F.col("role") == "hitting", surprise), "surprise_era": F.when(F.col("role") == "pitching", surprise)})
+    return panel.join(rows, ["entity_id", "month"], "left")
 
 
 def expectation_features(entries: DataFrame, expectations: DataFrame) -> DataFrame:
-    """entries (entity_id, season, entry_month) with what sources said before the entry: the least rank of the season and its
-    change from the season before, the highest grade, and the least draft rank of this season or the one before."""
-    both = entries.select("entity_id", "entry_month", F.col("season"), F.explode(F.array(F.col("season"), F.col("season") - 1)).alias("__s"))
-    said = expectations.select("entity_id", F.col("season").alias("__s"), "source", "rank", "fv", "as_of")
-    met = both.join(said, ["entity_id", "__s"]).where(F.col("as_of") < F.col("entry_month"))
-    now, ranked = F.col("__s") == F.col("season"), F.col("source") == "pipeline"
-    sums = met.groupBy("entity_id", "entry_month", "season").agg(
+    """entries (entity_id, season, entry_month, class_year) with what sources said before the entry: the least rank of the season
+    and its change from the season before, the highest grade of the season, and the least draft rank of the class year or the
+    year before it. season is the season's year, which November and December open."""
+    seasons = F.array_distinct(F.filter(F.array("season", F.col("season") - 1, F.col("class_year").cast("bigint"), F.col("class_year").cast("bigint") - 1), lambda x: x.isNotNull()))
+    keys = ["entity_id", "entry_month", "season"]
+    asked = entries.select(*keys, "class_year").distinct().withColumn("__s", F.explode(seasons))
+    said = expectations.where(F.col("entity_id").isNotNull()).select("entity_id", F.col("season").alias("__s"), "source", "rank", "fv", "as_of")
+    met = asked.join(said, ["entity_id", "__s"]).where(F.col("as_of") < F.col("entry_month"))
+    now, before, drafted = F.col("__s") == F.col("season"), F.col("__s") == F.col("season") - 1, F.col("__s").isin(F.col("class_year"), F.col("class_year") - 1)
+    ranked = F.col("source") == "pipeline"
+    sums = met.groupBy(*keys).agg(
         F.min(F.when(ranked & now, F.col("rank"))).alias("pipeline_rank"),
-        F.min(F.when(ranked & ~now, F.col("rank"))).alias("__before"),
+        F.min(F.when(ranked & before, F.col("rank"))).alias("__before"),
         F.max(F.when((F.col("source") == "scouts") & now, F.col("fv"))).alias("fv"),
-        F.min(F.when(F.col("source") == "draft", F.col("rank"))).alias("draft_rank"),
+        F.min(F.when((F.col("source") == "draft") & drafted, F.col("rank"))).alias("draft_rank"),
     )
-    out = entries.join(sums, ["entity_id", "entry_month", "season"], "left")
+    out = entries.join(sums, keys, "left")
     return out.withColumn("rank_change", F.col("pipeline_rank") - F.col("__before")).drop("__before")
 
 
-def modelling_frame(panel: DataFrame, gap: str, most_gap: int, target: str = "excess_ret") -> DataFrame:
-    """Rows whose return spans a short gap (or a null one) and whose target is there."""
-    return panel.where((F.col(gap).isNull() | (F.col(gap) <= most_gap)) & F.col(target).isNotNull())
+def modelling_frame(panel: DataFrame, gap: str, most_gap: int, target: str = "excess_ret", season: str | None = None, rookie_year: str | None = None, position: str | None = None) -> DataFrame:
+    """Rows whose return spans a short gap (or a null one) and whose target is there, with years_since_rookie and position_group
+    where the panel has what they come from."""
+    rows = panel.where((F.col(gap).isNull() | (F.col(gap) <= most_gap)) & F.col(target).isNotNull())
+    if season is not None and rookie_year is not None:
+        rows = rows.withColumn("years_since_rookie", F.col(season) - F.col(rookie_year))
+    return rows if position is None else rows.withColumn("position_group", f.position_group(F.col(position)))
+
+
+def _held(panel: DataFrame, target: str) -> DataFrame:
+    """Features that both hold frames have."""
+    games = F.col("games").cast("double")
+    flag = lambda cond: F.coalesce(cond, F.lit(False)).cast("int")
+    return panel.where(F.col(target).isNotNull()).withColumns(
+        {
+            "entry_year": F.year("month"),
+            "career_hr_rate": F.when(games > 0, F.col("home_runs") / games).otherwise(F.lit(0.0)),
+            "log_career_games": F.log1p(games),
+            "log_minor_games": F.log1p(F.col("minor_games").cast("double")),
+            "sophomore": flag(F.col("career_stage") == "sophomore"),
+            "established": flag(F.col("career_stage") == "established"),
+        }
+    )
+
 
+#: The features of the hold models, in order.
+HOLD_FEATURES = ("career_ops", "career_hr_rate", "log_career_games", "max_level_rank", "rate_at_max_level", "log_minor_games", "awards_to_date", "age", "age_at_debut", "price_level", "ret_3m", "market_ret_3m", "sophomore", "established", "first_issue", "years_since_rookie")
+CLASS_HOLD_FEATURES = ("career_ops", "career_hr_rate", "log_career_games", "max_level_rank", "rate_at_max_level", "log_minor_games", "awards_to_date", "age", "age_at_debut", "price_level", "ret_3m", "market_ret_3m", "sophomore", "established", "prospect", "years_since_class", "surprise_ops", "draft_rank")
+CLASS_PITCHER_FEATURES = ("career_era", "career_k_bb_pct", *CLASS_HOLD_FEATURES[2:-2], "surprise_era_flipped", "draft_rank")
 
-def hold_frame(panel: DataFrame, target: str, logs1p: list[str], impute: list[str], categories: dict[str, list[str]]) -> DataFrame:
-    """Rows of hitters with a target: log1p of counts, an indicator for each category after the first, medians of the whole
-    frame for missing values. A null position is no pitcher."""
-    rows = panel.where(~F.col("position").eqNullSafe("P") & F.col(target).isNotNull())
-    rows = rows.withColumns({c: F.log1p(F.coalesce(c, F.lit(0)).cast("double")) for c in logs1p})
-    rows = rows.withColumns({f"{c}_{v}": F.coalesce(F.col(c) == v, F.lit(False)).cast("double") for c, vs in categories.items() for v in vs[1:]})
-    medians = rows.agg(*(F.median(c).alias(f"__{c}") for c in impute))
-    return rows.crossJoin(F.broadcast(medians)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__{c}")) for c in impute}).drop(*(f"__{c}" for c in impute))
+
+def hold_frame(panel: DataFrame, classes: DataFrame, target: str) -> DataFrame:
+    """(keys, entry_year, target, HOLD_FEATURES): rows of hitters of the multi-year panel with a target; what is missing in a
+    feature is its median over the whole frame. A null position is no pitcher."""
+    rows = _held(panel.where(~F.col("position").eqNullSafe("P")), target).join(classes, "entity_id", "left")
+    rows = rows.withColumns({"career_ops": F.col("ops"), "first_issue": F.coalesce(F.col("card_type") == "first", F.lit(False)).cast("int"), "years_since_rookie": f.season_year(F.col("month")) - F.col("class_year")})
+    medians = rows.agg(*(F.median(c).alias(f"__{c}") for c in HOLD_FEATURES))
+    filled = rows.crossJoin(F.broadcast(medians))  # one row
+    return filled.select("card_slug", "entity_id", "grade", "month", "entry_year", target, *(F.coalesce(F.col(c).cast("double"), F.col(f"__{c}")).alias(c) for c in HOLD_FEATURES))
 
 
 def class_hold_frame(panel: DataFrame, debuts: DataFrame, info: DataFrame, target: str, pitchers: bool) -> DataFrame:
-    """Rows of one group with a target; the age at debut is null if the debut lies after the entry; an earned-run surprise
-    counts with its sign turned. Nothing is imputed."""
+    """(keys, entry_year, target, features of both groups): rows of one group of the class panel with a target. The age at debut is
+    null if the debut lies after the entry; an earned-run surprise counts with its sign turned. Nothing is imputed."""
     is_pitcher = F.col("position").eqNullSafe("P")
     first = debuts.groupBy("entity_id").agg(F.min("event_date").alias("__debut"))
-    rows = panel.drop("age_at_debut", "position").join(info.select("entity_id", "birth_date", "position"), "entity_id", "left").where(is_pitcher if pitchers else ~is_pitcher)
-    rows = rows.where(F.col(target).isNotNull()).join(first, "entity_id", "left")
-    age = F.when(F.col("__debut") <= F.col("month"), F.datediff("__debut", "birth_date") / 365.25)
-    sign = -1 if pitchers else 1
-    out = rows.withColumn("age_at_debut", age).drop("__debut", "birth_date")
-    return out.withColumn("surprise", F.col("surprise") * sign) if "surprise" in out.columns else out
+    rows = _held(panel.where(is_pitcher if pitchers else ~is_pitcher), target).join(first, "entity_id", "left").join(info.select("entity_id", "birth_date"), "entity_id", "left")
+    rows = rows.withColumns(
+        {
+            "career_ops": F.col("ops"),
+            "career_era": F.col("era"),
+            "career_k_bb_pct": F.col("k_bb_pct"),
+            "prospect": F.coalesce(F.col("career_stage") == "prospect", F.lit(False)).cast("int"),
+            "years_since_class": f.season_year(F.col("month")) - F.col("class_year"),
+            "age_at_debut": F.when(F.col("__debut") <= F.col("month"), F.datediff("__debut", "birth_date") / 365.25),
+            "surprise_era_flipped": -F.col("surprise_era"),
+        }
+    )
+    features = dict.fromkeys([*CLASS_HOLD_FEATURES, *CLASS_PITCHER_FEATURES])
+    return rows.select("card_slug", "entity_id", "grade", "month", "entry_year", target, "class_year", "card_type", "position", "career_stage", *features)
 
 
 def standardize(frame: DataFrame, columns: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import scratch
+
 
 def draw(seed: int, rep: Column, slot: Column, n: Column) -> Column:
     """A place from 0 to n - 1, with replacement."""
@@ -16,22 +18,71 @@ def draw_sql(seed: int, rep: str, slot: str, n: str) -> str:
     return f"(CAST('0x' || substr(md5('{seed}:' || CAST({rep} AS VARCHAR) || ':' || CAST({slot} AS VARCHAR)), 1, 8) AS BIGINT) % ({n}))"
 
 
+def draws_sql(seed: int, n_reps: int, pool: str, slots: str = "z") -> str:
+    """(rep, i): as many draws from the pool as it has rows, or as `slots` gives."""
+    return f"SELECT rep, {draw_sql(seed, 'rep', 'slot', 'z')} AS i FROM range({n_reps}) r(rep), (SELECT z, unnest(range({slots})) AS slot FROM (SELECT count(*) AS z FROM {pool}))"
+
+
+def _numbered(pool: DataFrame, order: list[str]) -> DataFrame:
+    """pool with its place `__i` in the order, and its size `__n`; draws name rows by these places. Ranges of the order are
+    written and counted, so no task sorts the whole pool, and a range that is read again is the same."""
+    spark = pool.sparkSession
+    path = scratch(spark, "numbered")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pool.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    sizes = ranged.groupBy("__p").agg(F.count("*").alias("__c"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    sizes = sizes.select("__p", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before"), F.sum("__c").over(Window.partitionBy()).alias("__n"))
+    own = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
+    return ranged.withColumn("__own", own).join(F.broadcast(sizes), "__p").withColumn("__i", F.col("__own") + F.col("__before")).drop("__own", "__before", "__p")
+
+
 def replicates(pool: DataFrame, n_reps: int, seed: int, order: list[str]) -> DataFrame:
-    """(rep, row of pool) for replicates of as many draws as the pool has rows.
+    """(rep, row of pool), a row for each draw, for replicates of as many draws as the pool has rows."""
+    times = drawn(pool, n_reps, seed, order)
+    return times.withColumn("__t", F.explode(F.sequence(F.lit(1), "times"))).drop("__t", "times")
+
 
-    The pool is a table of periods or events: it is numbered in one place, and the replicates are spread. It is joined without a hint,
-    as the number of events has no bound.
+def drawn(pool: DataFrame, n_reps: int, seed: int, order: list[str]) -> DataFrame:
+    """(rep, row of pool, times): how often each replicate draws the row, if it does.
+
+    Each slot of a replicate is a row of its own, made where the pool's rows are: slots are as many as rows, so every numbered row
+    brings the slot of its number, and draws meet the pool by number. The pool is joined without a hint, as its size has no bound.
     """
-    numbered = pool.withColumn("__i", F.row_number().over(Window.orderBy(*order)) - 1)
-    size = pool.agg(F.count("*").alias("__n"))
-    slots = pool.sparkSession.range(n_reps).withColumnRenamed("id", "rep").crossJoin(F.broadcast(size)).where("__n > 0")
-    slots = slots.withColumn("__slot", F.explode(F.sequence(F.lit(0), F.col("__n").cast("int") - 1)))
-    return slots.withColumn("__i", draw(seed, F.col("rep"), F.col("__slot"), F.col("__n"))).join(numbered, "__i").drop("__i", "__n", "__slot")
+    numbered = _numbered(pool, order)
+    slots = numbered.select(F.col("__i").alias("__slot"), "__n").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_reps - 1))))
+    draws = slots.select("rep", draw(seed, F.col("rep"), F.col("__slot"), F.col("__n")).alias("__i")).groupBy("rep", "__i").agg(F.count("*").alias("times"))
+    return draws.join(numbered.drop("__n"), "__i").drop("__i")
 
 
-def mean_interval(pool: DataFrame, value: str, order: list[str], n_reps: int, seed: int = 42) -> DataFrame:
-    """(mean, ci_low, ci_high, share_positive, p): mean, bounds of the bootstrapped mean, and the share of it at or below 0."""
-    of_pool = pool.agg(F.avg(value).alias("mean"), F.avg((F.col(value) > 0).cast("int")).alias("share_positive"))
-    boot = replicates(pool, n_reps, seed, order).groupBy("rep").agg(F.avg(value).alias("m"))
+def mean_interval(pool: DataFrame, value: str, order: list[str], n_reps: int = 10_000, seed: int = 42) -> DataFrame:
+    """(mean, ci_low, ci_high, p): mean, bounds of the bootstrapped mean, and the share of it at or below 0."""
+    of_pool = pool.agg(F.avg(value).alias("mean"))
+    weighed = F.sum(F.col(value) * F.col("times")) / F.sum(F.when(F.col(value).isNotNull(), F.col("times")))
+    boot = drawn(pool, n_reps, seed, order).groupBy("rep").agg(weighed.alias("m"))
     bounds = boot.agg(F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"), F.avg((F.col("m") <= 0).cast("int")).alias("p"))
     return of_pool.crossJoin(bounds)
+
+
+def spread_summary(spreads: DataFrame, period: str, n_reps: int = 10_000, seed: int = 42) -> DataFrame:
+    """One row: mean of the yearly means and its bounds over resampled years, months, and the share of months above 0."""
+    rows = spreads.where(F.col("spread").isNotNull())
+    yearly = rows.groupBy(F.year(period).alias("year")).agg(F.avg("spread").alias("m"))
+    months = rows.agg(F.count("*").alias("n_months"), F.avg((F.col("spread") > 0).cast("double")).alias("share_positive"))
+    return mean_interval(yearly, "m", ["year"], n_reps, seed).drop("p").withColumnRenamed("mean", "mean_spread").crossJoin(months)
+
+
+def significance(observed: DataFrame, value: str, pool: DataFrame, pool_value: str, order: list[str], n_perm: int = 5000, seed: int = 42) -> DataFrame:
+    """(observed, n_events, p_value): two-sided share of permutations, means of as many draws from the pool as there are observed
+    rows, that lie as far out as the observed mean. Draws are made by range of permutations, and met by number."""
+    size = observed.agg(F.avg(value).alias("observed"), F.count("*").alias("n_events"))
+    numbered = _numbered(pool.where(F.col(pool_value).isNotNull()).select(*order, pool_value), order)
+    total = numbered.agg(F.max("__n").alias("__n"))
+    parts = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    reps = pool.sparkSession.range(0, n_perm, 1, parts).withColumnRenamed("id", "rep").crossJoin(F.broadcast(size)).crossJoin(F.broadcast(total)).where("n_events > 0 AND __n > 0")
+    slots = reps.withColumn("__slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_events") - 1)))
+    draws = slots.select("rep", "observed", "n_events", draw(seed, F.col("rep"), F.col("__slot"), F.col("__n")).alias("__i"))
+    means = draws.join(numbered.select("__i", pool_value), "__i").groupBy("rep", "observed", "n_events").agg(F.avg(pool_value).alias("__m"))
+    share = F.avg((F.abs("__m") >= F.abs("observed")).cast("double"))
+    return means.groupBy("observed", "n_events").agg(share.alias("p_value"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as f
+from tidemark.session import scratch
 
 
 def observed_returns(series: DataFrame, keys: list[str], period: str, price: str, unit: str = "days") -> DataFrame:
@@ -24,12 +25,12 @@ def market_excess(panel: DataFrame, period: list[str], value: str = "log_ret", t
 
 
 def hold_returns(months: DataFrame, keys: list[str], horizons: tuple[int, ...] = (6, 12, 24, 36), entries_from: str | None = None) -> DataFrame:
-    """Yearly log returns from each month to the month exactly h later; null where that month or a price is missing."""
-    ends = months.select(*keys, f.month_index(F.col("month")).alias("__end"), F.nullif("price", F.lit(0.0)).alias("__later"))
-    entries = months if entries_from is None else months.where(F.col("month") >= F.lit(entries_from).cast("timestamp"))
-    probes = entries.withColumn("__h", F.explode(F.array(*map(F.lit, horizons)))).withColumn("__end", f.month_index(F.col("month")) + F.col("__h"))
-    held = probes.join(ends, [*keys, "__end"], "left").withColumn("__ret", F.log(F.col("__later") / F.nullif("price", F.lit(0.0))) / (F.col("__h") / 12.0))
-    return held.groupBy(*months.columns).agg(*(F.max(F.when(F.col("__h") == h, F.col("__ret"))).alias(f"ret_{h}m") for h in horizons))
+    """Yearly log returns from each month to the month exactly h later; null where that month or a price is missing. The frames
+    of all horizons share one sort."""
+    at, now = f.month_index(F.col("month")), F.nullif("price", F.lit(0.0))
+    later = {h: F.max(now).over(Window.partitionBy(*keys).orderBy(at).rangeBetween(h, h)) for h in horizons}
+    held = months.withColumns({f"ret_{h}m": F.log(p / now) / (h / 12.0) for h, p in later.items()})
+    return held if entries_from is None else held.where(F.col("month") >= F.lit(entries_from).cast("timestamp"))
 
 
 def trailing_features(months: DataFrame, keys: list[str]) -> DataFrame:
@@ -58,15 +59,14 @@ def breakouts(logs: DataFrame, score: Column, usable: Column, weight: Column, an
     return rows.where(enough if any_row else enough & F.col("__usable")).drop("__usable", "__w", "__u", "__mean", "__sd", "__weight")
 
 
-def drop_overlaps(events: DataFrame, keys: list[str], date: str, days: int = 14) -> DataFrame:
-    """Per key, an event within `days` of the last kept one goes: sequential, so a fold over the key's sorted dates."""
-    dates = F.array_sort(F.collect_set(date))
-    kept = F.aggregate(
-        F.col("__dates"),
-        F.array().cast("array<timestamp_ntz>"),
-        lambda acc, d: F.when((F.size(acc) == 0) | (F.datediff(d, F.element_at(acc, -1)) > days), F.array_append(acc, d)).otherwise(acc),
-    )
-    return events.groupBy(*keys).agg(dates.cast("array<timestamp_ntz>").alias("__dates")).select(*keys, F.explode(kept).alias(date))
+def drop_overlaps(events: DataFrame, keys: list[str], date: str, days: int = 14, order: list[str] | None = None) -> DataFrame:
+    """Per key, an event within `days` of the last kept one goes: sequential, so a fold over the key's sorted rows. Whole rows
+    stay; of rows of one date the first by the other columns does, or by `order`."""
+    others = [c for c in events.columns if c not in (*keys, date, *(order or []))]
+    item = F.struct(F.col(date), *(F.col(c) for c in order or [] if c != date), *others)
+    rows = events.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("__rows"))
+    kept = F.aggregate("__rows", F.slice("__rows", 1, 0), lambda acc, r: F.when((F.size(acc) == 0) | (F.datediff(r[date], F.element_at(acc, -1)[date]) > days), F.array_append(acc, r)).otherwise(acc))
+    return rows.select(*keys, F.explode(kept).alias("__r")).select(*(F.col(c) if c in keys else F.col(f"__r.{c}").alias(c) for c in events.columns))
 
 
 def spikes(snapshots: DataFrame, keys: list[str], day: str, prob: str, least: float = 0.10, rows: int = 30, times: float = 3.0, least_rows: int = 5) -> DataFrame:
@@ -112,15 +112,27 @@ def top_per_period(frame: DataFrame, period: list[str], score: str, k: int, tie:
     return frame.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def average_rank(value: str, period: list[str]) -> Column:
-    w = Window.partitionBy(*period)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*period, value)) - 1) / 2
+def average_ranks(frame: DataFrame, period: str, value: str, to: str) -> DataFrame:
+    """frame with the rank of the value in its period, ties at their average. Distinct values are counted, and the counts numbered
+    by ranges that are written first, so no task holds a period, and a range that is read again is the same."""
+    spark = frame.sparkSession
+    path, parts = scratch(spark, "ranks"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = frame.where(F.col(value).isNotNull()).groupBy(F.col(period).alias("__period"), F.col(value).alias("__value")).agg(F.count("*").alias("__c"))
+    counts.repartitionByRange(parts, "__period", "__value").withColumn("__part", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    before = Window.partitionBy("__period").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sums = ranged.groupBy("__period", "__part").agg(F.sum("__c").alias("__s")).withColumn("__before", F.coalesce(F.sum("__s").over(before), F.lit(0))).drop("__s")
+    own = Window.partitionBy("__period", "__part").orderBy("__value").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = ranged.withColumn("__own", F.coalesce(F.sum("__c").over(own), F.lit(0))).join(sums, ["__period", "__part"])
+    ranked = ranked.select("__period", "__value", (F.col("__before") + F.col("__own") + (F.col("__c") + 1) / 2).alias(to))
+    return frame.join(ranked, (F.col(period) == F.col("__period")) & (F.col(value) == F.col("__value")), "left").drop("__period", "__value")
 
 
 def quantile_spread(frame: DataFrame, score: str, target: str, period: str, q: int = 5) -> DataFrame:
-    """Mean target of the top bucket less that of the bottom one, per period with at least 2 q rows; ties share a rank."""
-    rows = frame.where(F.col(score).isNotNull() & F.col(target).isNotNull())
-    ranked = rows.withColumns({"__r": average_rank(score, [period]), "__n": F.count("*").over(Window.partitionBy(period))})
+    """Mean target of the top bucket less that of the bottom one, per period with at least 2 q scored rows; ties share a rank."""
+    rows = frame.where(F.col(score).isNotNull())
+    sizes = rows.groupBy(period).agg(F.count("*").alias("__n")).where(F.col("__n") >= 2 * q)
+    ranked = average_ranks(rows, period, score, "__r").join(sizes, period)
     bucket = F.least(F.greatest(F.ceil(F.col("__r") / F.col("__n") * q), F.lit(1)), F.lit(q))
     top, bottom = (F.avg(F.when(F.col("__b") == b, F.col(target))) for b in (q, 1))
-    return ranked.where(F.col("__n") >= 2 * q).withColumn("__b", bucket).groupBy(period).agg((top - bottom).alias("spread"), F.count("*").alias("n"))
+    return ranked.withColumn("__b", bucket).groupBy(period).agg((top - bottom).alias("spread"), F.count("*").alias("n"))

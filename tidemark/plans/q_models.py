@@ -33,10 +33,6 @@ def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _picked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.walk_forward(frame(spark, sf_dir), FEATURES, "y", "year", "row_id")
-
-
 @query()
 def m01_m03_lasso(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.lasso_cv(frame(spark, sf_dir), FEATURES, "y", "row_id")
@@ -44,7 +40,7 @@ def m01_m03_lasso(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def m02_stability_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.stability_selection(frame(spark, sf_dir), FEATURES, "y", "row_id", n_boot=20)
+    return models.stability_selection(frame(spark, sf_dir), FEATURES, "y", "row_id")
 
 
 @query()
@@ -85,7 +81,7 @@ def m08_importance_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Methods and features in one long table."""
     rows = frame(spark, sf_dir)
     lasso = models.lasso_cv(rows, FEATURES, "y", "row_id").select(F.lit("lasso").alias("method"), "feature", F.abs("coefficient").alias("value"))
-    stable = models.stability_selection(rows, FEATURES, "y", "row_id", n_boot=10).select(F.lit("stability").alias("method"), "feature", F.col("share").alias("value"))
+    stable = models.stability_selection(rows, FEATURES, "y", "row_id").select(F.lit("stability").alias("method"), "feature", F.col("share").alias("value"))
     return lasso.unionByName(stable)
 
 
@@ -137,24 +133,28 @@ def m11_shrunken_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def r06_r07_w14_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _picked(spark, sf_dir)
+    """By year, and by quarter with a longer first training span and fewer picks."""
+    rows = frame(spark, sf_dir)
+    yearly = models.walk_forward(rows, FEATURES, "y", "year", "row_id").select(F.lit("year").alias("grain"), F.col("year").alias("period"), "row_id", "rank", "predicted", "realized")
+    quarters = rows.withColumn("quarter", F.col("year") * 10 + F.ceil((F.col("days") % 365.25 + 1) / 92).cast("int"))
+    quarterly = models.walk_forward(quarters, FEATURES, "y", "quarter", "row_id", top_k=2, min_train=6)
+    return yearly.unionByName(quarterly.select(F.lit("quarter").alias("grain"), F.col("quarter").alias("period"), "row_id", "rank", "predicted", "realized"))
 
 
 @query()
 def r08_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The walk-forward of each cell of a short list; one cell is registered, the others describe."""
+    """The gate over the walk-forward of each cell of a short list; one cell is registered, the others describe."""
     rows = frame(spark, sf_dir)
-    cells = [models.walk_forward(rows.where(F.col("l_returnflag") == flag), FEATURES, "y", "year", "row_id").agg(F.count("*").alias("n"), F.avg("realized").alias("mean")).select(F.lit(flag).alias("cell"), F.lit(flag == "A").alias("registered"), "n", "mean") for flag in ("A", "N", "R")]
+    cells = []
+    for flag in ("A", "N", "R"):
+        picks = models.walk_forward(rows.where(F.col("l_returnflag") == flag), FEATURES, "y", "year", "row_id")
+        cells.append(models.gate_of_periods(picks, "year").select(F.lit(flag).alias("cell"), F.lit(flag == "A").alias("registered"), "*"))
     return reduce(lambda a, b: a.unionByName(b), cells)
 
 
 @query()
 def r09_compare_feature_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean realised return of two feature sets, and what the larger adds."""
-    rows = frame(spark, sf_dir)
-    mean = lambda names: models.walk_forward(rows, names, "y", "year", "row_id").groupBy("year").agg(F.avg("realized").alias("m"))
-    both = mean(["l_tax", "line"]).withColumnRenamed("m", "baseline").join(mean(FEATURES).withColumnRenamed("m", "extended"), "year")
-    return both.withColumn("delta", F.col("extended") - F.col("baseline"))
+    return models.compare_feature_sets(frame(spark, sf_dir), ["l_tax", "line"], FEATURES, "y", "year", "row_id")
 
 
 @query(
@@ -167,7 +167,7 @@ def r09_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.spearman_by(rows, "year", "l_quantity", "l_extendedprice"))
 
 
-@query("SELECT l_suppkey, year(l_shipdate) AS year, round(l_extendedprice - median(l_extendedprice) OVER (PARTITION BY year(l_shipdate)), 4) AS realized FROM lineitem WHERE l_quantity = 50")
+@query("SELECT l_orderkey, l_linenumber, year(l_shipdate) AS year, round(l_extendedprice - median(l_extendedprice) OVER (PARTITION BY year(l_shipdate)), 4) AS realized FROM lineitem")
 def w13_period_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.read(spark, sf_dir, "lineitem").where("l_quantity = 50").select("l_suppkey", F.year("l_shipdate").alias("year"), "l_extendedprice")
-    return rounded(windows.market_excess(rows, ["year"], "l_extendedprice", "realized").select("l_suppkey", "year", "realized"), 4)
+    rows = views.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.year("l_shipdate").alias("year"), "l_extendedprice")
+    return rounded(windows.market_excess(rows, ["year"], "l_extendedprice", "realized").select("l_orderkey", "l_linenumber", "year", "realized"), 4)

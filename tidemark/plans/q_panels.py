@@ -9,7 +9,7 @@ from tidemark.functions import scalars as f
 from tidemark.operators import aggregates as a
 from tidemark.operators import joins, odds, panels, resample, windows
 from tidemark.plans.q_scalars import GROUP_CASE
-from tidemark.plans.q_series import KEYS, STAGE_SQL, rounded
+from tidemark.plans.q_series import KEYS, LEAGUE_SQL, LINE_SQL, OPS_SQL, rounded
 from tidemark.plans.registry import query
 from tidemark.sources import views
 
@@ -61,27 +61,55 @@ def n02_weekly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(panel.drop("entity_id", "median_price", "market_median", "stat_season"))
 
 
-@query(
-    f"""WITH me AS (SELECT *, year(month) * 12 + month(month) AS mi FROM v_month_ends),
-       t AS (SELECT card_slug, grade, month, CASE WHEN count(price) OVER w = 3 THEN ln(quantile_cont(price, 0.5) OVER w) END AS price_level, ln(price / nullif(max(price) OVER (PARTITION BY card_slug, grade ORDER BY mi RANGE BETWEEN 3 PRECEDING AND 3 PRECEDING), 0)) AS ret_3m
+CAREER_SUMS = ", ".join(f"sum({c}) AS {c}" for c in panels.CAREER)
+RATE3 = {
+    "ops": "round(round((hits + walks + hit_by_pitch) / nullif(at_bats + walks + hit_by_pitch + sac_flies, 0) + 1e-9, 3) + round(total_bases / nullif(at_bats, 0) + 1e-9, 3), 3)",
+    "era": "round(earned_runs * 27 / nullif(outs, 0) + 1e-9, 3)",
+    "k_bb_pct": "round((strike_outs - walks) / nullif(batters_faced, 0), 3)",
+}
+#: CTEs of prices (px), distinct entries (en), the role of each entity (ro), and the career at each entry (cf).
+CAREER_SQL = f"""me AS (SELECT *, year(month) * 12 + month(month) AS mi FROM v_month_ends),
+       tr AS (SELECT *, CASE WHEN count(price) OVER w = 3 THEN ln(quantile_cont(price, 0.5) OVER w) END AS price_level, ln(price / nullif(max(price) OVER (PARTITION BY card_slug, grade ORDER BY mi RANGE BETWEEN 3 PRECEDING AND 3 PRECEDING), 0)) AS ret_3m
          FROM me WINDOW w AS (PARTITION BY card_slug, grade ORDER BY mi RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING)),
-       b AS (SELECT m.*, h.price AS later, t.price_level, t.ret_3m FROM me m JOIN t ON t.card_slug = m.card_slug AND t.grade = m.grade AND t.month = m.month LEFT JOIN me h ON h.card_slug = m.card_slug AND h.grade = m.grade AND h.mi = m.mi + 12 WHERE m.month >= TIMESTAMP '1997-01-01'),
-       mk AS (SELECT month, median(ret_3m) AS market_ret_3m FROM b GROUP BY 1),
-       c AS (SELECT b.card_slug, b.grade, b.month, CAST(sum(l.games) AS BIGINT) AS career_games, sum(l.hits) AS ch, CAST(sum(l.at_bats) AS BIGINT) AS career_at_bats, CAST(sum(l.games) FILTER (l.level <> 'mlb') AS BIGINT) AS minor_games, min(l.date) FILTER (l.level = 'mlb') AS first_game, min(l.season) FILTER (l.level = 'mlb') AS first_season
-         FROM b LEFT JOIN v_logs l ON l.entity_id = b.entity_id AND l.date <= b.month - INTERVAL 1 DAY GROUP BY ALL),
-       aw AS (SELECT b.card_slug, b.grade, b.month, count(r.event_date) AS awards FROM b LEFT JOIN v_registry r ON r.entity_id = b.entity_id AND r.event_date <= b.month - INTERVAL 1 DAY GROUP BY ALL),
-       z AS (SELECT c.*, year(c.month) + CASE WHEN month(c.month) >= 11 THEN 1 ELSE 0 END AS season FROM c)
-       SELECT b.card_slug, b.grade, b.month, round(ln(later / b.price), 6) AS ret_12m, round(price_level, 6) AS price_level, round(ret_3m - market_ret_3m, 6) AS excess_3m, career_games, career_at_bats, minor_games, round(ch / nullif(career_at_bats, 0), 6) AS career_avg,
-         {STAGE_SQL} AS career_stage, awards, round(date_diff('day', birth_date, date_trunc('day', coalesce(first_game, b.month))) / 365.25, 6) AS age_at_debut, position
-       FROM b JOIN mk USING (month) JOIN z ON z.card_slug = b.card_slug AND z.grade = b.grade AND z.month = b.month JOIN aw ON aw.card_slug = b.card_slug AND aw.grade = b.grade AND aw.month = b.month LEFT JOIN v_info i ON i.entity_id = b.entity_id""",
-    "v_month_ends",
-    "v_logs",
-    "v_registry",
-    "v_info",
-)
+       mk AS (SELECT month, median(ret_3m) AS market_ret_3m FROM tr GROUP BY 1),
+       px AS (SELECT tr.*, market_ret_3m, ln(h.price / tr.price) AS ret_12m FROM tr JOIN mk USING (month) LEFT JOIN me h ON h.card_slug = tr.card_slug AND h.grade = tr.grade AND h.mi = tr.mi + 12),
+       en AS (SELECT DISTINCT entity_id, month FROM px),
+       ro AS (SELECT entity_id, min_by(role, (date, game_id)) AS role, min(season) AS first_season, max(CASE WHEN level = 'mlb' THEN 1 ELSE 0 END) AS any_top FROM v_logs GROUP BY 1),
+       c1 AS (SELECT en.entity_id, en.month, {", ".join(f"coalesce(sum({c}), 0)::BIGINT AS {c}" for c in panels.CAREER)}, min(l.date) AS first_top, min(l.season) AS first_top_season FROM en LEFT JOIN v_logs l ON l.entity_id = en.entity_id AND l.level = 'mlb' AND l.date <= en.month - INTERVAL 1 DAY GROUP BY 1, 2),
+       c2 AS (SELECT en.entity_id, en.month, list_position(['a', 'a_plus', 'aa', 'aaa'], l.level) AS rk, {CAREER_SUMS} FROM en JOIN v_logs l ON l.entity_id = en.entity_id AND l.level <> 'mlb' AND l.date <= en.month - INTERVAL 1 DAY GROUP BY 1, 2, 3),
+       c3 AS (SELECT c2.entity_id, month, CAST(sum(games) AS BIGINT) AS minor_games, CAST(max(rk) AS INTEGER) AS max_level_rank, max_by(CASE WHEN role = 'hitting' THEN {RATE3["ops"]} ELSE {RATE3["era"]} END, rk) AS rate_at_max_level FROM c2 JOIN ro USING (entity_id) GROUP BY 1, 2),
+       aw AS (SELECT en.entity_id, en.month, count(r.event_date) AS awards_to_date FROM en LEFT JOIN v_registry r ON r.entity_id = en.entity_id AND r.event_date <= en.month - INTERVAL 1 DAY GROUP BY 1, 2),
+       cf AS (SELECT c1.entity_id, c1.month, role, first_season, CASE WHEN any_top = 1 THEN games END AS games, CASE WHEN any_top = 1 THEN home_runs END AS home_runs, CASE WHEN role = 'hitting' THEN {RATE3["ops"]} END AS ops, CASE WHEN role = 'pitching' THEN {RATE3["era"]} END AS era, CASE WHEN role = 'pitching' THEN {RATE3["k_bb_pct"]} END AS k_bb_pct,
+         coalesce(minor_games, 0) AS minor_games, coalesce(max_level_rank, 0) AS max_level_rank, rate_at_max_level, CAST(awards_to_date AS BIGINT) AS awards_to_date, date_diff('day', birth_date, c1.month) / 365.25 AS age, position, birth_date, first_top,
+         CAST(year(c1.month) + CASE WHEN month(c1.month) >= 11 THEN 1 ELSE 0 END AS BIGINT) AS season,
+         CASE WHEN first_top IS NULL THEN 'prospect' WHEN year(c1.month) + CASE WHEN month(c1.month) >= 11 THEN 1 ELSE 0 END - first_top_season <= 0 THEN 'rookie_year' WHEN year(c1.month) + CASE WHEN month(c1.month) >= 11 THEN 1 ELSE 0 END - first_top_season = 1 THEN 'sophomore' ELSE 'established' END AS career_stage
+         FROM c1 LEFT JOIN c3 USING (entity_id, month) JOIN aw USING (entity_id, month) LEFT JOIN ro USING (entity_id) LEFT JOIN v_info i USING (entity_id))"""
+MULTI_SQL = "mp AS (SELECT px.*, cf.* EXCLUDE (entity_id, month), date_diff('day', birth_date, date_trunc('day', coalesce(first_top, cf.month))) / 365.25 AS age_at_debut FROM px JOIN cf ON cf.entity_id = px.entity_id AND cf.month = px.month)"
+CAREER_COLUMNS = ["games", "home_runs", "ops", "era", "k_bb_pct", "minor_games", "max_level_rank", "rate_at_max_level", "career_stage", "awards_to_date", "age", "position"]
+
+
+def _out(columns: list[str], doubles: tuple[str, ...] = ("ret_12m", "price_level", "ret_3m", "market_ret_3m", "ops", "era", "k_bb_pct", "rate_at_max_level", "age", "age_at_debut")) -> str:
+    return ", ".join(f"round({c}, 6) AS {c}" if c in doubles else c for c in columns)
+
+
+def _multi(spark: SparkSession, sf_dir: str, entries_from: str | None = None) -> DataFrame:
+    return panels.multi_year_panel(views.chart(spark, sf_dir), views.logs(spark, sf_dir), views.registry(spark, sf_dir), views.info(spark, sf_dir), entries_from)
+
+
+MULTI_COLUMNS = ["card_slug", "grade", "month", "ret_12m", "price_level", "ret_3m", "market_ret_3m", *CAREER_COLUMNS, "age_at_debut"]
+
+
+@query(f"WITH {CAREER_SQL}, {MULTI_SQL} SELECT {_out(MULTI_COLUMNS)} FROM mp WHERE month >= TIMESTAMP '1997-01-01'", "v_month_ends", "v_logs", "v_registry", "v_info")
 def n03_multi_year_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = panels.multi_year_panel(views.chart(spark, sf_dir), views.logs(spark, sf_dir), views.registry(spark, sf_dir), views.info(spark, sf_dir), "1997-01-01")
-    return rounded(panel.select("card_slug", "grade", "month", "ret_12m", "price_level", "excess_3m", "career_games", "career_at_bats", "minor_games", "career_avg", "career_stage", F.col("awards").cast("bigint").alias("awards"), "age_at_debut", "position"))
+    return rounded(_multi(spark, sf_dir, "1997-01-01").select(*MULTI_COLUMNS))
+
+
+#: The class of an entity and its kind of item: here the year of its first row, and every other entity has first issues.
+CLASSES_SQL = "cs AS (SELECT entity_id, min(season) AS class_year, CASE WHEN entity_id % 2 = 0 THEN 'first' ELSE 'later' END AS card_type FROM v_logs GROUP BY entity_id)"
+
+
+def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.logs(spark, sf_dir).groupBy("entity_id").agg(F.min("season").alias("class_year")).withColumn("card_type", F.when(F.col("entity_id") % 2 == 0, "first").otherwise("later"))
 
 
 EXPECT_SQL = """x AS (SELECT o_custkey % (SELECT count(*) FROM supplier) AS entity_id, CAST(year(o_orderdate) AS BIGINT) AS season, CASE o_orderstatus WHEN 'O' THEN 'pipeline' WHEN 'F' THEN 'scouts' ELSE 'draft' END AS source, o_orderkey % 100 AS rank, o_totalprice / 10000 AS fv, o_orderdate AS as_of FROM orders)"""
@@ -94,80 +122,73 @@ def _expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select((F.col("o_custkey") % F.col("n")).alias("entity_id"), F.year("o_orderdate").cast("bigint").alias("season"), source.alias("source"), (F.col("o_orderkey") % 100).alias("rank"), (F.col("o_totalprice") / 10000).alias("fv"), F.col("o_orderdate").alias("as_of"))
 
 
+KNOWN_SQL = """ex AS (SELECT e.entity_id, e.month, e.season, class_year, min(rank) FILTER (source = 'pipeline' AND x.season = e.season) AS pipeline_rank, min(rank) FILTER (source = 'pipeline' AND x.season = e.season - 1) AS before,
+         max(fv) FILTER (source = 'scouts' AND x.season = e.season) AS fv, min(rank) FILTER (source = 'draft' AND x.season IN (class_year, class_year - 1)) AS draft_rank
+         FROM (SELECT DISTINCT entity_id, month, CAST(year(month) + CASE WHEN month(month) >= 11 THEN 1 ELSE 0 END AS BIGINT) AS season FROM v_month_ends) e LEFT JOIN cs USING (entity_id) LEFT JOIN x ON x.entity_id = e.entity_id AND x.as_of < e.month GROUP BY 1, 2, 3, 4)"""
+
+
 @query(
-    f"""WITH {EXPECT_SQL}, e AS (SELECT DISTINCT entity_id, month AS entry_month, CAST(year(month) AS BIGINT) AS season FROM v_month_ends),
-       s AS (SELECT e.entity_id, e.entry_month, e.season, min(rank) FILTER (source = 'pipeline' AND x.season = e.season) AS pipeline_rank, min(rank) FILTER (source = 'pipeline' AND x.season = e.season - 1) AS before,
-         max(fv) FILTER (source = 'scouts' AND x.season = e.season) AS fv, min(rank) FILTER (source = 'draft') AS draft_rank FROM e LEFT JOIN x ON x.entity_id = e.entity_id AND x.season IN (e.season, e.season - 1) AND x.as_of < e.entry_month GROUP BY 1, 2, 3)
-       SELECT entity_id, entry_month, season, pipeline_rank, round(fv, 6) AS fv, draft_rank, pipeline_rank - before AS rank_change FROM s""",
+    f"""WITH {EXPECT_SQL}, {CLASSES_SQL}, {KNOWN_SQL} SELECT entity_id, month AS entry_month, season, class_year, pipeline_rank, round(fv, 6) AS fv, draft_rank, pipeline_rank - before AS rank_change FROM ex""",
     "v_month_ends",
+    "v_logs",
 )
 def n05_expectation_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = _months(spark, sf_dir).select("entity_id", F.col("month").alias("entry_month"), F.year("month").cast("bigint").alias("season")).distinct()
+    entries = _months(spark, sf_dir).select("entity_id", F.col("month").alias("entry_month"), f.season_year(F.col("month")).cast("bigint").alias("season")).distinct()
+    entries = entries.join(_classes(spark, sf_dir).drop("card_type"), "entity_id", "left")
     return rounded(panels.expectation_features(entries, _expectations(spark, sf_dir)))
 
 
-SURPRISE_SQL = """l AS (SELECT entity_id, season, sum(total_bases) / nullif(sum(at_bats), 0) AS rate, CAST(sum(plate_appearances) AS DOUBLE) AS w FROM v_logs GROUP BY 1, 2),
-       lm AS (SELECT season, sum(rate * w) / sum(w) AS mean FROM l GROUP BY 1),
-       pr AS (SELECT a.entity_id, a.season, b.rate, b.w, row_number() OVER (PARTITION BY a.entity_id, a.season ORDER BY b.season DESC) AS rn FROM l a JOIN l b ON b.entity_id = a.entity_id AND b.season BETWEEN a.season - 3 AND a.season - 1),
-       pj AS (SELECT pr.entity_id, pr.season, (sum(CASE rn WHEN 1 THEN 5 WHEN 2 THEN 4 ELSE 3 END * rate * w) + max(mean) * 1200) / (sum(CASE rn WHEN 1 THEN 5 WHEN 2 THEN 4 ELSE 3 END * w) + 1200) AS marcel FROM pr JOIN lm ON lm.season = pr.season - 1 GROUP BY 1, 2)"""
-
+#: CTEs of the class panel (cp) after CAREER_SQL.
+CLASS_SQL = f"""tl AS (SELECT * FROM v_logs WHERE level = 'mlb'), {LEAGUE_SQL.format(logs="tl")},
+       sl AS (SELECT entity_id, season, {LINE_SQL} FROM tl GROUP BY entity_id, season, role),
+       pr AS (SELECT t.entity_id, t.season, rate, weight, row_number() OVER (PARTITION BY t.entity_id, t.season ORDER BY sl.season DESC) AS rn FROM (SELECT DISTINCT entity_id, season FROM cf) t JOIN sl ON sl.entity_id = t.entity_id AND sl.season BETWEEN t.season - 3 AND t.season - 1 WHERE rate IS NOT NULL AND weight > 0),
+       pj AS (SELECT entity_id, season, sum((6 - rn) * weight) AS played, sum((6 - rn) * rate * weight) AS recent FROM pr GROUP BY 1, 2),
+       pc AS (SELECT cf.entity_id, cf.month, CASE WHEN cf.role = 'hitting' THEN {OPS_SQL} ELSE sum(earned_runs) * 27 / nullif(sum(outs), 0) END AS pace_rate FROM cf LEFT JOIN tl ON tl.entity_id = cf.entity_id AND tl.season = cf.season AND tl.date < cf.month GROUP BY cf.entity_id, cf.month, cf.role),
+       ma AS (SELECT cf.entity_id, cf.month, CASE WHEN league_mean IS NOT NULL AND played > 0 THEN (recent + league_mean * 1200) / (played + 1200) END AS marcel_rate FROM cf LEFT JOIN pj ON pj.entity_id = cf.entity_id AND pj.season = cf.season LEFT JOIN lg ON lg.season = cf.season AND lg.role = cf.role AND lg.month = cf.month),
+       cp AS (SELECT px.*, cf.* EXCLUDE (entity_id, month), cs.class_year, card_type, coalesce(first_season, 9999) >= 2020 AS price_visible_breakout, pipeline_rank, pipeline_rank - before AS rank_change, fv, draft_rank, marcel_rate, pace_rate,
+         CASE WHEN role = 'hitting' THEN pace_rate - marcel_rate END AS surprise_ops, CASE WHEN role = 'pitching' THEN pace_rate - marcel_rate END AS surprise_era
+         FROM px JOIN cf ON cf.entity_id = px.entity_id AND cf.month = px.month LEFT JOIN cs ON cs.entity_id = px.entity_id LEFT JOIN ex ON ex.entity_id = px.entity_id AND ex.month = px.month JOIN pc ON pc.entity_id = px.entity_id AND pc.month = px.month JOIN ma ON ma.entity_id = px.entity_id AND ma.month = px.month)"""
+CLASS_DOUBLES = ("ret_12m", "price_level", "ret_3m", "market_ret_3m", "ops", "era", "k_bb_pct", "rate_at_max_level", "age", "fv", "marcel_rate", "pace_rate", "surprise_ops", "surprise_era")
+CLASS_COLUMNS = ["card_slug", "grade", "month", "ret_12m", "price_level", "ret_3m", "market_ret_3m", *CAREER_COLUMNS, "class_year", "card_type", "price_visible_breakout", "pipeline_rank", "rank_change", "fv", "draft_rank", "marcel_rate", "pace_rate", "surprise_ops", "surprise_era"]
+CLASS_WITH = f"WITH {EXPECT_SQL}, {CLASSES_SQL}, {KNOWN_SQL}, {CAREER_SQL}, {CLASS_SQL}"
+CLASS_VIEWS = ("v_month_ends", "v_logs", "v_registry", "v_info")
 
-def surprise(logs: DataFrame) -> DataFrame:
-    """(entity_id, season, surprise): the season's rate less the projection from up to three seasons before it."""
-    from pyspark.sql import Window
 
-    lines = logs.groupBy("entity_id", "season").agg((F.sum("total_bases") / F.nullif(F.sum("at_bats"), F.lit(0))).alias("rate"), F.sum("plate_appearances").cast("double").alias("weight"))
-    means = a.league_means(lines, ["season"]).select((F.col("season") + 1).alias("season"), "league_mean")
-    later = lines.select("entity_id", F.col("season").alias("prior"), "rate", "weight", F.explode(F.array(*(F.col("season") + k for k in (1, 2, 3)))).alias("season"))
-    known = later.join(lines.select("entity_id", "season", F.col("rate").alias("pace")), ["entity_id", "season"])
-    ranked = known.withColumn("rn", F.row_number().over(Window.partitionBy("entity_id", "season").orderBy(F.col("prior").desc())))
-    at = lambda c, k: F.max(F.when(F.col("rn") == k, F.col(c))).alias(f"{c}{k}")
-    wide = ranked.groupBy("entity_id", "season", "pace").agg(*(at(c, k) for c in ("rate", "weight") for k in (1, 2, 3))).join(means, "season")
-    projected = f.marcel([F.col(f"rate{k}") for k in (1, 2, 3)], [F.col(f"weight{k}") for k in (1, 2, 3)], F.col("league_mean"))
-    return wide.select("entity_id", "season", (F.col("pace") - projected).alias("surprise"))
-
-
-@query(f"WITH {SURPRISE_SQL} SELECT l.entity_id, l.season, round(l.rate - pj.marcel, 6) AS surprise FROM l JOIN pj ON pj.entity_id = l.entity_id AND pj.season = l.season", "v_logs")
-def n04_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(surprise(views.logs(spark, sf_dir)))
+def _class_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panels.class_panel(views.chart(spark, sf_dir), views.logs(spark, sf_dir), views.registry(spark, sf_dir), views.info(spark, sf_dir), _expectations(spark, sf_dir), _classes(spark, sf_dir))
 
 
-@query(
-    f"""WITH {SURPRISE_SQL}, {EXPECT_SQL}, me AS (SELECT *, year(month) * 12 + month(month) AS mi, CAST(year(month) AS BIGINT) AS season FROM v_month_ends),
-       p AS (SELECT m.card_slug, m.entity_id, m.grade, m.month, m.season, ln(h.price / m.price) AS ret_12m FROM me m LEFT JOIN me h ON h.card_slug = m.card_slug AND h.grade = m.grade AND h.mi = m.mi + 12),
-       r AS (SELECT p.entity_id, p.month, min(x.rank) AS pipeline_rank FROM (SELECT DISTINCT entity_id, month, season FROM p) p LEFT JOIN x ON x.entity_id = p.entity_id AND x.season = p.season AND x.source = 'pipeline' AND x.as_of < p.month GROUP BY 1, 2)
-       SELECT p.card_slug, p.grade, p.month, round(ret_12m, 6) AS ret_12m, round(l.rate - pj.marcel, 6) AS surprise, r.pipeline_rank FROM p
-       LEFT JOIN (l JOIN pj ON pj.entity_id = l.entity_id AND pj.season = l.season) ON l.entity_id = p.entity_id AND l.season = p.season - 1 LEFT JOIN r ON r.entity_id = p.entity_id AND r.month = p.month""",
-    "v_month_ends",
-    "v_logs",
-)
+@query(f"{CLASS_WITH} SELECT {_out(CLASS_COLUMNS, CLASS_DOUBLES)} FROM cp", *CLASS_VIEWS)
 def n04_class_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hold returns with the last full season's surprise and the expectations known at the entry."""
-    return rounded(_class_panel(spark, sf_dir).select("card_slug", "grade", "month", "ret_12m", "surprise", "pipeline_rank"))
+    return rounded(_class_panel(spark, sf_dir).select(*CLASS_COLUMNS))
 
 
-def _class_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    months = _months(spark, sf_dir)
-    held = windows.hold_returns(months, ["card_slug", "grade"]).withColumn("season", F.year("month").cast("bigint"))
-    entries = held.select("entity_id", F.col("month").alias("entry_month"), "season").distinct()
-    known = panels.expectation_features(entries, _expectations(spark, sf_dir)).withColumnRenamed("entry_month", "month")
-    last = surprise(views.logs(spark, sf_dir)).withColumn("season", F.col("season") + 1)
-    return held.join(known, ["entity_id", "month", "season"], "left").join(last, ["entity_id", "season"], "left")
+@query(f"{CLASS_WITH} SELECT DISTINCT entity_id, month, role, round(pace_rate, 6) AS pace_rate, round(marcel_rate, 6) AS marcel_rate, round(coalesce(surprise_ops, surprise_era), 6) AS surprise FROM cp", *CLASS_VIEWS)
+def n04_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pace before the entry less the projection, of both groups."""
+    rows = _class_panel(spark, sf_dir).select("entity_id", "month", "role", "pace_rate", "marcel_rate", F.coalesce("surprise_ops", "surprise_era").alias("surprise"))
+    return rounded(rows.distinct())
 
 
 @query(
-    """WITH r AS (SELECT card_slug, grade, month, ln(price / lag(price) OVER w) AS log_ret, year(month) * 12 + month(month) - lag(year(month) * 12 + month(month)) OVER w AS gap FROM v_month_ends WINDOW w AS (PARTITION BY card_slug, grade ORDER BY month)),
-       m AS (SELECT month, median(log_ret) AS med FROM r GROUP BY 1)
-       SELECT grade, count(*) AS n, round(avg(log_ret - med), 6) AS mean_excess FROM r JOIN m USING (month) WHERE (gap IS NULL OR gap <= 2) AND log_ret - med IS NOT NULL GROUP BY 1""",
+    f"""WITH r AS (SELECT card_slug, entity_id, grade, month, ln(price / lag(price) OVER w) AS log_ret, year(month) * 12 + month(month) - lag(year(month) * 12 + month(month)) OVER w AS gap FROM v_month_ends WINDOW w AS (PARTITION BY card_slug, grade ORDER BY month)),
+       m AS (SELECT month, median(log_ret) AS med FROM r GROUP BY 1), fs AS (SELECT entity_id, min(season) AS rookie_year FROM v_logs GROUP BY 1)
+       SELECT card_slug, grade, month, round(log_ret - med, 6) AS excess_ret, year(month) - rookie_year AS years_since_rookie, {GROUP_CASE} AS position_group FROM r JOIN m USING (month) LEFT JOIN fs USING (entity_id) LEFT JOIN v_info USING (entity_id)
+       WHERE (gap IS NULL OR gap <= 2) AND log_ret - med IS NOT NULL""",
     "v_month_ends",
+    "v_logs",
+    "v_info",
 )
 def n06_modelling_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = windows.market_excess(windows.observed_returns(_months(spark, sf_dir), ["card_slug", "grade"], "month", "price", "months"), ["month"])
-    return rounded(panels.modelling_frame(panel, "months_since_prev", 2).groupBy("grade").agg(F.count("*").alias("n"), F.avg("excess_ret").alias("mean_excess")))
+    first = views.logs(spark, sf_dir).groupBy("entity_id").agg(F.min("season").alias("rookie_year"))
+    known = panel.join(first, "entity_id", "left").join(views.info(spark, sf_dir).select("entity_id", "position"), "entity_id", "left").withColumn("stats_season", F.year("month").cast("bigint"))
+    frame = panels.modelling_frame(known, "months_since_prev", 2, season="stats_season", rookie_year="rookie_year", position="position")
+    return rounded(frame.select("card_slug", "grade", "month", "excess_ret", "years_since_rookie", "position_group"))
 
 
 HOLD12 = """h AS (SELECT m.card_slug, m.entity_id, m.grade, m.month, ln(l.price / m.price) AS ret_12m, ln(m.price / t.price) AS ret_3m, position FROM v_month_ends m
-         JOIN v_month_ends l ON l.card_slug = m.card_slug AND l.grade = m.grade AND l.month = m.month + INTERVAL 12 MONTH LEFT JOIN v_month_ends t ON t.card_slug = m.card_slug AND t.grade = m.grade AND t.month = m.month - INTERVAL 3 MONTH LEFT JOIN v_info i ON i.entity_id = m.entity_id)"""
+         LEFT JOIN v_month_ends l ON l.card_slug = m.card_slug AND l.grade = m.grade AND l.month = m.month + INTERVAL 12 MONTH LEFT JOIN v_month_ends t ON t.card_slug = m.card_slug AND t.grade = m.grade AND t.month = m.month - INTERVAL 3 MONTH LEFT JOIN v_info i ON i.entity_id = m.entity_id)"""
 
 
 def _hold_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,30 +198,42 @@ def _hold_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.join(views.info(spark, sf_dir).select("entity_id", "position"), "entity_id", "left")
 
 
+HELD_SQL = """CASE WHEN games > 0 THEN home_runs / games ELSE 0 END AS career_hr_rate, ln(1 + games) AS log_career_games, ln(1 + minor_games) AS log_minor_games, CAST(career_stage = 'sophomore' AS INTEGER) AS sophomore, CAST(career_stage = 'established' AS INTEGER) AS established"""
+
+
 @query(
-    f"""WITH {HOLD12}, k AS (SELECT * FROM h WHERE position IS DISTINCT FROM 'P'), md AS (SELECT median(ret_3m) AS med FROM k)
-       SELECT card_slug, grade, month, round(ret_12m, 6) AS ret_12m, round(ln(1 + entity_id), 6) AS entity_log, round(coalesce(ret_3m, med), 6) AS ret_3m, CASE WHEN position = 'SS' THEN 1.0 ELSE 0.0 END AS position_SS FROM k, md""",
+    f"""WITH {CLASSES_SQL}, {CAREER_SQL}, {MULTI_SQL},
+       k AS (SELECT card_slug, mp.entity_id, grade, month, CAST(year(month) AS INTEGER) AS entry_year, ret_12m, ops AS career_ops, {HELD_SQL}, max_level_rank, rate_at_max_level, awards_to_date, age, age_at_debut, price_level, ret_3m, market_ret_3m, CAST(card_type = 'first' AS INTEGER) AS first_issue, season - class_year AS years_since_rookie
+         FROM mp LEFT JOIN cs ON cs.entity_id = mp.entity_id WHERE position IS DISTINCT FROM 'P' AND ret_12m IS NOT NULL),
+       md AS (SELECT {", ".join(f"median({c}) AS {c}" for c in panels.HOLD_FEATURES)} FROM k)
+       SELECT card_slug, k.entity_id, grade, month, entry_year, round(ret_12m, 6) AS ret_12m, {", ".join(f"round(CAST(coalesce(k.{c}, md.{c}) AS DOUBLE), 6) AS {c}" for c in panels.HOLD_FEATURES)} FROM k, md""",
     "v_month_ends",
+    "v_logs",
+    "v_registry",
     "v_info",
 )
 def n07_hold_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = _hold_panel(spark, sf_dir).withColumn("entity_log", F.col("entity_id"))
-    frame = panels.hold_frame(panel, "ret_12m", ["entity_log"], ["ret_3m"], {"position": ["CF", "SS"]})
-    return rounded(frame.select("card_slug", "grade", "month", "ret_12m", "entity_log", "ret_3m", "position_SS"))
+    return rounded(panels.hold_frame(_multi(spark, sf_dir), _classes(spark, sf_dir), "ret_12m"))
+
+
+CLASS_HOLD_SQL = f"""hf AS (SELECT card_slug, cp.entity_id, grade, month, CAST(year(month) AS INTEGER) AS entry_year, ret_12m, class_year, card_type, position, career_stage, ops AS career_ops, era AS career_era, k_bb_pct AS career_k_bb_pct, {HELD_SQL}, max_level_rank, rate_at_max_level, awards_to_date, age,
+         CASE WHEN debut <= month THEN date_diff('day', birth_date, date_trunc('day', debut)) / 365.25 END AS age_at_debut, price_level, ret_3m, market_ret_3m, CAST(career_stage = 'prospect' AS INTEGER) AS prospect, season - class_year AS years_since_class, surprise_ops, draft_rank, -surprise_era AS surprise_era_flipped
+         FROM cp LEFT JOIN (SELECT entity_id, min(date) AS debut FROM v_logs WHERE level = 'mlb' GROUP BY 1) d ON d.entity_id = cp.entity_id WHERE ret_12m IS NOT NULL)"""
+CLASS_HOLD_COLUMNS = list(dict.fromkeys([*panels.CLASS_HOLD_FEATURES, *panels.CLASS_PITCHER_FEATURES]))
+
+
+def _class_hold(spark: SparkSession, sf_dir: str, pitchers: bool) -> DataFrame:
+    debuts = views.logs(spark, sf_dir).where("level = 'mlb'").groupBy("entity_id").agg(F.min("date").alias("event_date"))
+    return panels.class_hold_frame(_class_panel(spark, sf_dir), debuts, views.info(spark, sf_dir), "ret_12m", pitchers)
 
 
 @query(
-    f"""WITH {HOLD12}, d AS (SELECT entity_id, min(date) AS debut FROM v_logs WHERE level = 'mlb' GROUP BY 1)
-       SELECT card_slug, grade, month, round(ret_12m, 6) AS ret_12m, round(CASE WHEN debut <= month THEN date_diff('day', birth_date, date_trunc('day', debut)) / 365.25 END, 6) AS age_at_debut
-       FROM h LEFT JOIN d ON d.entity_id = h.entity_id JOIN v_info i ON i.entity_id = h.entity_id WHERE h.position = 'P'""",
-    "v_month_ends",
-    "v_info",
-    "v_logs",
+    f"""{CLASS_WITH}, {CLASS_HOLD_SQL} SELECT card_slug, entity_id, grade, month, entry_year, round(ret_12m, 6) AS ret_12m, class_year, card_type, position, career_stage, {_out(CLASS_HOLD_COLUMNS, ("career_ops", "career_era", "career_k_bb_pct", "career_hr_rate", "log_career_games", "log_minor_games", "rate_at_max_level", "age", "age_at_debut", "price_level", "ret_3m", "market_ret_3m", "surprise_ops", "surprise_era_flipped"))} FROM hf""",
+    *CLASS_VIEWS,
 )
 def n08_class_hold_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    debuts = views.logs(spark, sf_dir).where("level = 'mlb'").groupBy("entity_id").agg(F.min("date").alias("event_date"))
-    frame = panels.class_hold_frame(_hold_panel(spark, sf_dir), debuts, views.info(spark, sf_dir), "ret_12m", pitchers=True)
-    return rounded(frame.select("card_slug", "grade", "month", "ret_12m", "age_at_debut"))
+    """Both groups: hitters and those of null position, and pitchers."""
+    return rounded(_class_hold(spark, sf_dir, False).unionByName(_class_hold(spark, sf_dir, True)))
 
 
 @query(
@@ -235,7 +268,7 @@ def _odds_grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 @query(
-    f"""WITH {SNAP_SQL}, {LEVEL_SQL} SELECT entity_id, entry_month, season, has_market, round(CASE WHEN has_market THEN lp ELSE 0 END, 9) AS odds_level, round(CASE WHEN has_market THEN lp - p7 ELSE 0 END, 9) AS odds_delta_7 FROM o""",
+    f"""WITH {SNAP_SQL}, {LEVEL_SQL} SELECT entity_id, entry_month, season, has_market, round(CASE WHEN has_market OR ld IS NOT NULL THEN lp ELSE 0 END, 9) AS odds_level, round(CASE WHEN has_market OR ld IS NOT NULL THEN lp - p7 ELSE 0 END, 9) AS odds_delta_7 FROM o""",
     "v_odds",
 )
 def o04_odds_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,7 +276,7 @@ def o04_odds_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SNAP_SQL}, {LEVEL_SQL}, fr AS (SELECT *, unnest([1, 2]) AS copy FROM g) SELECT fr.entity_id, fr.entry_month, fr.season, fr.copy, has_market, round(CASE WHEN has_market THEN lp ELSE 0 END, 9) AS odds_level FROM fr JOIN o USING (entity_id, entry_month, season)""",
+    f"""WITH {SNAP_SQL}, {LEVEL_SQL}, fr AS (SELECT *, unnest([1, 2]) AS copy FROM g) SELECT fr.entity_id, fr.entry_month, fr.season, fr.copy, has_market, round(CASE WHEN has_market OR ld IS NOT NULL THEN lp ELSE 0 END, 9) AS odds_level FROM fr JOIN o USING (entity_id, entry_month, season)""",
     "v_odds",
 )
 def j20_attach_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,7 +290,7 @@ def o05_odds_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odds.acceptance(_odds_grid(spark, sf_dir)[1], F.col("implied_prob"), F.col("day"))
 
 
-SCORE_SQL = "q AS (SELECT card_slug, grade, month, ret_12m, ret_3m AS score FROM h WHERE ret_3m IS NOT NULL)"
+SCORE_SQL = "qs AS (SELECT card_slug, grade, month, ret_12m, ret_3m AS score FROM h WHERE ret_3m IS NOT NULL), q AS (SELECT * FROM qs WHERE ret_12m IS NOT NULL)"
 
 
 @query(
@@ -270,7 +303,7 @@ def w11_t02_top_per_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(windows.top_per_period(rows, ["month"], "ret_3m", 2, ["card_slug", "grade"]).select("card_slug", "grade", "month", "rank", "ret_12m"))
 
 
-SPREAD_SQL = """rk AS (SELECT *, rank() OVER (PARTITION BY month ORDER BY score) + (count(*) OVER (PARTITION BY month, score) - 1) / 2 AS r, count(*) OVER (PARTITION BY month) AS n FROM q),
+SPREAD_SQL = """rk AS (SELECT *, rank() OVER (PARTITION BY month ORDER BY score) + (count(*) OVER (PARTITION BY month, score) - 1) / 2 AS r, count(*) OVER (PARTITION BY month) AS n FROM qs),
        sp AS (SELECT month, avg(ret_12m) FILTER (least(greatest(ceil(r / n * 5), 1), 5) = 5) - avg(ret_12m) FILTER (least(greatest(ceil(r / n * 5), 1), 5) = 1) AS spread, count(*) AS n FROM rk WHERE n >= 10 GROUP BY 1)"""
 
 
@@ -279,30 +312,27 @@ def w12_quantile_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(windows.quantile_spread(_hold_panel(spark, sf_dir), "ret_3m", "ret_12m", "month"))
 
 
-YEAR_DRAW = resample.draw_sql(42, "r.rep", "s.slot", "(SELECT count(*) FROM yr)")
+YEAR_DRAW = resample.draws_sql(42, 10_000, "yr")
 
 
 @query(
-    f"""WITH {HOLD12}, {SCORE_SQL}, {SPREAD_SQL}, yr AS (SELECT y, avg(spread) AS m, row_number() OVER (ORDER BY y) - 1 AS i FROM (SELECT year(month) AS y, spread FROM sp) GROUP BY 1),
-       bt AS (SELECT r.rep, avg(yr.m) AS m FROM range(500) r(rep), range(100) s(slot), yr WHERE s.slot < (SELECT count(*) FROM yr) AND yr.i = {YEAR_DRAW} GROUP BY 1)
-       SELECT round((SELECT avg(m) FROM yr), 6) AS mean, round((SELECT avg(CASE WHEN m > 0 THEN 1.0 ELSE 0 END) FROM yr), 6) AS share_positive, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high, round(avg(CASE WHEN m <= 0 THEN 1.0 ELSE 0 END), 6) AS p FROM bt""",
+    f"""WITH {HOLD12}, {SCORE_SQL}, {SPREAD_SQL}, yr AS (SELECT y, avg(spread) AS m, row_number() OVER (ORDER BY y) - 1 AS i FROM (SELECT year(month) AS y, spread FROM sp WHERE spread IS NOT NULL) GROUP BY 1),
+       dr AS ({YEAR_DRAW}), bt AS (SELECT rep, avg(yr.m) AS m FROM dr JOIN yr ON yr.i = dr.i GROUP BY 1)
+       SELECT round((SELECT avg(m) FROM yr), 6) AS mean_spread, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high, (SELECT count(spread) FROM sp) AS n_months, round((SELECT avg(CASE WHEN spread > 0 THEN 1.0 ELSE 0 END) FROM sp WHERE spread IS NOT NULL), 6) AS share_positive FROM bt""",
     "v_month_ends",
     "v_info",
 )
 def r03_spread_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean of yearly means and its bounds over resampled years."""
-    spreads = windows.quantile_spread(_hold_panel(spark, sf_dir), "ret_3m", "ret_12m", "month")
-    yearly = spreads.groupBy(F.year("month").alias("y")).agg(F.avg("spread").alias("m"))
-    return rounded(resample.mean_interval(yearly, "m", ["y"], 500))
+    return rounded(resample.spread_summary(windows.quantile_spread(_hold_panel(spark, sf_dir), "ret_3m", "ret_12m", "month"), "month"))
 
 
 GATE_SQL = """pk AS (SELECT month, ret_12m - med AS realized FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY score DESC, card_slug, grade) AS rank, median(ret_12m) OVER (PARTITION BY month) AS med FROM q) WHERE rank <= 2)"""
-GATE_DRAW = resample.draw_sql(42, "r.rep", "s.slot", "(SELECT count(*) FROM pl)")
+GATE_DRAW = resample.draws_sql(42, 10_000, "pl")
 
 
 @query(
     f"""WITH {HOLD12}, {SCORE_SQL}, {GATE_SQL}, pl AS (SELECT month, avg(realized) AS m, row_number() OVER (ORDER BY month) - 1 AS i FROM pk GROUP BY 1),
-       bt AS (SELECT r.rep, avg(pl.m) AS m FROM range(200) r(rep), range(1000) s(slot), pl WHERE s.slot < (SELECT count(*) FROM pl) AND pl.i = {GATE_DRAW} GROUP BY 1),
+       dr AS ({GATE_DRAW}), bt AS (SELECT rep, avg(pl.m) AS m FROM dr JOIN pl ON pl.i = dr.i GROUP BY 1),
        o AS (SELECT (SELECT avg(m) FROM pl) AS mean, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high, avg(CASE WHEN m <= 0 THEN 1.0 ELSE 0 END) AS p FROM bt)
        SELECT round(mean, 6) AS mean, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(p, 6) AS p, round(ci_low - 0.14, 6) AS net_ci_low, CASE WHEN ci_low - 0.14 > 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM o""",
     "v_month_ends",
@@ -313,7 +343,7 @@ def r04_r05_w13_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _hold_panel(spark, sf_dir).where("ret_12m IS NOT NULL AND ret_3m IS NOT NULL")
     excess = windows.market_excess(rows, ["month"], "ret_12m", "realized")
     picks = windows.top_per_period(excess, ["month"], "ret_3m", 2, ["card_slug", "grade"])
-    gate = resample.mean_interval(picks.groupBy("month").agg(F.avg("realized").alias("m")), "m", ["month"], 200).drop("share_positive")
+    gate = resample.mean_interval(picks.groupBy("month").agg(F.avg("realized").alias("m")), "m", ["month"])
     net = F.col("ci_low") - 0.14
     return rounded(gate.withColumns({"net_ci_low": net, "verdict": F.when(net > 0, "PASS").otherwise("FAIL")}))
 
@@ -347,17 +377,18 @@ def u02_u04_union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sales.where("grade = 'psa_10'").unionByName(sales.where("price < 2000")).select(*keys).dropDuplicates(keys)
 
 
-NAMES = "(SELECT DISTINCT p_name AS name, p_size AS number FROM part WHERE {})"
-
-
 @query(
-    f"""WITH a AS {NAMES.format("p_partkey % 3 <> 0")}, b AS {NAMES.format("p_partkey % 3 <> 1")}
-       SELECT count(*) FILTER (b.name IS NULL) AS a_only, count(*) FILTER (a.name IS NULL) AS b_only, count(*) FILTER (a.name IS NOT NULL AND b.name IS NOT NULL) AS "both",
-         round(count(*) FILTER (a.name IS NOT NULL AND b.name IS NOT NULL) / count(*), 6) AS share, count(*) FILTER (a.name IS NOT NULL AND b.name IS NOT NULL) / count(*) >= 0.85 AS ok FROM a FULL JOIN b ON a.name = b.name AND a.number = b.number"""
+    """WITH a AS (SELECT DISTINCT p_brand, p_size FROM part WHERE p_partkey % 3 <> 0), b AS (SELECT p_brand, p_size, count(*) AS n FROM part WHERE p_partkey % 5 < 4 GROUP BY 1, 2),
+       j AS (SELECT coalesce(a.p_brand, b.p_brand) AS p_brand, a.p_size AS x, b.p_size AS y, n FROM a FULL JOIN b ON a.p_brand = b.p_brand AND a.p_size = b.p_size),
+       s AS (SELECT p_brand, CAST(coalesce(sum(n), 0) AS BIGINT) AS their_total, count(x) AS our_total, list_sort(list(y) FILTER (x IS NULL)) AS t, list_sort(list(x) FILTER (y IS NULL)) AS o, count(y) AS k FROM j GROUP BY 1)
+       SELECT p_brand, their_total, our_total, coalesce(array_to_string(t, ','), '') AS theirs_only, coalesce(array_to_string(o, ','), '') AS ours_only, coalesce(len(t), 0) = 0 AS ok, round(1 - coalesce(len(t), 0) / nullif(k, 0), 6) AS share, coalesce(1 - coalesce(len(t), 0) / nullif(k, 0) >= 0.85, false) AS complete FROM s"""
 )
 def j18_u03_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = views.read(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_size").alias("number"), "p_partkey")
-    return rounded(joins.reconcile(parts.where("p_partkey % 3 <> 0"), parts.where("p_partkey % 3 <> 1"), ["name", "number"]))
+    """The numbers of each brand's items in two lists of them."""
+    parts = views.read(spark, sf_dir, "part").select("p_brand", "p_size", "p_partkey")
+    found = joins.reconcile(parts.where("p_partkey % 3 <> 0"), parts.where("p_partkey % 5 < 4"), ["p_brand"], "p_size")
+    as_text = {c: F.concat_ws(",", F.col(c).cast("array<string>")) for c in ("theirs_only", "ours_only")}
+    return rounded(found.withColumns(as_text))
 
 
 @query("SELECT y.season, l.level FROM (SELECT DISTINCT season FROM v_logs) y, (SELECT DISTINCT p_type AS level FROM part UNION SELECT 'mlb') l WHERE (y.season, l.level) NOT IN (SELECT season, level FROM v_logs)", "v_logs")

@@ -137,18 +137,16 @@ def f20_f21_clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.read(spark, sf_dir, "part").select("p_partkey", f.clean_name(F.concat(F.lit("  "), "p_name", F.lit("  x .."))).alias("cleaned"), f.safe_key(F.concat("p_brand", F.lit("/"), "p_type")).alias("key"))
 
 
-TITLE = "CASE p_partkey % 5 WHEN 0 THEN p_name || ' PSA ' || CAST(p_size AS VARCHAR) WHEN 1 THEN 'SGC 9.5 ' || p_name WHEN 2 THEN p_name || ' GEM MINT 10 psa' WHEN 3 THEN p_name || ' $1,' || CAST(100 + p_size AS VARCHAR) || '.50' ELSE p_name END"
+TITLE = "CASE p_partkey % 8 WHEN 0 THEN p_name || ' PSA ' || CAST(p_size AS VARCHAR) WHEN 1 THEN 'SGC-9.5 ' || p_name WHEN 2 THEN p_name || ' GEM MINT 10 bgs' WHEN 3 THEN p_name || ' $1,' || CAST(100 + p_size AS VARCHAR) || '.50' WHEN 4 THEN p_name || ' PSA MINT 9' WHEN 5 THEN CAST(p_size AS VARCHAR) || ' items' WHEN 6 THEN 'CGC pristine 10 $' || CAST(p_size AS VARCHAR) ELSE p_name END"
 
 
 @query(
     rf"""WITH t AS (SELECT p_partkey, {TITLE} AS title FROM part),
-    g AS (SELECT *, lower(regexp_extract(title, '(?i)\b(psa|bgs|sgc|cgc)\s*(?:gem\s*(?:mint|mt)\s*)?(\d+(?:\.5)?)\b', 1)) AS house, regexp_extract(title, '(?i)\b(psa|bgs|sgc|cgc)\s*(?:gem\s*(?:mint|mt)\s*)?(\d+(?:\.5)?)\b', 2) AS num,
-          regexp_extract(title, '(?i)\bgem\s*(?:mint|mt)\s*(\d+)\b', 1) AS gem FROM t)
-    SELECT p_partkey, CASE WHEN house <> '' THEN house || '_' || num WHEN gem <> '' AND contains(lower(title), 'psa') THEN 'psa_' || gem END AS grade,
-           TRY_CAST(replace(nullif(regexp_extract(title, '\$\s*(\d[\d,]*(?:\.\d+)?)', 1), ''), ',', '') AS DOUBLE) AS amount FROM g"""
+    g AS (SELECT *, lower(regexp_extract(title, '{f.GRADE_PATTERN}', 1)) AS house, regexp_extract(title, '{f.GRADE_PATTERN}', 2) AS num, lower(regexp_extract(title, '{f.GEM_PATTERN}', 2)) AS gem_house, regexp_extract(title, '{f.GEM_PATTERN}', 1) AS gem FROM t)
+    SELECT p_partkey, CASE WHEN house <> '' THEN house || '_' || num WHEN gem_house <> '' THEN gem_house || '_' || gem END AS grade,
+           TRY_CAST(replace(nullif(regexp_extract(title, '{f.MONEY_PATTERN}', 1), ''), ',', '') AS DOUBLE) AS amount FROM g"""
 )
 def p09_p10_title_grade_and_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.expr(TITLE.replace("VARCHAR", "STRING"))
     rows = views.read(spark, sf_dir, "part").select("p_partkey", title.alias("title"))
-    amount = F.when(F.col("title").contains("$"), f.money(F.regexp_extract("title", r"(\$.*)", 1)))
-    return rows.select("p_partkey", f.grade_from_title(F.col("title")).alias("grade"), amount.alias("amount"))
+    return rows.select("p_partkey", f.grade_from_title(F.col("title")).alias("grade"), f.money(F.col("title")).alias("amount"))

@@ -110,26 +110,31 @@ def a07_pace_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(a.sums_with_rates(views.logs(spark, sf_dir).where(F.col("date") < cut), ["entity_id", "season"], "pitching"))
 
 
-@query(
-    """WITH p AS (SELECT entity_id, season, sum(earned_runs) * 27 / nullif(sum(outs), 0) AS rate, sum(batters_faced) AS weight FROM v_logs WHERE role = 'pitching' GROUP BY 1, 2)
-       SELECT season, round(sum(rate * weight) / nullif(sum(CASE WHEN rate IS NOT NULL THEN weight END), 0), 6) AS league_mean FROM p GROUP BY 1""",
-    "v_logs",
-)
+OPS_SQL = "(sum(hits) + sum(walks) + sum(hit_by_pitch)) / nullif(sum(at_bats + walks + hit_by_pitch + sac_flies), 0) + sum(total_bases) / nullif(sum(at_bats), 0)"
+LINE_SQL = f"CASE WHEN role = 'hitting' THEN {OPS_SQL} ELSE sum(earned_runs) * 27 / nullif(sum(outs), 0) END AS rate, CAST(CASE WHEN role = 'hitting' THEN sum(plate_appearances) ELSE sum(batters_faced) END AS BIGINT) AS weight"
+LEAGUE_SQL = f"""lp AS (SELECT entity_id, season, role, m, {LINE_SQL} FROM {{logs}} l, (SELECT unnest(range(2, 13)) AS m) WHERE month(l.date) < m GROUP BY entity_id, season, role, m),
+       lg AS (SELECT season, role, CAST(make_timestamp(CAST(season AS BIGINT), m, 1, 0, 0, 0.0) AS TIMESTAMP) AS month, sum(rate * weight) / nullif(sum(CASE WHEN rate IS NOT NULL THEN weight END), 0) AS league_mean FROM lp WHERE weight > 0 GROUP BY ALL)"""
+
+
+@query(f"WITH {LEAGUE_SQL.format(logs='v_logs')} SELECT season, role, month, round(league_mean, 6) AS league_mean FROM lg", "v_logs")
 def a08_league_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(a.league_means(a.sums_with_rates(views.logs(spark, sf_dir), ["entity_id", "season"], "pitching"), ["season"]))
+    """Hitters and pitchers, at each month from the rows before it."""
+    return rounded(a.league_means_to_date(views.logs(spark, sf_dir)))
+
+
+OPS3_SQL = "round(round((sum(hits) + sum(walks) + sum(hit_by_pitch)) / nullif(sum(at_bats + walks + hit_by_pitch + sac_flies), 0) + 1e-9, 3) + round(sum(total_bases) / nullif(sum(at_bats), 0) + 1e-9, 3), 3)"
 
 
 @query(
-    """WITH g AS (SELECT entity_id, level, CASE level WHEN 'mlb' THEN 5 ELSE 4 END AS rk, sum(games) AS games, sum(total_bases) / nullif(sum(at_bats), 0) AS rate FROM v_logs WHERE date < TIMESTAMP '1999-01-01' GROUP BY ALL)
-       SELECT entity_id, CAST(sum(games) AS BIGINT) AS games, max_by(level, rk) AS max_level, round(max_by(rate, rk), 6) AS rate_at_max FROM g GROUP BY 1""",
+    f"""WITH g AS (SELECT entity_id, level, list_position(['a', 'a_plus', 'aa', 'aaa'], level) AS rk, sum(games) AS games, CASE WHEN role = 'hitting' THEN {OPS3_SQL} ELSE round(sum(earned_runs) * 27 / nullif(sum(outs), 0) + 1e-9, 3) END AS rate
+         FROM v_logs WHERE date <= TIMESTAMP '1998-12-31' AND level <> 'mlb' GROUP BY entity_id, level, role)
+       SELECT entity_id, CAST(sum(games) AS BIGINT) AS minor_games, max_by(level, rk) AS max_level, CAST(max(rk) AS INTEGER) AS max_level_rank, max_by(rate, rk) AS rate_at_max_level FROM g GROUP BY 1""",
     "v_logs",
 )
 def a09_pedigree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Games, highest level and the rate there, of rows before the cut."""
-    rank = F.when(F.col("level") == "mlb", 5).otherwise(4)
-    rows = views.logs(spark, sf_dir).where(F.col("date") < F.lit("1999-01-01").cast("timestamp_ntz"))
-    levels = rows.groupBy("entity_id", "level", rank.alias("rk")).agg(F.sum("games").alias("games"), (F.sum("total_bases") / F.nullif(F.sum("at_bats"), F.lit(0))).alias("rate"))
-    return rounded(levels.groupBy("entity_id").agg(F.sum("games").alias("games"), F.max_by("level", "rk").alias("max_level"), F.max_by("rate", "rk").alias("rate_at_max")))
+    """Games below the top level up to the cut, the highest level and the rate there."""
+    rows = views.logs(spark, sf_dir).where(F.col("date") <= F.lit("1998-12-31").cast("timestamp_ntz"))
+    return a.pedigree(rows, ["entity_id"])
 
 
 @query("""SELECT m.card_slug, m.grade, m.month, count(r.event_date) AS n_awards FROM v_month_ends m LEFT JOIN v_registry r ON r.entity_id = m.entity_id AND r.event_date <= m.month GROUP BY ALL""", "v_month_ends", "v_registry")
@@ -139,7 +144,7 @@ def a10_awards_to_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("card_slug", "grade", "month", F.col("n_awards").cast("bigint").alias("n_awards"))
 
 
-STAGE_SQL = """CASE WHEN first_game IS NULL THEN 'prospect' WHEN season - first_season <= 0 THEN 'rookie' WHEN season - first_season = 1 THEN 'sophomore' ELSE 'established' END"""
+STAGE_SQL = """CASE WHEN first_game IS NULL THEN 'prospect' WHEN season - first_season <= 0 THEN 'rookie_year' WHEN season - first_season = 1 THEN 'sophomore' ELSE 'established' END"""
 
 
 @query(
@@ -175,10 +180,10 @@ OUTLIER_SQL = """SELECT *, n >= 5 AND q3 > q1 AND (price < q1 - {k} * (q3 - q1)
 
 @query(
     f"""WITH g AS (SELECT card_slug, entity_id, coalesce(grade, 'ungraded') AS grade, sale_date, price, title FROM v_sales), q AS ({OUTLIER_SQL.format(k=4, src='g')}),
-       s AS (SELECT card_slug, grade, count(*) AS n_sales, greatest(date_diff('day', min(sale_date), max(sale_date)), 1) AS span, avg(CASE WHEN outlier THEN 1.0 ELSE 0.0 END) AS outlier_share,
+       s AS (SELECT card_slug, grade, count(*) AS n_sales, min(sale_date) AS first_sale, max(sale_date) AS last_sale, greatest(date_diff('day', min(sale_date), max(sale_date)), 1) AS span, avg(CASE WHEN outlier THEN 1.0 ELSE 0.0 END) AS outlier_share,
          count(*) FILTER (regexp_matches(title, '(?i)\\b({'|'.join(f.CONTAMINATED)})\\b')) AS n_flagged FROM q GROUP BY ALL),
        c AS (SELECT card_slug, grade, count(*) AS n_chart_points, min(date) AS chart_first, max(date) AS chart_last FROM v_chart GROUP BY ALL)
-       SELECT s.card_slug, s.grade, n_sales, CAST(span AS INTEGER) AS span_days, round(n_sales / (span / 7), 6) AS sales_per_week, round(outlier_share, 6) AS outlier_share, n_flagged, n_chart_points, chart_first, chart_last
+       SELECT s.card_slug, s.grade, n_sales, first_sale, last_sale, CAST(span AS INTEGER) AS span_days, round(n_sales / (span / 7), 6) AS sales_per_week, round(outlier_share, 6) AS outlier_share, n_flagged, n_chart_points, chart_first, chart_last
        FROM s LEFT JOIN c ON s.card_slug = c.card_slug AND s.grade = c.grade""",
     "v_sales",
     "v_chart",
@@ -247,12 +252,18 @@ def a21_first_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.groupBy(F.lower("p_name").alias("name")).agg(F.min("p_size").alias("class_year"), F.min_by("p_size", F.struct(order, "p_size")).alias("pick"))
 
 
-@query("""SELECT p_name, p_size, min(p_partkey) AS p_partkey, (SELECT count(DISTINCT p_name) FROM part p2 WHERE p2.p_size = part.p_size) > 1 AS collides FROM part GROUP BY 1, 2""")
+CHECKLIST_SQL = "(SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) ELSE ' ' || p_name END AS name, 'A' || CAST(p_size AS VARCHAR) AS number FROM part)"
+
+
+@query(
+    f"""WITH c AS {CHECKLIST_SQL}, d AS (SELECT lower(number) AS n, min_by(name, id) AS name, min_by(number, id) AS number, min(id) AS id FROM c GROUP BY lower(trim(name)), lower(number))
+       SELECT id, name, number, count(DISTINCT name) OVER (PARTITION BY n) > 1 AS collides FROM d"""
+)
 def a22_dedupe_checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact (name, number) repeats keep the least id; numbers with several names are kept and marked."""
-    parts = views.read(spark, sf_dir, "part")
-    names = parts.groupBy("p_size").agg((F.count_distinct("p_name") > 1).alias("collides"))
-    return parts.groupBy("p_name", "p_size").agg(F.min("p_partkey").alias("p_partkey")).join(names, "p_size")
+    k = F.col("p_partkey")
+    name = F.when(k % 3 == 0, F.col("p_name")).when(k % 3 == 1, F.upper("p_name")).otherwise(F.concat(F.lit(" "), "p_name"))
+    rows = views.read(spark, sf_dir, "part").select(k.alias("id"), name.alias("name"), F.concat(F.lit("A"), F.col("p_size").cast("string")).alias("number"))
+    return a.dedupe_checklist(rows, "name", "number", "id")
 
 
 @query("""SELECT entity_id, min(date) AS event_date, 'debut' AS event_type FROM v_logs WHERE level = 'mlb' GROUP BY 1 UNION ALL SELECT entity_id, event_date, 'award_win' FROM v_registry""", "v_logs", "v_registry")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as f
-from tidemark.operators import joins
+from tidemark.operators import aggregates, joins
 from tidemark.plans.q_scalars import TOKENS_SQL
 from tidemark.plans.q_series import rounded
 from tidemark.plans.registry import query
@@ -94,9 +94,9 @@ def s10_stacked_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- parsers
 
 
-@query("SELECT entity_id, date, hits, at_bats AS \"atBats\" FROM v_logs WHERE entity_id % 5 = 0", "v_logs")
+@query("SELECT entity_id, date, hits, at_bats AS \"atBats\" FROM v_logs", "v_logs")
 def p01_game_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.logs(spark, sf_dir).where("entity_id % 5 = 0")
+    rows = views.logs(spark, sf_dir)
     split = F.struct(F.date_format("date", "yyyy-MM-dd").alias("date"), F.struct(F.col("hits").cast("string").alias("hits"), F.col("at_bats").cast("string").alias("atBats")).alias("stat"))
     payloads = rows.groupBy("entity_id", "season").agg(F.to_json(F.struct(F.collect_list(split).alias("splits"))).alias("payload"))
     return parse.game_logs(payloads).drop("season").withColumn("date", F.col("date").cast("timestamp_ntz"))
@@ -109,12 +109,14 @@ def p02_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.people(payloads).withColumn("birth_date", F.col("birth_date").cast("timestamp_ntz"))
 
 
-@query("""SELECT 2000 + n AS year, CASE WHEN k % 4 > 0 THEN k END AS id, name, CASE WHEN k % 3 = 0 THEN NULL ELSE k END AS rank, make_timestamp(CAST(2000 + n AS BIGINT), 7, 1, 0, 0, 0.0) AS as_of FROM (SELECT s_suppkey AS k, CAST(s_nationkey AS BIGINT) AS n, s_name AS name FROM supplier)""")
+@query("""SELECT CAST(2000 + n AS INTEGER) AS year, CASE WHEN k % 4 > 0 THEN k END AS id, name, CASE WHEN k % 3 = 0 THEN NULL ELSE k END AS rank, make_timestamp(CAST(2000 + n AS BIGINT), 7, 1, 0, 0, 0.0) AS as_of FROM (SELECT s_suppkey AS k, CAST(s_nationkey AS BIGINT) AS n, s_name AS name FROM supplier) WHERE k % 5 > 0""")
 def p03_draft_prospects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some entries without a person, some persons without an id, and those with one twice."""
     k = F.col("s_suppkey")
-    entry = F.struct(F.when(k % 4 > 0, k).alias("id"), F.col("s_name").alias("name"), F.when(k % 3 == 0, F.lit("n/a")).otherwise(k.cast("string")).alias("rank"))
-    rows = views.read(spark, sf_dir, "supplier").groupBy((2000 + F.col("s_nationkey")).alias("year")).agg(F.concat(F.collect_list(entry), F.filter(F.collect_list(entry), lambda e: e["id"].isNotNull())).alias("prospects"))
-    return parse.draft_prospects(rows.select(F.to_json(F.struct("year", "prospects")).alias("payload"))).withColumn("as_of", F.col("as_of").cast("timestamp_ntz"))
+    person = F.when(k % 5 > 0, F.struct(F.when(k % 4 > 0, k).alias("id"), F.col("s_name").alias("fullName")))
+    entry = F.struct(person.alias("person"), F.when(k % 3 > 0, k.cast("string")).alias("rank"), k.alias("bisPlayerId"))
+    years = views.read(spark, sf_dir, "supplier").groupBy((2000 + F.col("s_nationkey")).cast("int").alias("year")).agg(F.concat(F.collect_list(entry), F.filter(F.collect_list(entry), lambda e: e["person"]["id"].isNotNull())).alias("prospects"))
+    return parse.draft_prospects(years.select("year", F.to_json(F.struct("prospects")).alias("payload")), "year").withColumn("as_of", F.col("as_of").cast("timestamp_ntz"))
 
 
 @query("SELECT CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_brand END AS label, CAST(p_partkey AS VARCHAR) AS market_id, CASE WHEN p_partkey % 3 = 0 THEN CAST(0 AS DOUBLE) ELSE p_retailprice END AS volume FROM part")
@@ -134,12 +136,13 @@ def p05_price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.price_history(lists.select("market_id", payload.alias("payload"))).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query("SELECT CAST(market_id AS VARCHAR) AS ticker, to_timestamp(CAST(floor(epoch(ts)) AS BIGINT))::TIMESTAMP AS ts, round(raw_price, 6) AS raw_price FROM v_odds WHERE event_id % 7 > 0 AND raw_price < 0.9 AND raw_price > 0.02", "v_odds")
+@query("SELECT CAST(market_id AS VARCHAR) AS ticker, to_timestamp(CAST(floor(epoch(ts)) AS BIGINT))::TIMESTAMP AS ts, round(CASE WHEN event_id % 2 = 0 AND raw_price > 1 THEN raw_price / 100 WHEN event_id % 2 > 0 AND raw_price * 100 <= 1 THEN raw_price * 100 ELSE raw_price END, 6) AS raw_price, CAST(CASE event_id % 3 WHEN 0 THEN event_id WHEN 1 THEN 7 ELSE 0 END AS DOUBLE) AS volume FROM v_odds WHERE event_id % 7 > 0 AND raw_price IS NOT NULL", "v_odds")
 def p06_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    price = F.struct(F.when(F.col("event_id") % 2 == 0, F.col("raw_price").cast("string")).alias("close_dollars"), F.when(F.col("event_id") % 7 > 0, F.when(F.col("event_id") % 2 > 0, F.col("raw_price") * 100)).alias("close"))
-    price = F.when(F.col("event_id") % 7 > 0, price)
-    candle = F.struct(F.unix_timestamp(F.col("ts").cast("timestamp")).alias("end_period_ts"), price.alias("price"))
-    rows = views.odds(spark, sf_dir).where("raw_price < 0.9 AND raw_price > 0.02").groupBy(F.col("market_id").cast("string").alias("ticker")).agg(F.collect_list(candle).alias("candlesticks"))
+    """Both forms of the close, in dollars and cents, and of the volume; a seventh of the candles has no trade."""
+    k = F.col("event_id")
+    price = F.when(k % 7 > 0, F.struct(F.when(k % 2 == 0, F.col("raw_price").cast("string")).alias("close_dollars"), F.when(k % 2 > 0, F.col("raw_price") * 100).alias("close")))
+    candle = F.struct(F.unix_timestamp(F.col("ts").cast("timestamp")).alias("end_period_ts"), price.alias("price"), F.when(k % 3 == 0, k.cast("string")).alias("volume_fp"), F.when(k % 3 == 1, F.lit(7)).alias("volume"))
+    rows = views.odds(spark, sf_dir).groupBy(F.col("market_id").cast("string").alias("ticker")).agg(F.collect_list(candle).alias("candlesticks"))
     return rounded(parse.candles(rows.select(F.to_json(F.struct("ticker", "candlesticks")).alias("payload"))).withColumn("ts", F.col("ts").cast("timestamp_ntz")))
 
 
@@ -150,49 +153,80 @@ def p07_populations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.populations(views.read(spark, sf_dir, "part").select("p_partkey", F.to_json(detail).alias("payload")))
 
 
-def _sale_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page of sales tables for each supplier, a summary and attributes included."""
-    rows = views.read(spark, sf_dir, "lineitem").where("l_suppkey % 10 = 0").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), "l_shipdate", "l_extendedprice", "l_discount", "l_returnflag")
-    cell = lambda *c: F.concat(F.lit("<td>"), *c, F.lit("</td>"))
-    price = F.concat(F.lit("$"), F.format_number("l_extendedprice", 2))
-    listed = F.when(F.col("l_discount") >= 0.05, F.lit(" <s>$99,999.00</s>")).otherwise(F.lit(""))
-    title = F.concat(F.lit("Item #"), F.col("k").cast("string"), F.when(F.col("l_returnflag") == "A", F.lit(" PSA 10")).otherwise(F.lit(" &amp; more")))
-    row = F.concat(F.lit("<tr>"), cell(F.date_format("l_shipdate", "yyyy-MM-dd")), cell(F.lit("<img>")), cell(title), cell(price, listed), F.lit("</tr>"))
-    body = F.concat(F.lit('<div class="completed"><table><tr><th>Date</th></tr>'), F.array_join(F.array_sort(F.collect_list(row)), ""), F.lit("</table></div>"))
-    facts = '<div class="attributes"><table><tr><td>Rookie Card:</td><td>Yes</td></tr><tr><td>Print Run:</td><td>99</td></tr></table></div>'
-    summary = '<div class="summary"><table><tr><th>Ungraded</th><th>PSA 10</th></tr><tr><td>$1.50 -$0.10</td><td>$20.00</td></tr></table></div>'
-    script = F.concat(F.lit('<script>VGPC.chart_data = {"used":[[820454400000,100],[852076800000,150]],"graded":[[852076800000,2000]],"odd":[[852076800000,7]],"none":[[852076800000,0]]};</script>'))
-    return rows.groupBy("l_suppkey").agg(F.concat(F.lit("<html><body>"), body, F.lit(facts + summary), script, F.lit("</body></html>")).alias("html"))
+PAGE = "'s' || CAST(l_suppkey AS VARCHAR) || '/' || CAST(year(l_shipdate) AS VARCHAR)"
 
 
-@query(
-    """SELECT l_suppkey, 'completed' AS bucket, CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS sale_date, 'Item #' || CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) || CASE WHEN l_returnflag = 'A' THEN ' PSA 10' ELSE ' & more' END AS title, l_extendedprice AS price,
-       CASE WHEN l_discount >= 0.05 THEN CAST(99999 AS DOUBLE) END AS list_price, l_discount >= 0.05 AS best_offer, CASE WHEN l_returnflag = 'A' THEN 'psa_10' END AS grade FROM lineitem WHERE l_suppkey % 10 = 0"""
-)
-def p08_s11_sales_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = parse.table_rows(_sale_pages(spark, sf_dir), "l_suppkey")
-    return parse.sales(rows.where("bucket = 'completed'"), "l_suppkey").withColumn("sale_date", F.col("sale_date").cast("timestamp_ntz"))
+def _sale_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each supplier and year: sales in both forms of the price cell, a summary, attributes and a chart, of its lines."""
+    c = F.col
+    rows = views.read(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("s"), c("l_suppkey").cast("string"), F.lit("/"), F.year("l_shipdate").cast("string")).alias("slug"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("k"), "l_shipdate", "l_discount", "l_returnflag", "l_linenumber", F.round(c("l_extendedprice") * 100).cast("bigint").alias("cents")
+    )
+    cell = lambda *x: F.concat(F.lit("<td>"), *x, F.lit("</td>"))
+    dollars = lambda x: F.concat(F.lit("$"), F.format_number(x / 100, 2))
+    price, listed = dollars(c("cents")), dollars(c("cents") * 2)
+    marked = F.concat(F.lit('<span class="js-price" title="best offer accepted price">'), price, F.lit("</span>"), F.when(c("l_discount") >= 0.05, F.concat(F.lit('<span class="js-price listed-price-inline">'), listed, F.lit("</span>"))).otherwise(F.lit("")))
+    bare = F.concat(price, F.when(c("l_discount") >= 0.05, F.concat(F.lit(" <s>"), listed, F.lit("</s>"))).otherwise(F.lit("")))
+    title = F.concat(F.lit("Item #"), c("k").cast("string"), F.when(c("l_returnflag") == "A", F.lit(" PSA MINT 9")).otherwise(F.lit(" &amp; more")))
+    row = F.concat(F.lit("<tr>"), cell(F.date_format("l_shipdate", "yyyy-MM-dd")), cell(F.lit("<img>")), cell(title), cell(F.when(c("l_linenumber") % 2 == 0, marked).otherwise(bare)), F.lit("</tr>"))
+    day = F.unix_millis(F.to_date("l_shipdate").cast("timestamp"))
+    point = lambda flag: F.array_sort(F.collect_list(F.when(c("l_returnflag") == flag, F.array(day, c("cents")))))
+    pages = rows.groupBy("slug").agg(F.array_join(F.array_sort(F.collect_list(row)), "").alias("body"), F.count("*").alias("lines"), *(point(flag).alias(f"points_{flag}") for flag in "NAR"))
+    last = lambda flag: F.element_at(F.element_at(c(f"points_{flag}"), -1), -1)
+    shown = lambda flag: F.coalesce(F.concat(dollars(last(flag)), F.lit("-$0.10")), F.lit("n/a"))
+    sales = F.concat(F.lit('<div class="completed-auctions-used"><table><tr><th>Date</th></tr>'), "body", F.lit("</table></div>"))
+    facts = F.concat(F.lit('<table id="attribute"><tr><td>Rookie Card:</td><td>'), F.when(c("lines") % 2 == 0, "Yes").otherwise("No"), F.lit("</td></tr><tr><td>Print Run:</td><td>"), c("lines").cast("string"), F.lit("</td></tr></table>"))
+    summary = F.concat(F.lit('<table id="price_data"><tr><th>Ungraded</th><th>PSA 10</th></tr><tr><td>'), shown("N"), F.lit("</td><td>"), shown("A"), F.lit("</td></tr></table>"))
+    chart = F.concat(F.lit("<script>VGPC.chart_data = "), F.to_json(F.struct(c("points_N").alias("used"), c("points_A").alias("graded"), c("points_R").alias("odd"), F.array(F.array(F.lit(0), F.lit(0))).alias("none"))), F.lit(" ;</script>"))
+    return pages.select("slug", F.concat(F.lit("<html><body>"), sales, facts, summary, chart, F.lit("</body></html>")).alias("html"))
+
+
+SALES_SQL = f"""SELECT {PAGE} AS slug, 'used' AS bucket, CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS sale_date, 'Item #' || CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) || CASE WHEN l_returnflag = 'A' THEN ' PSA MINT 9' ELSE ' & more' END AS title, round(l_extendedprice * 100) / 100 AS price,
+       CASE WHEN l_discount >= 0.05 THEN round(l_extendedprice * 100) * 2 / 100 END AS list_price, l_discount >= 0.05 AS best_offer, CASE WHEN l_returnflag = 'A' THEN 'psa_9' END AS grade FROM lineitem"""
+
+
+@query(SALES_SQL)
+def p08_sales_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = parse.table_rows(_sale_pages(spark, sf_dir), "slug")
+    return parse.sales(rows, "slug").withColumn("sale_date", F.col("sale_date").cast("timestamp_ntz"))
+
+
+@query(f"SELECT {PAGE} AS slug, 'print_run=' || CAST(count(*) AS VARCHAR) || ',rookie_card=' || CASE WHEN count(*) % 2 = 0 THEN 'true' ELSE 'false' END AS attributes FROM lineitem GROUP BY 1")
+def p11_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = parse.attributes(parse.table_rows(_sale_pages(spark, sf_dir), "slug"), "slug")
+    return found.select("slug", F.array_join(F.transform(F.map_entries("attributes"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("attributes"))
 
 
-@query("SELECT DISTINCT l_suppkey, 'print_run=99,rookie_card=true' AS attributes FROM lineitem WHERE l_suppkey % 10 = 0")
-def p11_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = parse.table_rows(_sale_pages(spark, sf_dir), "l_suppkey").where("bucket = 'attributes'")
-    found = parse.attributes(rows, "l_suppkey")
-    return found.select("l_suppkey", F.array_join(F.transform(F.map_entries("attributes"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("attributes"))
+POINTS_SQL = f"""po AS (SELECT {PAGE} AS slug, l_returnflag AS flag, date_trunc('day', l_shipdate) AS day, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem),
+       la AS (SELECT slug, flag, max_by(cents, (day, cents)) AS cents FROM po GROUP BY 1, 2)"""
+CHART_SQL = f"""{POINTS_SQL}, na AS (SELECT la.slug, la.flag, coalesce((SELECT max_by(CASE s.flag WHEN 'N' THEN 'ungraded' ELSE 'psa_10' END, CASE s.flag WHEN 'N' THEN 0 ELSE 1 END) FROM la s WHERE s.slug = la.slug AND s.cents = la.cents AND s.flag IN ('N', 'A')), 'key:odd') AS grade FROM la),
+       ch AS (SELECT slug, grade, CAST(day AS TIMESTAMP) AS date, cents / 100 AS price FROM po JOIN na USING (slug, flag) WHERE cents > 0)"""
 
 
-@query("SELECT DISTINCT l_suppkey, s.label, s.cents FROM lineitem, (VALUES ('Ungraded', 150), ('PSA 10', 2000)) s(label, cents) WHERE l_suppkey % 10 = 0")
+@query(f"WITH {POINTS_SQL} SELECT slug, CASE flag WHEN 'N' THEN 'Ungraded' ELSE 'PSA 10' END AS label, CASE flag WHEN 'N' THEN 0 ELSE 1 END AS place, cents FROM la WHERE flag IN ('N', 'A')")
 def p12_price_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.price_summary(parse.table_rows(_sale_pages(spark, sf_dir), "l_suppkey").where("bucket = 'summary'"), "l_suppkey")
+    return parse.price_summary(parse.table_rows(_sale_pages(spark, sf_dir), "slug"), "slug")
+
+
+@query(f"WITH {CHART_SQL} SELECT * FROM ch")
+def p13_p14_calibrated_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _sale_pages(spark, sf_dir)
+    summary = parse.price_summary(parse.table_rows(pages, "slug"), "slug")
+    return parse.calibrated(parse.chart_points(pages, "slug"), summary, "slug").withColumn("date", F.col("date").cast("timestamp_ntz"))
 
 
 @query(
-    """SELECT DISTINCT l_suppkey, s.grade, s.date, s.price FROM lineitem, (VALUES ('Ungraded', TIMESTAMP '1996-01-01', 1.0), ('Ungraded', TIMESTAMP '1997-01-01', 1.5), ('PSA 10', TIMESTAMP '1997-01-01', 20.0), ('key:odd', TIMESTAMP '1997-01-01', 0.07)) s(grade, date, price) WHERE l_suppkey % 10 = 0"""
+    f"""WITH {CHART_SQL}, sa AS ({SALES_SQL}), m AS (SELECT DISTINCT {PAGE} AS slug, l_suppkey AS entity_id FROM lineitem WHERE year(l_shipdate) % 2 = 0)
+       SELECT 'sale' AS kind, slug, entity_id, sale_date AS date, grade, price FROM sa JOIN m USING (slug) UNION ALL SELECT 'chart', slug, entity_id, date, grade, price FROM ch JOIN m USING (slug) WHERE NOT starts_with(grade, 'key:')"""
 )
-def p13_p14_calibrated_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
+def s11_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two snapshots of each page, the older one empty; those of even years have meta data."""
     pages = _sale_pages(spark, sf_dir)
-    summary = parse.price_summary(parse.table_rows(pages, "l_suppkey").where("bucket = 'summary'"), "l_suppkey")
-    return parse.calibrated(parse.chart_points(pages, "l_suppkey"), summary, "l_suppkey").withColumn("date", F.col("date").cast("timestamp_ntz"))
+    snapshots = pages.withColumn("day", F.lit("2020-02-01")).unionByName(pages.select("slug", F.lit("<p>old</p>").alias("html"), F.lit("2020-01-01").alias("day")))
+    meta = views.read(spark, sf_dir, "lineitem").where(F.year("l_shipdate") % 2 == 0).select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string"), F.lit("/"), F.year("l_shipdate").cast("string")).alias("slug"), F.col("l_suppkey").alias("entity_id")).distinct()
+    sold, chart = parse.rebuilt(snapshots, meta, "slug")
+    one = lambda df, kind, day: df.select(F.lit(kind).alias("kind"), "slug", "entity_id", F.col(day).cast("timestamp_ntz").alias("date"), "grade", "price")
+    return one(sold, "sale", "sale_date").unionByName(one(chart, "chart", "date"))
 
 
 @query("SELECT p_partkey, p_name || ' #' || CAST(p_size AS VARCHAR) AS raw_title, p_name AS name, CAST(p_size AS VARCHAR) AS number FROM part WHERE p_partkey % 4 > 0")
@@ -201,30 +235,47 @@ def p15_set_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.set_entries(views.read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), title).select("p_partkey", "raw_title", "name", "number")
 
 
-@query("""SELECT DISTINCT 'set-' || CAST(1990 + p_size AS VARCHAR) || CASE p_partkey % 3 WHEN 0 THEN '-chrome' WHEN 1 THEN '-draft-auto' ELSE '-draft' END AS slug, 1990 + p_size AS year, CASE WHEN p_partkey % 3 = 0 THEN 'chrome' ELSE 'draft' END AS family, CASE WHEN p_partkey % 3 = 1 THEN 'auto' ELSE 'base' END AS kind FROM part""")
+SHAPES = ("bowman-chrome-prospect-autographs", "bowman-draft-chrome", "bowman-chrome-prospects", "bowman-sterling", "bowman-draft-picks-chrome-autographs", "bowman-draft-sapphire-autographs")
+SHAPE_SQL = "CASE p_partkey % 6 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(SHAPES)) + " END"
+
+
+@query(
+    f"""SELECT DISTINCT 'baseball-cards-' || CAST(1990 + p_size AS VARCHAR) || '-' || {SHAPE_SQL} AS slug, CAST(1990 + p_size AS INTEGER) AS year, CASE WHEN contains({SHAPE_SQL}, 'draft') THEN 'draft' ELSE 'chrome' END AS family,
+       CASE WHEN p_partkey % 6 IN (0, 4) THEN 'auto' WHEN p_partkey % 6 IN (1, 2) THEN 'base' ELSE 'other' END AS kind FROM part"""
+)
 def p16_set_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey") % 3
-    href = F.concat(F.lit('<a href="/console/set-'), (1990 + F.col("p_size")).cast("string"), F.when(k == 0, "-chrome").when(k == 1, "-draft-auto").otherwise("-draft"), F.lit('">x</a>'))
+    shape = F.get(F.array(*map(F.lit, SHAPES)), (F.col("p_partkey") % 6).cast("int"))
+    href = F.concat(F.lit('<a href="/console/baseball-cards-'), (1990 + F.col("p_size")).cast("string"), F.lit("-"), shape, F.when(F.col("p_partkey") % 2 == 0, "/").otherwise(""), F.lit('">x</a><a href="/console/other-2001">y</a>'))
     pages = views.read(spark, sf_dir, "part").groupBy("p_size").agg(F.array_join(F.collect_list(href), " ").alias("html"))
-    return parse.set_slugs(pages, "p_size")
+    return parse.set_slugs(pages)
 
 
-@query("""SELECT s_nationkey, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS INTEGER) AS rank, replace(s_name, '#', ' ') AS name, 'SS' AS position, 'NYA' AS team FROM supplier""")
+@query("""SELECT s_nationkey, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS INTEGER) AS rank, replace(s_name, '#', ' ') AS name, CASE s_nationkey % 3 WHEN 1 THEN 'OF/1B' ELSE 'SS' END AS position, CASE WHEN s_nationkey % 3 = 0 THEN 'NYA' ELSE 'PHI' END AS team FROM supplier""")
 def p17_ranked_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered lines in odd nations, lines in order in even ones."""
+    """A third of the nations each has numbered lines, lines in order (every second name cut in two), and names above their lines."""
     lists = views.read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", F.regexp_replace("s_name", "#", " ").alias("n")))).alias("l"))
-    line = lambda x, i: F.concat(F.when(F.col("s_nationkey") % 2 == 1, F.concat((i + 1).cast("string"), F.lit(". "))).otherwise(F.lit("")), x["n"], F.lit(", SS, NYA"))
-    docs = lists.select("s_nationkey", F.concat(F.lit("Intro\n"), F.array_join(F.transform("l", line), "\n")).alias("text"))
-    odd = F.col("s_nationkey") % 2 == 1
-    return parse.ranked_list(docs.where(odd), "s_nationkey", "text", True).unionByName(parse.ranked_list(docs.where(~odd), "s_nationkey", "text", False))
-
-
-@query("SELECT s_nationkey, CAST(s_suppkey % 100 AS INTEGER) AS rank, s_name AS name FROM supplier")
+    kind = F.col("s_nationkey") % 3
+    numbered = lambda x, i: F.concat((i + 1).cast("string"), F.lit(" . "), x["n"], F.when(i % 2 == 0, ", SS, ").otherwise(", SS "), F.lit("NYA"))
+    ordered = lambda x, i: F.concat(F.when(i % 2 == 0, x["n"]).otherwise(F.concat(F.substring(x["n"], 1, 4), F.lit("\n\n• a note\n[x]\n"), F.substring(x["n"], 5, 99))), F.lit(", OF/1B, PHi"))
+    below = lambda x, i: F.concat(F.regexp_replace(x["n"], "[0-9]", "z"), F.lit("\n, SS, PH\nsome text\n"))
+    text = lambda line: F.concat(F.lit("Intro, A, BC\nStart\n"), F.array_join(F.transform("l", line), "\n"), F.lit("\nSeason-end note\nAfter, SS, NYA\n"))
+    docs = lambda k, line: lists.where(kind == k).select("s_nationkey", text(line).alias("text"))
+    named = views.read(spark, sf_dir, "supplier").select("s_nationkey", F.regexp_replace(F.regexp_replace("s_name", "#", " "), "[0-9]", "z").alias("z"), F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).alias("rank"), F.regexp_replace("s_name", "#", " ").alias("real"))
+    third = parse.split_list(docs(2, below), "s_nationkey", "text", "Start").join(named, ["s_nationkey", "rank"]).where("name = z").select("s_nationkey", "rank", F.col("real").alias("name"), "position", "team")
+    first = parse.numbered_list(docs(0, numbered), "s_nationkey", "text")
+    return first.unionByName(parse.ordered_list(docs(1, ordered), "s_nationkey", "text", "Start\n").withColumn("name", F.regexp_replace("name", "^Start", ""))).unionByName(third)
+
+
+@query("SELECT s_nationkey, CAST(s_suppkey % 100 AS INTEGER) AS rank, s_suppkey AS id, CASE WHEN s_suppkey % 7 > 0 THEN s_name || ' ' || CAST(s_suppkey AS VARCHAR) END AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'SS' WHEN s_suppkey % 7 > 0 THEN 'P' END AS position FROM supplier WHERE s_suppkey % 5 > 0")
 def p18_linked_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("s_suppkey").cast("string")
-    entities = F.concat(F.lit('"Rank:r'), k, F.lit('":{"rank":'), (F.col("s_suppkey") % 100).cast("string"), F.lit(',"person":"Person:'), k, F.lit('"},"Person:'), k, F.lit('":{"name":"'), "s_name", F.lit('"}'))
-    docs = views.read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entities), ","), F.lit("}")).alias("text"))
-    return parse.linked_ranks(docs, "s_nationkey", "text")
+    """Entities with and without a reference or a position of their own, and persons of whom some are missing."""
+    k, t = F.col("s_suppkey").cast("string"), F.lit
+    own = F.when(F.col("s_suppkey") % 2 == 0, '"position":"SS",').otherwise("")
+    reference = F.when(F.col("s_suppkey") % 5 > 0, F.concat(t('"player":{"__ref":"Person:'), k, t('"}'))).otherwise(F.lit('"player":null'))
+    ranked = F.concat(t('{"__typename":"RankedPlayerEntity","rank":'), (F.col("s_suppkey") % 100).cast("string"), t(',"playerEntity":{'), own, reference, t("}}"))
+    person = F.when(F.col("s_suppkey") % 7 > 0, F.concat(t(',"Person:'), k, t('":{"__typename":"Person","useName":"'), "s_name", t('","useLastName":"'), k, t('","primaryPosition":{"__typename":"Position","abbreviation":"P"}}'))).otherwise("")
+    docs = views.read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_join(F.collect_list(F.concat(ranked, person)), ",").alias("text"))
+    return parse.linked_ranks(docs.withColumn("text", F.replace("text", F.lit('"'), F.lit("&quot;"))), "s_nationkey", "text")
 
 
 @query("""SELECT p_partkey, 'baseball-cards-' || CAST(1990 + p_size AS VARCHAR) || '-x/' || replace(p_name, ' ', '-') || '-' || CAST(p_partkey AS VARCHAR) AS key, 1990 + p_size AS year, CAST(p_partkey AS VARCHAR) AS number, CAST(1990 + p_size AS VARCHAR) || ' Baseball Cards' AS set_query FROM part""")
@@ -258,13 +309,13 @@ def j10_base_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH q AS (SELECT DISTINCT p_name AS name, 20 AS y FROM part), c AS (SELECT q.name, p.p_partkey, 0 AS tier, abs(p.p_size - y) AS far FROM q JOIN part p ON p.p_name = q.name WHERE p.p_size > 40 UNION ALL
-         SELECT q.name, p.p_partkey, 1, abs(p.p_size - y) FROM q JOIN part p ON split_part(p.p_name, ' ', 2) = split_part(q.name, ' ', 2) WHERE p.p_size > 40),
+    """WITH q AS (SELECT DISTINCT p_name AS name, 20 AS y FROM part), c AS (SELECT q.name, p.p_partkey, 0 AS tier, abs(p.p_size - y) AS far FROM q JOIN part p ON p.p_name = q.name UNION ALL
+         SELECT q.name, p.p_partkey, 1, abs(p.p_size - y) FROM q JOIN part p ON split_part(p.p_name, ' ', 2) = split_part(q.name, ' ', 2)),
        r AS (SELECT *, rank() OVER (PARTITION BY name ORDER BY tier, far) AS rk FROM c), b AS (SELECT name, count(DISTINCT p_partkey) AS n, min(p_partkey) AS id FROM r WHERE rk = 1 GROUP BY 1)
        SELECT q.name, CASE WHEN n = 1 THEN id END AS p_partkey, CASE WHEN n = 1 THEN 'matched' WHEN n > 1 THEN 'ambiguous' ELSE 'unmatched' END AS status FROM q LEFT JOIN b USING (name)"""
 )
 def j11_j14_tiered_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = views.read(spark, sf_dir, "part").where("p_size > 40").select(F.col("p_name").alias("d_name"), F.element_at(F.split("p_name", " "), 2).alias("d_word"), "p_size", "p_partkey")
+    parts = views.read(spark, sf_dir, "part").select(F.col("p_name").alias("d_name"), F.element_at(F.split("p_name", " "), 2).alias("d_word"), "p_size", "p_partkey")
     asked = views.read(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().withColumn("word", F.element_at(F.split("name", " "), 2))
     return joins.tiered_match(asked, parts, "name", [("name", "d_name"), ("word", "d_word")], [F.abs(F.col("p_size") - 20)], "p_partkey")
 
@@ -280,28 +331,32 @@ def j12_career_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.by_career_timing(candidates, views.logs(spark, sf_dir).select("entity_id", "season"), "k", "entity_id", "y", back=1, ahead=0)
 
 
-@query("SELECT p_name, array_to_string(list_sort(list_distinct(list(p_partkey))), ',') AS ids FROM part WHERE p_size <= 3 GROUP BY 1 HAVING count(DISTINCT p_partkey) >= 2")
+@query("SELECT p_name, array_to_string(list_sort(list_distinct(list(p_partkey))), ',') AS ids FROM part GROUP BY 1 HAVING count(DISTINCT p_partkey) >= 2")
 def j13_several_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = joins.several_ids(views.read(spark, sf_dir, "part").where("p_size <= 3"), "p_name", "p_partkey")
+    found = joins.several_ids(views.read(spark, sf_dir, "part"), "p_name", "p_partkey")
     return found.select("p_name", F.concat_ws(",", F.col("ids").cast("array<string>")).alias("ids"))
 
 
 @query(
-    """WITH r AS (SELECT p_size AS asked, p_partkey AS result_id, string_split(p_name, ' ') AS toks, CAST(p_partkey % 7 AS VARCHAR) AS num, p_partkey % 3 AS par, p_partkey % 2 = 0 AS uni, p_retailprice AS pop FROM part),
-       t AS (SELECT *, CASE WHEN par = 0 THEN 0 WHEN par = 1 THEN 1 END AS pt, CASE WHEN toks[2] = 'widget' AND len(toks) = 2 THEN 1 END AS st, CASE WHEN num = '3' THEN 0 END AS nt FROM r)
-       SELECT asked, result_id FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY pt, st, nt, uni DESC, pop DESC, result_id) AS rn FROM t WHERE pt IS NOT NULL AND st IS NOT NULL AND nt IS NOT NULL AND toks[1] NOT IN ('red', 'blue')) WHERE rn = 1"""
+    """WITH r AS (SELECT p_size AS asked, p_partkey AS result_id, string_split(p_name, ' ') AS toks, CASE p_partkey % 4 WHEN 1 THEN 'USC3' WHEN 2 THEN '3' WHEN 3 THEN 'usc3' ELSE 'x' END AS num, p_partkey % 5 AS par, p_partkey % 2 = 0 AS uni, p_retailprice AS pop FROM part),
+       t AS (SELECT *, CASE WHEN par IN (0, 3, 4) THEN 0 WHEN par = 1 THEN 1 END AS pt, CASE WHEN toks = ['widget'] THEN 0 WHEN list_contains(toks, 'widget') THEN 1 END AS st, CASE WHEN upper(num) = 'USC3' THEN 0 WHEN num = '3' THEN 1 END AS nt FROM r
+         WHERE result_id % 9 > 0 AND result_id % 11 > 0)
+       SELECT asked, result_id FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY pt, st, nt, uni DESC, pop DESC, result_id) AS rn FROM t WHERE pt IS NOT NULL AND st IS NOT NULL AND nt IS NOT NULL) WHERE rn = 1"""
 )
 def j15_pick_search_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     results = views.read(spark, sf_dir, "part").select(
         F.col("p_size").alias("asked"),
         k.alias("result_id"),
-        F.array(F.lit("widget")).alias("wanted_tokens"),
-        F.split("p_name", " ").alias("set_tokens"),
-        F.array(F.lit("red"), F.lit("blue")).alias("blocked"),
-        F.lit("3").alias("wanted_number"),
-        (k % 7).cast("string").alias("number"),
-        F.when(k % 3 == 0, "Base").when(k % 3 == 1, "SP").otherwise("Gold").alias("parallel"),
+        F.lit("Name Jr.").alias("wanted_name"),
+        F.when(k % 9 == 0, "Other").otherwise("name  JR").alias("name"),
+        F.lit("2022").alias("wanted_year"),
+        F.when(k % 11 == 0, F.lit(None)).otherwise(2022).alias("year"),
+        F.lit("Widget").alias("wanted_set"),
+        F.col("p_name").alias("set_name"),
+        F.lit("usc3").alias("wanted_number"),
+        F.when(k % 4 == 1, "USC3").when(k % 4 == 2, "3").when(k % 4 == 3, "usc3").otherwise("x").alias("number"),
+        F.when(k % 5 == 0, "Base").when(k % 5 == 1, "SP").when(k % 5 == 2, "Gold").alias("parallel"),
         (k % 2 == 0).alias("universal"),
         F.col("p_retailprice").alias("population"),
     )
@@ -356,11 +411,12 @@ def _odds_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH d AS (SELECT event, market_id, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, arg_max(raw_price, (ts, event_id)) AS raw_price FROM v_odds GROUP BY ALL)
-       SELECT * FROM d WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM v_odds)""",
+       SELECT event, market_id, day, raw_price, round(raw_price / sum(raw_price) OVER (PARTITION BY event, day), 9) AS implied_prob FROM d WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM v_odds) QUALIFY sum(raw_price) OVER (PARTITION BY event, day) > 0""",
     "v_odds",
 )
 def q02_stream_daily_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.run_available(jobs.daily_odds(_odds_stream(spark, sf_dir)), scratch(spark, "daily"))
+    """A day's rows come in one batch, when no more can come, so each batch normalises its days."""
+    return rounded(jobs.run_batches(jobs.daily_odds(_odds_stream(spark, sf_dir)), lambda batch: aggregates.normalize_vig(batch, ["event", "day"]), scratch(spark, "daily")), 9, exact=("raw_price",))
 
 
 @query()

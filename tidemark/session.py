@@ -29,9 +29,15 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name below the shared folder that the session names; one of this machine where it names none."""
+    """A new folder name below the shared folder that the session names (spark.checkpoint.dir). Where it names none, a local
+    session gets a folder of its machine; on a cluster that would lose data, so there it is an error."""
     import tempfile
     import uuid
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="scratch-")
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if shared is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
+        shared = tempfile.mkdtemp(prefix="scratch-")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

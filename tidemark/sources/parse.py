@@ -1,12 +1,13 @@
-"""Payloads to rows. JSON and text are parsed by built-in functions; pages by a small parser in Arrow-fed pandas batches."""
+"""Payloads to rows. JSON and text are parsed by built-in functions; pages by a small parser over Arrow batches."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as f
@@ -25,13 +26,12 @@ def people(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     return p.select(F.col("p.id").alias("id"), F.col("p.fullName").alias("name"), F.to_date("p.birthDate").alias("birth_date"), F.col("p.primaryPosition.abbreviation").alias("position"))
 
 
-def draft_prospects(payloads: DataFrame, payload: str = "payload") -> DataFrame:
-    """(year, id, name, rank, as_of): entries with neither id nor name are skipped; the first of an id stays, null ids all do."""
-    from pyspark.sql import Window
-
-    schema = "year int, prospects array<struct<id: bigint, name: string, rank: string>>"
-    rows = payloads.select(F.from_json(payload, schema).alias("j")).select("j.year", F.posexplode_outer("j.prospects").alias("pos", "p"))
-    kept = rows.where("p.id IS NOT NULL OR p.name IS NOT NULL").select("year", "pos", "p.id", "p.name", F.col("p.rank").try_cast("bigint").alias("rank"))
+def draft_prospects(payloads: DataFrame, year: str, payload: str = "payload") -> DataFrame:
+    """(year, id, name, rank, as_of) of {"prospects": [{"person": {"id", "fullName"}, "rank"}]}: entries whose person has neither id
+    nor name are skipped; the first of an id stays, null ids all do; a missing rank is null."""
+    schema = "prospects array<struct<person: struct<id: bigint, fullName: string>, rank: string>>"
+    rows = payloads.select(F.col(year).alias("year"), F.posexplode_outer(F.from_json(payload, schema)["prospects"]).alias("pos", "p"))
+    kept = rows.where("p.person.id IS NOT NULL OR p.person.fullName IS NOT NULL").select("year", "pos", F.col("p.person.id").alias("id"), F.col("p.person.fullName").alias("name"), F.col("p.rank").try_cast("bigint").alias("rank"))
     first = F.row_number().over(Window.partitionBy("year", "id").orderBy("pos"))
     return kept.withColumn("__rn", first).where("id IS NULL OR __rn = 1").select("year", "id", "name", "rank", F.make_date("year", F.lit(7), F.lit(1)).alias("as_of"))
 
@@ -54,11 +54,13 @@ def price_history(payloads: DataFrame, payload: str = "payload") -> DataFrame:
 
 
 def candles(payloads: DataFrame, payload: str = "payload") -> DataFrame:
-    """(ticker, ts, raw_price): the close in dollars, else the other one; above 1 it is in cents. Candles without a trade go."""
-    schema = "ticker string, candlesticks array<struct<end_period_ts: bigint, price: struct<close_dollars: string, close: double>>>"
+    """(ticker, ts, raw_price, volume): the close in dollars, else the other one; above 1 it is in cents. Candles without a trade
+    go; the volume is 0 where none is given."""
+    schema = "ticker string, candlesticks array<struct<end_period_ts: bigint, ts: bigint, price: struct<close_dollars: string, close: double>, volume_fp: string, volume: double>>"
     rows = payloads.select(F.from_json(payload, schema).alias("j")).select("j.ticker", F.explode("j.candlesticks").alias("c"))
     close = F.coalesce(F.col("c.price.close_dollars").try_cast("double"), F.col("c.price.close"))
-    return rows.select("ticker", F.timestamp_seconds("c.end_period_ts").alias("ts"), F.when(close > 1, close / 100).otherwise(close).alias("raw_price")).where("raw_price IS NOT NULL")
+    volume = F.coalesce(F.col("c.volume_fp").try_cast("double"), F.col("c.volume"), F.lit(0.0))
+    return rows.select("ticker", F.timestamp_seconds(F.coalesce("c.end_period_ts", "c.ts", F.lit(0))).alias("ts"), F.when(close > 1, close / 100).otherwise(close).alias("raw_price"), volume.alias("volume")).where("raw_price IS NOT NULL")
 
 
 def populations(payloads: DataFrame, payload: str = "payload", grader: str = "psa", grade: str = "10") -> DataFrame:
@@ -70,106 +72,135 @@ def populations(payloads: DataFrame, payload: str = "payload", grader: str = "ps
     return rows.select("*", F.try_element_at(own["grades"], F.lit(grade)).alias("top_pop"), F.col("__j.total_population").alias("total_pop"), rate.alias("gem_rate")).drop("__j")
 
 
+#: How pages mark the blocks of sales, an accepted offer's price and the price it was listed at.
+SALES_BLOCK, PRICE, LISTED, ACCEPTED = "completed-auctions-", "js-price", "listed-price-inline", "best offer accepted price"
+
+
 class _Cells(HTMLParser):
-    """Rows of cells, each with its text, its struck-through text, and the class of the block that holds the table."""
+    """Rows of cells: for each cell its text, an accepted and a listed price in it; for each row its table's id and sales block."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.rows: list[tuple[str, list[list[str]]]] = []
-        self.blocks: list[str] = [""]
+        self.rows: list[tuple[str | None, str | None, list[list[str]]]] = []
+        self.blocks: list[str | None] = [None]
+        self.tables: list[str | None] = [None]
+        self.spans: list[int] = []
         self.cell: list[str] | None = None
         self.row: list[list[str]] | None = None
-        self.struck = 0
 
     def handle_starttag(self, tag, attrs):
+        named = dict(attrs)
         if tag == "div":
-            self.blocks.append(dict(attrs).get("class") or self.blocks[-1])
+            own = next((c for c in (named.get("class") or "").split() if c.startswith(SALES_BLOCK)), None)
+            self.blocks.append(own.removeprefix(SALES_BLOCK) if own else self.blocks[-1])
+        elif tag == "table":
+            self.tables.append(named.get("id"))
         elif tag == "tr":
             self.row = []
         elif tag in ("td", "th") and self.row is not None:
-            self.cell = ["", ""]
-        elif tag in ("s", "strike", "del"):
-            self.struck += 1
+            self.cell, self.spans = ["", "", ""], []
+        elif tag == "span":
+            kinds = (named.get("class") or "").split()
+            self.spans.append(0 if PRICE not in kinds else 1 if named.get("title") == ACCEPTED else 2 if LISTED in kinds else 0)
 
     def handle_endtag(self, tag):
         if tag == "div" and len(self.blocks) > 1:
             self.blocks.pop()
+        elif tag == "table" and len(self.tables) > 1:
+            self.tables.pop()
         elif tag in ("td", "th") and self.cell is not None:
             self.row.append([" ".join(x.split()) for x in self.cell])
             self.cell = None
         elif tag == "tr" and self.row is not None:
-            self.rows.append((self.blocks[-1], self.row))
+            self.rows.append((self.blocks[-1], self.tables[-1], self.row))
             self.row = None
-        elif tag in ("s", "strike", "del"):
-            self.struck = max(0, self.struck - 1)
+        elif tag == "span" and self.spans:
+            self.spans.pop()
 
     def handle_data(self, data):
         if self.cell is not None:
-            self.cell[1 if self.struck else 0] += data
+            self.cell[0] += data
+            for kind in {k for k in self.spans if k}:
+                self.cell[kind] += data
 
 
 def table_rows(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """(key, bucket, pos, cells, struck) of each table row of the pages; a page without tables gives none."""
+    """(key, bucket, table_id, pos, cells, accepted, listed) of each table row of the pages; a page without tables gives none."""
     kind = pages.schema[key].dataType.simpleString()
+    names = [key, "bucket", "table_id", "pos", "cells", "accepted", "listed"]
+    types = [pa.string(), pa.string(), pa.int32(), *[pa.list_(pa.string())] * 3]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for k, page in zip(batch[key], batch[html], strict=True):
+            for n in range(batch.num_rows):
                 parser = _Cells()
-                parser.feed(page or "")
+                parser.feed(batch.column(1)[n].as_py() or "")
                 parser.close()
-                out += [(k, bucket, i, [c[0] for c in row], [c[1] for c in row]) for i, (bucket, row) in enumerate(parser.rows)]
-            yield pd.DataFrame(out, columns=[key, "bucket", "pos", "cells", "struck"])
+                columns = [[b for b, _, _ in parser.rows], [t for _, t, _ in parser.rows], list(range(len(parser.rows))), *([[c[i] for c in row] for _, _, row in parser.rows] for i in range(3))]
+                own = pa.array([batch.column(0)[n].as_py()] * len(parser.rows), batch.schema.field(0).type)
+                yield pa.RecordBatch.from_arrays([own, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
 
-    return pages.select(key, html).mapInPandas(run, f"`{key}` {kind}, bucket string, pos int, cells array<string>, struck array<string>")
+    lists = ", ".join(f"{c} array<string>" for c in names[4:])
+    return pages.select(key, html).mapInArrow(run, f"`{key}` {kind}, bucket string, table_id string, pos int, {lists}")
 
 
 def sales(rows: DataFrame, key: str) -> DataFrame:
-    """Sales of table rows of at least four cells (date, image, title, price) with an ISO date: the accepted price, and the list
-    price that is struck through, which makes it a best offer."""
-    date = F.get("cells", F.lit(0)).try_cast("date")
-    cells = rows.where((F.size("cells") >= 4) & F.get("cells", F.lit(0)).rlike(r"^\d{4}-\d{2}-\d{2}$")).withColumn("sale_date", date)
-    listed = f.money(F.get("struck", F.lit(3)))
-    return cells.select(
-        key, "bucket", "sale_date", F.get("cells", F.lit(2)).alias("title"), f.money(F.get("cells", F.lit(3))).alias("price"), listed.alias("list_price"), listed.isNotNull().alias("best_offer"), f.grade_from_title(F.get("cells", F.lit(2))).alias("grade")
-    )
-
-
-def attributes(rows: DataFrame, key: str) -> DataFrame:
-    """(key, attributes): two-celled rows as a map of lower-cased, underscored names; yes and no become true and false."""
+    """Sales of a sales block's rows of at least four cells (date, image, title, price) with an ISO date. An accepted offer's price
+    comes with the listed one if that is marked; a cell without marks has the price first and the listed one second. A listed
+    price makes a best offer; a cell without an amount has a null price."""
+    at = lambda c, i: F.get(c, F.lit(i))
+    kept = rows.where(F.col("bucket").isNotNull() & (F.size("cells") >= 4) & at("cells", 0).rlike(r"^\d{4}-\d{2}-\d{2}$"))
+    accepted, every = f.money(at("accepted", 3)), f.amounts(at("cells", 3))
+    price, listed = F.coalesce(accepted, F.get(every, F.lit(0))), F.when(accepted.isNotNull(), f.money(at("listed", 3))).otherwise(F.get(every, F.lit(1)))
+    return kept.select(key, "bucket", at("cells", 0).try_cast("date").alias("sale_date"), at("cells", 2).alias("title"), price.alias("price"), listed.alias("list_price"), listed.isNotNull().alias("best_offer"), f.grade_from_title(at("cells", 2)).alias("grade"))
+
+
+def attributes(rows: DataFrame, key: str, table: str = "attribute") -> DataFrame:
+    """(key, attributes): two-celled rows as a map of lower-cased, underscored names; yes and no become true and false. Of a name
+    that comes twice the last value stays."""
     name = F.replace(F.lower(F.rtrim(F.get("cells", F.lit(0)), F.lit(":"))), F.lit(" "), F.lit("_"))
     value = F.get("cells", F.lit(1))
     value = F.when(F.lower(value) == "yes", "true").when(F.lower(value) == "no", "false").otherwise(value)
-    pairs = rows.where(F.size("cells") == 2).select(key, F.struct(name.alias("key"), value.alias("value")).alias("e"), "pos")
-    first = pairs.groupBy(key, F.col("e.key").alias("k")).agg(F.min_by("e", "pos").alias("e"))
-    return first.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list("e"))).alias("attributes"))
+    pairs = rows.where((F.col("table_id") == table) & (F.size("cells") == 2)).select(key, F.struct(name.alias("key"), value.alias("value")).alias("e"), "pos")
+    last = pairs.groupBy(key, F.col("e.key").alias("k")).agg(F.max_by("e", "pos").alias("e"))
+    return last.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list("e"))).alias("attributes"))
 
 
-def price_summary(rows: DataFrame, key: str) -> DataFrame:
-    """(key, label, cents): the first row's names with the first amount in each cell of the row below."""
-    head = rows.groupBy(key, "bucket").agg(F.min_by("cells", "pos").alias("h"), F.min("pos").alias("p"))
-    data = rows.join(head, [key, "bucket"]).where("pos = p + 1")
-    pairs = data.select(key, F.explode(F.arrays_zip(F.col("h").alias("label"), F.col("cells").alias("cell"))).alias("z"))
-    return pairs.select(key, F.col("z.label").alias("label"), F.round(f.money(F.col("z.cell")) * 100).cast("bigint").alias("cents")).where("cents IS NOT NULL")
+def price_summary(rows: DataFrame, key: str, table: str = "price_data") -> DataFrame:
+    """(key, place, label, cents): the first row's names with the first amount in each cell of the row below; nameless ones go."""
+    own = rows.where(F.col("table_id") == table)
+    head = own.groupBy(key).agg(F.min_by("cells", "pos").alias("h"), F.min("pos").alias("p"))
+    data = own.join(head, key).where("pos = p + 1")
+    pairs = data.select(key, F.posexplode(F.arrays_zip(F.col("h").alias("label"), F.col("cells").alias("cell"))).alias("place", "z"))
+    return pairs.select(key, "place", F.col("z.label").alias("label"), F.round(f.money(F.col("z.cell")) * 100).cast("bigint").alias("cents")).where("cents IS NOT NULL AND label <> ''")
 
 
 def chart_points(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """(key, series, date, cents) of `chart_data = {...};` in a page's script: lists of [milliseconds, cents]."""
-    data = F.from_json(F.regexp_extract(html, r"chart_data\s*=\s*(\{.*?\});", 1), "map<string, array<array<double>>>")
-    points = pages.select(key, F.explode(data).alias("series", "points")).select(key, "series", F.explode("points").alias("p"))
-    return points.select(key, "series", F.to_date(F.timestamp_millis(F.get("p", F.lit(0)).cast("bigint"))).alias("date"), F.round(F.get("p", F.lit(1))).cast("bigint").alias("cents"))
+    """(key, series, place, date, cents) of `chart_data = {...};` in a page's script: lists of [milliseconds, cents]."""
+    data = F.from_json(F.regexp_extract(html, r"(?s)chart_data\s*=\s*(\{.*?\})\s*;", 1), "map<string, array<array<double>>>")
+    points = pages.select(key, F.explode(data).alias("series", "points")).select(key, "series", F.posexplode("points").alias("place", "p"))
+    return points.select(key, "series", "place", F.to_date(F.timestamp_millis(F.get("p", F.lit(0)).cast("bigint"))).alias("date"), F.round(F.get("p", F.lit(1))).cast("bigint").alias("cents"))
 
 
 def calibrated(points: DataFrame, summary: DataFrame, key: str) -> DataFrame:
-    """Series named by the label whose summary price equals their last one, in cents; `key:<series>` if none does. The last
-    label, in order of name, wins among equal prices; prices of nothing are dropped."""
-    last = points.groupBy(key, "series").agg(F.max_by("cents", "date").alias("cents"))
-    label = summary.groupBy(key, "cents").agg(F.max("label").alias("label"))
-    named = last.join(label, [key, "cents"], "left").select(key, "series", F.coalesce("label", F.concat(F.lit("key:"), "series")).alias("grade"))
+    """Series named by the label (lower-cased, underscored) whose summary price equals their last one, in cents; `key:<series>` if
+    none does. Of labels of one price the last in the table wins; prices of nothing are dropped."""
+    last = points.groupBy(key, "series").agg(F.max_by("cents", F.struct("date", "place")).alias("cents"))
+    label = summary.groupBy(key, "cents").agg(F.max_by("label", "place").alias("label"))
+    grade = F.coalesce(F.replace(F.lower("label"), F.lit(" "), F.lit("_")), F.concat(F.lit("key:"), "series"))
+    named = last.join(label, [key, "cents"], "left").select(key, "series", grade.alias("grade"))
     return points.join(named, [key, "series"]).where("cents > 0").select(key, "grade", "date", (F.col("cents") / 100).alias("price"))
 
 
+def rebuilt(snapshots: DataFrame, meta: DataFrame, key: str, day: str = "day", html: str = "html") -> tuple[DataFrame, DataFrame]:
+    """(sales, chart) of the newest page of each key, with the columns of meta by the key; pages without meta and series without a
+    label are left out."""
+    pages = snapshots.groupBy(key).agg(F.max_by(html, day).alias(html)).join(meta.select(key), key, "left_semi")
+    rows = table_rows(pages, key, html)
+    chart = calibrated(chart_points(pages, key, html), price_summary(rows, key), key).where(~F.col("grade").startswith("key:"))
+    return sales(rows, key).join(meta, key), chart.join(meta, key)
+
+
 def set_entries(links: DataFrame, title: Column) -> DataFrame:
     """links with name and number of titles of the form `name #number`; bracketed titles (parallels) go."""
     form = r"^(.*?)\s+#(\S+)$"
@@ -177,33 +208,89 @@ def set_entries(links: DataFrame, title: Column) -> DataFrame:
     return out.withColumns({"name": F.regexp_extract("raw_title", form, 1), "number": F.regexp_extract("raw_title", form, 2)})
 
 
-def set_slugs(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """(slug, year, family, kind), distinct: links to sets with a year, told apart by words of the slug."""
-    slug = F.explode(F.array_distinct(F.regexp_extract_all(html, F.lit(r'href="[^"]*/([a-z0-9-]*(?:19|20)\d\d[a-z0-9-]*)"'), 1)))
-    rows = pages.select(slug.alias("slug")).distinct()
-    kind = F.when(F.col("slug").rlike("autograph|auto(-|$)"), "auto").when(F.col("slug").rlike("insert|refractor"), "other").otherwise("base")
-    return rows.select("slug", F.regexp_extract("slug", r"((?:19|20)\d\d)", 1).cast("int").alias("year"), F.when(F.col("slug").contains("chrome"), "chrome").otherwise("draft").alias("family"), kind.alias("kind"))
+#: The shapes of the sets' slugs that are the autograph and the base set of a family and year.
+AUTO_SLUGS = (
+    r"^baseball-cards-\d{4}-bowman-chrome-prospects?-autographs?$",
+    r"^baseball-cards-\d{4}-bowman-(chrome-draft-pick-autograph|draft-chrome-picks?-autographs?|draft-picks?-chrome-autographs|draft-chrome-autographs|draft-chrome-prospect-autographs?)$",
+)
+BASE_SLUGS = (r"^baseball-cards-\d{4}-bowman-chrome-prospects$", r"^baseball-cards-\d{4}-bowman-draft-chrome$")
+
+
+def set_slugs(pages: DataFrame, html: str = "html") -> DataFrame:
+    """(slug, year, family, kind), distinct: links to sets with a year; kind is auto, base, or other for all else."""
+    links = F.regexp_extract_all(html, F.lit(r'href="/console/(baseball-cards-[^"]*)"'), 1)
+    rows = pages.select(F.explode(F.array_distinct(F.transform(links, lambda x: F.trim(x, F.lit("/"))))).alias("slug")).distinct()
+    some = lambda shapes: reduce(lambda a, b: a | b, (F.col("slug").rlike(p) for p in shapes))
+    kind = F.when(some(AUTO_SLUGS), "auto").when(some(BASE_SLUGS), "base").otherwise("other")
+    year = F.regexp_extract("slug", r"baseball-cards-(\d{4})", 1)
+    return rows.where(year != "").select("slug", year.cast("int").alias("year"), F.when(F.col("slug").contains("draft"), "draft").otherwise("chrome").alias("family"), kind.alias("kind"))
+
 
+#: A numbered line, a line in rank order, and a name with the rest of its line below it.
+NUMBERED_LINE = r"^(\d{1,3})\s*\.\s*(.+?),\s*([A-Z0-9/ ]+?)(?:,\s*|\s+)([A-Z]{2,3})$"
+ORDERED_LINE = r"^(.+?),\s*([A-Z0-9/ ]+),\s*([A-Za-z]{2,3})$"
+NAME_ABOVE = r"([A-ZÀ-Ý][A-Za-zÀ-ÿ'. -]{2,40})\n,\s*([A-Z0-9/ ]+),\s*([A-Za-z]{2,3})\n"
+LIST_END = "Season-end"
+TEAM_FIX = {"PHi": "PHI", "MN": "MIN", "PH": "PHI"}
 
-def ranked_list(docs: DataFrame, key: str, text: str, numbered: bool) -> DataFrame:
-    """(key, rank, name, position, team) of lines `N. Name, POS, TEAM`, or of lines `Name, POS, TEAM` ranked by their order."""
-    form = r"^\s*(\d+)\.\s*([^,]+),\s*([A-Z0-9/]+),\s*(\w+)\s*$" if numbered else r"^\s*()([^,\d][^,]*),\s*([A-Z0-9/]+),\s*(\w+)\s*$"
-    lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line")).where(F.col("line").rlike(form))
-    got = lines.select(key, "pos", *(F.regexp_extract("line", form, i).alias(n) for i, n in ((1, "n"), (2, "name"), (3, "position"), (4, "team"))))
-    if numbered:
-        return got.select(key, F.col("n").cast("int").alias("rank"), f.clean_name(F.col("name")).alias("name"), "position", "team")
-    from pyspark.sql import Window
 
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("pos"))
-    return got.select(key, rank.alias("rank"), f.clean_name(F.col("name")).alias("name"), "position", "team")
+def _entry(key: str, rank: Column, name: Column, position: Column, team: Column) -> list[Column]:
+    fixed = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in TEAM_FIX.items() for x in kv)), F.trim(team)), F.trim(team))
+    return [F.col(key), rank.cast("int").alias("rank"), f.clean_name(name).alias("name"), F.trim(position).alias("position"), fixed.alias("team")]
+
+
+def numbered_list(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, rank, name, position, team) of lines `N. Name, POS, TEAM`, the comma before the team may be missing."""
+    lines = docs.select(key, F.explode(F.split(text, "\n")).alias("line")).where(F.col("line").rlike(NUMBERED_LINE))
+    part = lambda i: F.regexp_extract("line", NUMBERED_LINE, i)
+    return lines.select(*_entry(key, part(1), part(2), part(3), part(4)))
+
+
+def ordered_list(docs: DataFrame, key: str, text: str, marker: str) -> DataFrame:
+    """(key, rank, name, position, team) of lines `Name, POS, TEAM` from the marker to the end of the list, ranked by their order. A
+    name that is cut over lines is put together again; bullets and brackets don't belong to names."""
+    start = F.instr(text, marker)
+    lines = docs.where(start > 0).select(key, F.posexplode(F.split(F.substring(F.col(text), start, F.length(text)), "\n")).alias("pos", "line")).where(F.trim("line") != "")
+    by = Window.partitionBy(key).orderBy("pos")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    match = F.col("line").rlike(ORDERED_LINE)
+    lines = lines.withColumns({"__ended": F.coalesce(F.max(F.col("line").contains(LIST_END)).over(before), F.lit(False)), "__match": match, "__rank": F.coalesce(F.sum(match.cast("int")).over(before), F.lit(0)) + 1}).where("NOT __ended")
+    piece = F.when(~F.col("__match") & ~F.col("line").rlike(r"^[•\[]") & ~F.col("line").contains(LIST_END), F.struct("pos", F.trim("line").alias("line")))
+    rows = lines.groupBy(key, "__rank").agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["line"]), "").alias("__above"), F.max(F.when(F.col("__match"), F.col("line"))).alias("line")).where("line IS NOT NULL")
+    part = lambda i: F.regexp_extract("line", ORDERED_LINE, i)
+    return rows.select(*_entry(key, F.col("__rank"), F.concat("__above", part(1)), part(2), part(3)))
+
+
+def split_list(docs: DataFrame, key: str, text: str, marker: str) -> DataFrame:
+    """(key, rank, name, position, team) of names whose position and team stand on the line below them, ranked by their order."""
+    start = F.instr(text, marker)
+    found = F.regexp_extract_all(F.substring(F.col(text), start, F.length(text)), F.lit(NAME_ABOVE), 0)
+    rows = docs.where(start > 0).select(key, F.posexplode(found).alias("pos", "m"))
+    part = lambda i: F.regexp_extract("m", NAME_ABOVE, i)
+    return rows.select(*_entry(key, F.col("pos") + 1, part(1), part(2), part(3)))
+
+
+def unescaped(text: Column) -> Column:
+    """Character references of a page's embedded payload; the ampersand's own comes last."""
+    for entity, c in (("&quot;", '"'), ("&#34;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(c))
+    return text
 
 
 def linked_ranks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, rank, name): `"Rank:<ref>":{"rank":N,"person":"Person:<id>"}` entities of a cache joined to their persons."""
-    pairs = lambda pattern, names: docs.select(key, F.explode(F.regexp_extract_all(text, F.lit(pattern), 0)).alias("m")).select(key, *(F.regexp_extract("m", pattern, i + 1).alias(n) for i, n in enumerate(names)))
-    ranks = pairs(r'"Rank:[^"]+":\{"rank":(\d+),"person":"Person:(\d+)"\}', ("rank", "id"))
-    persons = pairs(r'"Person:(\d+)":\{"name":"([^"]+)"\}', ("id", "name"))
-    return ranks.join(persons, [key, "id"]).select(key, F.col("rank").cast("int").alias("rank"), "name")
+    """(key, rank, id, name, position) of a page's cache: ranked entities that name a person by reference, joined to the persons. An
+    entity without a reference is skipped; the entity's own position comes before the person's."""
+    plain = docs.select(key, unescaped(F.col(text)).alias("t"))
+    # What follows each mark, up to the next one.
+    after = lambda mark, most: plain.select(key, F.explode(F.slice(F.split("t", mark), 2, 1 << 30)).alias("w")).select(key, F.substring("w", 1, most).alias("w"))
+    part = lambda pattern: F.nullif(F.regexp_extract("w", pattern, 1), F.lit(""))
+    persons = after(r'"Person:(?=\d+":\{"__typename":"Person",)', 1500).select(
+        key, part(r"^(\d+)").cast("bigint").alias("id"), F.trim(F.concat(part(r'"useName":"([^"]*)"'), F.lit(" "), part(r'"useLastName":"([^"]*)"'))).alias("name"), part(r'"primaryPosition":\{"__typename":"Position","abbreviation":"([^"]*)"').alias("own")
+    )
+    ranks = after(r'"__typename":"RankedPlayerEntity","rank":(?=\d+,"playerEntity":\{)', 3000).select(
+        key, part(r"^(\d+)").cast("int").alias("rank"), part(r'"player":\{"__ref":"Person:(\d+)"\}').cast("bigint").alias("id"), part(r'"position":"([^"]*)"').alias("position")
+    )
+    return ranks.where("id IS NOT NULL").join(persons.dropDuplicates([key, "id"]), [key, "id"], "left").select(key, "rank", "id", "name", F.coalesce("position", "own").alias("position"))
 
 
 def url_parts(url: Column) -> dict[str, Column]:

@@ -17,7 +17,7 @@ SQL = {
         FROM v_sales GROUP BY ALL""",
     "v_logs": """SELECT *, at_bats + walks + hit_by_pitch + sac_flies AS plate_appearances, hits + doubles + 3 * home_runs AS total_bases
         FROM (SELECT l_suppkey AS entity_id, l_orderkey * 10 + l_linenumber AS game_id, l_shipdate AS date, CAST(year(l_shipdate) AS BIGINT) AS season,
-        CASE WHEN l_suppkey % 3 = 0 THEN 'pitching' ELSE 'hitting' END AS role, CASE l_linestatus WHEN 'O' THEN 'mlb' ELSE 'aaa' END AS level,
+        CASE WHEN l_suppkey % 3 = 0 THEN 'pitching' ELSE 'hitting' END AS role, CASE WHEN l_linestatus = 'O' THEN 'mlb' WHEN l_linenumber % 4 = 0 THEN 'a' WHEN l_linenumber % 4 = 1 THEN 'a_plus' WHEN l_linenumber % 4 = 2 THEN 'aa' ELSE 'aaa' END AS level,
         CAST(1 AS BIGINT) AS games, CAST(3 + l_linenumber % 3 AS BIGINT) AS at_bats, CAST(floor(l_quantity) AS BIGINT) % 5 AS hits,
         CAST(l_linenumber % 2 AS BIGINT) AS doubles, CAST(floor(l_quantity) AS BIGINT) % 4 AS home_runs,
         CAST(floor(l_tax * 100 + 0.5) AS BIGINT) % 3 AS walks, CAST(CASE WHEN l_linenumber % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS hit_by_pitch,
@@ -95,7 +95,7 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate").alias("date"),
         F.year("l_shipdate").cast("bigint").alias("season"),
         F.when(F.col("l_suppkey") % 3 == 0, "pitching").otherwise("hitting").alias("role"),
-        F.when(F.col("l_linestatus") == "O", "mlb").otherwise("aaa").alias("level"),
+        F.when(F.col("l_linestatus") == "O", "mlb").when(line % 4 == 0, "a").when(line % 4 == 1, "a_plus").when(line % 4 == 2, "aa").otherwise("aaa").alias("level"),
         F.lit(1).cast("bigint").alias("games"),
         (3 + line % 3).alias("at_bats"),
         (quantity % 5).alias("hits"),

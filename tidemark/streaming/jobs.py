@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -60,3 +60,15 @@ def run_available(stream: DataFrame, out: str, mode: str = "append") -> DataFram
     query = writer.format("parquet").option("path", f"{out}/rows").start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+def run_batches(stream: DataFrame, change: Callable[[DataFrame], DataFrame], out: str) -> DataFrame:
+    """run_available() with a batch transformation of what each micro-batch emits. A batch has a folder of its own, which a repeat
+    of it replaces, so each counts once."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        change(batch).write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+
+    query = stream.writeStream.foreachBatch(put).outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{out}/_checkpoint").start()
+    query.awaitTermination()
+    return stream.sparkSession.read.parquet(f"{out}/rows").drop("batch")
