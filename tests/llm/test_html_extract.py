@@ -31,3 +31,49 @@ def test_cut_equals_brute_force():
             return sum(abs(s) for s, k in zip(score, keep, strict=True) if (s > 0) != k and s) + sum(w for a, b, w in edges if keep[a] != keep[b])
 
         assert cost(min_cut(score, edges)) == min(map(cost, itertools.product((True, False), repeat=n)))
+
+
+def test_unclosed_elements_dont_swallow_the_page():
+    first, second = "First sentence of the story, long enough.", "Second sentence of it, which follows."
+    for tag in ("button", "svg", "object", "title", "textarea", "iframe", "noscript"):
+        got = extract(f"<article><p>{first}</p><{tag}>Go<p>{second}</p></article><footer>x</footer>", PRIOR)
+        assert first in got and second in got, tag
+    got = extract(f"<html><head><title>T</title><body><article><p>{first}</p><select><option>One<option>Two</select><p>{second}</p></article>", PRIOR)
+    assert got == f"{first}\n{second}"
+    assert extract(f"<article><p>{first}</p><svg><rect/></svg><p>{second} <button>Go</button> on</p></article>", PRIOR) == f"{first}\n{second} Go on"
+    assert extract(f"<article><p>{first}</p><script>var x = '<p>no</p>'", PRIOR) == first
+
+
+def test_names_on_text_dont_drop_it_but_those_of_containers_do():
+    first, second = "First sentence of the story, long enough.", "Second sentence of it, which follows."
+    assert extract(f'<article><p>{first}</p><p class="story-tags">{second}</p></article>', PRIOR) == f"{first}\n{second}"
+    assert extract(f'<article><p>{first}</p><div class="ad"><p>{second}</p></div><section id="comments"><p>{second}</p></section></article>', PRIOR) == first
+
+
+def test_pages_without_marks_are_told_apart_by_their_text():
+    links = "".join(f'<li><a href="/{i}">Go {i}</a></li>' for i in range(12))
+    prose = "".join(f"<p>This is the sentence number {i} of a longer story, and it says something.</p>" for i in range(6))
+    got = extract(f"<body><ul>{links}</ul><div>{prose}</div><ul>{links}</ul></body>", PRIOR)
+    assert got.count("\n") == 5 and "Go" not in got
+
+
+def test_deep_and_long_pages_take_time_in_proportion():
+    import time
+
+    for page in ("<div>some text, here." * 50_000, "<div>" * 50_000 + "text", "<p>text, here" * 50_000, "</b>" * 200_000, "<ul><li>x" * 20_000, "<b>x" * 50_000):
+        began = time.time()
+        extract(page, PRIOR)
+        assert time.time() - began < 6
+
+
+def test_the_fit_leaves_markup_alone(spark):
+    from tidemark.llm import html_extract
+
+    rows = [(i, PAGE.replace("First", f"First{i}"), "t") for i in range(30)] + [(31, None, "t"), (32, "", "t"), (33, "<article>" + "<p>This is a sentence, and it is long enough.</p>" * 20_000, "t")]
+    pages = spark.createDataFrame(rows, "page_id bigint, html string, text string")
+    weights = html_extract.fit(pages)
+    assert len(weights) == len(html_extract.FEATURES) and weights[1] < -1
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_extract.html_text(pages, weights, keep=["page_id"]).collect()}
+    assert got[3][0].startswith("A & B\nFirst3 line here") and got[31] == got[32] == ("", 0) and got[33][0].count("\n") == 19_999
+    none = pages.limit(0)
+    assert html_extract.html_text(none, html_extract.fit(none)).count() == 0

@@ -4,14 +4,21 @@ A page is cut into blocks of text. A linear classifier gives each block a cost f
 these are the capacities to the two terminals. Blocks that follow each other, and blocks with a near common ancestor, are joined
 by edges that make different labels cost something. The maximum flow separates content from boilerplate.
 
-The classifier is a logistic regression on features of text and markup. It is fitted on the blocks of a bounded sample of pages
-(`SAMPLE_PAGES`, picked by a hash of the id) that semantic markup labels, and a normal prior around `PRIOR` keeps it sensible
-where a sample shows a feature too rarely. Null and empty pages give an empty text; repeated rows are extracted each.
+The costs have two parts. What markup says (elements and class names of menus, footers, adverts and so on, an element for the main
+content) weighs by `MARKUP`, which is fixed. What the text looks like (links, length, sentence marks) weighs by a logistic
+regression, whose labels are the blocks that semantic markup names and whose features are those of the text alone; it is fitted
+on a bounded sample of pages (`SAMPLE_PAGES`, picked by a hash of the id, of at most SAMPLE_PAGE_CHARS characters; longer ones are
+extracted like others), and a normal prior around `PRIOR` keeps it sensible where a sample shows a feature too rarely.
+
+Null and empty pages, and those without text, give an empty text and 0 characters. Very long and deeply nested pages take time in
+proportion. Repeated rows are extracted each; a cut of equal cost keeps what the source reaches. An empty table gives no rows.
+Columns named text and n_chars are replaced; others may stay under any name.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import deque
 from html import unescape
 
@@ -29,12 +36,15 @@ ADJACENT = 0.6
 NEAR = 1.2
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
-_RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "select", "button", "object"}
+#: Elements whose inside isn't markup, or no text of the page; without an end tag only the first two reach to the end of the page.
+_RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "title")
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
-_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "wbr", "input", "br"}
-_CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
+_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "button", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "object", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "svg", "time", "tt", "u", "var", "img", "wbr", "input", "br"}
+_CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}, "body": {"head"}}
 _FENCE = {"ul": {"li", "dt", "dd"}, "ol": {"li", "dt", "dd"}, "dl": {"dt", "dd"}, "table": {"tr", "td", "th"}}
-_BOILER_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "head"}
+_BOILER_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "head", "select"}
+#: Inside the main content, names on these elements style text and don't make it boilerplate.
+_TEXT_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dt", "dd", "td", "th", "figcaption"}
 _CONTENT_TAGS = {"article", "main"}
 _ATTR = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _BOILER = re.compile(
@@ -43,103 +53,141 @@ _BOILER = re.compile(
 )
 _CONTENT = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post|entry|content|story|main|body|text)(?:$|[\s_-])", re.I)
 
-FEATURES = ("one", "boiler_markup", "content_markup", "content_class", "outside_main", "link_share", "log_words", "sentence_marks", "heading", "list_item", "few_words")
-#: Means of the prior of the weights, in the order of FEATURES.
-PRIOR = np.array([0.0, -9.0, 7.0, 2.0, -2.0, -4.0, 0.8, 1.0, 0.6, -0.6, -0.8])
+#: What the markup of a block says, and what it weighs in log-odds.
+MARKUP_FEATURES = ("boiler", "content", "content_class", "outside_main")
+MARKUP = np.array([-9.0, 7.0, 2.0, -2.0])
+FEATURES = ("one", "link_share", "log_words", "sentence_marks", "heading", "list_item", "few_words")
+#: Means of the prior of the text's weights, in the order of FEATURES.
+PRIOR = np.array([0.0, -4.0, 0.8, 1.0, 0.6, -0.6, -0.8])
 
 
 class Block:
-    __slots__ = ("path", "parts", "linked", "text", "marks")
-
-    def __init__(self, path: tuple[int, ...], marks: tuple):
-        self.path, self.marks, self.parts, self.linked, self.text = path, marks, [], 0, ""
-
-
-def blocks_of(html: str) -> tuple[list[Block], bool]:
-    """Blocks with text in page order; whether the page has an element for its main content."""
-    out: list[Block] = []
-    stack: list[tuple[str, int, tuple]] = []  # tag, number, (boilerplate, content, content class, last block tag)
-    marks: tuple = (False, False, False, "")
-    number, links, block, has_main, at = 0, 0, None, False, 0
-    end = len(html)
-    while at < end:
-        m = _TOKEN.match(html, at)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            text = m[0]
-            if text[0] != "<" or text == "<":
-                if block is None:
-                    block = Block(tuple(x[1] for x in stack if x[0] not in _INLINE), marks)
-                    out.append(block)
-                block.parts.append(text)
-                if links:
-                    block.linked += len(text)
-            continue
-        tag = tag.lower()
-        if m[1]:
+    __slots__ = ("parent", "parts", "linked", "text", "marks")
+
+    def __init__(self, parent: int, marks: tuple):
+        self.parent, self.marks, self.parts, self.linked, self.text = parent, marks, [], 0, ""
+
+
+class Page:
+    """Blocks with text in page order, the parent and depth of each block-level element, and whether one is for the main content."""
+
+    def __init__(self, html: str):
+        self.blocks: list[Block] = []
+        self.parents, self.depths, self.has_main = [0], [0], False  # element 0 is the page
+        self._stack: list[tuple[str, int, tuple]] = []  # tag, block-level element, (boilerplate, content, content class, last block tag)
+        self._open: dict[str, list[int]] = {}  # places in the stack by tag
+        self._read(html)
+        kept = []
+        for b in self.blocks:
+            b.text = " ".join(unescape("".join(b.parts)).split())
+            if b.text:
+                kept.append(b)
+        self.blocks = kept
+
+    def _close(self, k: int) -> None:
+        while len(self._stack) > k:
+            tag, _, _ = self._stack.pop()
+            self._open[tag].pop()
+
+    def _top(self) -> tuple[int, tuple]:
+        return self._stack[-1][1:] if self._stack else (0, (False, False, False, ""))
+
+    def _shut(self, tag: str) -> None:
+        """End tags that a start tag implies, but for elements outside of the list or table that holds it."""
+        shut = _CLOSES.get(tag, {"p"})
+        fence = max((at[-1] for name, held in _FENCE.items() if shut & held and (at := self._open.get(name))), default=-1)
+        first = [at[i] for name in shut if (at := self._open.get(name)) and (i := bisect_right(at, fence)) < len(at)]
+        if first:
+            self._close(min(first))
+
+    def _read(self, html: str) -> None:
+        block, at, end = None, 0, len(html)
+        while at < end:
+            m = _TOKEN.match(html, at)
+            at = m.end()
+            tag = m[2]
+            if tag is None:
+                text = m[0]
+                if text[0] != "<" or text == "<":
+                    if block is None:
+                        block = Block(*self._top())
+                        self.blocks.append(block)
+                    block.parts.append(text)
+                    if self._open.get("a"):
+                        block.linked += len(text)
+                continue
+            tag = tag.lower()
+            if m[1]:
+                if tag not in _INLINE:
+                    block = None
+                if self._open.get(tag):
+                    self._close(self._open[tag][-1])
+                continue
+            if tag in _RAW and not m[3].endswith("/"):
+                close = re.compile(f"</{tag}\\b[^>]*>", re.I).search(html, at)
+                if close or tag in ("script", "style"):
+                    at = close.end() if close else end
+                    if tag not in ("script", "style", "textarea"):
+                        block = None
+                    continue
             if tag not in _INLINE:
                 block = None
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if k is not None:
-                links -= sum(x[0] == "a" for x in stack[k:])
-                del stack[k:]
-                marks = stack[-1][2] if stack else (False, False, False, "")
-            continue
-        if tag in _RAW:
-            close = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(html, at) if not m[3].endswith("/") else None
-            at = close.end() if close else at if m[3].endswith("/") else end
-            if tag not in {"svg", "select", "button", "object", "textarea"}:
-                block = block if tag in {"script", "style"} else None
-            continue
-        if tag not in _INLINE:
-            block = None
-        elif tag == "br" and block is not None:
-            block.parts.append(" ")
-        if tag in _VOID:
-            continue
-        if tag in _CLOSES or tag not in _INLINE:
-            shut = _CLOSES.get(tag, {"p"})
-            fence = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in _FENCE and shut & _FENCE[stack[i][0]]), -1)
-            k = next((i for i in range(fence + 1, len(stack)) if stack[i][0] in shut), None)
-            if k is not None:
-                links -= sum(x[0] == "a" for x in stack[k:])
-                del stack[k:]
-                marks = stack[-1][2] if stack else (False, False, False, "")
-        boiler, content, of_class, last = marks
+            elif tag == "br" and block is not None:
+                block.parts.append(" ")
+            if tag in _VOID or tag in _RAW:
+                continue
+            if tag not in _INLINE:
+                self._shut(tag)
+            self._push(tag, m[3])
+
+    def _push(self, tag: str, attributes: str) -> None:
+        element, (boiler, content, of_class, last) = self._top()
         names = ""
-        for a in _ATTR.finditer(m[3]):
+        for a in _ATTR.finditer(attributes):
             name, value = a[1].lower(), (a[2] or "").strip("\"'")
-            if name in {"class", "id", "role"}:
+            if name in ("class", "id", "role"):
                 names += " " + value
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                 boiler = True
-        if tag in _BOILER_TAGS or tag == "header" and not content or names and tag not in {"html", "body", "article", "main"} and _BOILER.search(names) and not (tag == "header" and content):
+        styled = tag in ("html", "body", "article", "main") or content and (tag in _TEXT_TAGS or tag in _INLINE or tag == "header")
+        if tag in _BOILER_TAGS or tag == "header" and not content or names and not styled and _BOILER.search(names):
             boiler = True
-        if tag in _CONTENT_TAGS or "role" in m[3] and " main" in names:
-            content = has_main = True
+        if tag in _CONTENT_TAGS or "role" in attributes and " main" in names:
+            content = self.has_main = True
         if names and _CONTENT.search(names):
             of_class = True
-        number += 1
-        marks = (boiler, content, of_class, last if tag in _INLINE else tag)
-        links += tag == "a"
-        stack.append((tag, number, marks))
-    kept = []
-    for b in out:
-        b.text = " ".join(unescape("".join(b.parts)).split())
-        if b.text:
-            kept.append(b)
-    return kept, has_main
-
-
-def features_of(blocks: list[Block], has_main: bool) -> np.ndarray:
-    x = np.zeros((len(blocks), len(FEATURES)))
-    for i, b in enumerate(blocks):
-        boiler, content, of_class, tag = b.marks
+        if tag not in _INLINE:
+            self.parents.append(element)
+            self.depths.append(self.depths[element] + 1)
+            element = len(self.parents) - 1
+        self._open.setdefault(tag, []).append(len(self._stack))
+        self._stack.append((tag, element, (boiler, content, of_class, last if tag in _INLINE else tag)))
+
+    def distance(self, a: int, b: int) -> int:
+        """Steps between two elements over their nearest common ancestor."""
+        steps = 0
+        while a != b:
+            if self.depths[a] >= self.depths[b]:
+                a = self.parents[a]
+            else:
+                b = self.parents[b]
+            steps += 1
+        return steps
+
+
+def markup_of(page: Page) -> np.ndarray:
+    rows = [(boiler, content and not boiler, of_class and not boiler, page.has_main and not content) for boiler, content, of_class, _ in (b.marks for b in page.blocks)]
+    return np.array(rows, float).reshape(-1, len(MARKUP_FEATURES))
+
+
+def features_of(page: Page) -> np.ndarray:
+    x = np.zeros((len(page.blocks), len(FEATURES)))
+    for i, b in enumerate(page.blocks):
+        tag = b.marks[3]
         words = b.text.count(" ") + 1
         raw = sum(map(len, b.parts)) or 1
         marks = sum(map(b.text.count, ".!?,;:"))
-        x[i] = (1, boiler, content and not boiler, of_class and not boiler, has_main and not content, b.linked / raw, np.log(words) / 2, min(1.0, 5 * marks / words), tag in ("h1", "h2", "h3"), tag == "li", words < 4)
+        x[i] = (1, b.linked / raw, np.log(words) / 2, min(1.0, 5 * marks / words), tag in ("h1", "h2", "h3"), tag == "li", words < 4)
     return x
 
 
@@ -156,19 +204,13 @@ def fit_weights(x: np.ndarray, content: np.ndarray, prior: np.ndarray = PRIOR, s
     return w
 
 
-def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
+def edges_of(page: Page) -> list[tuple[int, int, float]]:
     """Adjacent blocks, and blocks and the last one before under the same parent; nearer ancestors bind more."""
     edges, last = [], {}
-    for i, b in enumerate(blocks):
+    for i, b in enumerate(page.blocks):
         if i:
-            shared = 0
-            for p, q in zip(b.path, blocks[i - 1].path, strict=False):
-                if p != q:
-                    break
-                shared += 1
-            far = len(b.path) + len(blocks[i - 1].path) - 2 * shared
-            edges.append((i - 1, i, ADJACENT + NEAR / (1 + far)))
-        parent = b.path[:-1]
+            edges.append((i - 1, i, ADJACENT + NEAR / (1 + page.distance(b.parent, page.blocks[i - 1].parent))))
+        parent = page.parents[b.parent]
         if (k := last.get(parent, i)) < i - 1:
             edges.append((k, i, NEAR / 3))
         last[parent] = i
@@ -242,25 +284,25 @@ def min_cut(score: list[float], edges: list[tuple[int, int, float]]) -> list[boo
 
 
 def extract(html: str, weights: np.ndarray) -> str:
-    blocks, has_main = blocks_of(html)
-    if not blocks:
+    page = Page(html)
+    if not page.blocks:
         return ""
-    score = (features_of(blocks, has_main) @ weights).tolist()
+    score = (markup_of(page) @ MARKUP + features_of(page) @ weights).tolist()
     if all(s > 0 for s in score):
-        keep = [True] * len(blocks)
+        keep = [True] * len(page.blocks)
     else:
-        keep = min_cut(score, edges_of(blocks))
-    return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
+        keep = min_cut(score, edges_of(page))
+    return "\n".join(b.text for b, k in zip(page.blocks, keep, strict=True) if k)
 
 
 def fit(pages: DataFrame, key: str = "page_id", html: str = "html") -> np.ndarray:
-    """Weights from the blocks of a bounded sample of pages that semantic markup labels."""
+    """The text's weights, from the blocks of a bounded sample of pages that semantic markup labels."""
     short = pages.where(F.col(html).isNotNull() & (F.length(html) <= SAMPLE_PAGE_CHARS))
     sample = bounded_sample(short, key, SAMPLE_PAGES).select(F.col(html).alias("html")).limit(2 * SAMPLE_PAGES).collect()
     xs, ys = [], []
     for row in sample:
-        blocks, has_main = blocks_of(row["html"])
-        for b, x in zip(blocks, features_of(blocks, has_main), strict=True):
+        page = Page(row["html"])
+        for b, x in zip(page.blocks, features_of(page), strict=True):
             if b.marks[0] or b.marks[1]:
                 xs.append(x)
                 ys.append(not b.marks[0])
