@@ -192,19 +192,31 @@ def test_vector_search(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(1000, None), (1020, [float("nan")] * 16), (1040, [None] * 16), (1060, []), (1080, [1.0, 2.0]), (40, vectors[40].tolist()), (None, vectors[0].tolist())]
     df = spark.createDataFrame([(i, v, "s") for i, v in rows], "vec_id bigint, embedding array<double>, score string")
     good = [(i, np.floor(64 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
-    want = {}
+    want = Counter()
     for q, v in good:
         if q % 20 == 0:
             best = sorted((-int(v @ w), i) for i, w in good if i != q and len(w) == len(v))[:20]
-            want.setdefault(q, best)
+            want.update((q, rank, i, -score) for rank, (score, i) in enumerate(best, 1))
     for block in (4096, 7):
-        got = {}
-        for r in vector_search.exact_top_k(df, df.where("vec_id % 20 = 0").dropDuplicates(["vec_id"]), block=block).collect():
-            got.setdefault(r["query_id"], {})[r["rank"]] = (-r["score"], r["vec_id"])
-        assert {q: [b[k] for k in sorted(b)] for q, b in got.items()} == {q: w for q, w in want.items() if w}
+        got = vector_search.exact_top_k(df, df.where("vec_id % 20 = 0"), block=block).collect()
+        assert Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want and max(want.values()) == 2
     assert vector_search.exact_top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_vectors_of_any_size_and_many_equal_ones(spark):
+    rng = np.random.default_rng(8)
+    wide = [(i, rng.normal(0, 10.0 ** rng.integers(-2, 5), 1500)) for i in range(60)]
+    same = [(1000 + i % 400, np.full(1500, 0.5)) for i in range(900)]
+    huge = [(5000, np.full(1500, 1e300)), (5001, np.full(1500, -(2.0**17)))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in [*wide, *same, *huge]], "vec_id bigint, embedding array<double>")
+    good = [(i, np.floor(64 * v).astype(np.int64)) for i, v in [*wide, *same]]
+    for q in (20, 1000):
+        own = dict(good)[q]
+        best = sorted((-int(own @ w), i) for i, w in good if i != q)[:20]
+        got = vector_search.exact_top_k(df, df.where(f"vec_id = {q}").limit(1)).orderBy("rank").collect()
+        assert [(-r["score"], r["vec_id"]) for r in got] == best
+
+
 def test_html(spark):
     rows = [(1, "u", "<html><body><nav><a>Menu</a></nav><article><p>Main text stands here.</p></article></body></html>", "t"), (2, None, None, "t"), (3, "u", "", "t"), (3, "u", "", "t"), (4, "u", "<p>" * 3000 + "deep", "t")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")

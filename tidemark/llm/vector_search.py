@@ -1,15 +1,19 @@
 """Exact top-k search by vector-approximation files.
 
-Vectors are taken as integers floor(scale * x). Each component is quantised to a cell of `cell` integers, one byte or two a
-component; the cells of a partition are its approximation file. For a query, a scan of the cells bounds each score from above
-and below (the middle of the cell, give or take half a cell times the query's L1 norm). Vectors whose upper bound is below the
-kth largest lower bound are out; the rest are read exactly in the order of their upper bounds until the kth score found so far
-is above all the bounds that follow. Each partition gives its best k of each query, and a grouped step keeps the best k of all.
-
-Queries are a stated set, taken in blocks of bounded size against all rows, so neither side goes to one task or the driver
-whole. Null vectors, and vectors that hold null or non-finite components, take no part, nor do those without components;
-vectors of another length than the query's don't meet it. Ties go to the smaller id. Repeated ids count as rows of their own,
-but a query never meets rows of its own id.
+Vectors are taken as integers floor(scale * x). Their approximation file is written once: for each vector a byte a component, the
+number of its cell of `step` integers (CELL, or more where a vector's components need it), and behind it the exact vector. A scan
+of the cells bounds each score from above and below (the middle of the cells, give or take half a cell times the query's L1
+norm). Vectors whose upper bound is below the kth score known so far, or the kth lower bound, are out; of the rest the exact
+vectors are read in the order of their bounds until the kth score is above all bounds that follow. Each partition gives its best
+k of each query, and a grouped step keeps the best k of all.
+
+Queries are a stated set, written in blocks of bounded size that are taken one by one against all rows, so neither side goes to one
+task or the driver whole. Equal vectors of a batch are written up to the k + 1 least ids of theirs, as no other can be in a result.
+
+Null vectors, and vectors that hold null or non-finite components, take no part, nor do those without components, or with
+components too large for exact scores (LARGEST); vectors of another length than the query's don't meet it. Ties go to the smaller
+id. Repeated ids are rows of their own, as queries too, but a query never meets rows of its own id. Empty tables give no rows.
+Other columns have no part in it.
 """
 
 from __future__ import annotations
@@ -23,19 +27,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
+from tidemark.session import scratch
 
 #: Queries that a task holds at once.
 QUERY_BLOCK = 4096
-#: Vectors whose approximation is scanned at once.
-SCAN = 8192
-#: Integers in a cell.
+#: Vectors whose approximation is scanned at once, and queries that meet them at once.
+SCAN, QUERIES = 8192, 512
+#: Integers in a cell, at least.
 CELL = 4
+#: The largest integer component: products of 2^17 of them are exact in 64 bits.
+LARGEST = 1 << 23
 
 
 def integers(df: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
     """(id, vec): floor(scale * x) of each component, for the vectors that take part."""
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    fine = F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    fine = F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) * scale < LARGEST))
     return df.where(fine & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.transform(v, lambda x: F.floor(x * scale)).alias("vec"))
 
 
@@ -43,109 +50,150 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.int64).reshape(-1, width)
 
 
-def best_of_part(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, cell: int = CELL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of query, index of vector, score) of the best k of each query among the vectors."""
-    limit = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * queries.shape[1]
-    exact = np.float64 if limit < 2**52 else np.int64  # floats of these are exact
-    cells = (vectors // cell).astype(np.int16 if np.abs(vectors).max(initial=0) // cell < 2**15 else np.int64)
-    middle = cells.astype(np.float32 if limit < 2**22 else np.float64) * cell + (cell - 1) / 2
-    slack = np.abs(queries).sum(axis=1) * ((cell - 1) / 2) + limit * 1e-6
-    near = queries.astype(middle.dtype) @ middle.T  # upper bounds are near + slack, lower bounds near - slack
-    near[query_ids[:, None] == ids[None, :]] = -np.inf
-    n = min(k, len(ids))
-    kth = -np.partition(-near, n - 1, axis=1)[:, n - 1] - slack
-    out_q, out_v, out_s = [], [], []
-    exact_vectors, exact_queries = vectors.astype(exact), queries.astype(exact)
-    for q in range(len(queries)):
-        left = np.flatnonzero(near[q] + slack[q] >= kth[q])
-        left = left[near[q, left] > -np.inf]
-        left = left[np.argsort(-near[q, left], kind="stable")]
-        found_v, found_s, step = np.empty(0, np.int64), np.empty(0, exact), 4 * k
-        for at in range(0, len(left), step):
-            if len(found_s) >= k and found_s[-1] > near[q, left[at]] + slack[q]:
+def quantised(vectors: np.ndarray, cell: int = CELL) -> tuple[np.ndarray, np.ndarray]:
+    """(cell of each component as a byte, integers in a cell of each vector)."""
+    step = np.maximum(cell, (np.abs(vectors).max(axis=1) + 1 + 126) // 127)
+    return (vectors // step[:, None]).astype(np.int8), step.astype(np.int32)
+
+
+def least_of_equals(ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+    """Which rows to keep: of equal vectors those of their k + 1 least ids."""
+    rows: dict[bytes, list[int]] = {}
+    for i, v in enumerate(vectors):
+        rows.setdefault(v.tobytes(), []).append(i)
+    keep = np.ones(len(ids), bool)
+    for same in rows.values():
+        if len(same) > k + 1 and len(own := np.unique(ids[same])) > k + 1:
+            keep[np.array(same)[ids[same] > own[k]]] = False
+    return keep
+
+
+def approximation_file(base: DataFrame, k: int, cell: int = CELL) -> DataFrame:
+    """(id, width, step, cells, exact) of the vectors, written in the shared folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = np.asarray(pa.compute.list_value_length(batch.column(1)))
+            ids = np.asarray(batch.column(0), np.int64)
+            for width in np.unique(lengths).tolist():
+                rows = np.flatnonzero(lengths == width)
+                vectors = matrix(batch.column(1).take(pa.array(rows)), width)
+                keep = least_of_equals(ids[rows], vectors, k)
+                own, vectors = ids[rows][keep], vectors[keep]
+                cells, step = quantised(vectors, cell)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own), pa.array([width] * len(own), pa.int32()), pa.array(step), pa.array([c.tobytes() for c in cells], pa.binary()), pa.array([v.astype("<i4").tobytes() for v in vectors], pa.binary())],
+                    names=["id", "width", "step", "cells", "exact"],
+                )
+
+    path = scratch(base.sparkSession, "vectors")
+    schema = "id bigint, width int, step int, cells binary, exact binary"
+    base.mapInArrow(run, schema).write.parquet(path)
+    return base.sparkSession.read.schema(schema).parquet(path)
+
+
+class Best:
+    """The best k scores of each query so far."""
+
+    def __init__(self, queries: np.ndarray, ids: np.ndarray, k: int):
+        self.queries, self.ids, self.k = queries, ids, k
+        self.norm, self.total = np.abs(queries).sum(axis=1), queries.sum(axis=1)
+        self.largest = int(np.abs(queries).max(initial=0))
+        self.found: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(queries)  # scores, ids
+        self.kth = np.full(len(queries), -np.inf)
+
+    def add(self, ids: np.ndarray, step: np.ndarray, cells: np.ndarray, exact: pa.Array) -> None:
+        """A slice of the file: `exact` is read for the vectors that the bounds leave alone."""
+        width = cells.shape[1]
+        limit = float(self.largest) * 128 * float(step.max(initial=1)) * width
+        kind = np.float32 if limit < 2**22 else np.float64
+        half = (step - 1) / 2
+        cells = cells.astype(kind)
+        for a in range(0, len(self.queries), QUERIES):
+            own = slice(a, a + QUERIES)
+            near = (self.queries[own].astype(kind) @ cells.T) * step[None, :] + self.total[own, None] * half[None, :]
+            slack = self.norm[own, None] * half[None, :] + limit * 1e-6
+            near[self.ids[own, None] == ids[None, :]] = -np.inf
+            n = min(self.k, len(ids))
+            bound = np.maximum(self.kth[own], -np.partition(slack - near, n - 1, axis=1)[:, n - 1]) if n == self.k else self.kth[own]
+            upper = near + slack
+            left = (upper >= bound[:, None]) & (near > -np.inf)
+            for q in np.flatnonzero(left.any(axis=1)).tolist():
+                self._read(a + q, np.flatnonzero(left[q]), upper[q], ids, exact)
+
+    def _read(self, q: int, left: np.ndarray, upper: np.ndarray, ids: np.ndarray, exact: pa.Array) -> None:
+        left = left[np.argsort(-upper[left], kind="stable")]
+        scores, owners = self.found[q]
+        for at in range(0, len(left), 4 * self.k):
+            if len(scores) >= self.k and scores[-1] > upper[left[at]]:
                 break
-            new = left[at : at + step]
-            found_v = np.concatenate([found_v, new])
-            found_s = np.concatenate([found_s, exact_vectors[new] @ exact_queries[q]])
-            order = np.lexsort((ids[found_v], -found_s))[:k]
-            found_v, found_s = found_v[order], found_s[order]
-        out_q.append(np.full(len(found_v), q))
-        out_v.append(found_v)
-        out_s.append(found_s)
-    return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s).astype(np.int64)
+            new = left[at : at + 4 * self.k]
+            vectors = np.frombuffer(b"".join(exact[i].as_py() for i in new.tolist()), "<i4").reshape(len(new), -1).astype(np.int64)
+            scores, owners = np.concatenate([scores, vectors @ self.queries[q]]), np.concatenate([owners, ids[new]])
+            order = np.lexsort((owners, -scores))[: self.k]
+            scores, owners = scores[order], owners[order]
+        self.found[q] = scores, owners
+        if len(scores) == self.k:
+            self.kth[q] = scores[-1]
 
 
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: int = 64, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest integer inner products of each query with the other vectors.
 
-    vectors and queries have the columns key and vector. Queries are read block by block; each block is one scan.
+    vectors and queries have the columns key and vector. Queries are taken block by block; each block is one scan of the file.
     """
-    base = integers(vectors, key, vector, scale)
+    spark = vectors.sparkSession
     asked = integers(queries, key, vector, scale)
-    parts = []
-    for ids, rows in _query_blocks(asked, block):
-        parts.append(_scan(base, ids, rows, k))
-        if len(ids) == block:  # more may follow: this block's rows are written, and its queries let go
-            parts[-1] = cut(parts[-1])
-    found = parts[0] if parts else vectors.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, score bigint")
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+    count = -(-asked.count() // block)
+    found = spark.createDataFrame([], "query bigint, query_id bigint, vec_id bigint, score bigint")
+    if count:
+        file = approximation_file(integers(vectors, key, vector, scale), k)
+        path = scratch(spark, "queries")
+        asked.repartition(count).withColumns({"block": F.spark_partition_id(), "query": F.monotonically_increasing_id()}).write.partitionBy("block").parquet(path)
+        written = spark.read.schema("id bigint, vec array<bigint>, query bigint, block int").parquet(path)
+        for b in range(count):
+            part = _scan(file, written.where(F.col("block") == b).select("query", "id", "vec").toArrow(), k)
+            found = found.unionByName(part if count == 1 else cut(part))  # a block's rows are written, and its queries let go
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("vec_id"))
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _query_blocks(asked: DataFrame, block: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    held: list = []
-    for row in asked.toLocalIterator():
-        held.append((row[0], np.array(row[1], np.int64)))
-        if len(held) == block:
-            yield np.array([i for i, _ in held], np.int64), [v for _, v in held]
-            held = []
-    if held:
-        yield np.array([i for i, _ in held], np.int64), [v for _, v in held]
-
-
-def _scan(base: DataFrame, query_ids: np.ndarray, rows: list[np.ndarray], k: int) -> DataFrame:
-    by_width = {w: (query_ids[idx], np.stack([rows[i] for i in idx])) for w in sorted({len(r) for r in rows}) if (idx := [i for i, r in enumerate(rows) if len(r) == w])}
-    shared = base.sparkSession.sparkContext.broadcast(by_width)
+def _scan(file: DataFrame, block: pa.Table, k: int) -> DataFrame:
+    vecs = block.column("vec").combine_chunks()
+    lengths = np.asarray(pa.compute.list_value_length(vecs))
+    query, ids = np.asarray(block.column("query"), np.int64), np.asarray(block.column("id"), np.int64)
+    by_width = {w: (query[rows], ids[rows], matrix(vecs.take(pa.array(rows)), w)) for w in np.unique(lengths).tolist() for rows in (np.flatnonzero(lengths == w),)}
+    shared = file.sparkSession.sparkContext.broadcast(by_width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-
-        def keep(width: int, more: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-            held = best.get(width)
-            q, v, s = more if held is None else tuple(map(np.concatenate, zip(held, more, strict=True)))
-            order = np.lexsort((v, -s, q))
-            q, v, s = q[order], v[order], s[order]
-            first = np.concatenate([[0], np.flatnonzero(q[1:] != q[:-1]) + 1]) if len(q) else np.empty(0, np.int64)
-            place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
-            best[width] = (q[place < k], v[place < k], s[place < k])
-
+        best = {w: Best(q, own, k) for w, (_, own, q) in shared.value.items()}
         for batch in batches:
-            lengths = np.asarray(pa.compute.list_value_length(batch.column(1)))
-            all_ids = np.asarray(batch.column(0), np.int64)
-            for width, (ids, queries) in shared.value.items():
-                rows = np.flatnonzero(lengths == width)
+            widths = np.asarray(batch.column("width"))
+            for w in np.unique(widths).tolist():
+                if w not in best:
+                    continue
+                rows = np.flatnonzero(widths == w)
                 for at in range(0, len(rows), SCAN):
-                    take = rows[at : at + SCAN]
-                    vectors = matrix(batch.column(1).take(pa.array(take)), width)
-                    for a in range(0, len(ids), 512):
-                        q, v, s = best_of_part(queries[a : a + 512], ids[a : a + 512], vectors, all_ids[take], k)
-                        keep(width, (q + a, all_ids[take][v], s))
-        for width, (q, v, s) in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array(shared.value[width][0][q]), pa.array(v), pa.array(s)], names=["query_id", "vec_id", "score"])
+                    part = batch.take(pa.array(rows[at : at + SCAN]))
+                    cells = np.frombuffer(b"".join(part.column("cells").to_pylist()), np.int8).reshape(-1, w)
+                    best[w].add(np.asarray(part.column("id"), np.int64), np.asarray(part.column("step"), np.int64), cells, part.column("exact"))
+        for w, held in best.items():
+            sizes = [len(s) for s, _ in held.found]
+            names, own, _ = shared.value[w]
+            scores, owners = (np.concatenate([f[i] for f in held.found]) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, sizes)), pa.array(np.repeat(own, sizes)), pa.array(owners), pa.array(scores)], names=["query", "query_id", "vec_id", "score"])
 
-    return base.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+    return file.mapInArrow(run, "query bigint, query_id bigint, vec_id bigint, score bigint")
 
 
 def sql(k: int = 20, every: int = 20, scale: int = 64) -> str:
     """The same rows over `embeddings` in DuckDB's SQL."""
     return f"""
-WITH v AS (SELECT vec_id, [CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS vec FROM embeddings
-           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product([CAST(x AS DOUBLE) FOR x IN q.vec], [CAST(x AS DOUBLE) FOR x IN c.vec]) AS BIGINT) AS score
+WITH v AS (SELECT row_number() OVER () AS row_id, vec_id, [CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS vec FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x) OR abs({scale} * CAST(x AS DOUBLE)) >= {LARGEST}]) = 0),
+s AS (SELECT q.row_id, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product([CAST(x AS DOUBLE) FOR x IN q.vec], [CAST(x AS DOUBLE) FOR x IN c.vec]) AS BIGINT) AS score
       FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.vec) = len(c.vec) WHERE q.vec_id % {every} = 0),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY row_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {k}
 """
