@@ -19,7 +19,7 @@ empty table gives no rows. Other columns have no part in it; keep_one() leaves t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,8 @@ BANDS, ROWS = 14, 3
 DAMPING = 0.2
 #: The count sketch: rows and buckets of a row; it is sent in blocks of so many buckets.
 SKETCH_ROWS, SKETCH_BITS, SKETCH_BLOCK = 3, 16, 2048
+#: Buckets of the sketch by which the prefix filter orders shingles, as a power of two.
+REST_BITS = 20
 #: Random triples of the sampler, as a power of two; a sample's hash picks among them.
 DRAW_BITS = 16
 
@@ -106,25 +108,24 @@ def _text_key(raw: bytes) -> np.ndarray:
     return np.frombuffer(hashlib.blake2b(raw, digest_size=16).digest(), np.int64)
 
 
-def _sketch_at(shingles: np.ndarray, row: int) -> np.ndarray:
-    return (_mix(shingles + np.uint64(row + 11)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def _sketch_at(shingles: np.ndarray, row: int, bits: int = SKETCH_BITS) -> np.ndarray:
+    return (_mix(shingles + np.uint64(row + 11)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
-    """(count sketch of the texts that hold each shingle, number of texts); of a fixed size whatever the data."""
+def _sketched(rows: DataFrame, found: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, int]]], bits: int) -> tuple[np.ndarray, int]:
+    """(count sketch of the shingles that `found` gives of batches, texts that have some); of a fixed size whatever the data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, n = np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS), np.int64), 0
+        table, n = np.zeros((SKETCH_ROWS, 1 << bits), np.int32), 0
         for batch in batches:
-            for part in slices(batch, text):
-                s, _, lengths, _ = shingles_of(byte_texts(part.column(text)))
-                n += int((lengths > 0).sum())
+            for s, texts in found(batch):
+                n += texts
                 for row in range(SKETCH_ROWS):
-                    table[row] += np.bincount(_sketch_at(s, row), minlength=1 << SKETCH_BITS)
+                    table[row] += np.bincount(_sketch_at(s, row, bits), minlength=1 << bits).astype(np.int32)
         blocks = table.reshape(-1, SKETCH_BLOCK)
         filled = np.flatnonzero(blocks.any(axis=1))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([*filled.tolist(), -1], pa.int32()), pa.array([*(blocks[i].astype(np.int32).tobytes() for i in filled), np.array([n], np.int32).tobytes()], pa.binary())],
+            [pa.array([*filled.tolist(), -1], pa.int32()), pa.array([*(blocks[i].tobytes() for i in filled), np.array([n], np.int32).tobytes()], pa.binary())],
             names=["block", "counts"],
         )
 
@@ -132,8 +133,8 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
         total = sum(np.frombuffer(b, np.int32).astype(np.int64) for b in group.column("counts").to_pylist())
         return pa.table({"block": group.column("block")[:1].cast(pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    parts = docs.select(text).mapInArrow(run, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary")
-    sketch, n = np.zeros((SKETCH_ROWS << SKETCH_BITS) // SKETCH_BLOCK * SKETCH_BLOCK, np.int64).reshape(-1, SKETCH_BLOCK), 0
+    parts = rows.mapInArrow(run, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary")
+    sketch, n = np.zeros(((SKETCH_ROWS << bits) // SKETCH_BLOCK, SKETCH_BLOCK), np.int64), 0
     for row in parts.collect():  # a fixed number of blocks
         got = np.frombuffer(bytes(row["counts"]), np.int64)
         if row["block"] < 0:
@@ -143,6 +144,17 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     return sketch.reshape(SKETCH_ROWS, -1), n
 
 
+def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
+    """(count sketch of the texts that hold each shingle, number of texts)."""
+
+    def found(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, int]]:
+        for part in slices(batch, text):
+            s, _, lengths, _ = shingles_of(byte_texts(part.column(text)))
+            yield s, int((lengths > 0).sum())
+
+    return _sketched(docs.select(text), found, SKETCH_BITS)
+
+
 def weights_of(shingles: np.ndarray, counts: np.ndarray, sketch: np.ndarray, n_texts: int) -> np.ndarray:
     """(1 + ln tf) * idf."""
     spread = sketch.sum(axis=1)
@@ -223,14 +235,14 @@ def unsettled(distinct: DataFrame, found: DataFrame) -> DataFrame:
     return others.join(open_buckets, ["band", "h"], "left_semi").select("id", "component").distinct()
 
 
-def prefix(shingles: bytes, threshold: float) -> tuple[np.ndarray, np.ndarray, float]:
+def prefix(shingles: bytes, counts: Callable[[np.ndarray], np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, float]:
     """(shingles from the rarest on, weight of the set from each of them on, weight of the set), as far as a match can begin.
 
     Sets of weights A and B that reach the threshold t share at least t / (1 + t) * (A + B), and at least t * A. All of it
     lies at or after the first shingle that both hold, in an order common to all sets, so the weight from there on is no less.
     """
-    whole, weight, rarity = _unpacked(shingles)
-    order = np.lexsort((whole, -rarity.astype(np.int16)))
+    whole, weight = _unpacked(shingles)
+    order = np.lexsort((whole, counts(whole)))
     left = np.cumsum(weight[order][::-1])[::-1]
     n = int((left >= (threshold - 1e-9) * left[0]).sum()) if len(left) else 0
     return whole[order[:n]].view(np.int64), left[:n], float(left[0]) if len(left) else 0.0
@@ -239,15 +251,26 @@ def prefix(shingles: bytes, threshold: float) -> tuple[np.ndarray, np.ndarray, f
 def rest_pairs(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b), a > b: the pairs of `rest` from different components that can reach the threshold, by their prefixes.
 
-    The first shingle that the two of a pair share must leave enough weight on both sides; see prefix(). The conditions are the
-    join's own, so of a frequent shingle's texts only those come out that still can reach the threshold.
+    The first shingle that the two of a pair share must leave enough weight on both sides; see prefix(). Shingles are in the order
+    of how many texts of the rest hold them, by a sketch. The conditions are the join's own, so of a frequent shingle's texts only
+    those come out that still can reach the threshold.
     """
+    own = cut(rest.join(sets, "id").select("id", "component", "shingles"))
+
+    def found(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, int]]:
+        for s in batch.column("shingles").to_pylist():
+            yield _unpacked(s)[0], 1
+
+    shared = own.sparkSession.sparkContext.broadcast(_sketched(own.select("shingles"), found, REST_BITS)[0].astype(np.int32))
+
+    def counts(s: np.ndarray) -> np.ndarray:
+        return np.min([shared.value[row][_sketch_at(s, row, REST_BITS)] for row in range(SKETCH_ROWS)], axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                made = [prefix(s, threshold) for s in part.column("shingles").to_pylist()]
+                made = [prefix(s, counts, threshold) for s in part.column("shingles").to_pylist()]
                 sizes = [len(m[0]) for m in made]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -259,13 +282,13 @@ def rest_pairs(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                     names=["id", "component", "shingle", "behind", "weight"],
                 )
 
-    posted = cut(rest.join(sets, "id").select("id", "component", "shingles").mapInArrow(run, "id bigint, component bigint, shingle bigint, behind double, weight double"))
+    posted = cut(own.mapInArrow(run, "id bigint, component bigint, shingle bigint, behind double, weight double"))
     share = threshold / (1 + threshold)
     # The lighter set of a pair shares at least 2 t / (1 + t) of its own weight.
     lighter, heavier = posted.where(F.col("behind") >= (2 * share - 1e-9) * F.col("weight")), posted
     two = heavier.select("shingle", *(F.col(c).alias(f"{c}_2") for c in ("id", "component", "behind", "weight")))
     least = share * (F.col("weight") + F.col("weight_2")) - 1e-6
-    fits = (F.col("component") != F.col("component_2")) & (F.col("weight") <= F.col("weight_2")) & (F.least("behind", "behind_2") >= least)
+    fits = (F.col("component") != F.col("component_2")) & F.col("weight").between(threshold * F.col("weight_2") - 1e-6, F.col("weight_2")) & (F.least("behind", "behind_2") >= least)
     # Sizes apart by more than the threshold can't match: neighbours among bins of that ratio meet, which splits frequent shingles.
     size = lambda c: F.floor(F.log(F.col(c)) / np.log(1 / threshold))
     one = lighter.withColumn("size", F.explode(F.array(size("weight"), size("weight") + 1)))
@@ -274,29 +297,27 @@ def rest_pairs(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def weighted_sets(docs: DataFrame, sketch: np.ndarray, n_texts: int, key: str, text: str) -> DataFrame:
-    """(id, shingles): each shingle's hash in order, then the weights as floats, then a byte of rarity each."""
+    """(id, shingles): each shingle's hash in order, then the weights as floats."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         s, c, lengths, _ = shingles_of(byte_texts(batch.column(text)))
-        w = weights_of(s, c, shared.value, n_texts)
-        rarity = np.clip(np.round((w / (1 + np.log(c)) - 1) * (255 / DAMPING)), 0, 255).astype(np.uint8)
-        w = w.astype(np.float32)
+        w = weights_of(s, c, shared.value, n_texts).astype(np.float32)
         ends = np.cumsum(lengths)
-        return [pa.array([s[e - n : e].tobytes() + w[e - n : e].tobytes() + rarity[e - n : e].tobytes() for n, e in zip(lengths.tolist(), ends.tolist(), strict=True)], pa.binary())]
+        return [pa.array([s[e - n : e].tobytes() + w[e - n : e].tobytes() for n, e in zip(lengths.tolist(), ends.tolist(), strict=True)], pa.binary())]
 
     return extend(docs.select(F.col(key).cast("bigint").alias("id"), text), text, {"shingles": "binary"}, run, ["id"])
 
 
-def _unpacked(s: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingles, weights and rarity of a set."""
-    n = len(s) // 13
-    return np.frombuffer(s, np.uint64, n), np.frombuffer(s, np.float32, n, 8 * n).astype(np.float64), np.frombuffer(s, np.uint8, n, 12 * n)
+def _unpacked(s: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles and weights of a set."""
+    n = len(s) // 12
+    return np.frombuffer(s, np.uint64, n), np.frombuffer(s, np.float32, n, 8 * n).astype(np.float64)
 
 
 def weighted_jaccard(a: bytes, b: bytes) -> float:
     """Sum of the lesser weights over the sum of the greater ones."""
-    (x, v, _), (y, w, _) = _unpacked(a), _unpacked(b)
+    (x, v), (y, w) = _unpacked(a), _unpacked(b)
     at = np.searchsorted(y, x)
     at[at == len(y)] = 0
     same = y[at] == x if len(y) else np.zeros(len(x), bool)
