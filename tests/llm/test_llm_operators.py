@@ -49,21 +49,45 @@ def test_long_texts_split_where_counts_add_up():
 def test_licences(docs, none, spark):
     got = {r["doc_id"]: r for r in licence_scan.licence_scan(docs).collect()}
     assert got[1]["licence"] is None and got[1]["dice"] is None and got[1]["n_matches"] == 0
-    rows = [(1, "Some text.\nreleased   under the MIT license!\nAll rights reserved"), (2, licence_scan.TEMPLATES["GPL-3.0"]), (3, "MIT")]
-    got = {r["doc_id"]: (r["licence"], r["n_matches"]) for r in licence_scan.licence_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert got == {1: ("MIT", 2), 2: ("GPL-3.0", 1), 3: (None, 0)}
+    mit, wrapped = licence_scan.TEMPLATES["MIT-text"], licence_scan.TEMPLATES["Apache-2.0-header"].split()
+    lines = "\n".join("# " + " ".join(wrapped[i : i + 7]) for i in range(0, len(wrapped), 7))
+    rows = [
+        (1, "Some text.\nreleased   under the MIT license!\nAll rights reserved"),
+        (2, licence_scan.TEMPLATES["GPL-3.0"]),
+        (3, "MIT"),
+        (4, f"import x\n{lines}\ndef f(): pass\n" * 2),
+        (5, "a long story " * 300 + mit.replace("Software", "Program") + " and more words behind it" * 50),
+        (6, "In a paragraph (Licensed under CC BY-NC 4.0.) of a text"),
+        (6, "In a paragraph (Licensed under CC BY-NC 4.0.) of a text"),
+    ]
+    got = sorted((r["doc_id"], r["licence"], r["n_matches"]) for r in licence_scan.licence_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert [g[:2] for g in got if g[0] != 3] == [(1, "MIT"), (2, "GPL-3.0"), (4, "Apache-2.0"), (5, "MIT-text"), (6, "CC-BY-NC-4.0"), (6, "CC-BY-NC-4.0")]
+    assert got[0][2] == 2 and got[2] == (3, None, 0) and got[3][2] == 2
     assert licence_scan.licence_scan(none).count() == 0
 
 
 def test_licence_bounds_drop_nothing(spark):
+    """Against all windows of all templates, keys and sizes aside."""
     rng = random.Random(2)
-    words = licence_scan.bigrams_of(" ".join(licence_scan.TEMPLATES.values()))
-    texts = [" ".join(rng.choice(words).split()[0] for _ in range(rng.randrange(1, 12))) for _ in range(300)] + list(licence_scan.TEMPLATES.values())
-    got = licence_scan.licence_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), threshold=0.4).collect()
+    words = [w for t in licence_scan.TEMPLATES.values() for w in licence_scan.words_of(t)]
+    texts = list(licence_scan.TEMPLATES.values())
+    for t in list(texts):
+        own = licence_scan.words_of(t)
+        for share in (0.02, 0.05, 0.08):
+            texts.append(" ".join(rng.choice(words) if rng.random() < share else w for w in [*rng.sample(words, 9), *own, *rng.sample(words, 9)]))
+    got = licence_scan.licence_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert len(got) == len(texts)
     for r in got:
-        g = set(licence_scan.bigrams_of(texts[r["doc_id"]]))
-        best = max((2 * len(g & set(own)) / (len(g) + len(own)) for t in licence_scan.TEMPLATES.values() if (own := licence_scan.bigrams_of(t))), default=0)
-        assert (r["dice"] is None) == (best < 0.4) and (r["dice"] is None or math.isclose(r["dice"], best))
+        grams = [f"{a} {b}" for w in [licence_scan.words_of(texts[r["doc_id"]])] for a, b in zip(w, w[1:], strict=False)]
+        found = {}
+        for name, t in licence_scan.TEMPLATES.items():
+            own, n = set(licence_scan.bigrams_of(t)), len(licence_scan.words_of(t))
+            windows = [set(grams[i : i + n - 1]) for i in range(len(grams)) if grams[i] in own]
+            best = max((2 * len(g & own) / (len(g) + len(own)) for g in windows), default=0)
+            if best >= licence_scan.THRESHOLD:
+                found[name] = best
+        want = min(((-d, n) for n, d in found.items()), default=None)
+        assert r["n_matches"] == len(found) and (r["licence"], r["dice"]) == ((None, None) if want is None else (want[1], pytest.approx(-want[0])))
 
 
 def test_decontamination(docs, none, spark):
