@@ -40,6 +40,7 @@ def test_token_counts_equal_the_library(docs, none):
 def test_long_texts_split_where_counts_add_up():
     rng = random.Random(1)
     text = "".join(rng.choice(["a", "b c", " ", "  ", "\n", " x", "é", "'s", "1", "<|endoftext|>", ".", "日本"]) for _ in range(6000))
+    text += "".join(rng.choice(["中文", "，", "。", "'s", "'t", "12", "²", "x", "<|endoftext|>", "'", "\n", "e\u0301", "ｱ", "！"]) for _ in range(6000))
     parts = token_counts.split_long(text, 40)
     assert "".join(parts) == text and len(parts) > 20
     path = token_counts.default_tokenizer()

@@ -4,8 +4,11 @@ Filters of several widths run over windows of a fixed number of bytes; each filt
 to a softmax over the languages. The whole text is covered by windows, and the mean of their log-probabilities decides.
 
 The network learns from a bounded sample (`SAMPLE_DOCS` labelled documents, spread evenly over the languages and picked by a
-hash of the id, and `SAMPLE_WINDOWS` windows of each). Predictions use the text alone. A null text, or one without a letter,
-gives `und` with score 0; so does everything where no labelled row exists. Ties go to the first language in order.
+hash of the id, and `SAMPLE_WINDOWS` windows of each). A row of counts for each label reaches the driver, and windows of eight
+documents of each at least: labels are names of languages, so they are few. Predictions use the text alone. A null text, or one
+without a letter, gives `und` with score 0; so does everything where no labelled row exists. Very long texts are read whole, window
+by window; repeated rows are predicted each; an empty table gives no rows. Ties go to the first language in order. Columns named
+lang_pred and score are replaced.
 """
 
 from __future__ import annotations

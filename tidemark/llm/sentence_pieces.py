@@ -10,8 +10,13 @@ scores doesn't decide: the segmentation is the one that merging gives. It is als
 (merging the two pieces' characters gives these two pieces again) and each prefix has exactly one, so there a candidate scores 0 if
 it is stable beside the last piece of what stands before, and minus infinity otherwise; the maxima find the library's own ids.
 
-Null texts give null ids; empty ones none. Characters outside the pieces become byte pieces, or the unknown piece where a model has
-none. A text that holds U+2581 decodes with spaces in its place, as with the library.
+A key is 64 bits of a hash, so found pieces are held against the text, and where they differ merging decides (`_search`). Whether
+neighbours are stable is found for all pairs at once by going back in time (`_stay_apart`). Models with a normaliser, with
+user-defined pieces or with pieces across words raise an error.
+
+Null texts give null ids; empty ones none. Very long texts are encoded whole; repeated rows are encoded each; an empty table gives
+no rows. Columns named as what is added are replaced, others may stay. Characters outside the pieces become byte pieces, or the
+unknown piece where a model has none. A text that holds U+2581 decodes with spaces in its place, as with the library.
 """
 
 from __future__ import annotations
