@@ -1,26 +1,27 @@
 """From documents to token ids: language ID, near-dedup, dedup of repeated strings, decontamination, SentencePiece ids.
 
-Each stage works on what the one before kept, written as Parquet in the shared folder and read again.
+Each stage works on what the one before kept, written as Parquet in the shared folder and read again. Each gives no rows for an
+empty table and takes very long texts whole; all but the last keep the columns of documents, other columns among them. Rows of a
+null id: language_id leaves those of a known language, near_duplicates all of them, and substring_dedup cuts nothing from them.
+Null and empty texts have no language, so they go in the first stage; later stages would let them pass. Rows that repeat an id and
+text are one after near_duplicates. Ties: the first language in order, the least id of a class, the smallest id of equal strings.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, language_id, near_duplicates, sentence_pieces, substring_dedup
 from tidemark.llm.common import table
-from tidemark.session import ship
+from tidemark.session import scratch, ship
 
 #: A document whose language is less likely than this, or that has no letter, is rejected.
 LEAST_LANGUAGE_SCORE = 0.4
 #: A document of whose words more than this share is benchmark text goes; of the others the benchmark's spans go.
 MOST_BENCHMARK_COVERAGE = 0.5
 
-ORACLE_SQL = None  # a trained network and sampled sketches are beyond SQL; the tests hold each stage against brute force
+ORACLE_SQL = None  # a trained network and sampled sketches are beyond SQL; the tests hold the stages against brute force
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,8 +68,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over the documents of sf_dir."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
