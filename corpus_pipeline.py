@@ -28,9 +28,11 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents in one of the languages that the labelled rows teach."""
     ship(spark)
     known = docs.where(F.col("doc_id").isNotNull() & ~language_id.held_out("doc_id", 3, 1))
-    columns = docs.columns
-    found = language_id.predict(docs, language_id.fit(known))
-    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*columns)
+    names = {f"c{i}": c for i, c in enumerate(docs.columns)}  # what is added may bear a name of theirs
+    plain = docs.select(*(F.col(c).alias(n) for n, c in names.items()))
+    found = language_id.predict(plain, language_id.fit(known), text=f"c{docs.columns.index('text')}")
+    kept = found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return kept.select(*(F.col(n).alias(c) for n, c in names.items()))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
