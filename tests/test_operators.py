@@ -61,6 +61,50 @@ def test_walk_forward_doesnt_see_the_future(planted):
     assert all(picks(changed)[k] == v for k, v in cut.items())
 
 
+def test_walk_forward_fits_and_reads_the_same_whatever_the_features(planted, spark):
+    """Scores equal those of a model fitted in numpy on earlier years alone, medians for what is missing; the plan doesn't grow."""
+    df, pdf = planted
+    holes = df.withColumn("a", F.when(F.col("row_id") % 7 > 0, F.col("a")))
+    got = models.walk_forward(holes, list("abcd"), "y", "year", "row_id", all_scores=True).where("year = 2005").toPandas().set_index("row_id")
+    known = pdf.assign(a=pdf["a"].where(pdf["row_id"] % 7 > 0))
+    train, test = known[known["year"] < 2005], known[known["year"] == 2005]
+    medians = train[list("abcd")].median()
+    x, x_test = train[list("abcd")].fillna(medians), test[list("abcd")].fillna(medians)
+    slope = np.linalg.lstsq(np.column_stack([np.ones(len(x)), x]), train["y"], rcond=None)[0]
+    plain = np.column_stack([np.ones(len(x_test)), x_test]) @ slope
+    assert len(got) == 300 and np.corrcoef(got.loc[test["row_id"], "predicted"], plain)[0, 1] > 0.999
+    realized = test.set_index("row_id")["y"] - test["y"].median()
+    assert np.allclose(got["realized"].sort_index(), realized.sort_index())
+    reads = lambda names: models.walk_forward(df, names, "y", "year", "row_id")._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
+    assert reads(list("ab")) == reads(list("abcd")) < 8
+
+
+def test_gate_cells_and_feature_sets(planted):
+    df, _ = planted
+    picks = models.walk_forward(df, list("abcd"), "y", "year", "row_id")
+    gate = models.gate_of_periods(picks, "year", n_boot=500).first()
+    assert gate["n_periods"] == 8 and gate["verdict"] == "PASS" and gate["ci_low"] <= gate["mean_excess"] <= gate["ci_high"] and np.isclose(gate["net_mean"], gate["mean_excess"] - 0.14)
+    both = models.compare_feature_sets(df, ["c"], list("abcd"), "y", "year", "row_id").collect()
+    assert len(both) == 8 and np.mean([r["delta_top"] for r in both]) > 1 and np.mean([r["extended_spearman"] for r in both]) > 0.8
+    flat = models.spearman_by(df.withColumn("flat", F.lit(1.0)), "year", "flat", "y").collect()
+    assert all(r["spearman"] is None for r in flat)
+
+
+def test_boosted_trees_and_folds_find_the_planted_features(planted):
+    df, _ = planted
+    got = {r["feature"]: r for r in models.boosted_importance(df, list("abcd"), "y", "row_id").collect()}
+    assert got["a"]["importance"] > got["b"]["importance"] > max(got["c"]["importance"], got["d"]["importance"]) and got["a"]["oof_r2"] > 0.7
+
+
+def test_average_ranks_equal_pandas(spark):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"p": rng.integers(0, 3, 500), "v": rng.integers(0, 40, 500).astype(float), "i": range(500)})
+    df = spark.createDataFrame(pdf).union(spark.createDataFrame([(1, None, 900)], "p bigint, v double, i bigint"))
+    got = windows.average_ranks(df, "p", "v", "r").toPandas().set_index("i")["r"]
+    want = pdf.set_index("i").groupby("p")["v"].rank(method="average")
+    assert np.allclose(got.loc[range(500)], want.loc[range(500)]) and np.isnan(got.loc[900])
+
+
 def test_variance_components_find_planted_groups(spark):
     rng = np.random.default_rng(2)
     g = np.repeat(np.arange(200), 20)
@@ -175,7 +219,7 @@ def test_snapshot_files(spark, tmp_path):
 
 
 def test_titles_and_amounts(spark):
-    rows = [("2020 Name PSA 10", "psa_10", None), ("sgc 9.5 x", "sgc_9.5", None), ("GEM MINT 10 by PSA", "psa_10", None), ("PSA GEM MT 10 $1,234.50", "psa_10", 1234.5), ("plain", None, None), (None, None, None)]
+    rows = [("2020 Name PSA 10", "psa_10", None), ("sgc 9.5 x", "sgc_9.5", None), ("GEM MINT 10 PSA", "psa_10", None), ("PSA GEM MT 10 $1,234.50", "psa_10", 1234.5), ("plain", None, None), (None, None, None)]
     df = spark.createDataFrame(rows, "t string, g string, a double").withColumns({"g2": f.grade_from_title(F.col("t")), "a2": F.when(F.col("t").contains("$"), f.money(F.regexp_extract("t", r"(\$.*)", 1)))})
     assert all(r["g"] == r["g2"] and r["a"] == r["a2"] for r in df.collect())
     outs = spark.createDataFrame([("6.1", 19), ("0.2", 2), ("7", 21), (None, None)], "i string, o int").withColumn("x", f.innings_to_outs(F.col("i")))

@@ -11,8 +11,8 @@ import __spark_entry__
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES, SQL = __spark_entry__.queries(), __spark_entry__.oracle_sql()
-#: Their own tests cover these, and running them here takes long.
-SLOW = {"pipeline", "m04_boosted_importance", "r08_cells", "r09_compare_feature_sets", "r06_r07_w14_walk_forward"}
+#: tests/llm covers the training-data queries.
+OWN_TESTS = {n for n in QUERIES if n.startswith("op")} | {"pipeline"}
 
 
 @pytest.fixture(scope="module")
@@ -38,7 +38,7 @@ def plain(df: pd.DataFrame) -> pd.DataFrame:
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the given tables aren't here")
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW - {n for n in QUERIES if n.startswith("op")}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - OWN_TESTS))
 def test_query(spark, tables, name):
     got = QUERIES[name](spark, DATA).toPandas()
     if name in SQL:

@@ -51,10 +51,22 @@ def count_to_date(cuts: DataFrame, events: DataFrame, keys: list[str], cut: str,
 
 
 def form_delta(cuts: DataFrame, logs: DataFrame, keys: list[str], cut: str, date: str, numerator: str, denominator: str, days: int = 14) -> DataFrame:
-    """Recent rate less the rate to date, from two running sums: at the cut and `days` before it. Null without a denominator."""
-    now = stats_to_date(cuts, logs, keys, cut, date, [numerator, denominator]).withColumnsRenamed({numerator: "__n1", denominator: "__d1", "n_rows": "__r1"})
-    then = now.withColumn("__earlier", F.col(cut) - F.make_dt_interval(F.lit(days)))
-    both = stats_to_date(then, logs, keys, "__earlier", date, [numerator, denominator])
-    recent_n, recent_d = F.col("__n1") - F.col(numerator), F.col("__d1") - F.col(denominator)
-    delta = F.when(recent_d > 0, recent_n / recent_d - F.col("__n1") / F.nullif(F.col("__d1"), F.lit(0)))
-    return both.select(*cuts.columns, delta.alias("form_delta"), (F.col("__r1") - F.col("n_rows")).alias("form_games"))
+    """Recent rate less the rate to date at the cut: form_delta, null without a denominator, and form_games."""
+    return stats_with_form(cuts, logs, keys, cut, date, [], numerator, denominator, days).drop("n_rows")
+
+
+def stats_with_form(cuts: DataFrame, logs: DataFrame, keys: list[str], cut: str, date: str, counts: list[str], numerator: str, denominator: str, days: int = 14) -> DataFrame:
+    """Sums of the counts up to the cut (n_rows counts the rows), and how the rate of the last `days` differs from the rate to date:
+    form_delta, null without a denominator, and form_games. Both frames run over one sort of the rows and cuts."""
+    at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    names = [*dict.fromkeys([*counts, numerator, denominator])]
+    data = logs.select(*keys, at(date).alias("__t"), F.lit(1).alias("__n"), *(F.col(c).alias(f"__{c}") for c in names))
+    asked = cuts.select(*keys, at(cut).alias("__t"), F.struct(*cuts.columns).alias("__probe"))
+    ordered = Window.partitionBy(*keys).orderBy("__t")
+    frames = {"all": ordered.rangeBetween(Window.unboundedPreceding, 0), "new": ordered.rangeBetween(1 - days * 86_400_000_000, 0)}
+    sums = [F.sum(f"__{c}").over(frames[k]).alias(f"__{k}_{c}") for k, wanted in (("all", ["n", *names]), ("new", ["n", numerator, denominator])) for c in wanted]
+    rows = data.unionByName(asked, allowMissingColumns=True).select("__probe", *sums).where(F.col("__probe").isNotNull())
+    recent = F.col(f"__new_{numerator}") / F.col(f"__new_{denominator}")
+    delta = F.when(F.col(f"__new_{denominator}") > 0, recent - F.col(f"__all_{numerator}") / F.nullif(F.col(f"__all_{denominator}"), F.lit(0)))
+    nought = lambda c: F.coalesce(c, F.lit(0))
+    return rows.select("__probe.*", *(nought(f"__all_{c}").alias(c) for c in counts), nought("__all_n").alias("n_rows"), delta.alias("form_delta"), nought("__new_n").alias("form_games"))

@@ -16,10 +16,8 @@ def _with_season_stats(panel: DataFrame, logs: DataFrame, season: str, lag: str,
     """Season-to-date counts and rates at the lag date, and the form of the last days."""
     rows = logs.withColumnRenamed("season", season)
     keys = ["entity_id", season]
-    to_date = asof.stats_to_date(panel, rows, keys, lag, "date", HIT_COUNTS)
-    with_form = asof.form_delta(to_date.withColumnsRenamed({c: f"td_{c}" for c in HIT_COUNTS} | {"n_rows": "games_to_date"}), rows, keys, lag, "date", "hits", "at_bats", days)
-    rated = a.hitting_rates(with_form.withColumnsRenamed({f"td_{c}": c for c in HIT_COUNTS}))
-    return rated.drop(*HIT_COUNTS)
+    found = asof.stats_with_form(panel, rows, keys, lag, "date", HIT_COUNTS, "hits", "at_bats", days)
+    return a.hitting_rates(found.withColumnRenamed("n_rows", "games_to_date")).drop(*HIT_COUNTS)
 
 
 def monthly_panel(chart: DataFrame, logs: DataFrame, info: DataFrame, grade: str = "psa_10") -> DataFrame:
