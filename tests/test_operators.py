@@ -93,7 +93,7 @@ def test_gate_cells_and_feature_sets(planted):
 def test_boosted_trees_and_folds_find_the_planted_features(planted):
     df, _ = planted
     got = {r["feature"]: r for r in models.boosted_importance(df, list("abcd"), "y", "row_id").collect()}
-    assert got["a"]["importance"] > got["b"]["importance"] > max(got["c"]["importance"], got["d"]["importance"]) and got["a"]["oof_r2"] > 0.7
+    assert min(got["a"]["importance"], got["b"]["importance"]) > 5 * max(got["c"]["importance"], got["d"]["importance"]) and got["a"]["oof_r2"] > 0.7
 
 
 def test_average_ranks_equal_pandas(spark):
