@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_texts, cut, extend, slices
+from tidemark.llm.common import byte_texts, cut, extend, release, slices
 from tidemark.llm.components import components
 
 SHINGLE = 5
@@ -128,6 +128,7 @@ def _sketched(rows: DataFrame, found: Callable[[pa.RecordBatch], Iterator[tuple[
             [pa.array([*filled.tolist(), -1], pa.int32()), pa.array([*(blocks[i].tobytes() for i in filled), np.array([n], np.int32).tobytes()], pa.binary())],
             names=["block", "counts"],
         )
+        release()
 
     def add(group: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(b, np.int32).astype(np.int64) for b in group.column("counts").to_pylist())
@@ -281,6 +282,7 @@ def rest_pairs(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                     ],
                     names=["id", "component", "shingle", "behind", "weight"],
                 )
+        release()
 
     posted = cut(own.mapInArrow(run, "id bigint, component bigint, shingle bigint, behind double, weight double"))
     share = threshold / (1 + threshold)
@@ -332,6 +334,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             s = np.array([weighted_jaccard(x, y) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(s)], names=["a", "b", "similarity"])
+        release()
 
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint, similarity double").where(F.col("similarity") >= threshold)

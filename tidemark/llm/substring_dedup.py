@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_texts, cut, total_bytes
+from tidemark.llm.common import byte_texts, cut, release, total_bytes
 from tidemark.llm.suffix_array import suffix_array, suffix_arrays
 
 LENGTH = 50
@@ -45,7 +45,7 @@ PIECE_BYTES = 1 << 20
 #: An anchor is hot if its groups have more different records than this by their own counts, which start at MANY_RECORDS.
 HOT_RECORDS, MANY_RECORDS = 3000, 8
 #: The longest text that goes through the columnar construction, and the cells of one call.
-LANE_SYMBOLS, LANE_CELLS = 1500, 1 << 21
+LANE_SYMBOLS, LANE_CELLS = 1500, 1 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -169,12 +169,12 @@ def records_of(text: np.ndarray, starts: np.ndarray, docs: np.ndarray, shape: Sh
     return Records(text, begin, last, at, grams[at], docs[np.searchsorted(starts, begin, "right") - 1])
 
 
-def contexts_of(r: Records, pick: np.ndarray, shape: Shape) -> np.ndarray:
+def contexts_of(r: Records, pick: np.ndarray, shape: Shape, out: np.ndarray | None = None) -> np.ndarray:
     """Rows of bytes, a multiple of 8: the numbers of bytes before and behind the anchor, then the bytes of the record; the
     anchor always stands at the same place, and what the record doesn't have is zero."""
     begin, last, at = r.begin[pick], r.last[pick], r.at[pick]
     before, behind = at - begin, last + shape.length - at - shape.anchor
-    out = np.zeros((len(at), shape.words * 8), np.uint8)
+    out = np.zeros((len(at), shape.words * 8), np.uint8) if out is None else out
     out[:, 0], out[:, 1] = before, behind
     border = np.zeros(shape.side, np.uint8)
     around = np.lib.stride_tricks.sliding_window_view(np.concatenate([border, r.text, border]), shape.wide)
@@ -186,19 +186,26 @@ def contexts_of(r: Records, pick: np.ndarray, shape: Shape) -> np.ndarray:
 
 def _squeeze_contexts(contexts: np.ndarray, shape: Shape) -> bytes:
     """contexts_of() as compressed bytes: both lengths of each record, then its bytes in order, without the zeros."""
-    inside = shape.inside(contexts[:, 0].astype(np.int64), contexts[:, 1].astype(np.int64))
-    flat = contexts[:, :2].T.tobytes() + contexts[:, 2 : 2 + shape.wide][inside].tobytes()
+    parts = [contexts[:, :2].T.tobytes()]
+    for a in range(0, len(contexts), 1 << 16):
+        c = contexts[a : a + (1 << 16)]
+        parts.append(c[:, 2 : 2 + shape.wide][shape.inside(c[:, 0].astype(np.int64), c[:, 1].astype(np.int64))].tobytes())
+    flat = b"".join(parts)
     return len(flat).to_bytes(8, "little") + _CODEC.compress(flat, asbytes=True)
 
 
-def _expand_contexts(raw: bytes, n: int, shape: Shape) -> np.ndarray:
+def _expand_contexts(raw: bytes, out: np.ndarray, shape: Shape) -> None:
+    """Fills rows of zeros with what _squeeze_contexts() made of them."""
+    n = len(out)
     flat = np.frombuffer(_CODEC.decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True), np.uint8)
-    out = np.zeros((n, shape.words * 8), np.uint8)
     out[:, :2] = flat[: 2 * n].reshape(2, n).T
-    inside = np.zeros((n, shape.words * 8), bool)
-    inside[:, 2 : 2 + shape.wide] = shape.inside(out[:, 0].astype(np.int64), out[:, 1].astype(np.int64))
-    out[inside] = flat[2 * n :]
-    return out
+    at = 2 * n
+    for a in range(0, n, 1 << 16):
+        rows = out[a : a + (1 << 16)]
+        inside = shape.inside(rows[:, 0].astype(np.int64), rows[:, 1].astype(np.int64))
+        size = int(inside.sum())
+        rows[:, 2 : 2 + shape.wide][inside] = flat[at : at + size]
+        at += size
 
 
 def _keys(start: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -548,7 +555,10 @@ def _resolved(table: pa.Table, shape: Shape, kind: int) -> pa.Table:
     bucket = table.column("bucket")[0].as_py() if groups else 0
     lows = [_expand(b, np.uint32, True) for b in table.column("low").to_pylist()]
     low = np.concatenate(lows)
-    context = np.concatenate([_expand_contexts(b, len(x), shape) for b, x in zip(table.column("context").to_pylist(), lows, strict=True)])
+    context, filled = np.zeros((len(low), shape.words * 8), np.uint8), 0
+    for b, part in zip(table.column("context"), lows, strict=True):
+        _expand_contexts(b.as_py(), context[filled : filled + len(part)], shape)
+        filled += len(part)
     own = np.concatenate([_expand(b, np.int64) for b in table.column("own").to_pylist()])
     code = low.astype(np.uint64) | np.uint64(bucket << 32)
     by, first = in_order(code, context)
@@ -582,7 +592,12 @@ def _covered(change: list[np.ndarray], held: list[Records], ids: np.ndarray, res
     join = lambda name, kind: np.concatenate([np.empty(0, kind), *(_expand(b, kind) for b in resolved.column(name).to_pylist())])
     least, bits = join("least", np.int64), join("bits", np.uint32)
     found = [_matching(r, codes, buckets) for r in held]
-    by, first = in_order(np.concatenate([code for _, code in found]), np.concatenate([contexts_of(r, pick, shape) for r, (pick, _) in zip(held, found, strict=True)]))
+    contexts, filled = np.zeros((sum(len(pick) for pick, _ in found), shape.words * 8), np.uint8), 0
+    for r, (pick, _) in zip(held, found, strict=True):
+        contexts_of(r, pick, shape, contexts[filled : filled + len(pick)])
+        filled += len(pick)
+    by, first = in_order(np.concatenate([code for _, code in found]), contexts)
+    del contexts
     if int(first.sum()) != len(least):
         raise RuntimeError("a group's records differ from those that it sent")
     number = np.empty(len(by), np.int64)
@@ -668,6 +683,7 @@ def _scan(docs: DataFrame, key: str, text: str, finish: Callable[[pa.Table | Non
         for batch in batches:
             for group, raw in zip(batch.column("g").to_pylist(), batch.column("pack"), strict=True):
                 yield _anchors(group, *opened(raw), shape, buckets)
+                release()
 
     shared = cut(packs.mapInArrow(anchors, _ANCHORS).groupBy("bucket").applyInArrow(lambda table: _shared(table), _SHARED))
 
@@ -676,11 +692,16 @@ def _scan(docs: DataFrame, key: str, text: str, finish: Callable[[pa.Table | Non
             return _contexts(0, [], np.empty(0, np.int64), np.empty(0, np.uint64), shape, buckets, _RECORDS)
         group, (held, ids) = left.column("g")[0].as_py(), opened(left.column("pack")[0])
         out, hot = _contexts(group, held, ids, _codes(right), shape, buckets, _RECORDS), _codes(right, "hot")
-        return pa.concat_tables([out, _of_hot(group, held, ids, hot, shape, buckets)]) if len(hot) else out
+        out = pa.concat_tables([out, _of_hot(group, held, ids, hot, shape, buckets)]) if len(hot) else out
+        del held
+        release()
+        return out
 
     def resolved(table: pa.Table) -> pa.Table:
         kind = table.column("kind")[0].as_py() if table.num_rows else _RECORDS
-        return _resolved(table, shape if kind == _RECORDS else shape.whole, kind)
+        out = _resolved(table, shape if kind == _RECORDS else shape.whole, kind)
+        release()
+        return out
 
     sent = packs.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(contexts, _CONTEXTS)
     told = cut(sent.groupBy("kind", "bucket").applyInArrow(resolved, _RESOLVED))
@@ -693,7 +714,10 @@ def _scan(docs: DataFrame, key: str, text: str, finish: Callable[[pa.Table | Non
             return finish(None, [], [])
         table = _unpack(left.column("pack")[0].as_py())
         raws, ids = _documents(table)
-        return finish(table, byte_texts(table.column("raw")), spans_of(raws, ids, right, shape, buckets))
+        spans = spans_of(raws, ids, right, shape, buckets)
+        del raws
+        release()
+        return finish(table, byte_texts(table.column("raw")), spans)
 
     return packs.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(last, schema)
 
