@@ -108,24 +108,33 @@ class Best:
         limit = float(self.largest) * 128 * float(step.max(initial=1)) * width
         kind = np.float32 if limit < 2**22 else np.float64
         half = (step - 1) / 2
-        cells = cells.astype(kind)
+        if len(step) and (step == step[0]).all():  # most often: then a query's slack is one number
+            step, half = step[:1], half[:1]
+        step, half, cells = step.astype(kind), half.astype(kind), cells.astype(kind)
         for a in range(0, len(self.queries), QUERIES):
             own = slice(a, a + QUERIES)
-            near = (self.queries[own].astype(kind) @ cells.T) * step[None, :] + self.total[own, None] * half[None, :]
-            slack = self.norm[own, None] * half[None, :] + limit * 1e-6
+            near = self.queries[own].astype(kind) @ cells.T
+            near *= step[None, :]
+            near += (self.total[own, None] * half[None, :]).astype(kind)
+            slack = (self.norm[own, None] * half[None, :] + limit * 1e-6).astype(kind)
             near[self.ids[own, None] == ids[None, :]] = -np.inf
-            n = min(self.k, len(ids))
-            bound = np.maximum(self.kth[own], -np.partition(slack - near, n - 1, axis=1)[:, n - 1]) if n == self.k else self.kth[own]
-            upper = near + slack
-            left = (upper >= bound[:, None]) & (near > -np.inf)
+            bound, n = self.kth[own], min(self.k, len(ids))
+            if n == self.k and np.isinf(bound).any():  # nothing is read yet: the kth lower bound
+                bound = np.maximum(bound, -np.partition(slack - near, n - 1, axis=1)[:, n - 1] - limit * 1e-6)
+            left = near >= (bound[:, None] - slack - limit * 1e-6).astype(kind)
             for q in np.flatnonzero(left.any(axis=1)).tolist():
-                self._read(a + q, np.flatnonzero(left[q]), upper[q], ids, exact)
+                rows = np.flatnonzero(left[q])
+                rows = rows[near[q, rows] > -np.inf]
+                if len(rows):
+                    self._read(a + q, rows, near[q, rows] + np.broadcast_to(slack[q], len(ids))[rows] + limit * 1e-6, ids, exact)
 
     def _read(self, q: int, left: np.ndarray, upper: np.ndarray, ids: np.ndarray, exact: pa.Array) -> None:
-        left = left[np.argsort(-upper[left], kind="stable")]
+        """Exact scores of the vectors `left` in the order of their upper bounds, as long as they can count."""
+        order = np.argsort(-upper, kind="stable")
+        left, upper = left[order], upper[order]
         scores, owners = self.found[q]
         for at in range(0, len(left), 4 * self.k):
-            if len(scores) >= self.k and scores[-1] > upper[left[at]]:
+            if len(scores) >= self.k and scores[-1] > upper[at]:
                 break
             new = left[at : at + 4 * self.k]
             vectors = np.frombuffer(b"".join(exact[i].as_py() for i in new.tolist()), "<i4").reshape(len(new), -1).astype(np.int64)
