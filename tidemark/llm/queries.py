@@ -10,6 +10,7 @@ from tidemark.llm import html_extract as op7
 from tidemark.llm import language_id as op5
 from tidemark.llm import licence_scan as op6
 from tidemark.llm import near_duplicates as op10
+from tidemark.llm import packing as op11
 from tidemark.llm import sentence_pieces as op8
 from tidemark.llm import substring_dedup as op4
 from tidemark.llm import token_counts as op3
@@ -66,8 +67,12 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.classes(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11.pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def queries() -> dict:
-    return {q.__name__: q for q in (op1_toxicity, op2_decontaminate, op3_token_counts, op4_substring_dedup, op5_language_id, op6_licence_scan, op7_html_extract, op8_sentence_pieces, op9_vector_search, op10_near_duplicates)}
+    return {q.__name__: q for q in (op1_toxicity, op2_decontaminate, op3_token_counts, op4_substring_dedup, op5_language_id, op6_licence_scan, op7_html_extract, op8_sentence_pieces, op9_vector_search, op10_near_duplicates, op11_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
