@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate as op2
+from tidemark.llm import filter_audit as op13
 from tidemark.llm import html_extract as op7
 from tidemark.llm import language_id as op5
 from tidemark.llm import licence_scan as op6
@@ -71,9 +72,13 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {q.__name__: q for q in (op1_toxicity, op2_decontaminate, op3_token_counts, op4_substring_dedup, op5_language_id, op6_licence_scan, op7_html_extract, op8_sentence_pieces, op9_vector_search, op10_near_duplicates, op11_packing)}
+    return {q.__name__: q for q in (op1_toxicity, op2_decontaminate, op3_token_counts, op4_substring_dedup, op5_language_id, op6_licence_scan, op7_html_extract, op8_sentence_pieces, op9_vector_search, op10_near_duplicates, op11_packing, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": op2.sql(), "op6_licence_scan": op6.sql(), "op9_vector_search": op9.sql()}
+    return {"op2_decontaminate": op2.sql(), "op6_licence_scan": op6.sql(), "op9_vector_search": op9.sql(), "op13_filter_audit": op13.sql()}
