@@ -14,6 +14,7 @@ from tidemark.llm import near_duplicates as op10
 from tidemark.llm import packing as op11
 from tidemark.llm import sentence_pieces as op8
 from tidemark.llm import substring_dedup as op4
+from tidemark.llm import token_alignment as op12
 from tidemark.llm import token_counts as op3
 from tidemark.llm import toxicity as op1
 from tidemark.llm import vector_search as op9
@@ -72,12 +73,16 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12.align(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (op1_toxicity, op2_decontaminate, op3_token_counts, op4_substring_dedup, op5_language_id, op6_licence_scan, op7_html_extract, op8_sentence_pieces, op9_vector_search, op10_near_duplicates, op11_packing, op13_filter_audit)}
+    return {q.__name__: q for q in (op1_toxicity, op2_decontaminate, op3_token_counts, op4_substring_dedup, op5_language_id, op6_licence_scan, op7_html_extract, op8_sentence_pieces, op9_vector_search, op10_near_duplicates, op11_packing, op12_token_alignment, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
