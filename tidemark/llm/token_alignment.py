@@ -23,7 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.byte_level import byte_level, byte_level_bytes, flat
@@ -36,7 +36,9 @@ SPACE = "▁"
 #: Steps of the merge path in a piece.
 PIECE = 1 << 16
 #: Bytes of text that are aligned, and whose distinct pairs are counted, at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
+#: Characters that are encoded at once.
+ENCODE_CHARS = 1 << 18
 _TASK_BITS = 33
 
 
@@ -109,9 +111,17 @@ class Pair:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of both of all texts, with the number of each; none where the bytes aren't those of a space and the text."""
-        some = [t or "" for t in texts]
-        a, b = self.a.encode([f" {t}" for t in some]), self.b.encode(some, num_threads=1)
-        for k, text in enumerate(some):
+        found, begin, size = [], 0, 0
+        for end, text in enumerate(texts, 1):
+            size += len(text or "")
+            if size >= ENCODE_CHARS or end == len(texts):  # lists of ids are large, so few texts' at a time
+                found.append(self._encode([t or "" for t in texts[begin:end]]))
+                begin, size = end, 0
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        a, b = self.a.encode([f" {t}" for t in texts]), self.b.encode(texts, num_threads=1)
+        for k, text in enumerate(texts):
             raw = f" {text}".encode("utf-8", "surrogatepass")
             if not text or b"".join([self.a_bytes[i] for i in a[k]]) != raw or b"".join([self.b_bytes[i] for i in b[k]]) != raw:
                 a[k], b[k] = [], []
@@ -173,7 +183,7 @@ def batches_of(docs: DataFrame, doc_id: str, text: str, a: str, b: str) -> DataF
                 raw = codes.astype("<u2" if len(distinct) <= 1 << 16 else "<u4").tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists, whole(digests, pa.string()), pa.array([raw], pa.binary())], names=["batch", "a_id", "b_id", "times", "ids", *_COUNTS, "digests", "links"])
                 number += 1
-        release()
+                release()
 
     return docs.select(doc_id, text).mapInArrow(run, schema)
 
