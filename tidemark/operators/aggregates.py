@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as f
+from tidemark.operators import quantiles
 
 
 def weekly_series(sales: DataFrame, series: str = "card_slug", min_sales: int = 2) -> DataFrame:
@@ -153,7 +154,10 @@ def abnormal_sum(windows: DataFrame, keys: list[str], offsets: list[int]) -> Dat
 
 
 def quartile_curve(df: DataFrame, by: str, value: str) -> DataFrame:
-    return df.groupBy(by).agg(F.median(value).alias("median"), F.percentile(value, F.lit(0.25)).alias("q1"), F.percentile(value, F.lit(0.75)).alias("q3"), F.count(value).alias("n"))
+    """(by, median, q1, q3, n): exact quartiles of groups of any size."""
+    found = quantiles.quantiles(df, [by], [value], (0.25, 0.5, 0.75)).select(F.col(by).alias("__by"), F.col(value).alias("__q"))
+    counts = df.groupBy(by).agg(F.count(value).alias("n")).join(found, F.col(by).eqNullSafe(F.col("__by")), "left")
+    return counts.select(by, F.col("__q")[1].alias("median"), F.col("__q")[0].alias("q1"), F.col("__q")[2].alias("q3"), "n")
 
 
 def value_shares(df: DataFrame, by: str) -> DataFrame:

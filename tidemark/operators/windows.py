@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as f
+from tidemark.operators import quantiles
 from tidemark.session import scratch
 
 
@@ -18,9 +19,8 @@ def observed_returns(series: DataFrame, keys: list[str], period: str, price: str
 
 
 def market_excess(panel: DataFrame, period: list[str], value: str = "log_ret", to: str = "excess_ret") -> DataFrame:
-    """panel with market_median (over the period) and the value's excess over it; joined back, so that no task holds a period
-    of all series."""
-    medians = panel.groupBy(*period).agg(F.median(value).alias("market_median"))
+    """panel with market_median (over the period) and the value's excess over it; no task holds a period of all series."""
+    medians = quantiles.median_of(panel, period, value, "market_median")
     return panel.join(medians, period, "left").withColumn(to, F.col(value) - F.col("market_median"))
 
 
