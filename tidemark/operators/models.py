@@ -12,8 +12,9 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.operators import resample, windows
+from tidemark.operators import quantiles, resample, windows
 
 
 def fold_of(key: Column, folds: int, seed: int = 42) -> Column:
@@ -155,64 +156,157 @@ def linear_score(features: Sequence[str], intercept: float, beta: Sequence[float
     return reduce(lambda acc, fb: acc + F.col(fb[0]) * F.lit(float(fb[1])), zip(features, beta, strict=True), F.lit(float(intercept)))
 
 
-def walk_forward(frame: DataFrame, features: Sequence[str], target: str, period: str, key: str, top_k: int = 5, min_train: int = 2, folds: int = 5, all_scores: bool = False) -> DataFrame:
-    """Per period a model of the earlier ones alone, and its top_k rows (all of them with all_scores): (period, key, rank,
-    predicted, realized), realised over the period's median.
+def _sums_by_period(rows: DataFrame, names: list[str], holes: list[str], periods: dict[tuple, list]) -> dict[tuple, list[Moments]]:
+    """For each cell and period, the moments of the fold's rows of all earlier periods, in (1, features with 0 for null, flags of
+    what is null, target); rows are summed once, by cell, period and fold."""
+    zeroed = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in names}
+    flags = {f"__n_{c}": F.col(c).isNull().cast("double") for c in holes}
+    moments = moments_by(rows.withColumns(flags).withColumns(zeroed), [*names, *flags], "__y", ["__b", "__p", "__fold"])
+    folds = sorted({f for _, _, f in moments})
+    out: dict[tuple, list[Moments]] = {}
+    for cell, own in periods.items():
+        running: dict[int, Moments] = {}
+        for period in own:
+            out[cell, period] = [running[f] for f in folds if f in running]
+            for f in folds:
+                if (m := moments.get((cell, period, f))) is not None:
+                    running[f] = running[f] + m if f in running else m
+    return out
+
+
+def _imputed(moments: Moments, names: list[str], holes: list[str], medians: dict[str, float]) -> Moments:
+    """Moments of the features with medians in place of nulls: each is its zeroed value and the median times its flag."""
+    k, h = len(names), len(holes)
+    turn = np.zeros((k + 2, 1 + k + h + 1))
+    turn[: k + 1, : k + 1] = np.eye(k + 1)
+    turn[-1, -1] = 1
+    for j, c in enumerate(holes):
+        turn[1 + names.index(c), 1 + k + j] = medians.get(c, 0.0)
+    return Moments(turn @ moments.matrix @ turn.T)
+
+
+def _earlier_medians(rows: DataFrame, holes: list[str], counts: dict[tuple, dict[str, int]], periods: dict[tuple, list], tests: list[tuple]) -> dict[tuple, dict[str, float]]:
+    """For each cell and tested period, medians of all earlier periods' values, by ranks among the rows of earlier places."""
+    spark = rows.sparkSession
+    wanted, where = [], {}
+    for cell, period in tests:
+        place = periods[cell].index(period)
+        for i, c in enumerate(holes):
+            n = sum(counts[cell, p][c] for p in periods[cell][:place])
+            if n:
+                where[cell, period, c] = (i, place, (n - 1) // 2, n // 2)
+                wanted += [(cell, i, place, k) for k in {(n - 1) // 2, n // 2}]
+    if not wanted:
+        return {}
+    kind = rows.select("__b", "__p").schema
+    group = F.struct(F.col("__b").alias("b"), F.col("c").alias("c")).alias("g")
+    values = F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.col(c).alias("v")) for i, c in enumerate(holes)))).alias("x")
+    places = spark.createDataFrame([(cell, p, i) for cell, own in periods.items() for i, p in enumerate(own)], T.StructType([*kind.fields, T.StructField("p", T.IntegerType())]))
+    long = rows.join(places, ["__b", "__p"]).select("__b", "p", values).where("x.v IS NOT NULL").select("__b", "x.c", "p", "x.v").select(group, "p", "v", F.lit(1).cast("bigint").alias("w"))
+    told = spark.createDataFrame(wanted, T.StructType([kind["__b"], *(T.StructField(n, t) for n, t in (("c", T.IntegerType()), ("t", T.IntegerType()), ("k", T.LongType())))]))
+    found = quantiles.order_statistics(long, told.select(group, "t", "k")).select("g.*", "t", "k", "v").collect()
+    at = {(tuple(r["b"]), r["c"], r["t"], r["k"]): r["v"] for r in found}
+    medians: dict[tuple, dict[str, float]] = {}
+    for (cell, period, c), (i, t, low, high) in where.items():
+        medians.setdefault((cell, period), {})[c] = (at[cell, i, t, low] + at[cell, i, t, high]) / 2
+    return medians
+
+
+def walk_forward(frame: DataFrame, features: Sequence[str], target: str, period: str, key: str, top_k: int = 5, min_train: int = 2, folds: int = 5, all_scores: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """Per cell (`by`) and period a model of the cell's earlier periods alone, and its top_k rows (all of them with all_scores):
+    (by, period, key, rank, predicted, realized), realised over the period's median.
 
     Medians for missing values, scaling, and the penalty (the one of least error over folds of the training rows) know the earlier
-    periods alone. Each row goes once to every later period, so the frame is read a fixed number of times, whatever the features;
-    what reaches the driver is a row of medians, and sums of products by fold, for each period.
+    periods alone. Rows are summed once, by cell, period and fold, whatever the number of periods: sums of earlier periods are
+    running sums, and since imputing is linear in the flags of what is missing, the medians go in afterwards. What reaches the driver
+    is a row of counts, medians and sums of products for each cell, period and fold. Rows without a target or period, and with a null
+    in `by`, take no part.
     """
-    names = list(features)
-    rows = frame.where(F.col(target).isNotNull() & F.col(period).isNotNull()).select(F.col(period).alias("__p"), F.col(key).alias("__k"), *(F.col(c).cast("double").alias(c) for c in names), F.col(target).cast("double").alias("__y"))
-    periods = [r[0] for r in rows.select("__p").distinct().orderBy("__p").collect()]  # as many as there are months or years
-    tests = periods[min_train:]
-    schema = f"`{period}` {dict(frame.dtypes)[period]}, `{key}` {dict(frame.dtypes)[key]}, rank int, predicted double, realized double"
+    names, cells, types = list(features), list(by), dict(frame.dtypes)
     spark = frame.sparkSession
+    present = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in (target, period, *cells)))
+    cell = F.struct(*(F.col(c) for c in cells)) if cells else F.struct(F.lit(0).alias("all"))
+    rows = quantiles.stored(frame.where(present).select(cell.alias("__b"), F.col(period).alias("__p"), F.col(key).alias("__k"), *(F.col(c).cast("double").alias(c) for c in names), F.col(target).cast("double").alias("__y")))
+    seen = rows.groupBy("__b", "__p").agg(F.count("*").alias("__rows"), *(F.count(c).alias(c) for c in names)).collect()  # as few as cells have periods
+    periods: dict[tuple, list] = {}
+    for b, p in sorted((tuple(r["__b"]), r["__p"]) for r in seen):
+        periods.setdefault(b, []).append(p)
+    tests = [(b, p) for b, own in periods.items() for p in own[min_train:]]
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in cells), f"`{period}` {types[period]}, `{key}` {types[key]}, rank int, predicted double, realized double"])
     if not tests:
         return spark.createDataFrame([], schema)
-    later = rows.withColumn("__test", F.explode(F.filter(F.array(*map(F.lit, tests)), lambda t: t > F.col("__p"))))
-    medians = later.groupBy("__test").agg(*(F.median(c).alias(f"__m_{c}") for c in names)).collect()
-    held = spark.createDataFrame([(r["__test"], *(float(r[f"__m_{c}"] or 0.0) for c in names)) for r in medians], f"__test {dict(frame.dtypes)[period]}, " + ", ".join(f"`__m_{c}` double" for c in names))
-    fill = {c: F.coalesce(F.col(c), F.col(f"__m_{c}")) for c in names}
-    filled = later.join(held, "__test").withColumns(fill).withColumn("__fold", fold_of(F.col("__k"), folds))
-    moments = moments_by(filled, names, "__y", ["__test", "__fold"])
+    holes = [c for c in names if any(r[c] < r["__rows"] for r in seen)]
+    medians = _earlier_medians(rows, holes, {(tuple(r["__b"]), r["__p"]): r.asDict() for r in seen}, periods, tests)
+    sums = _sums_by_period(rows.withColumn("__fold", fold_of(F.col("__k"), folds)), names, holes, periods)
     fitted = []
-    for t in tests:
-        parts = [m for (p, _), m in sorted(moments.items(), key=lambda x: x[0]) if p == t]
+    for b, p in tests:
+        own = medians.get((b, p), {})
+        parts = [_imputed(m, names, holes, own) for m in sums[b, p]]
         if parts:
-            intercept, beta, _ = lasso(reduce(lambda a, b: a + b, parts), select_alpha(parts, one_se=False))
-            fitted.append((t, float(intercept), *map(float, beta)))
-    models_of = spark.createDataFrame(fitted, f"__test {dict(frame.dtypes)[period]}, __b double, " + ", ".join(f"`__b_{c}` double" for c in names))
-    scored = rows.withColumnRenamed("__p", "__test").join(held, "__test").join(models_of, "__test").withColumns(fill)
-    scored = scored.withColumn("predicted", reduce(lambda acc, c: acc + F.col(c) * F.col(f"__b_{c}"), names, F.col("__b"))).select("__test", "__k", "__y", "predicted")
-    bench = rows.groupBy(F.col("__p").alias("__test")).agg(F.median("__y").alias("__med"))
-    ranked = scored.join(bench, "__test").withColumn("rank", F.row_number().over(Window.partitionBy("__test").orderBy(F.col("predicted").desc(), "__k")))
+            intercept, beta, _ = lasso(reduce(lambda x, y: x + y, parts), select_alpha(parts, one_se=False))
+            fitted.append((b, p, float(intercept), [float(x) for x in beta], [float(own.get(c, 0.0)) for c in names]))
+    kind = rows.select("__b", "__p").schema
+    doubles = T.ArrayType(T.DoubleType())
+    models_of = spark.createDataFrame(fitted, T.StructType([*kind.fields, T.StructField("__a", T.DoubleType()), T.StructField("__beta", doubles), T.StructField("__m", doubles)]))
+    predicted = reduce(lambda acc, ic: acc + F.coalesce(F.col(ic[1]), F.col("__m")[ic[0]]) * F.col("__beta")[ic[0]], enumerate(names), F.col("__a"))
+    scored = rows.join(models_of, ["__b", "__p"]).select("__b", "__p", "__k", "__y", predicted.alias("predicted"))
+    scored = scored.join(quantiles.median_of(rows, ["__b", "__p"], "__y", "__med"), ["__b", "__p"])
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("__b", "__p").orderBy(F.col("predicted").desc(), "__k")))
     kept = ranked if all_scores else ranked.where(F.col("rank") <= top_k)
-    return kept.select(F.col("__test").alias(period), F.col("__k").alias(key), "rank", "predicted", (F.col("__y") - F.col("__med")).alias("realized"))
+    return kept.select(*(F.col(f"__b.{c}").alias(c) for c in cells), F.col("__p").alias(period), F.col("__k").alias(key), "rank", "predicted", (F.col("__y") - F.col("__med")).alias("realized"))
 
 
-def gate_of_periods(picks: DataFrame, period: str, fee: float = 0.14, n_boot: int = 10_000, seed: int = 42) -> DataFrame:
-    """One row: mean of the periods' mean returns, its bounds over resampled periods, both less the fee, how many periods there are,
-    and PASS if the lower bound stays above 0 after the fee."""
-    yearly = picks.groupBy(period).agg(F.avg("realized").alias("m"))
-    found = resample.mean_interval(yearly, "m", [period], n_boot, seed).drop("p").withColumnRenamed("mean", "mean_excess").crossJoin(yearly.agg(F.count("*").alias("n_periods")))
+def yearly_means(picks: DataFrame, period: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, period, mean_excess, n): mean realised return of each period's picks."""
+    return picks.groupBy(*by, period).agg(F.avg("realized").alias("mean_excess"), F.count("*").alias("n"))
+
+
+def gate_of_periods(picks: DataFrame, period: str, fee: float = 0.14, n_boot: int = 10_000, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
+    """A row for each cell (`by`; one without): mean of the periods' mean returns, its bounds over resampled periods, both less the
+    fee, how many periods there are, and PASS if the lower bound stays above 0 after the fee."""
+    yearly = picks.groupBy(*by, period).agg(F.avg("realized").alias("m"))
+    found = resample.mean_interval(yearly, "m", [period], n_boot, seed, by).drop("p").withColumnRenamed("mean", "mean_excess")
+    sizes = yearly.groupBy(*by).agg(F.count("*").alias("n_periods"))
+    found = found.join(sizes, list(by)) if by else found.crossJoin(sizes)
     net = F.col("ci_low") - fee
     return found.withColumns({"net_mean": F.col("mean_excess") - fee, "net_ci_low": net, "verdict": F.when(net > 0, "PASS").otherwise("FAIL")})
 
 
-def compare_feature_sets(frame: DataFrame, baseline: Sequence[str], extended: Sequence[str], target: str, period: str, key: str, top_k: int = 5) -> DataFrame:
-    """Per period: mean realised return of the top_k of either feature set, the rank correlation of all their predictions with what
-    came, and what the larger set adds to both."""
-    parts = []
-    for name, features in (("baseline", baseline), ("extended", extended)):
-        scores = walk_forward(frame, features, target, period, key, all_scores=True)
-        top = scores.where(F.col("rank") <= top_k).groupBy(period).agg(F.avg("realized").alias(f"{name}_top"))
-        parts.append(top.join(spearman_by(scores, period, "predicted", "realized").select(period, F.col("spearman").alias(f"{name}_spearman")), period, "left"))
-    both = parts[0].join(parts[1], period)
+def compare_feature_sets(frame: DataFrame, baseline: Sequence[str], extended: Sequence[str], target: str, period: str, key: str, top_k: int = 5, by: Sequence[str] = ()) -> DataFrame:
+    """Per cell and period: mean realised return of the top_k of either feature set, the rank correlation of all their predictions
+    with what came (null where one doesn't vary), and what the larger set adds to both."""
+    return _compared(_both_sets(frame, baseline, extended, target, period, key, by), period, top_k, by)
+
+
+def _both_sets(frame: DataFrame, baseline: Sequence[str], extended: Sequence[str], target: str, period: str, key: str, by: Sequence[str]) -> dict[str, DataFrame]:
+    return {name: quantiles.stored(walk_forward(frame, features, target, period, key, all_scores=True, by=by)) for name, features in (("baseline", baseline), ("extended", extended))}
+
+
+def _compared(scores: dict[str, DataFrame], period: str, top_k: int, by: Sequence[str]) -> DataFrame:
+    keys, parts = [*by, period], []
+    for name, found in scores.items():
+        top = found.where(F.col("rank") <= top_k).groupBy(*keys).agg(F.avg("realized").alias(f"{name}_top"))
+        cell = F.struct(*keys).alias("__cell")
+        ranks = spearman_by(found.select(cell, "predicted", "realized"), "__cell", "predicted", "realized").select("__cell.*", F.col("spearman").alias(f"{name}_spearman"))
+        parts.append(top.join(ranks, keys, "left"))
+    both = parts[0].join(parts[1], keys)
     return both.withColumns({f"delta_{what}": F.col(f"extended_{what}") - F.col(f"baseline_{what}") for what in ("top", "spearman")})
 
 
+def feature_set_gates(frame: DataFrame, baseline: Sequence[str], extended: Sequence[str], target: str, period: str, key: str, top_k: int = 5, by: Sequence[str] = (), n_boot: int = 10_000) -> DataFrame:
+    """A row for each cell: the gate of either feature set's picks (baseline_*, extended_*), what the larger set adds to the mean
+    (delta_mean_excess), and the mean over periods of what it adds to the rank correlation, where both have one (delta_spearman)."""
+    scores = _both_sets(frame, baseline, extended, target, period, key, by)
+    keys = list(by)
+    gates = []
+    for name, found in scores.items():
+        gate = gate_of_periods(found.where(F.col("rank") <= top_k), period, n_boot=n_boot, by=by)
+        gates.append(gate.select(*keys, *(F.col(c).alias(f"{name}_{c}") for c in gate.columns if c not in keys)))
+    delta = _compared(scores, period, top_k, by).groupBy(*keys).agg(F.avg("delta_spearman").alias("delta_spearman"))
+    out = gates[0].join(gates[1], keys).join(delta, keys) if keys else gates[0].crossJoin(gates[1]).crossJoin(delta)
+    return out.withColumn("delta_mean_excess", F.col("extended_mean_excess") - F.col("baseline_mean_excess"))
+
+
 def ols_hc1(frame: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """(term, coefficient, se, t) of least squares with heteroscedasticity-robust errors: one pass for x'x and x'y, one for the
     sums of squared residuals times x x'."""

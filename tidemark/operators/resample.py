@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,13 +58,23 @@ def drawn(pool: DataFrame, n_reps: int, seed: int, order: list[str]) -> DataFram
     return draws.join(numbered.drop("__n"), "__i").drop("__i")
 
 
-def mean_interval(pool: DataFrame, value: str, order: list[str], n_reps: int = 10_000, seed: int = 42) -> DataFrame:
-    """(mean, ci_low, ci_high, p): mean, bounds of the bootstrapped mean, and the share of it at or below 0."""
-    of_pool = pool.agg(F.avg(value).alias("mean"))
-    weighed = F.sum(F.col(value) * F.col("times")) / F.sum(F.when(F.col(value).isNotNull(), F.col("times")))
-    boot = drawn(pool, n_reps, seed, order).groupBy("rep").agg(weighed.alias("m"))
-    bounds = boot.agg(F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"), F.avg((F.col("m") <= 0).cast("int")).alias("p"))
-    return of_pool.crossJoin(bounds)
+def mean_interval(pool: DataFrame, value: str, order: list[str], n_reps: int = 10_000, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
+    """(by, mean, ci_low, ci_high, p): mean, bounds of the bootstrapped mean, and the share of it at or below 0.
+
+    The pool holds a value for each period, so a group's values are a short array in order; each replicate is a row that draws its
+    own places from the array, and no draw is a row.
+    """
+    spark, keys = pool.sparkSession, list(by)
+    of_pool = pool.groupBy(*keys).agg(F.avg(value).alias("mean"), F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("__v")))), lambda r: r["__v"]).alias("__values"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    reps = spark.range(0, n_reps, 1, parts).withColumnRenamed("id", "rep").crossJoin(of_pool.where(F.size("__values") > 0).select(*keys, "__values"))  # a row for each cell
+    n = F.size("__values").cast("bigint")
+    drawn_values = F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda slot: F.get("__values", draw(seed, F.col("rep"), slot, n).cast("int")))
+    some = F.array_compact(drawn_values)
+    boot = reps.select(*keys, some.alias("__s")).withColumn("m", F.aggregate("__s", F.lit(0.0), lambda acc, x: acc + x) / F.nullif(F.size("__s"), F.lit(0)))
+    bounds = boot.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"), F.avg((F.col("m") <= 0).cast("int")).alias("p"))
+    means = of_pool.drop("__values")
+    return means.join(bounds, keys, "left") if keys else means.crossJoin(bounds)
 
 
 def spread_summary(spreads: DataFrame, period: str, n_reps: int = 10_000, seed: int = 42) -> DataFrame:

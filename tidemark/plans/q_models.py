@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import models, windows
+from tidemark.operators import models, quantiles, windows
 from tidemark.plans.q_series import rounded
 from tidemark.plans.registry import query
 from tidemark.sources import views
@@ -143,18 +143,22 @@ def r06_r07_w14_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def r08_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The gate over the walk-forward of each cell of a short list; one cell is registered, the others describe."""
-    rows = frame(spark, sf_dir)
-    cells = []
-    for flag in ("A", "N", "R"):
-        picks = models.walk_forward(rows.where(F.col("l_returnflag") == flag), FEATURES, "y", "year", "row_id")
-        cells.append(models.gate_of_periods(picks, "year").select(F.lit(flag).alias("cell"), F.lit(flag == "A").alias("registered"), "*"))
-    return reduce(lambda a, b: a.unionByName(b), cells)
+    """The gate over the walk-forward of each cell, and the mean of each of its years; one cell is registered, the others describe."""
+    cells = {"by": ["l_returnflag"]}
+    picks = quantiles.stored(models.walk_forward(frame(spark, sf_dir), FEATURES, "y", "year", "row_id", **cells))
+    gates, years = models.gate_of_periods(picks, "year", **cells), models.yearly_means(picks, "year", **cells)
+    years = years.select("l_returnflag", "year", F.col("mean_excess").alias("year_mean"), F.col("n").alias("n_picks"))
+    return gates.join(years, "l_returnflag").withColumn("registered", F.col("l_returnflag") == "A").withColumnRenamed("l_returnflag", "cell")
 
 
 @query()
 def r09_compare_feature_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.compare_feature_sets(frame(spark, sf_dir), ["l_tax", "line"], FEATURES, "y", "year", "row_id")
+    return models.compare_feature_sets(frame(spark, sf_dir), ["l_tax", "line"], FEATURES, "y", "year", "row_id", by=["l_returnflag"])
+
+
+@query()
+def r09_feature_set_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.feature_set_gates(frame(spark, sf_dir), ["l_tax", "line"], FEATURES, "y", "year", "row_id", by=["l_returnflag"])
 
 
 @query(
