@@ -78,7 +78,7 @@ def market_index(sales: DataFrame, grade: str, baseline_days: int = 28, min_seri
     w = Window.partitionBy("card_slug").orderBy("day").rangeBetween(-baseline_days, -1)
     base = rows.withColumn("baseline", F.percentile("price", F.lit(0.5)).over(w))
     per_series = base.groupBy("card_slug", "day", "baseline").agg(F.median("price").alias("price")).where("baseline > 0")
-    per_series = per_series.withColumn("index", F.col("price") / F.col("baseline"))
+    per_series = quantiles.stored(per_series.select("day", (F.col("price") / F.col("baseline")).alias("index")))
     days = per_series.groupBy("day").agg(F.count("*").alias("n_series")).where(F.col("n_series") >= min_series)
     return days.join(quantiles.median_of(per_series, ["day"], "index", "index"), "day", "left")
 
@@ -105,6 +105,7 @@ def lag_bins(windows: DataFrame, value: str, low: int = -14, high: int = 14) ->
     """Median by day relative to the event, and the sales there; a row for each day from low to high."""
     t = F.floor(F.col("t_days") + 0.5)
     rows = windows.where(F.col(value).isNotNull()).withColumn("t_bin", t).where(t.between(low, high))
+    rows = quantiles.stored(rows.select("t_bin", value))
     found = rows.groupBy("t_bin").agg(F.count("*").alias("n_sales")).join(quantiles.median_of(rows, ["t_bin"], value, "median"), "t_bin")
     days = windows.sparkSession.range(low, high + 1).select(F.col("id").alias("t_bin"))
     return days.join(found, "t_bin", "left").withColumn("n_sales", F.coalesce("n_sales", F.lit(0)))

@@ -55,7 +55,7 @@ LOWER = ("games", "hits", "at_bats", "walks", "hit_by_pitch", "sac_flies", "tota
 def priced_entries(chart: DataFrame, entries_from: str | None = None) -> DataFrame:
     """Item x grade x entry month: yearly hold returns, trailing features, and the market's median of the three months before."""
     keys = ["card_slug", "entity_id", "grade"]
-    months = windows.trailing_features(a.last_in_month(chart, keys, ["psa_10", "ungraded"]), ["card_slug", "grade"])
+    months = quantiles.stored(windows.trailing_features(a.last_in_month(chart, keys, ["psa_10", "ungraded"]), ["card_slug", "grade"]))
     held = windows.hold_returns(months, ["card_slug", "grade"])
     market = quantiles.median_of(months, ["month"], "ret_3m", "market_ret_3m")
     rows = held if entries_from is None else held.where(F.col("month") >= F.lit(entries_from).cast("timestamp"))
@@ -220,6 +220,7 @@ def hold_frame(panel: DataFrame, classes: DataFrame, target: str) -> DataFrame:
     feature is its median over the whole frame. A null position is no pitcher."""
     rows = _held(panel.where(~F.col("position").eqNullSafe("P")), target).join(classes, "entity_id", "left")
     rows = rows.withColumns({"career_ops": F.col("ops"), "first_issue": F.coalesce(F.col("card_type") == "first", F.lit(False)).cast("int"), "years_since_rookie": f.season_year(F.col("month")) - F.col("class_year")})
+    rows = quantiles.stored(rows)
     medians = quantiles.quantiles(rows, [], HOLD_FEATURES).select(*(F.col(c)[0].alias(f"__{c}") for c in HOLD_FEATURES))
     filled = rows.crossJoin(F.broadcast(medians))  # one row
     return filled.select("card_slug", "entity_id", "grade", "month", "entry_year", target, *(F.coalesce(F.col(c).cast("double"), F.col(f"__{c}")).alias(c) for c in HOLD_FEATURES))
@@ -248,6 +249,7 @@ def class_hold_frame(panel: DataFrame, debuts: DataFrame, info: DataFrame, targe
 
 def standardize(frame: DataFrame, columns: list[str]) -> DataFrame:
     """Columns less their mean over their population deviation; 0 where they don't vary; medians fill what is missing."""
+    frame = quantiles.stored(frame)
     stats = quantiles.quantiles(frame, [], columns).select(*(F.col(c)[0].alias(f"__m_{c}") for c in columns))
     filled = frame.crossJoin(F.broadcast(stats)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__m_{c}")) for c in columns}).drop(*(f"__m_{c}" for c in columns))
     moments = filled.agg(*(x for c in columns for x in (F.avg(c).alias(f"__a_{c}"), F.stddev_pop(c).alias(f"__s_{c}"))))

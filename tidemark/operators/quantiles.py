@@ -8,8 +8,9 @@ holds a group: a sketch is a few KB, a count a row for each group and cell, and
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import scratch
@@ -23,7 +24,7 @@ SPLITTERS = 31
 
 
 def stored(rows: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder and read again."""
+    """The rows, written to the shared folder, to be read several times."""
     path = scratch(rows.sparkSession, "quantiles")
     rows.write.parquet(path)
     return rows.sparkSession.read.parquet(path)
@@ -82,31 +83,26 @@ def quantiles(frame: DataFrame, keys: Sequence[str], columns: Sequence[str], pro
     """(keys, columns): for each column an array of the exact quantiles of its values, interpolated as percentile() does; null values
     don't count. A group without any value in all columns has no row, but without keys there is always one.
 
-    The keys and columns are written once. Where all rows together are few, or no group has more than `fits`, groups are sorted as
-    they are; else they are narrowed first, which gives the same values.
+    The frame is read a few times, so give a stored one if it is costly. Where all rows together are few, groups are sorted as they
+    are; else they are narrowed first, which gives the same values.
     """
-    fits, spark = FITS if fits is None else fits, frame.sparkSession
-    names = list(columns)
+    fits, names = FITS if fits is None else fits, list(columns)
+    listed = F.array(*(F.lit(float(p)) for p in probs))
+    if frame.count() <= fits:
+        found = frame.groupBy(*keys).agg(*(F.percentile(F.col(c).cast("double"), listed).alias(c) for c in names))
+        return found.where(reduce(lambda a, b: a | b, (F.col(c).isNotNull() for c in names))) if keys else found
     values = F.array(*(F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(names)))
     group = F.struct(*(F.col(k) for k in keys), F.col("__x.c").alias("__c"))
-    long = frame.select(*keys, F.explode(values).alias("__x")).where("__x.v IS NOT NULL").select(group.alias("g"), F.col("__x.v").alias("v"))
-    seen, path = Observation(), scratch(spark, "quantiles")
-    long.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    held = spark.read.schema(long.schema).parquet(path)
-    listed = F.array(*(F.lit(float(p)) for p in probs))
-    if seen.get["n"] <= fits:
-        found = held.groupBy("g").agg(F.percentile("v", listed).alias("q"))
-    else:
-        margin = 2 / ACCURACY
-        near = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-margin, margin)})
-        stats = stored(held.groupBy("g").agg(F.count("*").alias("n"), F.array_distinct(F.percentile_approx("v", F.array(*map(F.lit, near)), ACCURACY)).alias("s")))
-        wanted = stats.select("g", F.explode(_ranks(F.col("n"), probs)).alias("r")).select("g", "r.*")
-        targets = wanted.select("g", F.explode(F.array("low", "high")).alias("k")).distinct().select("g", F.lit(1).alias("t"), "k")
-        rows = held.select("g", F.lit(0).alias("p"), "v", F.lit(1).cast("bigint").alias("w"))
-        at = order_statistics(rows, targets, stats.select("g", "s"), fits)
-        both = wanted.join(at.select("g", F.col("k").alias("low"), F.col("v").alias("a")), ["g", "low"]).join(at.select("g", F.col("k").alias("high"), F.col("v").alias("b")), ["g", "high"])
-        value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((1 - F.col("part")) * F.col("a") + F.col("part") * F.col("b"))
-        found = both.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", value.alias("v")))).alias("q")).select("g", F.transform("q", lambda x: x["v"]).alias("q"))
+    rows = frame.select(*keys, F.explode(values).alias("__x")).where("__x.v IS NOT NULL").select(group.alias("g"), F.lit(0).alias("p"), F.col("__x.v").alias("v"), F.lit(1).cast("bigint").alias("w"))
+    margin = 2 / ACCURACY
+    near = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-margin, margin)})
+    stats = stored(rows.groupBy("g").agg(F.count("*").alias("n"), F.array_distinct(F.percentile_approx("v", F.array(*map(F.lit, near)), ACCURACY)).alias("s")))
+    wanted = stats.select("g", F.explode(_ranks(F.col("n"), probs)).alias("r")).select("g", "r.*")
+    targets = wanted.select("g", F.explode(F.array("low", "high")).alias("k")).distinct().select("g", F.lit(1).alias("t"), "k")
+    at = order_statistics(rows, targets, stats.select("g", "s"), fits)
+    both = wanted.join(at.select("g", F.col("k").alias("low"), F.col("v").alias("a")), ["g", "low"]).join(at.select("g", F.col("k").alias("high"), F.col("v").alias("b")), ["g", "high"])
+    value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((1 - F.col("part")) * F.col("a") + F.col("part") * F.col("b"))
+    found = both.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", value.alias("v")))).alias("q")).select("g", F.transform("q", lambda x: x["v"]).alias("q"))
     per_column = [F.max(F.when(F.col("g.__c") == i, F.col("q"))).alias(c) for i, c in enumerate(names)]
     return found.select(*(F.col(f"g.{k}").alias(k) for k in keys), "g", "q").groupBy(*keys).agg(*per_column)
 

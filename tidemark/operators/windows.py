@@ -19,7 +19,9 @@ def observed_returns(series: DataFrame, keys: list[str], period: str, price: str
 
 
 def market_excess(panel: DataFrame, period: list[str], value: str = "log_ret", to: str = "excess_ret") -> DataFrame:
-    """panel with market_median (over the period) and the value's excess over it; no task holds a period of all series."""
+    """panel with market_median (over the period) and the value's excess over it; the panel is stored, and no task holds a
+    period of all series."""
+    panel = quantiles.stored(panel)
     medians = quantiles.median_of(panel, period, value, "market_median")
     return panel.join(medians, period, "left").withColumn(to, F.col(value) - F.col("market_median"))
 
