@@ -80,3 +80,37 @@ def test_classes_equal_brute_force_of_weighted_sets(spark):
     assert near == 0
     got = {r["doc_id"]: r["class_id"] for r in near_duplicates.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
     assert [got[i] for i in range(len(texts))] == want and 40 <= len(set(want)) < len(texts)
+
+
+def test_an_id_with_several_texts_loses_no_link(spark):
+    """Each row is classed by its own text, whatever other texts its id has."""
+    rng = random.Random(12)
+    bases = [[f"w{rng.randrange(5000)}" for _ in range(150)] for _ in range(25)]
+    rows = []
+    for k in range(120):
+        words = list(bases[k % 25])
+        words[rng.randrange(150)] = f"edit{k}"
+        rows.append((rng.randrange(60), " ".join(words)))
+    a, b = " ".join(bases[0]), " ".join(f"z{i}" for i in range(80))
+    rows += [(101, a), (102, b), (102, a + " q"), (103, b + " x"), (104, None), (104, a), (None, a)]
+    texts = [t for _, t in rows if t]
+    found, near = _brute(texts)
+    assert near == 0
+    least = {}
+    for (i, t), c in zip([r for r in rows if r[1]], found, strict=True):
+        if i is not None:
+            least[c] = min(least.get(c, i), i)
+    of_text = {t: least[c] for t, c in zip(texts, found, strict=True)}
+    df = spark.createDataFrame([(i, t, "s", "k") for i, t in rows], "doc_id bigint, text string, k1 string, id string")
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["class_id"] or 0) for r in near_duplicates.classes(df).collect())
+    assert got == sorted((i is None, i or 0, 0 if i is None else of_text[t] if t else i) for i, t in rows)
+    kept = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "", r["k1"], r["id"]) for r in near_duplicates.keep_one(df).collect())
+    want = {(i, t) for i, t in rows if i is not None and (of_text[t] if t else i) == i} | {(None, a)}
+    assert kept == sorted((i is None, i or 0, t or "", "s", "k") for i, t in want)
+
+
+def test_a_copy_under_an_id_with_another_text_is_linked(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    df = spark.createDataFrame([(1, a), (2, b), (2, a + " q"), (3, b + " x")], "doc_id bigint, text string")
+    assert sorted((r["doc_id"], r["class_id"]) for r in near_duplicates.classes(df).collect()) == [(1, 1), (2, 1), (2, 2), (3, 2)]
+    assert sorted((r["doc_id"], r["text"]) for r in near_duplicates.keep_one(df).collect()) == [(1, a), (2, b)]

@@ -299,16 +299,17 @@ def rest_pairs(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def weighted_sets(docs: DataFrame, sketch: np.ndarray, n_texts: int, key: str, text: str) -> DataFrame:
-    """(id, shingles): each shingle's hash in order, then the weights as floats."""
+    """(id, k1, k2, shingles): each shingle's hash in order, then the weights as floats; keys as in signatures()."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        s, c, lengths, _ = shingles_of(byte_texts(batch.column(text)))
+        s, c, lengths, keys = shingles_of(byte_texts(batch.column(text)))
         w = weights_of(s, c, shared.value, n_texts).astype(np.float32)
         ends = np.cumsum(lengths)
-        return [pa.array([s[e - n : e].tobytes() + w[e - n : e].tobytes() for n, e in zip(lengths.tolist(), ends.tolist(), strict=True)], pa.binary())]
+        packed = [s[e - n : e].tobytes() + w[e - n : e].tobytes() for n, e in zip(lengths.tolist(), ends.tolist(), strict=True)]
+        return [pa.array(keys[:, 0], pa.int64()), pa.array(keys[:, 1], pa.int64()), pa.array(packed, pa.binary())]
 
-    return extend(docs.select(F.col(key).cast("bigint").alias("id"), text), text, {"shingles": "binary"}, run, ["id"])
+    return extend(docs.select(F.col(key).cast("bigint").alias("id"), text), text, {"k1": "bigint", "k2": "bigint", "shingles": "binary"}, run, ["id"])
 
 
 def _unpacked(s: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -340,28 +341,64 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint, similarity double").where(F.col("similarity") >= threshold)
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(key, class_id) of each row of docs: the least id of its class."""
+def _classed(docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """(id, k1, k2, class_id) of each row of docs; k1 and k2 name its text.
+
+    What is linked are distinct texts, under numbers of their own: an id may have several texts.
+    """
     docs = docs.select(key, text)
     sketch, n_texts = document_frequencies(docs, text)
     signed = cut(signatures(docs, sketch, n_texts, key, text))
-    copies = signed.where("k1 IS NOT NULL AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("bands", ignorenulls=True).alias("bands"))
+    copies = signed.where("k1 IS NOT NULL AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("first"), F.first("bands", ignorenulls=True).alias("bands"))
+    copies = cut(copies.withColumn("id", F.monotonically_increasing_id()))
     pairs = cut(candidate_pairs(copies))
     nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = cut(weighted_sets(docs, sketch, n_texts, key, text).join(nodes, "id", "left_semi").groupBy("id").agg(F.min("shingles").alias("shingles")))
+    own = copies.join(nodes, "id", "left_semi").select(F.col("id").alias("node"), F.col("first").alias("id"), "k1", "k2")
+    sets = weighted_sets(docs, sketch, n_texts, key, text).join(own, ["id", "k1", "k2"])
+    sets = cut(sets.groupBy(F.col("node").alias("id")).agg(F.min("shingles").alias("shingles")))
     links = cut(verified(pairs, sets, threshold))
     found = components(links)
     rest = cut(unsettled(copies, found))
     if not rest.isEmpty():
         more = cut(verified(rest_pairs(rest, sets, threshold), sets, threshold))
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b")))
-    of_copies = copies.select("k1", "k2", F.col("id").alias("node")).join(found, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("class_id"))
+    component = F.coalesce("component", "node").alias("component")  # a component's least node has no row of its own
+    of_copies = copies.select("k1", "k2", "first", F.col("id").alias("node")).join(found, "node", "left").select("k1", "k2", "first", component)
+    least = cut(of_copies.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"))  # so that a large class can be split
+    of_copies = of_copies.join(least, "component", "left").select("k1", "k2", F.coalesce("least", "first").alias("class_id"))
     rows = signed.select("id", "k1", "k2").join(of_copies, ["k1", "k2"], "left")
-    own = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("class_id", "id"))
-    return rows.select(F.col("id").alias(key), own.cast("bigint").alias("class_id"))
+    named = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("class_id", "id"))
+    return rows.select("id", "k1", "k2", named.cast("bigint").alias("class_id"))
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(key, class_id) of each row of docs: the least id of its class."""
+    return _classed(docs, key, text, threshold).select(F.col("id").alias(key), "class_id")
+
+
+def _with_keys(docs: DataFrame, text: str) -> DataFrame:
+    """docs with k1 and k2 as in signatures()."""
+
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        null = np.asarray(batch.column(text).is_null())
+        keys = shingles_of(byte_texts(batch.column(text)))[3]
+        return [pa.array(keys[:, i], pa.int64(), mask=null) for i in (0, 1)]
+
+    return extend(docs, text, {"k1": "bigint", "k2": "bigint"}, run)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one document of each class, the one of the least id; rows of null ids stay."""
-    kept = classes(docs, key, text, threshold).where(F.col("class_id") == F.col(key)).select(key).distinct()
-    return docs.join(kept, key, "left_semi").dropDuplicates([key, text]).unionByName(docs.where(F.col(key).isNull()))
+    """docs with one document of each class, the one of the least id; rows of null ids stay. Of an id with several texts those stay
+    whose class it names, a row for each text."""
+    found = cut(_classed(docs, key, text, threshold).where("id IS NOT NULL").distinct())
+    several = found.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias(key))
+    kept = found.where("class_id = id")
+    alone = kept.join(several, F.col("id") == F.col(key), "left_anti").select(F.col("id").alias(key))
+    out = docs.join(alone, key, "left_semi").dropDuplicates([key, text]).unionByName(docs.where(F.col(key).isNull()))
+    if several.isEmpty():
+        return out
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # columns of theirs may be called as the keys
+    mixed = _with_keys(docs.join(several, key, "left_semi").select(*(F.col(c).alias(n) for c, n in names.items())), names[text])
+    same = (F.col(names[key]) == F.col("id")) & F.col("k1").eqNullSafe(F.col("kept_1")) & F.col("k2").eqNullSafe(F.col("kept_2"))
+    mixed = mixed.join(kept.select("id", F.col("k1").alias("kept_1"), F.col("k2").alias("kept_2")), same, "left_semi")
+    return out.unionByName(mixed.select(*(F.col(n).alias(c) for c, n in names.items())).dropDuplicates([key, text]))
