@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions import distributions
 from tidemark.operators import quantiles, resample, windows
 
 
@@ -307,43 +308,191 @@ def feature_set_gates(frame: DataFrame, baseline: Sequence[str], extended: Seque
     return out.withColumn("delta_mean_excess", F.col("extended_mean_excess") - F.col("baseline_mean_excess"))
 
 
-def ols_hc1(frame: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    """(term, coefficient, se, t) of least squares with heteroscedasticity-robust errors: one pass for x'x and x'y, one for the
-    sums of squared residuals times x x'."""
-    names = ["intercept", *features]
-    schema = "term string, coefficient double, se double, t double"
-    spark = frame.sparkSession
-    rows = frame.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in (*features, target))))
-    found = moments_by(rows, features, target, [])
-    m = found.get((), None)
-    k = len(names)
-    if m is None or not m.n or m.n <= k:
-        return spark.createDataFrame([(n, None, None, None) for n in names], schema)
-    inverse = np.linalg.pinv(m.matrix[:k, :k])
-    beta = inverse @ m.matrix[:k, -1]
-    error = F.col(target) - linear_score(features, beta[0], beta[1:])
-    meat = as_matrix(grams(rows.withColumn("__e", error * error), features, target, [], F.col("__e")).first()["gram"], k + 1)[:k, :k]
-    cov = inverse @ meat @ inverse * (m.n / (m.n - k))
-    se = np.sqrt(np.maximum(np.diag(cov), 0))
-    return spark.createDataFrame([(n, float(b), float(s), float(b / s) if s > 0 else None) for n, b, s in zip(names, beta, se, strict=True)], schema)
-
-
-def joint_wald(frame: DataFrame, features: Sequence[str], tested: Sequence[str], target: str) -> DataFrame:
-    """(f, df): robust joint test that the coefficients of `tested` are nought."""
+def _solved(gram: Sequence[float], k: int) -> tuple[float, int, np.ndarray, np.ndarray]:
+    """(rows, rank, coefficients, inverse of x'x) of a fit of k terms; the inverse is the general one where terms are dependent."""
+    m = as_matrix(gram, k + 1)
+    size = np.sqrt(np.maximum(np.diag(m)[:k], 1e-300))  # unit columns, so that the rank doesn't depend on units
+    values, vectors = np.linalg.eigh(m[:k, :k] / np.outer(size, size))
+    fine = values > 1e-11 * max(values.max(initial=0), 1e-300)
+    inverse = (vectors[:, fine] / values[fine]) @ vectors[:, fine].T / np.outer(size, size)
+    return m[0, 0], int(fine.sum()), inverse @ m[:k, -1], inverse
+
+
+def robust_fits(frame: DataFrame, features: Sequence[str], target: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, n, df, beta, cov) of least squares of each group, cov the heteroscedasticity-robust (HC1) one as an array by rows, df the
+    rows less the rank; null where a group has no more rows than that. Terms are 1 and the features.
+
+    One pass sums x'x and x'y of all groups, each group is solved where its sums are, and a second pass sums the squared residuals
+    times x x'. Rows with a null in a feature or the target take no part.
+    """
+    k, keys, types = len(features) + 1, list(by), dict(frame.dtypes)
     rows = frame.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in (*features, target))))
-    m = moments_by(rows, features, target, []).get(())
-    k = len(features) + 1
-    schema = "f double, df int"
-    if m is None or m.n <= k:
-        return frame.sparkSession.createDataFrame([(None, len(tested))], schema)
-    inverse = np.linalg.pinv(m.matrix[:k, :k])
-    beta = inverse @ m.matrix[:k, -1]
-    error = F.col(target) - linear_score(features, beta[0], beta[1:])
-    meat = as_matrix(grams(rows.withColumn("__e", error * error), features, target, [], F.col("__e")).first()["gram"], k + 1)[:k, :k]
-    cov = inverse @ meat @ inverse * (m.n / (m.n - k))
-    at = [1 + list(features).index(c) for c in tested]
-    f = float(beta[at] @ np.linalg.pinv(cov[np.ix_(at, at)]) @ beta[at]) / len(at)
-    return frame.sparkSession.createDataFrame([(f, len(at))], schema)
+    rows = rows.select(F.struct(*(F.col(c) for c in keys), F.lit(0).alias("__all")).alias("__g"), *(F.col(c).cast("double").alias(c) for c in features), F.col(target).cast("double").alias("__y"))
+    kind = f"struct<{', '.join([*(f'`{c}`: {types[c]}' for c in keys), '`__all`: int'])}>"
+
+    def solve(parts):
+        for part in parts:
+            found = [_solved(g, k) for g in part["gram"]]
+            part["__b"] = [beta.tolist() for _, _, beta, _ in found]
+            yield part
+
+    def spread(parts):
+        for part in parts:
+            out = []
+            for gram, meat in zip(part["gram"], part["meat"], strict=True):
+                n, rank, beta, inverse = _solved(gram, k)
+                df = n - rank
+                cov = inverse @ as_matrix(meat, k + 1)[:k, :k] @ inverse * (n / df) if df > 0 else None
+                out.append((int(n), int(df), beta.tolist(), None if cov is None else cov.ravel().tolist()))
+            part["n"], part["df"], part["beta"], part["cov"] = zip(*out, strict=True) if out else ([], [], [], [])
+            yield part[["__g", "n", "df", "beta", "cov"]]
+
+    sums = quantiles.stored(grams(rows, features, "__y", ["__g"]))
+    fits = sums.mapInPandas(solve, f"__g {kind}, gram array<double>, __b array<double>")
+    line = reduce(lambda acc, ic: acc + F.col(ic[1]) * F.col("__b")[ic[0]], enumerate(features, 1), F.col("__b")[0])
+    errors = rows.join(fits.select("__g", "__b"), "__g").withColumn("__e2", F.pow(F.col("__y") - line, 2))
+    meat = grams(errors, features, "__y", ["__g"], F.col("__e2")).withColumnRenamed("gram", "meat")
+    done = sums.join(meat, "__g").select("__g", "gram", "meat").mapInPandas(spread, f"__g {kind}, n bigint, df bigint, beta array<double>, cov array<double>")
+    return done.select(*(F.col(f"__g.{c}").alias(c) for c in keys), "n", "df", "beta", "cov")
+
+
+def ols_hc1(frame: DataFrame, features: Sequence[str], target: str, by: Sequence[str] = (), least: int = 0) -> DataFrame:
+    """(by, term, coefficient, se, t, p_value, n) of least squares of each group with heteroscedasticity-robust errors; p_value is
+    two-sided by the normal distribution. A group of fewer than `least` rows has null values, and so has one with no more rows than
+    terms; one without rows has a null row for each term, too."""
+    names, keys = ["intercept", *features], list(by)
+    fits = robust_fits(frame, features, target, by)
+    groups = frame.select(*keys).distinct() if keys else frame.sparkSession.range(1).select()
+    if keys:
+        match = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys))
+        fits = groups.join(fits.select(*(F.col(c).alias(f"__{c}") for c in keys), "n", "df", "beta", "cov"), match, "left")
+    else:
+        fits = groups.join(fits, F.lit(True), "left")  # one row
+    n = F.coalesce("n", F.lit(0).cast("bigint"))
+    fine = (n >= least) & F.col("cov").isNotNull()
+    terms = F.explode(F.array(*(F.struct(F.lit(t).alias("term"), F.col("beta")[i].alias("coefficient"), F.sqrt(F.greatest(F.col("cov")[i * len(names) + i], F.lit(0.0))).alias("se")) for i, t in enumerate(names)))).alias("x")
+    rows = fits.select(*keys, n.alias("n"), fine.alias("fine"), terms)
+    rows = rows.select(*keys, "x.term", *(F.when(F.col("fine"), F.col(f"x.{c}")).alias(c) for c in ("coefficient", "se")), "n")
+    rows = rows.withColumn("t", F.col("coefficient") / F.nullif("se", F.lit(0.0)))
+    return rows.select(*keys, "term", "coefficient", "se", "t", distributions.two_sided_normal(F.col("t")).alias("p_value"), "n")
+
+
+def season_consistency(frame: DataFrame, stat: str, covariates: Sequence[str], target: str, season: str, least: int = 5) -> DataFrame:
+    """(season, coefficient, se, p_value, n): the effect of `stat` on the target in each season, covariates held; a season of fewer than
+    `least` whole rows has null values."""
+    found = ols_hc1(frame, [stat, *covariates], target, [season], least)
+    return found.where(F.col("term") == stat).select(season, "coefficient", "se", "p_value", "n")
+
+
+def with_dummies(frame: DataFrame, column: str, categories: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """(rows whose category is one of them, with a 0/1 column for each but the first; their names)."""
+    names = {f"{column}={c}": c for c in categories[1:]}
+    rows = frame.where(F.col(column).isin(*categories))
+    return rows.withColumns({n: (F.col(column) == c).cast("double") for n, c in names.items()}), list(names)
+
+
+def stage_effects(frame: DataFrame, target: str, stage: str = "career_stage", stages: Sequence[str] = ("rookie_year", "sophomore", "established"), covariates: Sequence[str] = ("age", "price_level", "market_ret_3m"), by: Sequence[str] = ()) -> DataFrame:
+    """(by, term, coefficient, se, t, p_value, n): the stages' effects against the first of them, covariates held."""
+    rows, dummies = with_dummies(frame, stage, stages)
+    return ols_hc1(rows, [*dummies, *covariates], target, by)
+
+
+def joint_wald(frame: DataFrame, features: Sequence[str], tested: Sequence[str], target: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, f, df, df_residual, p_value): robust joint test that the coefficients of `tested` are nought, by the F distribution; one row
+    without groups, null where it can't be made."""
+    k, keys = len(features) + 1, list(by)
+    at, types = [1 + list(features).index(c) for c in tested], dict(frame.dtypes)
+    fits = robust_fits(frame, features, target, by)
+    if not keys:
+        fits = frame.sparkSession.range(1).select().join(fits, F.lit(True), "left")  # one row
+
+    def test(parts):
+        for part in parts:
+            out = []
+            for beta, cov in zip(part["beta"], part["cov"], strict=True):
+                if beta is None or cov is None:
+                    out.append((None, len(at)))
+                    continue
+                b, v = np.asarray(beta)[at], np.asarray(cov).reshape(k, k)[np.ix_(at, at)]
+                rank = int(np.linalg.matrix_rank(v, hermitian=True))
+                out.append((float(b @ np.linalg.pinv(v, hermitian=True) @ b) / rank if rank else None, rank))
+            part["f"], part["rank"] = zip(*out, strict=True) if out else ([], [])
+            yield part[[*keys, "f", "rank", "df"]]
+
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keys), "f double, rank int, df bigint"])
+    found = fits.select(*keys, "df", "beta", "cov").mapInPandas(test, schema)
+    told = found.withColumn("p_value", distributions.f_upper(F.col("f"), F.col("rank"), F.col("df")))
+    return told.select(*keys, "f", F.col("rank").alias("df"), F.col("df").alias("df_residual"), "p_value")
+
+
+def interaction_test(frame: DataFrame, stat: str, group: str, levels: tuple[str, str], covariates: Sequence[str], target: str) -> DataFrame:
+    """(f, df, df_residual, p_value): whether the slope of `stat` differs between two groups, covariates held; null if one has no rows."""
+    rows, (other,) = with_dummies(frame, group, levels)
+    rows = rows.withColumn("__slope", F.col(other) * F.col(stat))
+    return joint_wald(rows, [stat, other, "__slope", *covariates], ["__slope"], target)
+
+
+def random_intercepts(frame: DataFrame, features: Sequence[str], target: str, group: str, rounds: int = 5, points: int = 25) -> DataFrame:
+    """One row (between, within, icc, n, n_groups, beta): a normal intercept for each group beside fixed effects, by restricted maximum
+    likelihood. Features that don't vary are left out; beta holds the intercept and a coefficient for each feature, null for those.
+
+    A group gives its size and sums alone: by Woodbury's identity its part of the likelihood at a ratio r of the variances is that of
+    the plain sums less r / (1 + n r) of the products of its sums. The likelihood is profiled in r; each round sums, in one pass over
+    the groups' sums and for a grid of ratios at once, what the likelihood needs, and the next grid lies around the best ratio.
+    """
+    spark, k = frame.sparkSession, len(features) + 2
+    rows = frame.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in (*features, target, group))))
+    columns = [*(F.col(c).cast("double") for c in features), F.col(target).cast("double")]
+    names = [f"__s{i}" for i in range(len(columns))]
+    sums = quantiles.stored(rows.groupBy(group).agg(F.count("*").cast("double").alias("__n"), *(F.sum(c).alias(n) for c, n in zip(columns, names, strict=True))))
+    schema = "between double, within double, icc double, n bigint, n_groups bigint, beta array<double>"
+    total = moments_by(rows, features, target, []).get(())
+    if total is None or not total.n:
+        return spark.createDataFrame([], schema)
+    varies = [0, *(1 + i for i in range(len(features)) if total.standardized()[0][i, i] > 0), k - 1]
+    whole, p = total.matrix[np.ix_(varies, varies)], len(varies) - 1
+    if total.n <= p:
+        return spark.createDataFrame([], schema)
+
+    def needed(ratios: list[float]):
+        """For each ratio, the groups' weighed products of sums, the sum of ln(1 + n r), and the number of groups."""
+
+        def run(parts):
+            import pandas as pd
+
+            for part in parts:
+                z = part[["__n", *names]].to_numpy(float)[:, varies]
+                n = part["__n"].to_numpy(float)
+                made = [[*((z * (r / (1 + n * r))[:, None]).T @ z).ravel(), np.log1p(n * r).sum(), len(n)] for r in ratios]
+                yield pd.DataFrame({"i": range(len(ratios)), "part": [np.asarray(m).tolist() for m in made]})
+
+        parts = sums.select("__n", *names).mapInPandas(run, "i int, part array<double>").select("i", F.posexplode("part").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
+        out = np.zeros((len(ratios), (p + 1) ** 2 + 2))
+        for r in parts.collect():  # a few numbers for each ratio
+            out[r["i"], r["j"]] = r["v"]
+        return out
+
+    def likelihood(ratio: float, part: np.ndarray) -> tuple[float, float, np.ndarray, int]:
+        m = whole - part[:-2].reshape(p + 1, p + 1)
+        beta = np.linalg.lstsq(m[:p, :p], m[:p, -1], rcond=None)[0]
+        rss = max(float(m[-1, -1] - beta @ m[:p, -1]), 1e-300)
+        df = total.n - p
+        return -0.5 * (df * np.log(rss) + part[-2] + np.linalg.slogdet(m[:p, :p])[1]), rss / df, beta, int(part[-1])
+
+    low, high, best = np.log(1e-8), np.log(1e6), None
+    for _ in range(rounds):
+        grid = np.linspace(low, high, points)
+        ratios = [0.0, *np.exp(grid).tolist()]
+        found = [(*likelihood(r, part), r) for r, part in zip(ratios, needed(ratios), strict=True)]
+        at = max(range(len(found)), key=lambda i: found[i][0])
+        best = found[at]
+        i = max(at - 1, 0)
+        low, high = grid[max(i - 1, 0)], grid[min(i + 1, points - 1)]
+    _, within, beta, n_groups, ratio = best
+    full: list[float | None] = [None] * (k - 1)
+    for at, b in zip(varies[:-1], beta, strict=True):
+        full[at] = float(b)
+    return spark.createDataFrame([(float(ratio * within), float(within), float(ratio / (1 + ratio)), int(total.n), n_groups, full)], schema)
 
 
 def variance_components(frame: DataFrame, group: str, value: str) -> DataFrame:
