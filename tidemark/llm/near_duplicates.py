@@ -215,10 +215,11 @@ def signatures(docs: DataFrame, sketch: np.ndarray, n_texts: int, key: str, text
 
 
 def _in_buckets(distinct: DataFrame) -> DataFrame:
-    """(band, h, id, n, pivots): each member of a bucket of several, with the bucket's size and pivots."""
-    members = distinct.select("id", F.posexplode("bands").alias("band", "h"))
-    pivots = [F.min("id").alias("p0"), *(F.min(F.struct(F.xxhash64("id", F.lit(j)).alias("x"), F.col("id"))).alias(f"q{j}") for j in (1, 2))]
-    buckets = members.groupBy("band", "h").agg(F.count("*").alias("n"), *pivots).where("n > 1").select("band", "h", "n", F.array_distinct(F.array("p0", "q1.id", "q2.id")).alias("pivots"))
+    """(band, h, id, n, pivots): each member of a bucket of several, with the bucket's size and pivots; the text of the least document
+    id is one of them, as later texts more often are its copies than each other's."""
+    members = distinct.select("id", "first", F.posexplode("bands").alias("band", "h"))
+    picks = [F.min(F.struct("first", "id")).alias("p0"), *(F.min(F.struct(F.xxhash64("first", F.lit(j)).alias("x"), F.col("id"))).alias(f"q{j}") for j in (1, 2))]
+    buckets = members.groupBy("band", "h").agg(F.count("*").alias("n"), *picks).where("n > 1").select("band", "h", "n", F.array_distinct(F.array("p0.id", "q1.id", "q2.id")).alias("pivots"))
     return members.join(buckets, ["band", "h"])
 
 
