@@ -54,15 +54,63 @@ def m04_boosted_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
        SELECT 'l_quantity' AS term, round(b1, 4) AS coefficient, round(sqrt(m1 / pow(sxx, 2) * n / (n - 2)), 4) AS se FROM b, e UNION ALL SELECT 'intercept', round(b0, 4), round(sqrt(m0 * n / (n - 2)), 4) FROM b, e"""
 )
 def m05_ols_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(models.ols_hc1(frame(spark, sf_dir), ["l_quantity"], "y").drop("t"), 4)
+    return rounded(models.ols_hc1(frame(spark, sf_dir), ["l_quantity"], "y").drop("t", "p_value", "n"), 4)
+
+
+@query(
+    """WITH r AS (SELECT year(l_shipdate) AS year, l_quantity AS x, l_extendedprice * (1 - l_discount) AS y FROM lineitem),
+       b AS (SELECT year, regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0, avg(x) AS mx, regr_sxx(y, x) AS sxx, count(*) AS n FROM r GROUP BY 1),
+       e AS (SELECT year, sum(pow(y - b0 - b1 * x, 2) * pow(x - mx, 2)) AS m FROM r JOIN b USING (year) GROUP BY 1)
+       SELECT year, CASE WHEN n >= 5 THEN round(b1, 4) END AS coefficient, CASE WHEN n >= 5 THEN round(sqrt(m / pow(sxx, 2) * n / (n - 2)), 4) END AS se, n FROM b JOIN e USING (year)"""
+)
+def m05_season_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The effect of the quantity in each year; p-values are in m05_seasons_with_covariates."""
+    return rounded(models.season_consistency(frame(spark, sf_dir), "l_quantity", [], "y", "year").drop("p_value"), 4)
+
+
+@query()
+def m05_seasons_with_covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.season_consistency(frame(spark, sf_dir), "l_quantity", ["l_discount", "days"], "y", "year")
+
+
+@query(
+    """WITH g AS (SELECT l_returnflag AS s, avg(l_extendedprice * (1 - l_discount)) AS m, count(*) AS n, var_pop(l_extendedprice * (1 - l_discount)) / count(*) AS v FROM lineitem GROUP BY 1),
+       t AS (SELECT sum(n) AS n, CAST(sum(n) AS DOUBLE) / (sum(n) - 3) AS k FROM g), a AS (SELECT m, v FROM g WHERE s = 'A')
+       SELECT 'l_returnflag=' || g.s AS term, round(g.m - a.m, 4) AS coefficient, round(sqrt((g.v + a.v) * k), 4) AS se, CAST(t.n AS BIGINT) AS n FROM g, a, t WHERE g.s IN ('N', 'R')
+       UNION ALL SELECT 'intercept', round(a.m, 4), round(sqrt(a.v * k), 4), CAST(t.n AS BIGINT) FROM a, t"""
+)
+def m05_stage_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stage adds to the first one."""
+    found = models.stage_effects(frame(spark, sf_dir), "y", "l_returnflag", ("A", "N", "R"), [])
+    return rounded(found.select("term", "coefficient", "se", "n"), 4)
 
 
 @query()
 def m06_interaction_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the slope differs between two groups."""
-    rows = frame(spark, sf_dir).where("l_returnflag IN ('A', 'R')").withColumn("g", (F.col("l_returnflag") == "A").cast("double"))
-    rows = rows.withColumn("gx", F.col("g") * F.col("l_quantity"))
-    return models.joint_wald(rows, ["l_quantity", "g", "gx"], ["gx"], "y")
+    """Whether the slope differs between two groups, with other features held."""
+    return models.interaction_test(frame(spark, sf_dir), "l_quantity", "l_returnflag", ("A", "R"), ["l_discount", "days"], "y")
+
+
+@query(
+    """WITH r AS (SELECT year(l_shipdate) AS year, l_returnflag AS g, l_quantity AS x, l_extendedprice * (1 - l_discount) AS y FROM lineitem WHERE l_returnflag IN ('A', 'R')),
+       b AS (SELECT year, g, regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0, avg(x) AS mx, regr_sxx(y, x) AS sxx, count(*) AS n FROM r GROUP BY 1, 2),
+       e AS (SELECT year, g, any_value(b1) AS b1, any_value(n) AS n, sum(pow(y - b0 - b1 * x, 2) * pow(x - mx, 2)) / pow(any_value(sxx), 2) AS v FROM r JOIN b USING (year, g) GROUP BY 1, 2),
+       p AS (SELECT year, max(b1) FILTER (g = 'A') - max(b1) FILTER (g = 'R') AS d, sum(v) AS v, sum(n) AS n FROM e GROUP BY 1 HAVING count(*) = 2)
+       SELECT year, round(d * d / (v * n / (n - 4)), 4) AS f, 1 AS df, CAST(n - 4 AS BIGINT) AS df_residual FROM p"""
+)
+def m06_interaction_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in each year, of the groups that both have rows."""
+    rows, (other,) = models.with_dummies(frame(spark, sf_dir), "l_returnflag", ("R", "A"))
+    rows = rows.withColumn("gx", F.col(other) * F.col("l_quantity"))
+    both = rows.groupBy("year").agg(F.countDistinct("l_returnflag").alias("k")).where("k = 2").select("year")
+    found = models.joint_wald(rows.join(both, "year"), ["l_quantity", other, "gx"], ["gx"], "y", by=["year"])
+    return rounded(found.drop("p_value"), 4)
+
+
+@query()
+def m07_random_intercepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variances between and within suppliers, by restricted likelihood."""
+    return models.random_intercepts(frame(spark, sf_dir), ["l_quantity", "l_discount", "days"], "y", "l_suppkey")
 
 
 @query(
