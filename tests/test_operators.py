@@ -96,6 +96,29 @@ def test_boosted_trees_and_folds_find_the_planted_features(planted):
     assert min(got["a"]["importance"], got["b"]["importance"]) > 5 * max(got["c"]["importance"], got["d"]["importance"]) and got["a"]["oof_r2"] > 0.7
 
 
+def test_greedy_rules_of_one_entity_with_a_million_events(spark):
+    """What is gathered has a row a day, or two: most events go before."""
+    n = 1_000_000
+    at = F.timestamp_seconds((F.col("id") * 7919 % (6000 * 86_400)).cast("bigint")).cast("timestamp_ntz")
+    df = spark.range(0, n, 1, 8).select(F.lit(1).alias("k"), at.alias("d"), (F.sin(F.col("id") * 0.37) + 0.001).alias("delta"), F.when(F.col("id") % 5 == 0, None).otherwise(F.lit(2)).alias("other"))
+    rows = df.groupBy(F.datediff("d", F.lit("1970-01-01")).alias("day")).agg(F.min("d").alias("d"), F.max_by("delta", F.struct(F.abs("delta"), -F.unix_micros(F.col("d").cast("timestamp")))).alias("x")).toPandas().sort_values("day")
+    want, last = [], None
+    for day_number, d in zip(rows["day"], rows["d"], strict=True):
+        if last is None or day_number - last > 14:
+            want.append(d)
+            last = day_number
+    kept = windows.drop_overlaps(df, ["k"], "d").toPandas().sort_values("d")
+    assert kept["d"].tolist() == want and len(want) == 400
+    null_keys = windows.drop_overlaps(df.withColumn("k", F.when(F.col("k") > 5, 1)).limit(1000), ["k"], "d")
+    assert null_keys.count() > 0
+    picked = windows.pick_spikes(df, "k", "d").toPandas()
+    for sign in (1, -1):
+        own = picked[np.sign(picked["delta"]) == sign]
+        days = np.sort(own["d"].to_numpy().astype("datetime64[D]").astype(int))
+        assert len(days) > 300 and np.diff(days).min() > 7
+    assert picked["delta"].abs().max() == rows["x"].abs().max()
+
+
 def test_average_ranks_equal_pandas(spark):
     rng = np.random.default_rng(6)
     pdf = pd.DataFrame({"p": rng.integers(0, 3, 500), "v": rng.integers(0, 40, 500).astype(float), "i": range(500)})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,13 +63,20 @@ def breakouts(logs: DataFrame, score: Column, usable: Column, weight: Column, an
 
 
 def drop_overlaps(events: DataFrame, keys: list[str], date: str, days: int = 14, order: list[str] | None = None) -> DataFrame:
-    """Per key, an event within `days` of the last kept one goes: sequential, so a fold over the key's sorted rows. Whole rows
-    stay; of rows of one date the first by the other columns does, or by `order`."""
+    """Per key, an event within `days` days of the last kept one goes. Whole rows stay; of rows of one day the first by the date, then
+    by `order` or the other columns does.
+
+    A day's first row is found before anything is gathered, so what a key gathers has a row a day at most, however many its events
+    are; from one kept day the next is the first one later than `days`, which is what the fold over the sorted days takes.
+    """
     others = [c for c in events.columns if c not in (*keys, date, *(order or []))]
     item = F.struct(F.col(date), *(F.col(c) for c in order or [] if c != date), *others)
-    rows = events.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("__rows"))
-    kept = F.aggregate("__rows", F.slice("__rows", 1, 0), lambda acc, r: F.when((F.size(acc) == 0) | (F.datediff(r[date], F.element_at(acc, -1)[date]) > days), F.array_append(acc, r)).otherwise(acc))
-    return rows.select(*keys, F.explode(kept).alias("__r")).select(*(F.col(c) if c in keys else F.col(f"__r.{c}").alias(c) for c in events.columns))
+    firsts = events.where(F.col(date).isNotNull()).groupBy(*keys, F.datediff(F.col(date), F.lit("1970-01-01")).alias("__day")).agg(F.min(item).alias("__r"))
+    rows = firsts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__day", "__r"))).alias("__rows"))
+    no_day = F.struct(F.lit(None).cast("int").alias("last"), F.slice("__rows", 1, 0).alias("kept"))
+    later = lambda acc, r: acc["last"].isNull() | (r["__day"] - acc["last"] > days)
+    kept = F.aggregate("__rows", no_day, lambda acc, r: F.when(later(acc, r), F.struct(r["__day"].alias("last"), F.array_append(acc["kept"], r).alias("kept"))).otherwise(acc))["kept"]
+    return rows.select(*keys, F.explode(kept).alias("__k")).select(*(F.col(c) if c in keys else F.col(f"__k.__r.{c}").alias(c) for c in events.columns))
 
 
 def spikes(snapshots: DataFrame, keys: list[str], day: str, prob: str, least: float = 0.10, rows: int = 30, times: float = 3.0, least_rows: int = 5) -> DataFrame:
@@ -82,12 +90,32 @@ def spikes(snapshots: DataFrame, keys: list[str], day: str, prob: str, least: fl
 
 
 def pick_spikes(found: DataFrame, key: str, day: str, days: int = 7) -> DataFrame:
-    """Per key, largest steps first; one of the same sign within `days` of one that was picked goes. Ties: the earlier day."""
+    """Per key, largest steps first; one of the same sign within `days` of one that was picked goes. Ties: the earlier day.
+
+    Of a key's steps of one sign and day only the largest can be picked, so it is found before anything is gathered: what a key
+    gathers has two rows a day at most, however many its steps are. The days around a pick are marked, so the picking is linear.
+    """
+    number = F.datediff(F.col(day), F.lit("1970-01-01"))
     item = F.struct((-F.abs("delta")).alias("less"), F.col(day).alias("day"), F.col("delta"))
-    near = lambda acc, x: F.exists(acc, lambda k: (F.signum(k["delta"]) == F.signum(x["delta"])) & (F.abs(F.datediff(k["day"], x["day"])) <= days))
-    sorted_items = found.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("__items"))
-    picked = F.aggregate(F.col("__items"), F.slice(F.col("__items"), 1, 0), lambda acc, x: F.when(near(acc, x), acc).otherwise(F.array_append(acc, x)))
-    return sorted_items.select(key, F.explode(picked).alias("__k")).select(key, F.col("__k.day").alias(day), F.col("__k.delta").alias("delta"))
+    largest = found.where("delta IS NOT NULL").groupBy(key, F.signum("delta").alias("__sign"), number.alias("__day")).agg(F.min(item).alias("__x"))
+    gathered = largest.groupBy(key, "__sign").agg(F.array_sort(F.collect_list(F.struct("__x", "__day"))).alias("__items"))
+
+    @F.pandas_udf("array<int>")
+    def places(numbers: pd.Series) -> pd.Series:
+        def of(own) -> list[int]:
+            near: set[int] = set()
+            out = []
+            for i, d in enumerate(own):
+                if d not in near:
+                    near.update(range(d - days, d + days + 1))
+                    out.append(i)
+            return out
+
+        return numbers.map(of)
+
+    picked = gathered.withColumn("__at", places(F.transform("__items", lambda x: x["__day"])))
+    rows = picked.select(key, F.explode(F.transform("__at", lambda i: F.get("__items", i)["__x"])).alias("__k"))
+    return rows.select(key, F.col("__k.day").alias(day), F.col("__k.delta").alias("delta"))
 
 
 def fill_gaps(series: DataFrame, keys: list[str], position: str, value: str, limit: int = 3, strict: bool = False) -> DataFrame:

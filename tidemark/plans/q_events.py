@@ -204,10 +204,18 @@ def w07_o06_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_spikes(spark, sf_dir).select("event", "market_id", "day", "delta"), 9)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SPIKE_SQL}, f AS (SELECT market_id, day, delta FROM s WHERE abs(delta) >= greatest(0.10, coalesce(1.5 * sd, 0.10))),
+       x AS (SELECT market_id, sign(delta) AS sg, day, delta, row_number() OVER (PARTITION BY market_id, sign(delta) ORDER BY -abs(delta), day, delta) AS k FROM f),
+       g(market_id, sg, k, kept, day, delta, pick) AS (SELECT market_id, sg, k, [day], day, delta, true FROM x WHERE k = 1
+         UNION ALL SELECT x.market_id, x.sg, x.k, CASE WHEN len([z FOR z IN g.kept IF abs(date_diff('day', z, x.day)) <= 7]) > 0 THEN g.kept ELSE list_append(g.kept, x.day) END, x.day, x.delta, len([z FOR z IN g.kept IF abs(date_diff('day', z, x.day)) <= 7]) = 0
+           FROM g JOIN x ON x.market_id = g.market_id AND x.sg = g.sg AND x.k = g.k + 1)
+       SELECT market_id, day, round(delta, 9) AS delta FROM g WHERE pick""",
+    "v_odds",
+)
 def w07_picked_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy, largest steps first: sequential, so it has no plain SQL; the tests hold it against a loop."""
-    return windows.pick_spikes(_spikes(spark, sf_dir), "market_id", "day")
+    """Greedy, largest steps first."""
+    return rounded(windows.pick_spikes(_spikes(spark, sf_dir), "market_id", "day"), 9)
 
 
 def index_sql(grade: str = "grade = 'psa_10'", p: str = "") -> str:
