@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, html_extract, language_id, licence_scan, near_duplicates, sentence_pieces, token_counts, toxicity, vector_search
 
@@ -210,36 +211,50 @@ def test_unigram_viterbi_takes_the_best_sum():
             assert "".join(pieces[i] for i in ids) == row and math.isclose(sum(score[pieces[i]] for i in ids), best[n])
 
 
+def top(rows, k=20):
+    """(query_id, rank, vec_id, score) of every row whose id 20 divides against every other row, in whole numbers of any size."""
+    whole = [(i, [math.floor(x * 64) if abs(x) < 1e300 else int(x) * 64 for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    want = Counter()
+    for n, (q, v) in enumerate(whole):
+        if q is not None and q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i is None, i or 0) for m, (i, w) in enumerate(whole) if m != n and len(w) == len(v))[:k]
+            want.update((q, rank, None if none else i, -score) for rank, (score, none, i) in enumerate(best, 1))
+    return want
+
+
+def searched(df, **options):
+    return Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in vector_search.exact_top_k(df, F.col("vec_id") % 20 == 0, **options).collect())
+
+
 def test_vector_search(spark):
+    """Every row but the query's own: rows that repeat an id meet, and so do those of a null id and those without components."""
     rng = np.random.default_rng(3)
     vectors = rng.normal(0, 0.3, (300, 16)).round(2)
     vectors[50:60] = vectors[40]
-    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(1000, None), (1020, [float("nan")] * 16), (1040, [None] * 16), (1060, []), (1080, [1.0, 2.0]), (40, vectors[40].tolist()), (None, vectors[0].tolist())]
-    df = spark.createDataFrame([(i, v, "s") for i, v in rows], "vec_id bigint, embedding array<double>, score string")
-    good = [(i, np.floor(64 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
-    want = Counter()
-    for q, v in good:
-        if q % 20 == 0:
-            best = sorted((-int(v @ w), i) for i, w in good if i != q and len(w) == len(v))[:20]
-            want.update((q, rank, i, -score) for rank, (score, i) in enumerate(best, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(1000, None), (1020, [float("nan")] * 16), (1040, [None] * 16), (1060, []), (1061, []), (1080, [1.0, 2.0]), (40, vectors[40].tolist()), (None, vectors[0].tolist()), (None, (3 * vectors[20]).tolist())]
+    df = spark.createDataFrame([(i, v, "s") for i, v in rows], "vec_id bigint, embedding array<double>, query_row string")
+    want = top(rows)
     for block in (4096, 7):
-        got = vector_search.exact_top_k(df, df.where("vec_id % 20 = 0"), block=block).collect()
-        assert Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want and max(want.values()) == 2
-    assert vector_search.exact_top_k(df.limit(0), df.limit(0)).count() == 0
+        assert searched(df, block=block) == want
+    two = vector_search.exact_top_k(df, F.col("vec_id") == 40).groupBy("query_row").count().collect()
+    assert [r["count"] for r in two] == [20, 20]
+    assert vector_search.exact_top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
 def test_vectors_of_any_size_and_many_equal_ones(spark):
     rng = np.random.default_rng(8)
-    wide = [(i, rng.normal(0, 10.0 ** rng.integers(-2, 5), 1500)) for i in range(60)]
-    same = [(1000 + i % 400, np.full(1500, 0.5)) for i in range(900)]
-    huge = [(5000, np.full(1500, 1e300)), (5001, np.full(1500, -(2.0**17)))]
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in [*wide, *same, *huge]], "vec_id bigint, embedding array<double>")
-    good = [(i, np.floor(64 * v).astype(np.int64)) for i, v in [*wide, *same]]
-    for q in (20, 1000):
-        own = dict(good)[q]
-        best = sorted((-int(own @ w), i) for i, w in good if i != q)[:20]
-        got = vector_search.exact_top_k(df, df.where(f"vec_id = {q}").limit(1)).orderBy("rank").collect()
-        assert [(-r["score"], r["vec_id"]) for r in got] == best
+    wide = [(i, rng.normal(0, 10.0 ** rng.integers(-2, 7), 300).tolist()) for i in range(60)]
+    same = [(1000 + i % 400, [0.5] * 300) for i in range(900)]
+    assert searched(spark.createDataFrame(wide + same, "vec_id bigint, embedding array<double>").repartition(3)) == top(wide + same)
+    large = [(0, [200000.0, 0.25]), (1, [1.0, 1.0]), (3, [-2.0, 4.0]), (20, [0.0, 3.0]), (21, [2.0**20, -(2.0**20)]), (22, [0.0, 2.0**21]), (23, [-1e300, 0.0]), (40, [1.0, 0.0]), (60, [2.0**20, 2.0**20])]
+    got = searched(spark.createDataFrame(large, "vec_id bigint, embedding array<double>"), k=3)
+    assert got == top(large, 3) and (0, 1, 60, (200000 * 64 + 16) * 2**26) in got
+
+
+def test_a_score_beyond_a_long_is_an_error(spark):
+    df = spark.createDataFrame([(20, [1e200, 1.0]), (21, [1e200, 1.0])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="fit a long"):
+        vector_search.exact_top_k(df, F.col("vec_id") % 20 == 0).collect()
 
 
 def test_html(spark):
