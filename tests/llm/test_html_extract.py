@@ -1,7 +1,7 @@
 import itertools
 import random
 
-from tidemark.llm.html_extract import PRIOR, extract, min_cut
+from tidemark.llm.html_extract import PRIOR, Tags, extract, min_cut
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header class="site-header"><p>Site</p></header><nav><ul><li><a href="/a">A</a></li><li><a href="/b">B</a></li></ul></nav><!-- ad --><div class="ad">Buy this now.</div>
@@ -66,6 +66,33 @@ def test_deep_and_long_pages_take_time_in_proportion():
         assert time.time() - began < 6
 
 
+def test_broken_markup_of_a_megabyte_takes_time_in_proportion():
+    import time
+
+    n = 1 << 20
+    units = ("<a ", "<aaa", '<a b="c ', "<a", "<!", "<a b='c\" ", "<title ", "</title ", "<a<a\"", "<title>", "<script", "<a '\" \"", "<textarea>x</textarea ")
+    for unit in units:
+        for end in ("", ">", '">', "<a '>", ' "', "</p", "'x' \">"):
+            page = unit * (n // len(unit)) + end
+            began = time.time()
+            extract(page, PRIOR)
+            assert time.time() - began < 3, (unit, end)  # a second or less on a machine of its own
+    assert extract("a" * n, PRIOR) in ("", "a" * n)
+
+
+def test_tags_end_where_the_whole_pattern_says():
+    import re
+
+    pattern = re.compile(r"""</?([a-zA-Z][^\s/>]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>""")
+    rng = random.Random(8)
+    for _ in range(4000):
+        page = "".join(rng.choice(["<", "<a", "</b", " ", "x", "/", ">", '"', "'", "=", "<c d='e'"]) for _ in range(rng.randrange(1, 25)))
+        tags = Tags(page)
+        for at in range(len(page)):
+            m, found = pattern.match(page, at), tags.tag(at)
+            assert (m and (m.start(1), m.end(1), m.end() - 1)) == found, (page, at)
+
+
 def test_the_fit_leaves_markup_alone(spark):
     from tidemark.llm import html_extract
 

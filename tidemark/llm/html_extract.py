@@ -35,7 +35,7 @@ SAMPLE_PAGE_CHARS = 100_000
 ADJACENT = 0.6
 NEAR = 1.2
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
+_TAG_BEGIN, _NAME_END, _SPECIAL = re.compile("</?[a-zA-Z]"), re.compile(r"[\s/>]"), re.compile("[\"'>]")
 #: Elements whose inside isn't markup, or no text of the page; without an end tag only the first two reach to the end of the page.
 _RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "title")
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
@@ -68,6 +68,56 @@ class Block:
         self.parent, self.marks, self.parts, self.linked, self.text = parent, marks, [], 0, ""
 
 
+class Tags:
+    """Ends of tags and of elements without markup in a page, each found in time that adds up to the page's length: what a search found,
+    or didn't find, is remembered for those that begin later."""
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self._next: dict[re.Pattern, tuple[int, int]] = {}  # a search's begin and what it found
+        self._hopeless: set[int] = set()  # quotes from which on no tag ends
+        self._unclosed: set[str] = set()
+
+    def find(self, what: re.Pattern, at: int) -> int:
+        """The first place from `at` on; behind the page if there is none."""
+        begin, found = self._next.get(what, (0, -1))
+        if not begin <= at <= found:
+            m = what.search(self.html, at)
+            found = m.start() if m else len(self.html)
+            self._next[what] = at, found
+        return found
+
+    def tag(self, at: int) -> tuple[int, int, int] | None:
+        """(begin of the name, its end, place of the tag's >) of the tag that begins at `at`; quoted values may hold anything."""
+        m = _TAG_BEGIN.match(self.html, at) if at <= self.last else None
+        if m is None:
+            return None
+        name = self.find(_NAME_END, m.end())
+        end, seen = self.find(_SPECIAL, name), []
+        while True:
+            if end < len(self.html) and self.html[end] == ">":
+                return m.end() - 1, name, end
+            if end == len(self.html) or end in self._hopeless:
+                break
+            seen.append(end)
+            close = self.html.find(self.html[end], end + 1)
+            if close < 0:
+                break
+            further = _SPECIAL.search(self.html, close + 1)  # a quote is passed once in vain
+            end = further.start() if further else len(self.html)
+        self._hopeless.update(seen)
+        return None
+
+    def after_element(self, tag: str, at: int) -> int | None:
+        """Behind the end tag of an element that began before `at`; None if there is none."""
+        if tag not in self._unclosed and at <= self.last:
+            m = re.compile(f"</{tag}\\b", re.I).search(self.html, at)
+            if m and m.end() <= self.last:
+                return self.html.find(">", m.end()) + 1
+        self._unclosed.add(tag)
+        return None
+
+
 class Page:
     """Blocks with text in page order, the parent and depth of each block-level element, and whether one is for the main content."""
 
@@ -101,32 +151,41 @@ class Page:
             self._close(min(first))
 
     def _read(self, html: str) -> None:
-        block, at, end = None, 0, len(html)
+        block, at, end, tags = None, 0, len(html), Tags(html)
         while at < end:
-            m = _TOKEN.match(html, at)
-            at = m.end()
-            tag = m[2]
-            if tag is None:
-                text = m[0]
-                if text[0] != "<" or text == "<":
-                    if block is None:
-                        block = Block(*self._top())
-                        self.blocks.append(block)
-                    block.parts.append(text)
-                    if self._open.get("a"):
-                        block.linked += len(text)
+            if html[at] == "<":
+                if html.startswith("<!--", at):
+                    close = html.find("-->", at + 4)
+                    at = close + 3 if close >= 0 else end
+                    continue
+                if html[at + 1 : at + 2] in ("!", "?") and at < tags.last:
+                    at = html.find(">", at) + 1
+                    continue
+                found = tags.tag(at)
+                stop = at + 1 if found is None else found[2] + 1
+            else:
+                found, stop = None, html.find("<", at)
+                stop = end if stop < 0 else stop
+            text, begin, at = html[at:stop], at, stop
+            if found is None:
+                if block is None:
+                    block = Block(*self._top())
+                    self.blocks.append(block)
+                block.parts.append(text)
+                if self._open.get("a"):
+                    block.linked += len(text)
                 continue
-            tag = tag.lower()
-            if m[1]:
+            tag, attributes = html[found[0] : found[1]].lower(), html[found[1] : found[2]]
+            if html[begin + 1] == "/":
                 if tag not in _INLINE:
                     block = None
                 if self._open.get(tag):
                     self._close(self._open[tag][-1])
                 continue
-            if tag in _RAW and not m[3].endswith("/"):
-                close = re.compile(f"</{tag}\\b[^>]*>", re.I).search(html, at)
+            if tag in _RAW and not attributes.endswith("/"):
+                close = tags.after_element(tag, at)
                 if close or tag in ("script", "style"):
-                    at = close.end() if close else end
+                    at = close or end
                     if tag not in ("script", "style", "textarea"):
                         block = None
                     continue
@@ -138,7 +197,7 @@ class Page:
                 continue
             if tag not in _INLINE:
                 self._shut(tag)
-            self._push(tag, m[3])
+            self._push(tag, attributes)
 
     def _push(self, tag: str, attributes: str) -> None:
         element, (boiler, content, of_class, last) = self._top()
