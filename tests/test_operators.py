@@ -254,17 +254,16 @@ def test_pages_without_tables(spark):
     assert parse.sales(parse.table_rows(df, "k"), "k").count() == 0
 
 
-def test_spike_alerts_equal_a_loop(spark, tmp_path):
-    rng = random.Random(6)
-    rows = [(m, i, DAY0 + dt.timedelta(hours=9 * i), rng.random()) for m in range(4) for i in range(60)]
-    df = spark.createDataFrame(rows, "market_id bigint, event_id bigint, ts timestamp, raw_price double")
-    df.write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
-    got = sorted((r["market_id"], r["ts"]) for r in jobs.run_available(jobs.spike_alerts(stream), f"{tmp_path}/out").collect())
-    want = []
-    for m in range(4):
-        last, steps, alerts = None, [], []
-        for _, _, ts, p in [r for r in rows if r[0] == m]:
+def alerts_of(rows, silent=30 * 86400):
+    """(market, ts) of the rows that no later row can come before, market by market in the order of time."""
+    want, end = [], max(ts for _, _, ts, _ in rows) - dt.timedelta(days=1)
+    for m in {r[0] for r in rows}:
+        last, steps, alerts, before = None, [], [], None
+        for _, _, ts, p in sorted((r for r in rows if r[0] == m), key=lambda r: (r[2], r[1])):
+            if ts > end:
+                break
+            if before is not None and (ts - before).total_seconds() > silent:
+                last, steps, alerts = None, [], []
             if last is not None:
                 delta = p - last
                 steps = [*steps, delta][-30:]
@@ -273,5 +272,23 @@ def test_spike_alerts_equal_a_loop(spark, tmp_path):
                 if abs(delta) >= max(0.1, 3 * sd) and not any((a[1] > 0) == (delta > 0) for a in alerts):
                     alerts.append((ts, delta))
                     want.append((m, ts))
-            last = p
-    assert got == sorted(want) and got
+            last, before = p, ts
+    return sorted(want)
+
+
+def test_spike_alerts_equal_a_loop(spark, tmp_path):
+    """Rows come in three runs, out of order by less than a day; market 3 is silent for two months in between, and its state goes."""
+    rng = random.Random(6)
+    gap = lambda m, i: dt.timedelta(days=60) if m == 3 and i >= 30 else dt.timedelta()
+    rows = [(m, i, DAY0 + dt.timedelta(hours=9 * i) + gap(m, i), rng.random()) for m in range(4) for i in range(60)]
+    rows += [(9, i, DAY0 + dt.timedelta(hours=12 * i), 0.5) for i in range(170)]  # keeps time going
+    schema = "market_id bigint, event_id bigint, ts timestamp, raw_price double"
+    arriving = sorted(rows, key=lambda r: r[2].timestamp() + rng.uniform(0, 20 * 3600))
+    got = []
+    for k in range(3):
+        part = arriving[len(rows) * k // 3 : len(rows) * (k + 1) // 3]
+        for j in range(2):
+            spark.createDataFrame(part[len(part) * j // 2 : len(part) * (j + 1) // 2], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        got = sorted((r["market_id"], r["ts"]) for r in jobs.run_available(jobs.spike_alerts(stream), f"{tmp_path}/out").collect())
+    assert got == alerts_of(rows) and got

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+#: Microseconds.
+_DAY = 86_400_000_000
 
 
 def weekly_bars(sales: DataFrame, ts: str = "sale_date", late: str = "14 days") -> DataFrame:
@@ -28,30 +33,92 @@ def distinct_snapshots(rows: DataFrame, keys: list[str], ts: str = "ts", late: s
     return rows.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def spike_alerts(odds: DataFrame, least: float = 0.10, rows: int = 30, times: float = 3.0, least_rows: int = 5, days: int = 7) -> DataFrame:
-    """(market_id, ts, delta): large steps of a market. A stream can't wait for the largest of a week, so the first one is kept
-    and later ones of its sign within `days` are not. State: the last price, the last steps and the alerts that may still matter."""
-
-    def update(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, steps, alerts = state.get if state.exists else (None, [], [])
-        steps, alerts, out = list(steps), [tuple(a) for a in alerts], []
-        every = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for ts, price in zip(every["ts"], every["raw_price"], strict=True):
+class SpikeAlerts(StatefulProcessor):
+    """A market's alerts in the order of time, whatever the order in which its rows come.
+
+    State: rows that wait (a list), the last price and its time, the last steps (a list), and the alerts that may still matter (a list).
+    Rows wait until the watermark has passed them, as an event-time timer tells; then they are taken in order. A market that stays silent
+    for `silent_days` loses its state by a timer, too.
+    """
+
+    def __init__(self, least: float, rows: int, times: float, least_rows: int, days: int, silent_days: int):
+        self.least, self.rows, self.times, self.least_rows = least, rows, times, least_rows
+        self.near, self.silent = days * _DAY, silent_days * _DAY
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at bigint, event_id bigint, price double")
+        self.last = handle.getValueState("last", "at bigint, price double")
+        self.steps = handle.getListState("steps", "delta double")
+        self.alerts = handle.getListState("alerts", "at bigint, delta double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
+        new = pd.concat(list(rows))
+        new = new[new["raw_price"].notna()]
+        if len(new):
+            self.waiting.appendList([(int(at), int(i), float(p)) for at, i, p in zip(new["at"], new["event_id"], new["raw_price"], strict=True)])
+            self._wake(int(new["at"].min()))
+        yield pd.DataFrame({"market_id": [], "at": [], "delta": []}).astype({"market_id": "int64", "at": "int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
+        now, out = timerValues.getCurrentWatermarkInMs() * 1000, []
+        held = sorted(tuple(r) for r in self.waiting.get())
+        due = [r for r in held if r[0] <= now]
+        if due:
+            out = self._taken(due)
+            rest = held[len(due) :]
+            self.waiting.clear()
+            if rest:
+                self.waiting.appendList(rest)
+                self._wake(rest[0][0])
+            self._wake(due[-1][0] + self.silent)
+        elif not held and self.last.exists() and self.last.get()[0] + self.silent <= now:
+            for state in (self.last, self.steps, self.alerts):
+                state.clear()
+        yield pd.DataFrame([(key[0], *o) for o in out], columns=["market_id", "at", "delta"]).astype({"market_id": "int64", "at": "int64", "delta": "float64"})
+
+    def _wake(self, at: int) -> None:
+        self.handle.registerTimer(at // 1000 + 1)
+
+    def _taken(self, due: list[tuple]) -> list[tuple[int, float]]:
+        """The alerts of rows in order; the state follows."""
+        before, last = self.last.get() if self.last.exists() else (None, None)
+        steps = [r[0] for r in self.steps.get()]
+        alerts = [tuple(r) for r in self.alerts.get()]
+        out = []
+        for at, _, price in due:
+            if before is not None and at - before > self.silent:  # a timer may come late, so it only frees the state
+                last, steps, alerts = None, [], []
             if last is not None:
                 delta = price - last
-                steps = [*steps, delta][-rows:]
-                sd = pd.Series(steps).std() if len(steps) >= least_rows else 0.0
-                at = ts.timestamp()
-                alerts = [a for a in alerts if at - a[0] <= days * 86400]
-                if abs(delta) >= max(least, times * sd) and not any((a[1] > 0) == (delta > 0) for a in alerts):
-                    alerts.append((at, float(delta)))
-                    out.append((key[0], ts, float(delta)))
-            last = float(price)
-        state.update((last, steps, alerts))
-        yield pd.DataFrame(out, columns=["market_id", "ts", "delta"])
-
-    grouped = odds.withColumn("ts", F.col("ts").cast("timestamp")).select("market_id", "event_id", "ts", "raw_price").groupBy("market_id")
-    return grouped.applyInPandasWithState(update, "market_id bigint, ts timestamp, delta double", "last double, steps array<double>, alerts array<struct<at: double, delta: double>>", "append", "NoTimeout")
+                steps = [*steps, delta][-self.rows :]
+                sd = float(np.std(steps, ddof=1)) if len(steps) >= self.least_rows else 0.0
+                alerts = [a for a in alerts if at - a[0] <= self.near]
+                if abs(delta) >= max(self.least, self.times * sd) and not any((a[1] > 0) == (delta > 0) for a in alerts):
+                    alerts.append((at, delta))
+                    out.append((at, delta))
+            before, last = at, price
+        self.last.update((due[-1][0], last))
+        for state, values in ((self.steps, [(d,) for d in steps]), (self.alerts, alerts)):
+            state.clear()
+            if values:
+                state.appendList(values)
+        return out
+
+    def close(self) -> None:
+        pass
+
+
+def spike_alerts(odds: DataFrame, least: float = 0.10, rows: int = 30, times: float = 3.0, least_rows: int = 5, days: int = 7, late: str = "1 day", silent_days: int = 30) -> DataFrame:
+    """(market_id, ts, delta): large steps of a market. A stream can't wait for the largest of a week, so the first one is kept
+    and later ones of its sign within `days` are not. Rows may come out of order by `late`, and a row is judged when no earlier one can
+    come any more; a market that is silent for `silent_days` starts anew. Its state needs the RocksDB store."""
+    spark = odds.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    timed = odds.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    grouped = timed.select("market_id", "event_id", "ts", F.unix_micros("ts").alias("at"), F.col("raw_price").cast("double").alias("raw_price")).groupBy("market_id")
+    made = grouped.transformWithStateInPandas(SpikeAlerts(least, rows, times, least_rows, days, silent_days), "market_id bigint, at bigint, delta double", "Append", "eventTime")
+    return made.select("market_id", F.timestamp_micros("at").alias("ts"), "delta")
 
 
 def run_available(stream: DataFrame, out: str, mode: str = "append") -> DataFrame:
