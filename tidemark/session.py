@@ -30,14 +30,30 @@ def ship(spark: SparkSession) -> SparkSession:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder that the session names (spark.checkpoint.dir). Where it names none, a local
-    session gets a folder of its machine; on a cluster that would lose data, so there it is an error."""
-    import tempfile
+    session gets a folder of its machine; on a cluster that would lose data, so there it is an error.
+
+    All of an application's folders lie in one, which goes when the application ends: results are read from them until then.
+    """
     import uuid
 
+    return f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _root(spark: SparkSession) -> str:
+    import tempfile
+
     context = spark.sparkContext
+    if (root := getattr(context, "_tidemark_scratch", None)) is not None:
+        return root
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if shared is None:
         if not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir names no shared folder")
         shared = tempfile.mkdtemp(prefix="scratch-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    root = f"{shared.rstrip('/')}/scratch-{context.applicationId}"
+    path = context._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    context._tidemark_scratch = root
+    return root
