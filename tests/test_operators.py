@@ -96,6 +96,18 @@ def test_boosted_trees_and_folds_find_the_planted_features(planted):
     assert min(got["a"]["importance"], got["b"]["importance"]) > 5 * max(got["c"]["importance"], got["d"]["importance"]) and got["a"]["oof_r2"] > 0.7
 
 
+def test_weighted_medians_equal_repeated_values():
+    rng = np.random.default_rng(4)
+    values, owners, weights = rng.normal(0, 1, 300).round(1), rng.integers(0, 40, 300), rng.poisson(0.7, (40, 60)).astype(np.int32)
+    weights[:, 5] = 0
+    weights[:, 6] = 0
+    weights[owners[0], 6] = 1
+    for block in (1, 7, 2048):
+        got = events.weighted_medians(values, owners, weights, block)
+        want = [np.median(np.repeat(values, weights[owners, k])) if weights[owners, k].any() else np.nan for k in range(60)]
+        assert np.allclose(got, want, equal_nan=True)
+
+
 def test_greedy_rules_of_one_entity_with_a_million_events(spark):
     """What is gathered has a row a day, or two: most events go before."""
     n = 1_000_000

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,15 +113,49 @@ def lag_bins(windows: DataFrame, value: str, low: int = -14, high: int = 14) ->
     return days.join(found, "t_bin", "left").withColumn("n_sales", F.coalesce("n_sales", F.lit(0)))
 
 
-def lag_bounds(windows: DataFrame, value: str, n_reps: int = 2000, seed: int = 42, low: int = -14, high: int = 14, least_reps: int = 20) -> DataFrame:
+def weighted_medians(values: np.ndarray, owners: np.ndarray, weights: np.ndarray, block: int = 2048) -> np.ndarray:
+    """For each column of weights (a row for each owner) the median of the values, each as often as its owner's weight says; NaN where
+    all weights are 0. Values are sorted once; sums of weights run over blocks of them, for all columns at once."""
+    order = np.argsort(values, kind="stable")
+    values, owners = values[order], owners[order]
+    total = np.zeros(weights.shape[1], np.int64)
+    for at in range(0, len(values), block):
+        total += weights[owners[at : at + block]].sum(axis=0)
+    ranks = [(total - 1) // 2, total // 2]
+    found = [np.full(len(total), np.nan) for _ in ranks]
+    before = np.zeros(len(total), np.int64)
+    for at in range(0, len(values), block):
+        until = before + np.cumsum(weights[owners[at : at + block]], axis=0, dtype=np.int64)
+        for rank, out in zip(ranks, found, strict=True):
+            here = np.flatnonzero((total > 0) & (before <= rank) & (rank < until[-1]))
+            out[here] = values[at + (until[:, here] <= rank[here]).sum(axis=0)]
+        before = until[-1]
+    return (found[0] + found[1]) / 2
+
+
+def lag_bounds(windows: DataFrame, value: str, n_reps: int = 2000, seed: int = 42, low: int = -14, high: int = 14, least_reps: int = 20, part: int = 500) -> DataFrame:
     """(t_bin, ci_lo, ci_hi): bounds of the medians over resampled events; all sales of an event that is drawn come along, as
-    often as it is drawn. An event's sales of a day are grouped first, so a replicate costs as many rows as events have days."""
+    often as it is drawn.
+
+    An event's sales of a day are one row, and so are its weights in `part` replicates; a task has a day's rows and one part of the
+    replicates, sorts the sales once, and finds the medians of all its replicates from running sums of weights.
+    """
     t = F.floor(F.col("t_days") + 0.5)
     event = ["entity_id", "event_date"]
-    rows = windows.where(F.col(value).isNotNull() & t.between(low, high)).groupBy(*event, t.alias("t_bin")).agg(F.collect_list(value).alias("__v"))
-    drawn = resample.drawn(rows.select(*event).distinct(), n_reps, seed, event)
-    met = drawn.join(rows, event).select("rep", "t_bin", "times", F.explode("__v").alias("__v"))
-    reps = met.groupBy("rep", "t_bin").agg(F.percentile("__v", F.lit(0.5), F.col("times")).alias("m"))
+    rows = quantiles.stored(windows.where(F.col(value).isNotNull() & t.between(low, high)).groupBy(*event, t.alias("t_bin")).agg(F.collect_list(F.col(value).cast("double")).alias("__v")))
+    drawn = resample.drawn(rows.select(*event).distinct(), n_reps, seed, event).withColumn("__part", F.floor(F.col("rep") / part).cast("int"))
+    weights = drawn.groupBy(*event, "__part").agg(F.collect_list((F.col("rep") % part).cast("int")).alias("__rep"), F.collect_list(F.col("times").cast("int")).alias("__times"))
+    met = rows.join(weights, event).select("t_bin", "__part", "__v", "__rep", "__times")
+
+    def medians(group: pd.DataFrame) -> pd.DataFrame:
+        sizes = [len(v) for v in group["__v"]]
+        dense = np.zeros((len(group), part), np.int32)
+        for i, (reps, times) in enumerate(zip(group["__rep"], group["__times"], strict=True)):
+            dense[i, reps] = times
+        found = weighted_medians(np.concatenate(group["__v"].to_list()), np.repeat(np.arange(len(group)), sizes), dense)
+        return pd.DataFrame({"t_bin": group["t_bin"].iloc[0], "m": found[~np.isnan(found)]})
+
+    reps = met.groupBy("t_bin", "__part").applyInPandas(medians, "t_bin bigint, m double")
     return reps.groupBy("t_bin").agg(F.percentile("m", F.lit(0.025)).alias("ci_lo"), F.percentile("m", F.lit(0.975)).alias("ci_hi"), F.count("*").alias("__n")).where(F.col("__n") >= least_reps).drop("__n")
 
 
