@@ -98,3 +98,22 @@ def test_a_constant_prediction_has_no_rank_correlation(rows):
     df, _ = rows
     found = models.compare_feature_sets(df.where("year < 2004"), ["d"], NAMES, "y", "year", "row_id").collect()
     assert len(found) == 2 and all(r["baseline_spearman"] is None and r["delta_spearman"] is None and r["extended_spearman"] > 0.5 for r in found)
+
+
+def test_out_of_fold_predictions_equal_fits_of_the_other_folds(rows):
+    df, pdf = rows
+    got = models.out_of_fold_lasso(df.withColumn("fold", (F.col("row_id") % 3).cast("int")), NAMES, "y", "row_id").toPandas().set_index("row_id")
+    inner = {r["row_id"]: r["f"] for r in df.select("row_id", models.fold_of(F.col("row_id"), 5, seed=43).alias("f")).collect()}
+    known = pdf.assign(inner=pdf["row_id"].map(inner))
+    assert len(got) == len(pdf) and got["predicted"].notna().all()
+    for fold in range(3):
+        train, test = known[known["row_id"] % 3 != fold], known[known["row_id"] % 3 == fold]
+        medians = train[NAMES].median()
+        parts = [np.column_stack([np.ones(len(d)), d[NAMES].fillna(medians), d["y"]]) for _, d in train.groupby("inner")]
+        parts = [models.Moments(z.T @ z) for z in parts]
+        intercept, beta, _ = models.lasso(models.Moments(sum(p.matrix for p in parts)), models.select_alpha(parts, one_se=False))
+        assert np.allclose(got.loc[test["row_id"], "predicted"], intercept + test[NAMES].fillna(medians).to_numpy() @ beta, atol=1e-7)
+    errors = got["y"] - got["predicted"]
+    lpd = models.gaussian_lpd(df.sparkSession.createDataFrame(got.reset_index()[["y", "predicted"]]), "y", "predicted").first()
+    assert lpd["lpd"] == pytest.approx(np.mean(-0.5 * np.log(2 * np.pi * errors.var(ddof=0)) - errors**2 / (2 * errors.var(ddof=0)))) and lpd["rmse"] == pytest.approx(np.sqrt((errors**2).mean()))
+    assert models.out_of_fold_lasso(df.limit(0).withColumn("fold", F.lit(0)), NAMES, "y", "row_id").count() == 0

@@ -24,9 +24,18 @@ def fold_of(key: Column, folds: int, seed: int = 42) -> Column:
 
 
 def balanced_folds(frame: DataFrame, key: str, folds: int, seed: int = 42, group: list[str] | None = None) -> DataFrame:
-    """frame with `fold`: row numbers over the hash's order, so that folds differ by one row at most."""
-    w = Window.partitionBy(*(group or [F.lit(1)])).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key)
-    return frame.withColumn("fold", (F.row_number().over(w) - 1) % folds)
+    """frame with `fold`: numbers over the hash's order in each group, so that folds differ by one row at most. Rows are numbered by
+    ranges that are written first and counted, so no task holds a group, or all rows."""
+    spark = frame.sparkSession
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    rows = frame.withColumns({"__g": F.struct(*(F.col(c) for c in group or []), F.lit(0).alias("__all")), "__h": digest})
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = quantiles.stored(rows.repartitionByRange(parts, "__g", "__h", key).withColumn("__p", F.spark_partition_id()))
+    earlier = Window.partitionBy("__g").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sizes = ranged.groupBy("__g", "__p").agg(F.count("*").alias("__c")).select("__g", "__p", F.coalesce(F.sum("__c").over(earlier), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__g", "__p").orderBy("__h", key)) - 1
+    numbered = ranged.withColumn("__own", own).join(sizes, ["__g", "__p"])
+    return numbered.select(*frame.columns, ((F.col("__own") + F.col("__before")) % folds).cast("int").alias("fold"))
 
 
 def grams(frame: DataFrame, features: Sequence[str], target: str, by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
@@ -521,9 +530,46 @@ def out_of_fold_means(frame: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def gaussian_lpd(frame: DataFrame, value: str, predicted: str) -> DataFrame:
-    """(lpd, rmse): mean log density of the values under a normal around the predictions, with the residuals' own variance."""
-    sums = frame.agg(F.avg(F.pow(F.col(value) - F.col(predicted), 2)).alias("__v"))
-    return sums.select((-0.5 * F.log(2 * np.pi * F.col("__v")) - 0.5).alias("lpd"), F.sqrt("__v").alias("rmse"))
+    """(lpd, rmse): mean log density of the values under a normal around the predictions, whose deviation is that of the residuals
+    around their own mean."""
+    error = F.col(value) - F.col(predicted)
+    sums = frame.agg(F.var_pop(error).alias("__v"), F.avg(error * error).alias("__e"))
+    return sums.select((-0.5 * F.log(2 * np.pi * F.col("__v")) - F.col("__e") / (2 * F.col("__v"))).alias("lpd"), F.sqrt("__e").alias("rmse"))
+
+
+def out_of_fold_lasso(frame: DataFrame, features: Sequence[str], target: str, key: str, fold: str = "fold", inner: int = 5) -> DataFrame:
+    """frame with `predicted`: each row's prediction by a model of the other folds' rows, whose medians stand in for what is missing,
+    and whose means and deviations scale; the penalty is the one of least error over `inner` folds of these rows.
+
+    Rows are summed once, by fold and inner fold, and the other folds' sums are sums of these. Every row gets a prediction; those
+    without a target teach nothing.
+    """
+    names, spark = list(features), frame.sparkSession
+    rows = quantiles.stored(frame.where(F.col(target).isNotNull() & F.col(fold).isNotNull()).select(F.col(fold).alias("__p"), F.col(key).alias("__k"), *(F.col(c).cast("double").alias(c) for c in names), F.col(target).cast("double").alias("__y")))
+    seen = {r["__p"]: r for r in rows.groupBy("__p").agg(F.count("*").alias("__rows"), *(F.count(c).alias(c) for c in names)).collect()}
+    holes = [c for c in names if any(r[c] < r["__rows"] for r in seen.values())]
+    medians: dict = {f: {} for f in seen}
+    if holes and len(seen) > 1:
+        others = F.explode(F.filter(F.array(*map(F.lit, sorted(seen))), lambda f: f != F.col("__p"))).alias("__f")  # a few copies
+        for r in quantiles.quantiles(quantiles.stored(rows.select(others, *holes)), ["__f"], holes).collect():
+            medians[r["__f"]] = {c: r[c][0] for c in holes if r[c]}
+    zeroed = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in names}
+    flags = {f"__n_{c}": F.col(c).isNull().cast("double") for c in holes}
+    parted = rows.withColumn("__fold", fold_of(F.col("__k"), inner, seed=43))
+    sums = moments_by(parted.withColumns(flags).withColumns(zeroed), [*names, *flags], "__y", ["__p", "__fold"])
+    fitted = []
+    for f in sorted(seen):
+        by_inner: dict[int, Moments] = {}
+        for (g, j), m in sums.items():
+            if g != f:
+                by_inner[j] = by_inner[j] + m if j in by_inner else m
+        if by_inner:
+            parts = [_imputed(m, names, holes, medians[f]) for _, m in sorted(by_inner.items())]
+            intercept, beta, _ = lasso(reduce(lambda x, y: x + y, parts), select_alpha(parts, one_se=False))
+            fitted.append((f, float(intercept), [float(b) for b in beta], [float(medians[f].get(c, 0.0)) for c in names]))
+    models_of = spark.createDataFrame(fitted, f"__f {dict(frame.dtypes)[fold]}, __a double, __beta array<double>, __m array<double>")
+    line = reduce(lambda acc, ic: acc + F.coalesce(F.col(ic[1]).cast("double"), F.col("__m")[ic[0]]) * F.col("__beta")[ic[0]], enumerate(names), F.col("__a"))
+    return frame.join(models_of, F.col(fold) == F.col("__f"), "left").select(*frame.columns, line.alias("predicted"))
 
 
 def shrunken_slopes(frame: DataFrame, group: str, x: str, y: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,7 +138,7 @@ ROWS_SQL = "r AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, l_suppkey AS
 @query(
     f"""WITH {ROWS_SQL}, f AS (SELECT *, {FOLD_SQL} AS fold FROM r),
        m AS (SELECT f.y, coalesce((sum(y) OVER (PARTITION BY g) - sum(y) OVER (PARTITION BY g, fold)) / nullif(count(y) OVER (PARTITION BY g) - count(y) OVER (PARTITION BY g, fold), 0), (sum(y) OVER () - sum(y) OVER (PARTITION BY fold)) / nullif(count(y) OVER () - count(y) OVER (PARTITION BY fold), 0)) AS p FROM f)
-       SELECT round(-0.5 * ln(2 * pi() * avg(pow(y - p, 2))) - 0.5, 6) AS lpd, round(sqrt(avg(pow(y - p, 2))), 3) AS rmse FROM m"""
+       SELECT round(-0.5 * ln(2 * pi() * var_pop(y - p)) - avg(pow(y - p, 2)) / (2 * var_pop(y - p)), 6) AS lpd, round(sqrt(avg(pow(y - p, 2))), 3) AS rmse FROM m"""
 )
 def m09_group_mean_lpd(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = frame(spark, sf_dir).select("row_id", "l_suppkey", "y").withColumn("fold", models.fold_of(F.col("row_id"), 5))
@@ -155,18 +153,22 @@ def m10_balanced_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.balanced_folds(views.read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", 5, group=["c_mktsegment"])
 
 
+def _out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of each fold by a model of the others; a tenth of the discounts is missing."""
+    rows = frame(spark, sf_dir).withColumn("fold", models.fold_of(F.col("row_id"), 5))
+    rows = rows.withColumn("l_discount", F.when(F.col("l_quantity") % 10 > 0, F.col("l_discount")))
+    return models.out_of_fold_lasso(rows, FEATURES, "y", "row_id").select("row_id", "fold", "y", "predicted")
+
+
 @query()
 def m10_out_of_fold_lasso(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions of each fold by a model of the others."""
-    rows = frame(spark, sf_dir).withColumn("fold", models.fold_of(F.col("row_id"), 5))
-    moments = {f: m for (f,), m in models.moments_by(rows, FEATURES, "y", ["fold"]).items()}
-    predicted = F.lit(None).cast("double")
-    for f in sorted(moments):
-        rest = [m for g, m in moments.items() if g != f]
-        if rest:
-            intercept, beta, _ = models.lasso(reduce(lambda a, b: a + b, rest), models.select_alpha(rest))
-            predicted = F.when(F.col("fold") == f, models.linear_score(FEATURES, intercept, beta)).otherwise(predicted)
-    return rows.select("row_id", "fold", "y", predicted.alias("predicted"))
+    return _out_of_fold(spark, sf_dir)
+
+
+@query()
+def m09_pooled_lasso_lpd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The density of the pooled predictions, beside that of the groups' means (m09_group_mean_lpd)."""
+    return models.gaussian_lpd(_out_of_fold(spark, sf_dir), "y", "predicted")
 
 
 @query(
