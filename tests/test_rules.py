@@ -184,3 +184,15 @@ def test_checklists(spark):
     ours, theirs = (spark.createDataFrame([("s", c) for c in codes], "set string, code string") for codes in (["1", "2", "3"], ["2", "2", "4"]))
     r = joins.reconcile(ours, theirs, ["set"], "code").first()
     assert (r["their_total"], r["our_total"], r["theirs_only"], r["ours_only"], r["ok"], r["share"], r["complete"]) == (3, 3, ["4"], ["1", "3"], False, 0.5, False)
+
+
+def test_hierarchical_frame(spark):
+    rows = [("ungraded", 0.1, "SS", 0.2, None, 1.0, None, "rookie_year", 2020, 7), ("ungraded", 0.3, None, 0.4, None, 3.0, 5.0, "other", 2021, 8), ("ungraded", 0.5, "P", 0.9, 0.25, 1.0, 1.0, "prospect", 2021, 9), ("psa_10", 0.5, "SS", 0.9, None, 1.0, 1.0, "prospect", 2021, 9), ("ungraded", None, "SS", 0.9, None, 1.0, 1.0, "prospect", 2021, 9), ("ungraded", 0.5, "SS", None, 0.1, 1.0, 1.0, "prospect", 2021, 9), ("ungraded", 0.5, "SS", 0.3, 0.1, 1.0, 1.0, "prospect", None, 9)]
+    panel = spark.createDataFrame(rows, "grade string, ret_12m double, position string, surprise_ops double, surprise_era double, market_ret_3m double, price_level double, career_stage string, class_year int, entity_id int")
+    found, scaling = panels.hierarchical_frame(panel, pitchers=False)
+    got = {r["entity_id"]: r for r in found.collect()}
+    assert got.keys() == {"7", "8"} and got["7"]["class_position"] == "2020_SS" and got["8"]["class_position"] == "2021_None" and got["8"]["career_stage"] is None
+    assert abs(got["7"]["surprise"] + 1) < 1e-9 and abs(got["8"]["market_ret_3m"] - 1) < 1e-9 and got["7"]["price_level"] is None and got["8"]["price_level"] == 0
+    assert {r["predictor"]: (round(r["mean"], 9), round(r["sd"], 9)) for r in scaling.collect()} == {"surprise": (0.3, 0.1), "market_ret_3m": (2.0, 1.0), "price_level": (5.0, 1.0)}
+    (pitcher,) = panels.hierarchical_frame(panel, pitchers=True)[0].collect()
+    assert pitcher["entity_id"] == "9" and pitcher["surprise"] == 0 and panels.hierarchical_frame(panel, pitchers=True)[1].where("predictor = 'surprise'").first()["mean"] == -0.25

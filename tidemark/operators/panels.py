@@ -256,3 +256,35 @@ def standardize(frame: DataFrame, columns: list[str]) -> DataFrame:
     out = filled.crossJoin(F.broadcast(moments))
     z = {c: F.when(F.col(f"__s_{c}") > 1e-12, (F.col(c) - F.col(f"__a_{c}")) / F.col(f"__s_{c}")).otherwise(F.lit(0.0)) for c in columns}
     return out.withColumns(z).drop(*(f"__a_{c}" for c in columns), *(f"__s_{c}" for c in columns))
+
+
+STAGES = ("prospect", "rookie_year", "sophomore", "established")
+PREDICTORS = ("surprise", "market_ret_3m", "price_level")
+
+
+def hierarchical_frame(panel: DataFrame, pitchers: bool, target: str = "ret_12m", year: str = "class_year") -> tuple[DataFrame, DataFrame]:
+    """(rows for a model with varying intercepts: y, the predictors, career_stage, class_year, class_position and entity_id; the scaling of each
+    predictor: predictor, mean, sd).
+
+    Rows are ungraded ones of one group with a target and a surprise; a pitcher's surprise counts with its sign turned, and a null position
+    is no pitcher. Predictors are less their mean over their population deviation (1 where they don't vary); what is missing in the others
+    stays missing. A stage that isn't one of STAGES is null. Rows without a class year or an entity have no group and are left out.
+    """
+    is_pitcher = F.col("position").eqNullSafe("P")
+    surprise = -F.col("surprise_era") if pitchers else F.col("surprise_ops")
+    rows = panel.where((F.col("grade") == "ungraded") & F.col(target).isNotNull() & (is_pitcher if pitchers else ~is_pitcher)).withColumn("surprise", surprise.cast("double"))
+    rows = quantiles.stored(rows.where(F.col("surprise").isNotNull() & F.col(year).isNotNull() & F.col("entity_id").isNotNull()))
+    moments = rows.agg(*(x for c in PREDICTORS for x in (F.avg(F.col(c).cast("double")).alias(f"__a_{c}"), F.stddev_pop(F.col(c).cast("double")).alias(f"__s_{c}"))))
+    sd = {c: F.coalesce(F.nullif(F.col(f"__s_{c}"), F.lit(0.0)), F.lit(1.0)) for c in PREDICTORS}
+    scaling = moments.select(F.stack(F.lit(len(PREDICTORS)), *(x for c in PREDICTORS for x in (F.lit(c), F.col(f"__a_{c}"), sd[c]))).alias("predictor", "mean", "sd"))
+    made = rows.crossJoin(F.broadcast(moments))  # one row
+    class_year = F.col(year).cast("int").cast("string")
+    out = made.select(
+        F.col(target).cast("double").alias("y"),
+        *(((F.col(c).cast("double") - F.col(f"__a_{c}")) / sd[c]).alias(c) for c in PREDICTORS),
+        F.when(F.col("career_stage").isin(*STAGES), F.col("career_stage")).alias("career_stage"),
+        class_year.alias("class_year"),
+        F.concat(class_year, F.lit("_"), F.coalesce("position", F.lit("None"))).alias("class_position"),
+        F.col("entity_id").cast("bigint").cast("string").alias("entity_id"),
+    )
+    return out, scaling

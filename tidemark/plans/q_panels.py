@@ -245,6 +245,45 @@ def n09_n10_standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(panels.standardize(rows, ["c_acctbal", "flat"]))
 
 
+MODEL_SQL = """p AS (SELECT CASE WHEN l_returnflag = 'N' THEN 'ungraded' ELSE 'psa_10' END AS grade, CASE WHEN l_quantity < 45 THEN l_extendedprice / 1000 END AS ret_12m, CASE l_linenumber % 4 WHEN 0 THEN 'P' WHEN 1 THEN 'SS' WHEN 2 THEN 'OF' END AS position,
+         CASE WHEN l_tax > 0.01 THEN l_discount - 0.05 END AS surprise_ops, CASE WHEN l_tax > 0.02 THEN 0.05 - l_discount END AS surprise_era, CASE WHEN l_quantity > 3 THEN l_tax END AS market_ret_3m, ln(l_quantity) AS price_level,
+         CASE l_suppkey % 5 WHEN 0 THEN 'prospect' WHEN 1 THEN 'rookie_year' WHEN 2 THEN 'sophomore' WHEN 3 THEN 'established' ELSE 'other' END AS career_stage, year(l_shipdate) AS class_year, l_suppkey AS entity_id FROM lineitem),
+       r AS (SELECT *, surprise_ops AS surprise FROM p WHERE grade = 'ungraded' AND ret_12m IS NOT NULL AND position IS DISTINCT FROM 'P' AND surprise_ops IS NOT NULL),
+       m AS (SELECT avg(surprise) AS a1, stddev_pop(surprise) AS s1, avg(market_ret_3m) AS a2, stddev_pop(market_ret_3m) AS s2, avg(price_level) AS a3, stddev_pop(price_level) AS s3 FROM r)"""
+
+
+def _model_frame(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    c = F.col
+    kind, stage = c("l_linenumber") % 4, c("l_suppkey") % 5
+    panel = views.read(spark, sf_dir, "lineitem").select(
+        F.when(c("l_returnflag") == "N", "ungraded").otherwise("psa_10").alias("grade"),
+        F.when(c("l_quantity") < 45, c("l_extendedprice") / 1000).alias("ret_12m"),
+        F.when(kind == 0, "P").when(kind == 1, "SS").when(kind == 2, "OF").alias("position"),
+        F.when(c("l_tax") > 0.01, c("l_discount") - 0.05).alias("surprise_ops"),
+        F.when(c("l_tax") > 0.02, 0.05 - c("l_discount")).alias("surprise_era"),
+        F.when(c("l_quantity") > 3, c("l_tax")).alias("market_ret_3m"),
+        F.log("l_quantity").alias("price_level"),
+        F.when(stage == 0, "prospect").when(stage == 1, "rookie_year").when(stage == 2, "sophomore").when(stage == 3, "established").otherwise("other").alias("career_stage"),
+        F.year("l_shipdate").alias("class_year"),
+        c("l_suppkey").alias("entity_id"),
+    )
+    return panels.hierarchical_frame(panel, pitchers=False)
+
+
+@query(
+    f"""WITH {MODEL_SQL} SELECT round(ret_12m, 6) AS y, round((surprise - a1) / s1, 6) AS surprise, round((market_ret_3m - a2) / s2, 6) AS market_ret_3m, round((price_level - a3) / s3, 6) AS price_level, nullif(career_stage, 'other') AS career_stage,
+       CAST(class_year AS VARCHAR) AS class_year, CAST(class_year AS VARCHAR) || '_' || coalesce(position, 'None') AS class_position, CAST(entity_id AS VARCHAR) AS entity_id FROM r, m"""
+)
+def n09_hierarchical_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_model_frame(spark, sf_dir)[0])
+
+
+@query(f"WITH {MODEL_SQL} SELECT 'surprise' AS predictor, round(a1, 6) AS mean, round(s1, 6) AS sd FROM m UNION ALL SELECT 'market_ret_3m', round(a2, 6), round(s2, 6) FROM m UNION ALL SELECT 'price_level', round(a3, 6), round(s3, 6) FROM m")
+def n09_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the predictors were scaled by."""
+    return rounded(_model_frame(spark, sf_dir)[1])
+
+
 @query("SELECT card_slug AS item, month AS period, round(ln(price), 6) AS y FROM v_month_ends WHERE grade = 'psa_10'", "v_month_ends")
 def n11_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_months(spark, sf_dir).where("grade = 'psa_10'").select(F.col("card_slug").alias("item"), F.col("month").alias("period"), F.log("price").alias("y")))
