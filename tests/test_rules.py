@@ -196,3 +196,10 @@ def test_hierarchical_frame(spark):
     assert {r["predictor"]: (round(r["mean"], 9), round(r["sd"], 9)) for r in scaling.collect()} == {"surprise": (0.3, 0.1), "market_ret_3m": (2.0, 1.0), "price_level": (5.0, 1.0)}
     (pitcher,) = panels.hierarchical_frame(panel, pitchers=True)[0].collect()
     assert pitcher["entity_id"] == "9" and pitcher["surprise"] == 0 and panels.hierarchical_frame(panel, pitchers=True)[1].where("predictor = 'surprise'").first()["mean"] == -0.25
+
+
+def test_numbered_lists_of_any_length(spark):
+    """Ranks of four digits and more are lines as others are; a year in front of a sentence isn't a rank."""
+    text = "\n".join(f"{i} . Name {i % 7}, SS, NYA" for i in range(998, 1203)) + "\n12345. Last Name, OF, PHI\n2019 was a year, SS, NYA"
+    got = parse.numbered_list(spark.createDataFrame([("d", text)], "d string, t string"), "d", "t").orderBy("rank").collect()
+    assert [r["rank"] for r in got] == [*range(998, 1203), 12345]

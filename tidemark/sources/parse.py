@@ -227,7 +227,7 @@ def set_slugs(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 #: A numbered line, a line in rank order, and a name with the rest of its line below it.
-NUMBERED_LINE = r"^(\d{1,3})\s*\.\s*(.+?),\s*([A-Z0-9/ ]+?)(?:,\s*|\s+)([A-Z]{2,3})$"
+NUMBERED_LINE = r"^(\d{1,9})\s*\.\s*(.+?),\s*([A-Z0-9/ ]+?)(?:,\s*|\s+)([A-Z]{2,3})$"
 ORDERED_LINE = r"^(.+?),\s*([A-Z0-9/ ]+),\s*([A-Za-z]{2,3})$"
 NAME_ABOVE = r"([A-ZÀ-Ý][A-Za-zÀ-ÿ'. -]{2,40})\n,\s*([A-Z0-9/ ]+),\s*([A-Za-z]{2,3})\n"
 LIST_END = "Season-end"
