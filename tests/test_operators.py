@@ -304,3 +304,12 @@ def test_spike_alerts_equal_a_loop(spark, tmp_path):
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
         got = sorted((r["market_id"], r["ts"]) for r in jobs.run_available(jobs.spike_alerts(stream), f"{tmp_path}/out").collect())
     assert got == alerts_of(rows) and got
+
+
+def test_breakouts_on_the_bound(spark):
+    """A last score that lies on 1.5 deviations is in, however its base is rounded; one less isn't."""
+    cases = [((6, 6, 5, 5, 4, 3, 3, 0), 7), ((7, 7, 6, 6, 5, 4, 4, 1), 8), ((7, 7, 5, 4, 3, 3, 3, 3, 1), 7), ((3, 3, 2, 2, 0, 0, 0, 0, 0, 0), 3), ((4, 2, 2, 1, 1, 0, 0, 0, 0, 0), 3)]
+    rows = [(2 * e + less, "mlb", i, i, x) for e, (base, score) in enumerate(cases) for less in (0, 1) for i, x in enumerate([*base, score - less])]
+    df = spark.createDataFrame(rows, "entity_id long, level string, date int, game_id int, x long")
+    found = windows.breakouts(df, F.col("x"), F.lit(True), F.lit(1), any_row=True, least_weight=0, z_min=1.5).where("game_id = baseline_n AND baseline_n >= 8")
+    assert {(r["entity_id"], r["z"]) for r in found.collect()} == {(2 * e, 1.5) for e in range(len(cases))}

@@ -48,7 +48,8 @@ def trailing_features(months: DataFrame, keys: list[str]) -> DataFrame:
 def breakouts(logs: DataFrame, score: Column, usable: Column, weight: Column, any_row: bool, baseline: int = 30, least_rows: int = 5, least_weight: float = 20, z_min: float = 2.5, order: tuple[str, ...] = ("date", "game_id")) -> DataFrame:
     """Rows whose score lies z_min deviations above the last `baseline` usable earlier rows of the entity and level.
 
-    Usable rows are numbered, and the frame runs over the numbers, so rows in between don't take a place.
+    Usable rows are numbered, and the frame runs over the numbers, so rows in between don't take a place. A score is compared by squares
+    of sums, n (n x - sum)^2 with the variance's, which are exact for whole scores: a row that lies on z_min is in.
     """
     keys = ["entity_id", "level"]
     rows = logs.withColumns({"score": score.cast("double"), "__usable": usable, "__w": weight})
@@ -56,10 +57,15 @@ def breakouts(logs: DataFrame, score: Column, usable: Column, weight: Column, an
     rows = rows.withColumn("__u", F.coalesce(F.sum(F.col("__usable").cast("int")).over(before), F.lit(0)))
     frame = Window.partitionBy(*keys).orderBy("__u").rangeBetween(-baseline, -1)
     own = F.when(F.col("__usable"), F.col("score"))
-    rows = rows.withColumns({"baseline_n": F.count(own).over(frame), "__mean": F.avg(own).over(frame), "__sd": F.stddev_samp(own).over(frame), "__weight": F.coalesce(F.sum(F.when(F.col("__usable"), F.col("__w"))).over(frame), F.lit(0))})
-    rows = rows.withColumn("z", (F.col("score") - F.col("__mean")) / F.nullif("__sd", F.lit(0.0)))
-    enough = (F.col("baseline_n") >= max(least_rows, 2)) & (F.col("__weight") >= least_weight) & (F.col("z") >= z_min)
-    return rows.where(enough if any_row else enough & F.col("__usable")).drop("__usable", "__w", "__u", "__mean", "__sd", "__weight")
+    number = F.count(own).over(frame)
+    sums = {"__s": F.sum(own).over(frame), "__q": F.sum(own * own).over(frame), "__low": F.min(own).over(frame), "__high": F.max(own).over(frame)}
+    rows = rows.withColumns({"baseline_n": number, **sums, "__weight": F.coalesce(F.sum(F.when(F.col("__usable"), F.col("__w"))).over(frame), F.lit(0))})
+    n, s = F.col("baseline_n").cast("double"), F.col("__s")
+    rows = rows.withColumns({"__d": n * F.col("score") - s, "__v": F.when(F.col("__low") < F.col("__high"), F.nullif(F.greatest(n * F.col("__q") - s * s, F.lit(0.0)), F.lit(0.0)))})
+    rows = rows.withColumn("z", F.when(n > 1, F.col("__d") / F.sqrt(n * F.col("__v") / (n - 1))))
+    far = F.col("__d") * F.abs("__d") * (n - 1) >= z_min * abs(z_min) * n * F.col("__v")
+    enough = (F.col("baseline_n") >= max(least_rows, 2)) & (F.col("__weight") >= least_weight) & far
+    return rows.where(enough if any_row else enough & F.col("__usable")).drop("__usable", "__w", "__u", *sums, "__d", "__v", "__weight")
 
 
 def drop_overlaps(events: DataFrame, keys: list[str], date: str, days: int = 14, order: list[str] | None = None) -> DataFrame:

@@ -158,12 +158,17 @@ def w08_drop_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.drop_overlaps(known, ["entity_id"], "event_date", order=["event_date"])
 
 
+#: Scores are whole numbers, so sums are exact, and squares tell a score that lies on 1.5 deviations from one just below.
+Z_SQL = """SELECT entity_id, level, date, game_id, CAST(score AS DOUBLE) AS score, baseline_n, round(d / sqrt(CAST(baseline_n * v AS DOUBLE) / (baseline_n - 1)), 6) AS z
+         FROM (SELECT *, baseline_n * score - s AS d, baseline_n * q - s * s AS v FROM b) WHERE baseline_n >= 5 AND v > 0 AND d > 0 AND 4 * d * d * (baseline_n - 1) >= 9 * baseline_n * v"""
+
+
 @query(
-    """WITH g AS (SELECT *, total_bases + walks + stolen_bases AS score FROM v_logs WHERE role = 'hitting'),
+    f"""WITH g AS (SELECT *, total_bases + walks + stolen_bases AS score FROM v_logs WHERE role = 'hitting'),
        u AS (SELECT *, coalesce(sum(CASE WHEN plate_appearances > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY entity_id, level ORDER BY date, game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM g),
-       b AS (SELECT *, count(CASE WHEN plate_appearances > 0 THEN score END) OVER w AS baseline_n, avg(CASE WHEN plate_appearances > 0 THEN score END) OVER w AS mean, stddev_samp(CASE WHEN plate_appearances > 0 THEN score END) OVER w AS sd,
+       b AS (SELECT *, count(CASE WHEN plate_appearances > 0 THEN score END) OVER w AS baseline_n, sum(CASE WHEN plate_appearances > 0 THEN score END) OVER w AS s, sum(CASE WHEN plate_appearances > 0 THEN score * score END) OVER w AS q,
          coalesce(sum(CASE WHEN plate_appearances > 0 THEN plate_appearances END) OVER w, 0) AS pa FROM u WINDOW w AS (PARTITION BY entity_id, level ORDER BY u RANGE BETWEEN 30 PRECEDING AND 1 PRECEDING))
-       SELECT entity_id, level, date, game_id, CAST(score AS DOUBLE) AS score, baseline_n, round((score - mean) / nullif(sd, 0), 6) AS z FROM b WHERE baseline_n >= 5 AND pa >= 20 AND (score - mean) / nullif(sd, 0) >= 1.5""",
+       {Z_SQL} AND pa >= 20""",
     "v_logs",
 )
 def w06_breakouts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,9 +179,9 @@ def w06_breakouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH g AS (SELECT *, 50 + outs + 2 * greatest(0, floor((outs - 12) / 3.0)) + strike_outs - 2 * hits - 4 * earned_runs - 2 * greatest(0, runs - earned_runs) - walks AS score FROM v_logs WHERE role = 'pitching' AND games_started = 1),
-       b AS (SELECT *, count(*) OVER w AS baseline_n, avg(score) OVER w AS mean, stddev_samp(score) OVER w AS sd FROM g WINDOW w AS (PARTITION BY entity_id, level ORDER BY date, game_id ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING))
-       SELECT entity_id, level, date, game_id, CAST(score AS DOUBLE) AS score, baseline_n, round((score - mean) / nullif(sd, 0), 6) AS z FROM b WHERE baseline_n >= 5 AND (score - mean) / nullif(sd, 0) >= 1.5""",
+    f"""WITH g AS (SELECT *, 50 + outs + 2 * greatest(0, floor((outs - 12) / 3.0)) + strike_outs - 2 * hits - 4 * earned_runs - 2 * greatest(0, runs - earned_runs) - walks AS score FROM v_logs WHERE role = 'pitching' AND games_started = 1),
+       b AS (SELECT *, count(*) OVER w AS baseline_n, sum(score) OVER w AS s, sum(score * score) OVER w AS q FROM g WINDOW w AS (PARTITION BY entity_id, level ORDER BY date, game_id ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING))
+       {Z_SQL}""",
     "v_logs",
 )
 def w06_pitcher_breakouts(spark: SparkSession, sf_dir: str) -> DataFrame:
