@@ -102,3 +102,12 @@ def test_classes_of_names(spark):
     got = identity.classes_of_names(spark.createDataFrame(rows, "name string, year int, family string, card_url string")).orderBy("class_year")
     assert [tuple(r) for r in got.collect()] == [("Other", 2020, "draft", "v"), ("jose a", 2021, "chrome", "u2")]
     assert identity.folded_tokens(F.lit("x")) is not None
+
+
+def test_names_meet_texts_on_the_whole_name(spark):
+    """Names and texts that share words without the whole name aren't paired on the way; dots and accents part words in both."""
+    names = [(n,) for n in ("Al Bo", "Al Bo Jr.", "José Cruz", "J.D. Smith", "Bo", "Al Cy")]
+    texts = ["1 al-bo jr #5", "Jose Cruz", "j d smith", "JD Smith", "bob al", "Bo bo"]
+    met = identity.naming(spark.createDataFrame(names, "name string"), spark.createDataFrame([(t,) for t in texts], "title string"), "name", "title")
+    want = {("Al Bo", texts[0]), ("Al Bo Jr.", texts[0]), ("Bo", texts[0]), ("José Cruz", texts[1]), ("J.D. Smith", texts[2]), ("Bo", texts[5])}
+    assert sorted((r["name"], r["title"]) for r in met.collect()) == sorted(want)

@@ -92,20 +92,22 @@ def resolve_ids(asked: DataFrame, people: DataFrame, nicknames: DataFrame, direc
     return rows.select("name", "class_year", settled.alias("id"), status.alias("status")), of_search.unionByName(of_directory)
 
 
-def _longest(tokens: Column) -> Column:
-    """The longest token, the last of equals: what names and texts meet on."""
-    return F.element_at(F.array_sort(F.transform(tokens, lambda t, i: F.struct(F.length(t).alias("n"), i.alias("i"), t.alias("t")))), -1)["t"]
-
-
 def _plain_tokens(c: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(f.normalize_name(c), "[^a-z0-9]+", " ")), " ")
+    """As scalars.name_in_text() sees a text."""
+    return F.split(F.trim(F.regexp_replace(F.translate(F.lower(c), *f.ACCENTS), "[^a-z0-9]+", " ")), " ")
 
 
 def naming(names: DataFrame, texts: DataFrame, name: str, text: str) -> DataFrame:
-    """names joined with the texts that hold the whole name, word by word: they meet on the name's longest token."""
-    one = names.withColumn("__token", _longest(_plain_tokens(F.col(name))))
-    two = texts.withColumn("__token", F.explode(F.array_distinct(_plain_tokens(F.col(text)))))
-    return one.join(two, "__token").where(f.name_in_text(F.col(name), F.col(text))).drop("__token")
+    """names joined with the texts that hold the whole name, word by word: they meet on the whole name, as every run of a text's words
+    that is as long as some name is a row. So only pairs of the result are made, however many names share a word."""
+    own = _plain_tokens(F.col(name))
+    one = names.withColumn("__gram", F.array_join(own, " "))
+    lengths = names.agg(F.collect_set(F.size(own)).alias("__lengths"))  # one row of few numbers
+    size = F.size("__t")
+    fits = F.filter("__lengths", lambda n: n <= size)
+    runs = F.flatten(F.transform(fits, lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice("__t", i, n), " "))))
+    two = texts.withColumn("__t", _plain_tokens(F.col(text))).crossJoin(F.broadcast(lengths)).withColumn("__gram", F.explode(F.array_distinct(runs))).drop("__t", "__lengths")
+    return one.join(two, "__gram").drop("__gram")
 
 
 def base_items(players: DataFrame, items: DataFrame, years: int = 3) -> DataFrame:
