@@ -313,3 +313,11 @@ def test_breakouts_on_the_bound(spark):
     df = spark.createDataFrame(rows, "entity_id long, level string, date int, game_id int, x long")
     found = windows.breakouts(df, F.col("x"), F.lit(True), F.lit(1), any_row=True, least_weight=0, z_min=1.5).where("game_id = baseline_n AND baseline_n >= 8")
     assert {(r["entity_id"], r["z"]) for r in found.collect()} == {(2 * e, 1.5) for e in range(len(cases))}
+
+
+def test_sales_meet_events_without_a_broadcast(spark):
+    """The driver gets no events, however small they look: their number has no bound."""
+    events = spark.sql("SELECT id AS entity_id, TIMESTAMP_NTZ '2020-01-01' AS event_date FROM range(5)")
+    sales = spark.sql("SELECT id AS entity_id, TIMESTAMP_NTZ '2020-01-03' AS sale_date FROM range(5)")
+    met = joins.event_sales(events, sales, "entity_id", 5, 5)
+    assert met.count() == 5 and "Broadcast" not in met._jdf.queryExecution().sparkPlan().toString()

@@ -57,7 +57,7 @@ def sale_pairs(sales: DataFrame, events: DataFrame, grade: str, baseline_days: i
     base = rows.groupBy(*keys).agg(F.count(F.when(before, 1)).alias("n_base"), F.count(F.when(near, 1)).alias("n_window"), F.percentile(F.when(before, F.col("price")), F.lit(0.5)).alias("baseline"))
     pairs = events.select("entity_id", "event_date").join(graded.select("entity_id", "card_slug").distinct(), "entity_id")
     status = F.when(F.coalesce("n_base", F.lit(0)) < min_baseline, "dropped_baseline").when(F.col("n_window") < min_window, "dropped_window").otherwise("kept")
-    return rows.where(near), pairs.join(base, keys, "left").withColumn("status", status)
+    return rows.where(near), pairs.join(base.hint("merge"), keys, "left").withColumn("status", status)
 
 
 def sale_windows(sales: DataFrame, events: DataFrame, grade: str, **limits) -> tuple[DataFrame, DataFrame]:
@@ -69,7 +69,7 @@ def sale_windows(sales: DataFrame, events: DataFrame, grade: str, **limits) -> t
 def relative_windows(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     keys = ["entity_id", "card_slug", "event_date"]
     days = (F.unix_micros(F.col("sale_date").cast("timestamp")) - F.unix_micros(F.col("event_date").cast("timestamp"))) / 86_400_000_000
-    kept = rows.join(pairs.where("status = 'kept'").select(*keys, "baseline"), keys)
+    kept = rows.join(pairs.where("status = 'kept'").select(*keys, "baseline").hint("merge"), keys)
     return kept.select(*keys, "sale_date", days.alias("t_days"), (F.col("price") / F.col("baseline")).alias("rel_price"))
 
 
@@ -133,7 +133,7 @@ def weighted_medians(values: np.ndarray, owners: np.ndarray, weights: np.ndarray
     return (found[0] + found[1]) / 2
 
 
-def lag_bounds(windows: DataFrame, value: str, n_reps: int = 2000, seed: int = 42, low: int = -14, high: int = 14, least_reps: int = 20, part: int = 500) -> DataFrame:
+def lag_bounds(windows: DataFrame, value: str, n_reps: int = 2000, seed: int = 42, low: int = -14, high: int = 14, least_reps: int = 20, part: int = 250) -> DataFrame:
     """(t_bin, ci_lo, ci_hi): bounds of the medians over resampled events; all sales of an event that is drawn come along, as
     often as it is drawn.
 
@@ -143,15 +143,17 @@ def lag_bounds(windows: DataFrame, value: str, n_reps: int = 2000, seed: int = 4
     t = F.floor(F.col("t_days") + 0.5)
     event = ["entity_id", "event_date"]
     rows = quantiles.stored(windows.where(F.col(value).isNotNull() & t.between(low, high)).groupBy(*event, t.alias("t_bin")).agg(F.collect_list(F.col(value).cast("double")).alias("__v")))
-    drawn = resample.drawn(rows.select(*event).distinct(), n_reps, seed, event).withColumn("__part", F.floor(F.col("rep") / part).cast("int"))
-    weights = drawn.groupBy(*event, "__part").agg(F.collect_list((F.col("rep") % part).cast("int")).alias("__rep"), F.collect_list(F.col("times").cast("int")).alias("__times"))
-    met = rows.join(weights, event).select("t_bin", "__part", "__v", "__rep", "__times")
+    pool = resample.numbered(rows.select(*event).distinct(), event)
+    weights = resample.places(pool, n_reps, seed).groupBy("__i", F.floor(F.col("rep") / part).cast("int").alias("__part")).agg(F.collect_list((F.col("rep") % part).cast("int")).alias("__rep"))
+    # Merges: the files of both are small beside what they take in memory, so a broadcast by their size would fill the driver.
+    placed = rows.join(pool.select(*event, "__i").hint("merge"), event).select("__i", "t_bin", "__v")
+    met = placed.join(weights.hint("merge"), "__i").select("t_bin", "__part", "__v", "__rep")
 
     def medians(group: pd.DataFrame) -> pd.DataFrame:
         sizes = [len(v) for v in group["__v"]]
         dense = np.zeros((len(group), part), np.int32)
-        for i, (reps, times) in enumerate(zip(group["__rep"], group["__times"], strict=True)):
-            dense[i, reps] = times
+        for i, reps in enumerate(group["__rep"]):
+            dense[i] = np.bincount(reps, minlength=part)
         found = weighted_medians(np.concatenate(group["__v"].to_list()), np.repeat(np.arange(len(group)), sizes), dense)
         return pd.DataFrame({"t_bin": group["t_bin"].iloc[0], "m": found[~np.isnan(found)]})
 

@@ -28,14 +28,15 @@ def liquidity_outer(sales: DataFrame, chart: DataFrame, keys: list[str]) -> Data
 def event_sales(events: DataFrame, sales: DataFrame, key: str, before: int, after: int, bin_days: int = 28) -> DataFrame:
     """Sales within [event - before, event + after] days of an event of their entity.
 
-    An equi join on entity and bins of days, then the exact bounds: an entity with many sales is spread over its bins.
+    An equi join on entity and bins of days, then the exact bounds: an entity with many sales is spread over its bins. It is a merge,
+    so that the driver gets no events.
     """
     day = lambda c: F.unix_date(F.to_date(c))
     first, last = F.floor((day("event_date") - before) / bin_days), F.floor((day("event_date") + after) / bin_days)
     spread = events.withColumn("__bin", F.explode(F.sequence(first, last)))
     binned = sales.withColumn("__bin", F.floor(day("sale_date") / bin_days))
     apart = F.col("sale_date").between(F.col("event_date") - F.make_dt_interval(F.lit(before)), F.col("event_date") + F.make_dt_interval(F.lit(after)))
-    return spread.join(binned, [key, "__bin"]).where(apart).drop("__bin")
+    return spread.hint("merge").join(binned, [key, "__bin"]).where(apart).drop("__bin")
 
 
 def map_names(names: DataFrame, directory: DataFrame, name: Column, directory_name: Column, id_column: str) -> DataFrame:

@@ -3,6 +3,7 @@
 A mergeable sketch brackets the wanted ranks; a second pass counts what lies in each cell between the brackets, and only the rows of
 the cells that hold a rank are kept, as distinct values with their numbers. Cells that are still large are split again. So no task
 holds a group: a sketch is a few KB, a count a row for each group and cell, and what is sorted at last has at most `FITS` values.
+Joins of targets are merges: several broadcasts of many groups at a time would fill a small driver.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def narrowed(rows: DataFrame, targets: DataFrame, splitters: DataFrame) -> tuple
     """
     marked = rows.join(splitters, "g").withColumn("cell", F.size(F.filter("s", lambda s: s < F.col("v"))))
     counts = marked.groupBy("g", "cell", "p").agg(F.sum("w").alias("n"))
-    met = targets.join(counts, "g").where("p < t").groupBy("g", "t", "k", "cell").agg(F.sum("n").alias("n"))
+    met = targets.join(counts.hint("merge"), "g").where("p < t").groupBy("g", "t", "k", "cell").agg(F.sum("n").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("g", "t", "k").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     found = met.withColumn("before", before).where("k >= before AND k < before + n")
     inner = F.struct(F.col("g"), F.col("cell")).alias("g")
@@ -65,13 +66,13 @@ def order_statistics(rows: DataFrame, targets: DataFrame, splitters: DataFrame |
         rows, found = narrowed(rows, wanted, splitters)
         rows, found = stored(rows), stored(found)
         step = found.select(F.col("g").alias("inner"), "t", F.col("k").alias("rest"), F.col("inner").alias("next"), F.col("rest").alias("left"))
-        told = told.join(step, ["inner", "t", "rest"]).select("g", "t", "k", F.col("next").alias("inner"), F.col("left").alias("rest"))
+        told = told.join(step.hint("merge"), ["inner", "t", "rest"]).select("g", "t", "k", F.col("next").alias("inner"), F.col("left").alias("rest"))
         splitters = None
     wanted = told.select("inner", "t", "rest").distinct()
     met = rows.withColumnRenamed("g", "inner").join(wanted, "inner").where("p < t").groupBy("inner", "t", "rest", "v").agg(F.sum("w").alias("w"))
     until = F.sum("w").over(Window.partitionBy("inner", "t", "rest").orderBy("v"))  # a cell's distinct values: at most `fits`
     found = met.withColumn("until", until).where("rest >= until - w AND rest < until")
-    return told.join(found.select("inner", "t", "rest", "v"), ["inner", "t", "rest"]).select("g", "t", "k", "v")
+    return told.join(found.select("inner", "t", "rest", "v").hint("merge"), ["inner", "t", "rest"]).select("g", "t", "k", "v")
 
 
 def _largest(rows: DataFrame) -> int:
@@ -100,7 +101,7 @@ def quantiles(frame: DataFrame, keys: Sequence[str], columns: Sequence[str], pro
     wanted = stats.select("g", F.explode(_ranks(F.col("n"), probs)).alias("r")).select("g", "r.*")
     targets = wanted.select("g", F.explode(F.array("low", "high")).alias("k")).distinct().select("g", F.lit(1).alias("t"), "k")
     at = order_statistics(rows, targets, stats.select("g", "s"), fits)
-    both = wanted.join(at.select("g", F.col("k").alias("low"), F.col("v").alias("a")), ["g", "low"]).join(at.select("g", F.col("k").alias("high"), F.col("v").alias("b")), ["g", "high"])
+    both = wanted.join(at.select("g", F.col("k").alias("low"), F.col("v").alias("a")).hint("merge"), ["g", "low"]).join(at.select("g", F.col("k").alias("high"), F.col("v").alias("b")).hint("merge"), ["g", "high"])
     value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((1 - F.col("part")) * F.col("a") + F.col("part") * F.col("b"))
     found = both.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", value.alias("v")))).alias("q")).select("g", F.transform("q", lambda x: x["v"]).alias("q"))
     per_column = [F.max(F.when(F.col("g.__c") == i, F.col("q"))).alias(c) for i, c in enumerate(names)]

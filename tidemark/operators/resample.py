@@ -25,7 +25,7 @@ def draws_sql(seed: int, n_reps: int, pool: str, slots: str = "z") -> str:
     return f"SELECT rep, {draw_sql(seed, 'rep', 'slot', 'z')} AS i FROM range({n_reps}) r(rep), (SELECT z, unnest(range({slots})) AS slot FROM (SELECT count(*) AS z FROM {pool}))"
 
 
-def _numbered(pool: DataFrame, order: list[str]) -> DataFrame:
+def numbered(pool: DataFrame, order: list[str]) -> DataFrame:
     """pool with its place `__i` in the order, and its size `__n`; draws name rows by these places. Ranges of the order are
     written and counted, so no task sorts the whole pool, and a range that is read again is the same."""
     spark = pool.sparkSession
@@ -46,16 +46,22 @@ def replicates(pool: DataFrame, n_reps: int, seed: int, order: list[str]) -> Dat
     return times.withColumn("__t", F.explode(F.sequence(F.lit(1), "times"))).drop("__t", "times")
 
 
-def drawn(pool: DataFrame, n_reps: int, seed: int, order: list[str]) -> DataFrame:
-    """(rep, row of pool, times): how often each replicate draws the row, if it does.
+def places(pool: DataFrame, n_reps: int, seed: int) -> DataFrame:
+    """(rep, __i): the places in a numbered pool that each replicate draws, a row for each draw.
 
     Each slot of a replicate is a row of its own, made where the pool's rows are: slots are as many as rows, so every numbered row
-    brings the slot of its number, and draws meet the pool by number. The pool is joined without a hint, as its size has no bound.
+    brings the slot of its number.
     """
-    numbered = _numbered(pool, order)
-    slots = numbered.select(F.col("__i").alias("__slot"), "__n").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_reps - 1))))
-    draws = slots.select("rep", draw(seed, F.col("rep"), F.col("__slot"), F.col("__n")).alias("__i")).groupBy("rep", "__i").agg(F.count("*").alias("times"))
-    return draws.join(numbered.drop("__n"), "__i").drop("__i")
+    slots = pool.select(F.col("__i").alias("__slot"), "__n").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_reps - 1))))
+    return slots.select("rep", draw(seed, F.col("rep"), F.col("__slot"), F.col("__n")).alias("__i"))
+
+
+def drawn(pool: DataFrame, n_reps: int, seed: int, order: list[str]) -> DataFrame:
+    """(rep, row of pool, times): how often each replicate draws the row, if it does. Draws meet the pool by number, in a merge: the
+    pool's size has no bound, and its file's size doesn't say what it takes on the driver."""
+    pool = numbered(pool, order)
+    draws = places(pool, n_reps, seed).groupBy("rep", "__i").agg(F.count("*").alias("times"))
+    return draws.join(pool.drop("__n").hint("merge"), "__i").drop("__i")
 
 
 def mean_interval(pool: DataFrame, value: str, order: list[str], n_reps: int = 10_000, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
@@ -89,12 +95,12 @@ def significance(observed: DataFrame, value: str, pool: DataFrame, pool_value: s
     """(observed, n_events, p_value): two-sided share of permutations, means of as many draws from the pool as there are observed
     rows, that lie as far out as the observed mean. Draws are made by range of permutations, and met by number."""
     size = observed.agg(F.avg(value).alias("observed"), F.count("*").alias("n_events"))
-    numbered = _numbered(pool.where(F.col(pool_value).isNotNull()).select(*order, pool_value), order)
-    total = numbered.agg(F.max("__n").alias("__n"))
+    of_pool = numbered(pool.where(F.col(pool_value).isNotNull()).select(*order, pool_value), order)
+    total = of_pool.agg(F.max("__n").alias("__n"))
     parts = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     reps = pool.sparkSession.range(0, n_perm, 1, parts).withColumnRenamed("id", "rep").crossJoin(F.broadcast(size)).crossJoin(F.broadcast(total)).where("n_events > 0 AND __n > 0")
     slots = reps.withColumn("__slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_events") - 1)))
     draws = slots.select("rep", "observed", "n_events", draw(seed, F.col("rep"), F.col("__slot"), F.col("__n")).alias("__i"))
-    means = draws.join(numbered.select("__i", pool_value), "__i").groupBy("rep", "observed", "n_events").agg(F.avg(pool_value).alias("__m"))
+    means = draws.join(of_pool.select("__i", pool_value), "__i").groupBy("rep", "observed", "n_events").agg(F.avg(pool_value).alias("__m"))
     share = F.avg((F.abs("__m") >= F.abs("observed")).cast("double"))
     return means.groupBy("observed", "n_events").agg(share.alias("p_value"))
