@@ -109,6 +109,24 @@ def test_pages_of_sales(spark):
     assert [(r["price"], r["list_price"], r["best_offer"], r["grade"], r["bucket"]) for r in got] == [(80.0, 100.0, True, "psa_9", "used"), (5.5, 7.0, True, None, "used"), (1200.0, None, False, None, "used"), (None, None, False, None, "used")]
 
 
+def test_pages_cut_at_their_tags_give_the_rows_of_the_whole_parser(spark):
+    plain = '<div class="completed-auctions-used"><table><tr><td>a &amp; b</td><th>c<br>d</th></tr></table></div><table id="t"><tr><td>e</td></tr></table><script>x = "&amp;" ;</script>'
+    odd = plain + '<!-- <tr> --><table id="t" title="a>b"><tr><td>1 < 2</td></tr></table><script>if (a<b) {"<td>"}</script>'
+    for html, cut in ((plain, True), (odd, False)):
+        slow = parse._Cells()
+        slow.feed(html)
+        slow.close()
+        assert parse._Cells()._cut(html) == cut and parse._Cells().read(html) == slow.rows
+        assert parse._Cells(frozenset("t")).read(html) == [r for r in slow.rows if r[1] == "t"]
+
+
+def test_a_price_summary_parses_its_pages_once(spark):
+    html = '<table id="other"><tr><td>x</td></tr></table><table id="price_data"><tr><th>A</th><th></th></tr><tr><td>$2.00 $3.00</td><td>$4.00</td></tr><tr><td>$9.00</td><td></td></tr></table>'
+    got = parse.price_summary(parse.table_rows(spark.createDataFrame([("k", html), ("l", "")], "k string, html string"), "k", tables=["price_data"]), "k")
+    assert [tuple(r) for r in got.collect()] == [("k", 0, "A", 200)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_charts_take_the_last_label_of_a_price(spark):
     html = '<table id="price_data"><tr><th>Ungraded</th><th>Grade 9</th><th>PSA 10</th></tr><tr><td>$2.00$0.10</td><td>$2.00</td><td>-</td></tr></table><script>VGPC.chart_data = {"a":[[1704067200000,100],[1706745600000,200]],\n"b":[[1704067200000,0],[1706745600000,300]]} ;</script>'
     pages = spark.createDataFrame([("k", html)], "k string, html string")

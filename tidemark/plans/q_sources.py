@@ -193,7 +193,7 @@ def p08_sales_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT {PAGE} AS slug, 'print_run=' || CAST(count(*) AS VARCHAR) || ',rookie_card=' || CASE WHEN count(*) % 2 = 0 THEN 'true' ELSE 'false' END AS attributes FROM lineitem GROUP BY 1")
 def p11_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = parse.attributes(parse.table_rows(_sale_pages(spark, sf_dir), "slug"), "slug")
+    found = parse.attributes(parse.table_rows(_sale_pages(spark, sf_dir), "slug", tables=["attribute"]), "slug")
     return found.select("slug", F.array_join(F.transform(F.map_entries("attributes"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("attributes"))
 
 
@@ -205,13 +205,13 @@ CHART_SQL = f"""{POINTS_SQL}, na AS (SELECT la.slug, la.flag, coalesce((SELECT m
 
 @query(f"WITH {POINTS_SQL} SELECT slug, CASE flag WHEN 'N' THEN 'Ungraded' ELSE 'PSA 10' END AS label, CASE flag WHEN 'N' THEN 0 ELSE 1 END AS place, cents FROM la WHERE flag IN ('N', 'A')")
 def p12_price_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.price_summary(parse.table_rows(_sale_pages(spark, sf_dir), "slug"), "slug")
+    return parse.price_summary(parse.table_rows(_sale_pages(spark, sf_dir), "slug", tables=["price_data"]), "slug")
 
 
 @query(f"WITH {CHART_SQL} SELECT * FROM ch")
 def p13_p14_calibrated_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _sale_pages(spark, sf_dir)
-    summary = parse.price_summary(parse.table_rows(pages, "slug"), "slug")
+    summary = parse.price_summary(parse.table_rows(pages, "slug", tables=["price_data"]), "slug")
     return parse.calibrated(parse.chart_points(pages, "slug"), summary, "slug").withColumn("date", F.col("date").cast("timestamp_ntz"))
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+import re
+from collections.abc import Iterator, Sequence
+from functools import lru_cache, reduce
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -76,69 +78,186 @@ def populations(payloads: DataFrame, payload: str = "payload", grader: str = "ps
 SALES_BLOCK, PRICE, LISTED, ACCEPTED = "completed-auctions-", "js-price", "listed-price-inline", "best offer accepted price"
 
 
-class _Cells(HTMLParser):
-    """Rows of cells: for each cell its text, an accepted and a listed price in it; for each row its table's id and sales block."""
+#: Rows of table cells that are sent on together; a page's own rows stay together.
+BATCH = 5_000
+_TAG = re.compile("(<[^<>]*>)")
+
+
+def _opened(tag: str, attrs: list[tuple[str, str | None]]) -> tuple[str, str | int | None]:
+    """What a start tag means for the rows, as (kind, value): a sales block, a table's id, or what a price's span holds."""
+    named = dict(attrs)
+    if tag == "div":
+        own = next((c for c in (named.get("class") or "").split() if c.startswith(SALES_BLOCK)), None)
+        return "div", own.removeprefix(SALES_BLOCK) if own else None
+    if tag == "table":
+        return "table", named.get("id")
+    if tag == "span":
+        kinds = (named.get("class") or "").split()
+        return "span", 0 if PRICE not in kinds else 1 if named.get("title") == ACCEPTED else 2 if LISTED in kinds else 0
+    return ("td" if tag == "th" else tag), None
+
+
+class _Tag(HTMLParser):
+    """What a tag does that stands alone."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.rows: list[tuple[str | None, str | None, list[list[str]]]] = []
+        self.steps: list[tuple[bool, str, str | int | None]] = []
+        self.data = False
+
+    def handle_starttag(self, tag, attrs):
+        self.steps.append((True, *_opened(tag, attrs)))
+
+    def handle_endtag(self, tag):
+        self.steps.append((False, "td" if tag == "th" else tag, None))
+
+    def handle_data(self, data):
+        self.data = True
+
+
+@lru_cache(maxsize=4_096)
+def _steps(tag: str) -> tuple[tuple[tuple[bool, str, str | int | None], ...], str | None] | None:
+    """The steps of a tag and, if its content is no markup, its name; None if the tag alone doesn't tell (a quoted `>`, a comment)."""
+    parser = _Tag()
+    try:
+        parser.feed(tag)
+    except AssertionError:
+        return None
+    if parser.rawdata or parser.data:
+        return None
+    return tuple(x for x in parser.steps if x[1] in ("div", "table", "tr", "td", "span")), parser.cdata_elem
+
+
+class _Cells(HTMLParser):
+    """Rows of cells: for each cell its text, an accepted and a listed price in it; for each row its table's id and sales block.
+
+    With `tables`, only rows of tables of these ids are kept; a row's place counts all rows."""
+
+    def __init__(self, tables: frozenset[str] | None = None):
+        super().__init__(convert_charrefs=True)
+        self.wanted = tables
+        self.begin()
+
+    def begin(self):
+        self.rows: list[tuple[str | None, str | None, int, list[list[str]]]] = []
+        self.n = 0
         self.blocks: list[str | None] = [None]
         self.tables: list[str | None] = [None]
         self.spans: list[int] = []
         self.cell: list[str] | None = None
         self.row: list[list[str]] | None = None
 
+    def read(self, html: str) -> list[tuple[str | None, str | None, int, list[list[str]]]]:
+        """The page's rows. A page whose every `<` begins a tag that is whole up to the next `>` is cut at its tags, and each
+        different tag is parsed once; any other one is parsed from its start to its end. Both give the same rows."""
+        if not self._cut(html):
+            self.reset()
+            self.begin()
+            self.feed(html)
+            self.close()
+        return self.rows
+
+    def _cut(self, html: str) -> bool:
+        self.begin()
+        pieces = _TAG.split(html)
+        if html.count("<") != len(pieces) // 2:
+            return False
+        tags = pieces[1::2]
+        found = list(map(_steps, tags))
+        if None in found:
+            return False
+        raw = None
+        for n, (text, (steps, content)) in enumerate(zip(pieces[:-1:2], found, strict=True)):
+            if raw is not None:  # up to here the content isn't markup
+                if not re.fullmatch(rf"</\s*{raw}\s*>", tags[n], re.IGNORECASE):
+                    return False
+                if text:
+                    self.handle_data(text)
+            elif text and self.cell is not None:
+                self.handle_data(unescape(text) if "&" in text else text)
+            raw = content
+            for opens, kind, value in steps:
+                if opens:
+                    self.opened(kind, value)
+                else:
+                    self.closed(kind)
+        return raw is None
+
     def handle_starttag(self, tag, attrs):
-        named = dict(attrs)
-        if tag == "div":
-            own = next((c for c in (named.get("class") or "").split() if c.startswith(SALES_BLOCK)), None)
-            self.blocks.append(own.removeprefix(SALES_BLOCK) if own else self.blocks[-1])
-        elif tag == "table":
-            self.tables.append(named.get("id"))
-        elif tag == "tr":
-            self.row = []
-        elif tag in ("td", "th") and self.row is not None:
-            self.cell, self.spans = ["", "", ""], []
-        elif tag == "span":
-            kinds = (named.get("class") or "").split()
-            self.spans.append(0 if PRICE not in kinds else 1 if named.get("title") == ACCEPTED else 2 if LISTED in kinds else 0)
+        self.opened(*_opened(tag, attrs))
 
     def handle_endtag(self, tag):
-        if tag == "div" and len(self.blocks) > 1:
-            self.blocks.pop()
-        elif tag == "table" and len(self.tables) > 1:
-            self.tables.pop()
-        elif tag in ("td", "th") and self.cell is not None:
-            self.row.append([" ".join(x.split()) for x in self.cell])
-            self.cell = None
-        elif tag == "tr" and self.row is not None:
-            self.rows.append((self.blocks[-1], self.tables[-1], self.row))
-            self.row = None
-        elif tag == "span" and self.spans:
-            self.spans.pop()
+        self.closed("td" if tag == "th" else tag)
+
+    def opened(self, kind, value):
+        if kind == "td":
+            if self.row is not None:
+                self.cell, self.spans = ["", "", ""], []
+        elif kind == "span":
+            self.spans.append(value)
+        elif kind == "tr":
+            self.row = []
+        elif kind == "div":
+            self.blocks.append(self.blocks[-1] if value is None else value)
+        elif kind == "table":
+            self.tables.append(value)
+
+    def closed(self, kind):
+        if kind == "td":
+            if self.cell is not None:
+                self.row.append(self.cell)
+                self.cell = None
+        elif kind == "span":
+            if self.spans:
+                self.spans.pop()
+        elif kind == "tr":
+            if self.row is not None:
+                if self.wanted is None or self.tables[-1] in self.wanted:
+                    self.rows.append((self.blocks[-1], self.tables[-1], self.n, [[" ".join(x.split()) for x in cell] for cell in self.row]))
+                self.n += 1
+                self.row = None
+        elif kind == "div":
+            if len(self.blocks) > 1:
+                self.blocks.pop()
+        elif kind == "table":
+            if len(self.tables) > 1:
+                self.tables.pop()
 
     def handle_data(self, data):
         if self.cell is not None:
             self.cell[0] += data
-            for kind in {k for k in self.spans if k}:
-                self.cell[kind] += data
+            if self.spans:
+                for kind in (1, 2):
+                    if kind in self.spans:
+                        self.cell[kind] += data
 
 
-def table_rows(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """(key, bucket, table_id, pos, cells, accepted, listed) of each table row of the pages; a page without tables gives none."""
+def table_rows(pages: DataFrame, key: str, html: str = "html", tables: Sequence[str] | None = None) -> DataFrame:
+    """(key, bucket, table_id, pos, cells, accepted, listed) of each table row of the pages, or of the rows of the tables of these
+    ids; a page without tables gives none."""
     kind = pages.schema[key].dataType.simpleString()
     names = [key, "bucket", "table_id", "pos", "cells", "accepted", "listed"]
     types = [pa.string(), pa.string(), pa.int32(), *[pa.list_(pa.string())] * 3]
+    wanted = None if tables is None else frozenset(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = _Cells(wanted)
         for batch in batches:
+            keys: list = []
+            rows: list = []
+
+            def made(own: pa.DataType) -> pa.RecordBatch:
+                lists = ([[c[i] for c in cells] for *_, cells in rows] for i in range(3))
+                columns = [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], *lists]
+                return pa.RecordBatch.from_arrays([pa.array(keys, own), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
+
             for n in range(batch.num_rows):
-                parser = _Cells()
-                parser.feed(batch.column(1)[n].as_py() or "")
-                parser.close()
-                columns = [[b for b, _, _ in parser.rows], [t for _, t, _ in parser.rows], list(range(len(parser.rows))), *([[c[i] for c in row] for _, _, row in parser.rows] for i in range(3))]
-                own = pa.array([batch.column(0)[n].as_py()] * len(parser.rows), batch.schema.field(0).type)
-                yield pa.RecordBatch.from_arrays([own, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
+                found = parser.read(batch.column(1)[n].as_py() or "")
+                keys += [batch.column(0)[n].as_py()] * len(found)
+                rows += found
+                if len(rows) >= BATCH or n == batch.num_rows - 1:
+                    yield made(batch.schema.field(0).type)
+                    keys, rows = [], []
 
     lists = ", ".join(f"{c} array<string>" for c in names[4:])
     return pages.select(key, html).mapInArrow(run, f"`{key}` {kind}, bucket string, table_id string, pos int, {lists}")
@@ -168,9 +287,9 @@ def attributes(rows: DataFrame, key: str, table: str = "attribute") -> DataFrame
 
 def price_summary(rows: DataFrame, key: str, table: str = "price_data") -> DataFrame:
     """(key, place, label, cents): the first row's names with the first amount in each cell of the row below; nameless ones go."""
-    own = rows.where(F.col("table_id") == table)
-    head = own.groupBy(key).agg(F.min_by("cells", "pos").alias("h"), F.min("pos").alias("p"))
-    data = own.join(head, key).where("pos = p + 1")
+    own = rows.where((F.col("table_id") == table) & F.col(key).isNotNull())
+    page = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    data = own.withColumns({"h": F.first("cells").over(page), "p": F.first("pos").over(page)}).where("pos = p + 1")
     pairs = data.select(key, F.posexplode(F.arrays_zip(F.col("h").alias("label"), F.col("cells").alias("cell"))).alias("place", "z"))
     return pairs.select(key, "place", F.col("z.label").alias("label"), F.round(f.money(F.col("z.cell")) * 100).cast("bigint").alias("cents")).where("cents IS NOT NULL AND label <> ''")
 
