@@ -134,6 +134,14 @@ def test_charts_take_the_last_label_of_a_price(spark):
     assert sorted((r["grade"], str(r["date"]), r["price"]) for r in got) == [("grade_9", "2024-01-01", 1.0), ("grade_9", "2024-02-01", 2.0), ("key:b", "2024-02-01", 3.0)]
 
 
+def test_a_calibrated_chart_reads_its_points_once(spark):
+    html = '<table id="price_data"><tr><th>A</th><th>B</th></tr><tr><td>$2.00</td><td>$3.00</td></tr></table><script>chart_data = {"a":[[1704067200000,300],[1704067200000,200]],"b":[],"c":[[0,0],[1704067200000,400]]};</script>'
+    pages = spark.createDataFrame([("k", html), ("l", html.replace("$2.00", "-")), (None, html)], "k string, html string")
+    got = parse.calibrated(parse.chart_points(pages, "k"), parse.price_summary(parse.table_rows(pages, "k", tables=["price_data"]), "k"), "k")
+    assert sorted((r["k"], r["grade"], r["price"]) for r in got.collect()) == [("k", "a", 2.0), ("k", "a", 3.0), ("k", "key:c", 4.0), ("l", "key:a", 2.0), ("l", "key:a", 3.0), ("l", "key:c", 4.0)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("chart_data") == 1
+
+
 def test_draft_payloads(spark):
     payload = '{"prospects":[{"person":{"id":7,"fullName":"A"},"rank":1},{"person":{"id":7,"fullName":"A"},"rank":1},{"bisPlayerId":9},{"person":{"fullName":"B"}},{"person":{"fullName":"B"}},{"person":{"id":8}}]}'
     got = parse.draft_prospects(spark.createDataFrame([(2016, payload), (2017, "{}")], "y int, payload string"), "y").collect()

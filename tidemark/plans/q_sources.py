@@ -210,7 +210,7 @@ def p12_price_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CHART_SQL} SELECT * FROM ch")
 def p13_p14_calibrated_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _sale_pages(spark, sf_dir)
+    pages = _sale_pages(spark, sf_dir).where("slug IS NOT NULL")  # said here, the points and the summary read one shuffle of pages
     summary = parse.price_summary(parse.table_rows(pages, "slug", tables=["price_data"]), "slug")
     return parse.calibrated(parse.chart_points(pages, "slug"), summary, "slug").withColumn("date", F.col("date").cast("timestamp_ntz"))
 

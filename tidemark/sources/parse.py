@@ -304,11 +304,12 @@ def chart_points(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
 def calibrated(points: DataFrame, summary: DataFrame, key: str) -> DataFrame:
     """Series named by the label (lower-cased, underscored) whose summary price equals their last one, in cents; `key:<series>` if
     none does. Of labels of one price the last in the table wins; prices of nothing are dropped."""
-    last = points.groupBy(key, "series").agg(F.max_by("cents", F.struct("date", "place")).alias("cents"))
-    label = summary.groupBy(key, "cents").agg(F.max_by("label", "place").alias("label"))
-    grade = F.coalesce(F.replace(F.lower("label"), F.lit(" "), F.lit("_")), F.concat(F.lit("key:"), "series"))
-    named = last.join(label, [key, "cents"], "left").select(key, "series", grade.alias("grade"))
-    return points.join(named, [key, "series"]).where("cents > 0").select(key, "grade", "date", (F.col("cents") / 100).alias("price"))
+    labels = summary.groupBy(key, "cents").agg(F.max_by("label", "place").alias("label")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("cents", "label"))).alias("__labels"))
+    last = F.max_by("cents", F.struct("date", "place")).over(Window.partitionBy(key, "series"))
+    # A page's labels are few and meet its points by the page's key, by which points of pages that are grouped already lie together.
+    rows = points.where(F.col(key).isNotNull()).withColumn("__last", last).join(labels, key, "left")
+    label = F.replace(F.lower(F.try_element_at("__labels", F.col("__last"))), F.lit(" "), F.lit("_"))
+    return rows.where("cents > 0").select(key, F.coalesce(label, F.concat(F.lit("key:"), "series")).alias("grade"), "date", (F.col("cents") / 100).alias("price"))
 
 
 def rebuilt(snapshots: DataFrame, meta: DataFrame, key: str, day: str = "day", html: str = "html") -> tuple[DataFrame, DataFrame]:
