@@ -317,7 +317,8 @@ def rebuilt(snapshots: DataFrame, meta: DataFrame, key: str, day: str = "day", h
     label are left out."""
     pages = snapshots.groupBy(key).agg(F.max_by(html, day).alias(html)).join(meta.select(key), key, "left_semi")
     rows = table_rows(pages, key, html)
-    chart = calibrated(chart_points(pages, key, html), price_summary(rows, key), key).where(~F.col("grade").startswith("key:"))
+    summary = price_summary(table_rows(pages, key, html, tables=["price_data"]), key)
+    chart = calibrated(chart_points(pages, key, html), summary, key).where(~F.col("grade").startswith("key:"))
     return sales(rows, key).join(meta, key), chart.join(meta, key)
 
 
