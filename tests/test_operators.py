@@ -38,6 +38,17 @@ def test_lasso_finds_the_planted_features(planted):
     assert shares["a"] == shares["b"] == 1 and shares["c"] < 1
 
 
+def test_resamples_repeat_no_row(spark):
+    import numpy as np
+
+    weights = models.poisson_weights(np.arange(50_000) * 7_919, 20)
+    assert abs(weights.mean() - 1) < 0.01 and abs(weights.var() - 1) < 0.02 and np.abs(np.corrcoef(weights.T) - np.eye(20)).max() < 0.03
+    rows = [(i, float(i % 7), float(i % 5), 3.0 * (i % 7) + (i % 3)) for i in range(400)] + [(None, 1.0, None, 2.0)]
+    got = models.stability_selection(spark.createDataFrame(rows, "k int, a double, b double, y double"), ["a", "b"], "y", "k", n_boot=10)
+    assert "explode" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["feature"]: r["share"] for r in got.collect()}["a"] == 1.0
+
+
 def test_least_squares_equals_numpy(planted):
     df, pdf = planted
     x = np.column_stack([np.ones(len(pdf)), pdf[list("abc")]])

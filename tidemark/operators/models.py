@@ -140,14 +140,52 @@ def lasso_cv(frame: DataFrame, features: Sequence[str], target: str, key: str, f
     return spark.createDataFrame([(f, float(b), bool(abs(b) > 1e-9)) for f, b in zip(features, beta, strict=True)], schema).orderBy(F.abs("coefficient").desc(), "feature")
 
 
+#: The Poisson distribution of mean 1: chances of at most 0, 1, ... 5.
+POISSON = (0.36788, 0.73576, 0.91970, 0.98101, 0.99634, 0.99941)
+
+
+def poisson_weights(hashes: np.ndarray, n: int) -> np.ndarray:
+    """(rows, n): Poisson draws of mean 1, from 32 bits of each row's hash mixed with the draw's number (splitmix64)."""
+    with np.errstate(over="ignore"):
+        z = hashes.astype(np.uint64)[:, None] + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = ((z ^ (z >> np.uint64(31))) >> np.uint64(32)).astype(np.uint32)
+    out = np.zeros(u.shape)
+    for cut in POISSON:
+        out += u > np.uint32(int(cut * 2.0**32))
+    return out
+
+
 def stability_selection(frame: DataFrame, features: Sequence[str], target: str, key: str, n_boot: int = 200, folds: int = 5, seed: int = 42) -> DataFrame:
-    """(feature, share): how many of the resamples select each feature. A row's weight in a resample is a Poisson draw from its
-    hash, so resamples are sums of one pass over rows x resamples; the small problems are solved in the grouped step."""
+    """(feature, share): how many of the resamples select each feature. A row's weight in a resample is a Poisson draw from its key's
+    hash and the resample's number. Each task adds its rows' products, weighted for all resamples at a time, as products of
+    matrices: no row is repeated, and a task sends on a row for each resample and fold. The small problems are solved in the grouped step."""
     k, names = len(features) + 2, list(features)
-    reps = frame.withColumn("__fold", fold_of(F.col(key), folds, seed)).withColumn("__rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__rep").cast("string"), F.col(key).cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") + 0.5) / 2.0**32
-    poisson = reduce(lambda acc, cut: acc + (u > cut).cast("int"), (0.36788, 0.73576, 0.91970, 0.98101, 0.99634, 0.99941), F.lit(0))
-    sums = grams(reps.withColumn("__w", poisson), features, target, ["__rep", "__fold"], F.col("__w"))
+    products = [f"g{i}" for i in range(k * (k + 1) // 2)]
+    upper = np.triu_indices(k)
+
+    def add(batches):
+        import pandas as pd
+
+        total = np.zeros((folds, n_boot, len(products)))
+        for batch in batches:
+            for start in range(0, len(batch), 2_000):
+                part = batch.iloc[start : start + 2_000]
+                x = np.column_stack([np.ones(len(part)), part[["x%d" % i for i in range(k - 1)]].to_numpy(dtype=float)])
+                weights = poisson_weights(part["h"].to_numpy(dtype=np.int64), n_boot)
+                own, fold = x[:, upper[0]] * x[:, upper[1]], part["fold"].to_numpy()
+                for f in np.unique(fold):
+                    total[f] += weights[fold == f].T @ own[fold == f]
+        out = pd.DataFrame(total.reshape(folds * n_boot, -1), columns=products)
+        out.insert(0, "fold", np.repeat(np.arange(folds), n_boot))
+        out.insert(0, "rep", np.tile(np.arange(n_boot), folds))
+        yield out
+
+    some = frame.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in (*names, target))))
+    rows = some.select(fold_of(F.col(key), folds, seed).cast("int").alias("fold"), F.xxhash64(F.lit(seed), F.col(key).cast("string")).alias("h"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate((*names, target))))
+    parts = rows.mapInPandas(add, ", ".join(["rep int", "fold int", *(f"{g} double" for g in products)]))
+    sums = parts.groupBy(F.col("rep").alias("__rep"), F.col("fold").alias("__fold")).agg(F.array(*(F.sum(g) for g in products)).alias("gram"))
 
     def solve(part):
         import pandas as pd
@@ -159,7 +197,8 @@ def stability_selection(frame: DataFrame, features: Sequence[str], target: str,
         beta = lasso(reduce(lambda a, b: a + b, moments), select_alpha(moments))[2]
         return pd.DataFrame({"feature": names, "chosen": (np.abs(beta) > 1e-9).astype(float)})
 
-    return sums.groupBy("__rep").applyInPandas(solve, "feature string, chosen double").groupBy("feature").agg(F.avg("chosen").alias("share"))
+    parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number that is asked for stays: small rows, long work
+    return sums.repartition(parts, "__rep").groupBy("__rep").applyInPandas(solve, "feature string, chosen double").groupBy("feature").agg(F.avg("chosen").alias("share"))
 
 
 def linear_score(features: Sequence[str], intercept: float, beta: Sequence[float]) -> Column:
