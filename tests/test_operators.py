@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as f
-from tidemark.operators import aggregates, asof, events, joins, models, odds, windows
+from tidemark.operators import aggregates, asof, events, joins, models, odds, resample, windows
 from tidemark.sources import io, parse
 from tidemark.streaming import jobs
 
@@ -38,6 +38,27 @@ def test_lasso_finds_the_planted_features(planted):
     assert shares["a"] == shares["b"] == 1 and shares["c"] < 1
 
 
+def test_permutations_hold_a_row_for_each_block_and_none_for_a_draw(spark, monkeypatch):
+    import hashlib
+
+    md5 = lambda rep, slot: int(hashlib.md5(f"7:{rep}:{slot}".encode()).hexdigest()[:8], 16)
+    assert resample.draws(7, 4999, 99_990, 100_020, 84_001).tolist() == [md5(4999, s) % 84_001 for s in range(99_990, 100_020)]
+    assert resample.draws(7, 0, 0, 12, 2**31).tolist() == [md5(0, s) % 2**31 for s in range(12)]
+    monkeypatch.setattr(resample, "BLOCK", 16)
+    monkeypatch.setattr(resample, "SLOTS", 7)
+    monkeypatch.setattr(resample, "GROUP_BYTES", 64)
+    pool = [(i, float(i * i % 37) - 17) for i in range(90)]
+    cars = spark.createDataFrame([(0.5 + i % 3,) for i in range(25)], "car double")
+    found = resample.significance(cars, "car", spark.createDataFrame([*pool, (90, None)], "i int, v double"), "v", ["i"], n_perm=40, seed=7)
+    assert "__slot" not in found._jdf.queryExecution().optimizedPlan().toString()
+    observed = sum(0.5 + i % 3 for i in range(25)) / 25
+    means = [sum(pool[md5(rep, s) % 90][1] for s in range(25)) / 25 for rep in range(40)]
+    (row,) = found.collect()
+    assert (row["n_events"], row["p_value"]) == (25, sum(abs(m) >= abs(observed) for m in means) / 40) and abs(row["observed"] - observed) < 1e-12
+    assert resample.significance(cars.limit(0), "car", spark.createDataFrame(pool, "i int, v double"), "v", ["i"], n_perm=4).count() == 0
+    assert resample.significance(cars, "car", spark.createDataFrame([], "i int, v double"), "v", ["i"], n_perm=4).count() == 0
+
+
 def test_resamples_repeat_no_row(spark):
     import numpy as np
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,16 +94,101 @@ def spread_summary(spreads: DataFrame, period: str, n_reps: int = 10_000, seed:
     return mean_interval(yearly, "m", ["year"], n_reps, seed).drop("p").withColumnRenamed("mean", "mean_spread").crossJoin(months)
 
 
+#: Rows of a pool that meet their draws at a time: a place within them takes two bytes.
+BLOCK = 65_536
+#: Slots that are drawn at a time, and the bytes of places that one group meets at most (but for a single row of draws).
+SLOTS, GROUP_BYTES = 1 << 20, 32 << 20
+_SHIFTS = [s for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for s in four * 4]
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) & 0xFFFFFFFF for i in range(64)]
+
+
+def _heads(prefix: bytes, slots: np.ndarray) -> np.ndarray:
+    """The first 32 bits of the md5 of prefix + slot in decimals, for slots of equally many digits: the rounds over whole arrays."""
+    digits = len(str(int(slots[0])))
+    length = len(prefix) + digits
+    if length > 55:
+        raise ValueError("draws are named by at most 55 characters")
+    text = np.zeros((len(slots), length // 4 * 4 + 4), np.uint8)
+    text[:, : len(prefix)] = np.frombuffer(prefix, np.uint8)
+    rest = slots.astype(np.uint32)
+    for k in range(length - 1, len(prefix) - 1, -1):
+        tens = rest // 10
+        text[:, k] = rest - tens * 10 + 48
+        rest = tens
+    text[:, length] = 0x80
+    words = dict(enumerate(np.ascontiguousarray(text.view("<u4").T)))
+    first = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+    a, b, c, d = (np.full(len(slots), x, np.uint32) for x in first)
+    t, u = np.empty_like(a), np.empty_like(a)
+    for i in range(64):
+        if i < 16:
+            g = i
+            np.bitwise_xor(c, d, out=t), np.bitwise_and(t, b, out=t), np.bitwise_xor(t, d, out=t)
+        elif i < 32:
+            g = (5 * i + 1) % 16
+            np.bitwise_xor(b, c, out=t), np.bitwise_and(t, d, out=t), np.bitwise_xor(t, c, out=t)
+        elif i < 48:
+            g = (3 * i + 5) % 16
+            np.bitwise_xor(b, c, out=t), np.bitwise_xor(t, d, out=t)
+        else:
+            g = 7 * i % 16
+            np.invert(d, out=t), np.bitwise_or(t, b, out=t), np.bitwise_xor(t, c, out=t)
+        np.add(t, a, out=t)
+        if g in words:
+            np.add(t, words[g], out=t)
+        np.add(t, np.uint32((_SINES[i] + (8 * length if g == 14 else 0)) & 0xFFFFFFFF), out=t)
+        np.left_shift(t, np.uint32(_SHIFTS[i]), out=u), np.right_shift(t, np.uint32(32 - _SHIFTS[i]), out=t), np.bitwise_or(t, u, out=t)
+        np.add(t, b, out=a)
+        a, b, c, d = d, a, b, c
+    return (a + np.uint32(first[0])).byteswap()
+
+
+def draws(seed: int, rep: int, start: int, end: int, n: int, batch: int = 32_768) -> np.ndarray:
+    """What draw() gives for the slots from start to end - 1 of a replicate."""
+    prefix, out, at = f"{seed}:{rep}:".encode(), np.empty(end - start, np.int64), start
+    while at < end:
+        to = min(end, at + batch, 10 ** len(str(at)))  # slots of one number of digits
+        out[at - start : to - start] = _heads(prefix, np.arange(at, to))
+        at = to
+    return out % n
+
+
 def significance(observed: DataFrame, value: str, pool: DataFrame, pool_value: str, order: list[str], n_perm: int = 5000, seed: int = 42) -> DataFrame:
     """(observed, n_events, p_value): two-sided share of permutations, means of as many draws from the pool as there are observed
-    rows, that lie as far out as the observed mean. Draws are made by range of permutations, and met by number."""
-    size = observed.agg(F.avg(value).alias("observed"), F.count("*").alias("n_events"))
+    rows, that lie as far out as the observed mean.
+
+    A permutation's draws from a block of the pool are one row of two bytes a draw, which meets the block's values by its number. A
+    block comes once for each share of the permutations, so what meets it stays small however many draws there are for each row.
+    """
+    spark = pool.sparkSession
+    mean, n_events = observed.agg(F.avg(value), F.count("*")).first()
     of_pool = numbered(pool.where(F.col(pool_value).isNotNull()).select(*order, pool_value), order)
-    total = of_pool.agg(F.max("__n").alias("__n"))
-    parts = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    reps = pool.sparkSession.range(0, n_perm, 1, parts).withColumnRenamed("id", "rep").crossJoin(F.broadcast(size)).crossJoin(F.broadcast(total)).where("n_events > 0 AND __n > 0")
-    slots = reps.withColumn("__slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_events") - 1)))
-    draws = slots.select("rep", "observed", "n_events", draw(seed, F.col("rep"), F.col("__slot"), F.col("__n")).alias("__i"))
-    means = draws.join(of_pool.select("__i", pool_value), "__i").groupBy("rep", "observed", "n_events").agg(F.avg(pool_value).alias("__m"))
-    share = F.avg((F.abs("__m") >= F.abs("observed")).cast("double"))
-    return means.groupBy("observed", "n_events").agg(share.alias("p_value"))
+    n = of_pool.agg(F.max("__n")).first()[0] or 0
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks, chunks = max(-(-n // BLOCK), 1), -(-n_events // SLOTS)
+    shares = max(-(-2 * n_perm * n_events // (blocks * GROUP_BYTES)), -(-4 * parts // blocks))
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for work in batch["id"].tolist():
+                rep, chunk = divmod(work, chunks)
+                found = np.sort(draws(seed, rep, chunk * SLOTS, min(n_events, (chunk + 1) * SLOTS), n))
+                held, starts = np.unique(found // BLOCK, return_index=True)
+                own = [x.tobytes() for x in np.split((found % BLOCK).astype("<u2"), starts[1:])]
+                yield pd.DataFrame({"block": held, "share": work % shares, "rep": rep, "places": own})
+
+    def sums(rows: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
+        block = np.asarray(values["values"].iloc[0] if len(values) else [], np.float64)
+        drawn = [block[np.frombuffer(p, "<u2")] for p in rows["places"]]
+        return pd.DataFrame({"rep": rows["rep"], "s": [float(d.sum()) for d in drawn], "n": [len(d) for d in drawn]})
+
+    # A work item is a replicate and a chunk of its slots.
+    work = spark.range(0, n_perm * chunks if n else 0, 1, max(parts, min(n_perm * chunks, n_perm * n_events // 50_000_000)))
+    rows = work.mapInPandas(placed, "block bigint, share bigint, rep bigint, places binary")
+    item = F.struct((F.col("__i") % BLOCK).alias("i"), F.col(pool_value).cast("double").alias("v"))
+    packed = of_pool.groupBy(F.floor(F.col("__i") / BLOCK).cast("bigint").alias("block")).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"]).alias("values"))
+    copies = packed.withColumn("share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shares - 1).cast("bigint"))))
+    met = rows.groupBy("block", "share").cogroup(copies.groupBy("block", "share")).applyInPandas(sums, "rep bigint, s double, n bigint")
+    means = met.groupBy("rep").agg((F.sum("s") / F.sum("n")).alias("__m"))
+    share = F.avg((F.abs("__m") >= F.abs(F.lit(mean))).cast("double"))
+    return means.agg(F.lit(mean).cast("double").alias("observed"), F.lit(n_events).cast("bigint").alias("n_events"), share.alias("p_value"), F.count("*").alias("__reps")).where("__reps > 0").drop("__reps")

@@ -79,9 +79,13 @@ WINDOWS_SQL = """r AS (SELECT card_slug, entity_id, month, ln(price / lag(price)
          FROM e JOIN p ON p.entity_id = e.entity_id JOIN i ON i.month = p.month WHERE i.k BETWEEN e.k - 2 AND e.k + 3)"""
 
 
-def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _excess(spark: SparkSession, sf_dir: str) -> DataFrame:
     months = _months(spark, sf_dir).where("grade = 'psa_10'")
-    panel = windows.market_excess(windows.observed_returns(months, ["card_slug"], "month", "price", "months"), ["month"])
+    return windows.market_excess(windows.observed_returns(months, ["card_slug"], "month", "price", "months"), ["month"])
+
+
+def _windows(spark: SparkSession, sf_dir: str, panel: DataFrame | None = None) -> DataFrame:
+    panel = _excess(spark, sf_dir) if panel is None else panel
     marked = views.registry(spark, sf_dir).withColumn("event_month", f.month_start(F.col("event_date")))
     return events.period_windows(marked, panel, "month", "event_month", 2, 3, "months_since_prev", 2)
 
@@ -125,9 +129,8 @@ PERM_DRAW = resample.draws_sql(7, 5000, "pool", "(SELECT n FROM o)")
     "v_registry",
 )
 def e03_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    months = _months(spark, sf_dir).where("grade = 'psa_10'")
-    panel = windows.market_excess(windows.observed_returns(months, ["card_slug"], "month", "price", "months"), ["month"])
-    cars = a.abnormal_sum(_windows(spark, sf_dir), ["entity_id", "event_date"], [0])
+    panel = _excess(spark, sf_dir)
+    cars = a.abnormal_sum(_windows(spark, sf_dir, panel), ["entity_id", "event_date"], [0])
     return rounded(resample.significance(cars, "car", panel, "excess_ret", ["card_slug", "month"], seed=7))
 
 
