@@ -59,6 +59,22 @@ def test_permutations_hold_a_row_for_each_block_and_none_for_a_draw(spark, monke
     assert resample.significance(cars, "car", spark.createDataFrame([], "i int, v double"), "v", ["i"], n_perm=4).count() == 0
 
 
+def test_totals_by_kind_are_those_of_the_rows_so_far(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(4), rng.randrange(40), rng.choice([0, 1, 2, 7, None]), rng.choice([None, 1, 2, 3])) for _ in range(200)]
+    probes = [(k, t, f"{k}-{t}") for k in range(5) for t in range(0, 45, 6)]
+    data = spark.createDataFrame(rows, "k int, at int, kind int, v int")
+    asked = spark.createDataFrame(probes, "k int, t int, name string")
+    for inclusive in (True, False):
+        got = asof.asof_totals(asked, data, ["k"], "t", "at", F.col("kind"), [0, 1, 2], {"s": (F.sum, F.col("v")), "first": (F.min, F.col("at"))}, inclusive).collect()
+        assert sorted((r["k"], r["t"], r["name"]) for r in got) == sorted(probes)
+        for r in got:
+            for kind in (0, 1, 2):
+                own = [x for x in rows if x[0] == r["k"] and x[2] == kind and (x[1] <= r["t"] if inclusive else x[1] < r["t"])]
+                values = [x[3] for x in own if x[3] is not None]
+                assert (tuple(r[f"of_{kind}"]) if r[f"of_{kind}"] else None) == ((sum(values) if values else None, min(x[1] for x in own)) if own else None)
+
+
 def test_resamples_repeat_no_row(spark):
     import numpy as np
 

@@ -29,6 +29,29 @@ def asof_aggregate(probes: DataFrame, rows: DataFrame, keys: list[str], probe_ti
     return both.select("__probe", *running).where(F.col("__probe").isNotNull()).select("__probe.*", *aggregates)
 
 
+def asof_totals(probes: DataFrame, rows: DataFrame, keys: list[str], probe_time: str, row_time: str, kind: Column, kinds: list[int], totals: dict[str, tuple[Running, Column]], inclusive: bool = True) -> DataFrame:
+    """probes with a struct `of_<kind>` of the totals of each kind's rows up to (inclusive) or before their time, null without such a row.
+
+    totals: name -> (F.sum, F.min or F.max, column of rows). kinds: numbers from 0 on. Rows travel and are sorted with the columns they
+    have; rows of a kind between two probes become one before anything runs over them, so no row is as wide as kinds times totals.
+    """
+    first, second = (0, 1) if inclusive else (1, 0)
+    others = [c for c in probes.columns if c not in keys]
+    data = rows.withColumns({"__t": F.col(row_time), "__side": F.lit(first), "__kind": kind.cast("int")}).where(F.col("__kind").isin(*kinds))
+    asked = probes.select(*keys, F.col(probe_time).alias("__t"), F.lit(second).alias("__side"), F.lit(-1).alias("__kind"), *(F.col(c).alias(f"__p_{c}") for c in others))
+    asks = F.col("__kind") == -1
+    to_here = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.sum(asks.cast("int")).over(to_here(Window.partitionBy(*keys).orderBy("__t", "__side")))
+    placed = data.unionByName(asked, allowMissingColumns=True).withColumn("__next", before + F.when(asks, 0).otherwise(1))  # a row counts from the next probe on
+    between = placed.groupBy(*keys, "__next", "__kind").agg(*(F.first(f"__p_{c}", ignorenulls=True).alias(f"__p_{c}") for c in others), *(fn(column).alias(f"__v{i}") for i, (fn, column) in enumerate(totals.values())))
+    own = to_here(Window.partitionBy(*keys, "__kind").orderBy("__next"))
+    sums = between.select(*keys, "__next", "__kind", *(f"__p_{c}" for c in others), F.struct(*(fn(F.col(f"__v{i}")).over(own).alias(name) for i, (name, (fn, _)) in enumerate(totals.items()))).alias("__s"))
+    whole = to_here(Window.partitionBy(*keys).orderBy("__next", F.col("__kind").desc()))  # the probe comes after its rows
+    known = sums.select("*", *(F.last(F.when(F.col("__kind") == k, F.col("__s")), ignorenulls=True).over(whole).alias(f"of_{k}") for k in kinds))
+    named = [F.col(c) if c in keys else F.col(f"__p_{c}").alias(c) for c in probes.columns]
+    return known.where(asks).select(*named, *(f"of_{k}" for k in kinds))
+
+
 def stats_to_date(cuts: DataFrame, logs: DataFrame, keys: list[str], cut: str, date: str, counts: list[str]) -> DataFrame:
     """Sums of the counts over rows dated up to the cut; 0 before the first row. n_rows counts them."""
     return _late(cuts, logs, keys, cut, date, {c: F.col(c) for c in counts} | {"n_rows": F.lit(1)})
