@@ -117,3 +117,16 @@ def test_out_of_fold_predictions_equal_fits_of_the_other_folds(rows):
     lpd = models.gaussian_lpd(df.sparkSession.createDataFrame(got.reset_index()[["y", "predicted"]]), "y", "predicted").first()
     assert lpd["lpd"] == pytest.approx(np.mean(-0.5 * np.log(2 * np.pi * errors.var(ddof=0)) - errors**2 / (2 * errors.var(ddof=0)))) and lpd["rmse"] == pytest.approx(np.sqrt((errors**2).mean()))
     assert models.out_of_fold_lasso(df.limit(0).withColumn("fold", F.lit(0)), NAMES, "y", "row_id").count() == 0
+
+
+def test_no_task_gathers_a_period_of_scores(spark, monkeypatch):
+    rows = spark.range(600).select(F.col("id").alias("k"), (2000 + F.col("id") % 4).alias("year"), (F.col("id") % 23).cast("double").alias("x"), (F.col("id") % 23 + F.col("id") % 3).cast("double").alias("y"))
+    monkeypatch.setattr(quantiles, "FITS", 50)  # as for large tables
+    for everything in (True, False):
+        found = models.walk_forward(rows, ["x"], "y", "year", "k", all_scores=everything)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=broadcast" in plan and ("__part" if everything else "WindowGroupLimit") in plan
+        picks = found.toPandas()
+        for _, own in picks.groupby("year"):
+            own = own.sort_values(["predicted", "k"], ascending=[False, True])
+            assert own["rank"].tolist() == list(range(1, (150 if everything else 5) + 1))

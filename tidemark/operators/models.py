@@ -299,9 +299,13 @@ def walk_forward(frame: DataFrame, features: Sequence[str], target: str, period:
     models_of = spark.createDataFrame(fitted, T.StructType([*kind.fields, T.StructField("__a", T.DoubleType()), T.StructField("__beta", doubles), T.StructField("__m", doubles)]))
     predicted = reduce(lambda acc, ic: acc + F.coalesce(F.col(ic[1]), F.col("__m")[ic[0]]) * F.col("__beta")[ic[0]], enumerate(names), F.col("__a"))
     scored = rows.join(models_of, ["__b", "__p"]).select("__b", "__p", "__k", "__y", predicted.alias("predicted"))
-    scored = scored.join(quantiles.median_of(rows, ["__b", "__p"], "__y", "__med"), ["__b", "__p"])
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("__b", "__p").orderBy(F.col("predicted").desc(), "__k")))
-    kept = ranked if all_scores else ranked.where(F.col("rank") <= top_k)
+    # A median for each cell and period: sent to the rows, as a merge would gather a period in one task.
+    scored = scored.join(F.broadcast(quantiles.median_of(rows, ["__b", "__p"], "__y", "__med")), ["__b", "__p"])
+    order = [F.col("predicted").desc(), F.col("__k")]
+    if all_scores:
+        kept = windows.numbered_within(scored, ["__b", "__p"], order, "rank")
+    else:
+        kept = scored.withColumn("rank", F.row_number().over(Window.partitionBy("__b", "__p").orderBy(*order))).where(F.col("rank") <= top_k)
     return kept.select(*(F.col(f"__b.{c}").alias(c) for c in cells), F.col("__p").alias(period), F.col("__k").alias(key), "rank", "predicted", (F.col("__y") - F.col("__med")).alias("realized"))
 
 

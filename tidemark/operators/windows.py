@@ -164,6 +164,20 @@ def average_ranks(frame: DataFrame, period: str, value: str, to: str) -> DataFra
     return frame.join(ranked, (F.col(period) == F.col("__period")) & (F.col(value) == F.col("__value")), "left").drop("__period", "__value")
 
 
+def numbered_within(frame: DataFrame, groups: list[str], order: list[Column], to: str) -> DataFrame:
+    """frame with the place (from 1) in its group's order. Ranges of groups and order are written and counted, so no task holds a group,
+    and a range that is read again is the same."""
+    spark = frame.sparkSession
+    path, parts = scratch(spark, "places"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    frame.repartitionByRange(parts, *groups, *order).withColumn("__part", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    before = Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sizes = ranged.groupBy(*groups, "__part").agg(F.count("*").alias("__c")).withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0))).drop("__c")
+    own = F.row_number().over(Window.partitionBy(*groups, "__part").orderBy(*order))
+    found = ranged.withColumn("__own", own).join(F.broadcast(sizes), [*groups, "__part"])
+    return found.select(*frame.columns, (F.col("__own") + F.col("__before")).cast("int").alias(to))
+
+
 def quantile_spread(frame: DataFrame, score: str, target: str, period: str, q: int = 5) -> DataFrame:
     """Mean target of the top bucket less that of the bottom one, per period with at least 2 q scored rows; ties share a rank."""
     rows = frame.where(F.col(score).isNotNull())
