@@ -51,6 +51,17 @@ def test_empty_tables(spark):
     assert [tuple(r) for r in rows.collect()] == [("A B", 2000, None, "no_exact_match")] and audit.count() == 0
 
 
+def test_people_meet_names_once(spark):
+    """Candidates are written as they are found, so the audit doesn't find them again; names with many people are not broadcast."""
+    audit = resolved(spark)[1]._jdf.queryExecution()
+    assert audit.optimizedPlan().toString().count("Join ") == 1 and "Broadcast" not in audit.sparkPlan().toString()
+    people = spark.sql("SELECT 'A b' AS full_name, id, id % 2 = 0 AS validated FROM range(5000) UNION ALL SELECT 'c', id, false FROM range(3000)")
+    asked, nicknames = spark.createDataFrame([("a B", 2000), ("d", 2000)], "name string, class_year int"), spark.createDataFrame([("d", "C"), ("d", "a b")], "name string, search string")
+    rows, told = identity.search_stage(asked, people, nicknames)
+    assert {r["name"]: (len(r["ids"]), len(r["valid"])) for r in rows.collect()} == {"a B": (5000, 2500), "d": (5000, 2500)}
+    assert {tuple(r) for r in told.groupBy("name", "stage", "decision").count().collect()} == {("a B", "search", "validated", 2500), ("a B", "search", "without pro stats", 2500), ("d", "nickname", "validated", 2500), ("d", "nickname", "without pro stats", 2500)}
+
+
 def test_first_issues_tell_of_every_listing(spark):
     rows = [
         ("Nick Kurtz", 2025, 2018, 0, "Nick Kurtz #1", "a"),

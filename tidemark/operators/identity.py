@@ -17,27 +17,30 @@ def _joined(tokens: Column) -> Column:
     return F.concat_ws(" ", tokens)
 
 
-def _found(asked: DataFrame, people: DataFrame, key: str) -> DataFrame:
-    """(name, id, validated) of the people whose normalised name is the key's."""
-    own = people.select(f.normalize_name(F.col("full_name")).alias("__n"), "id", F.coalesce("validated", F.lit(False)).alias("validated")).distinct()
-    return asked.select("name", F.col(key).alias("__n")).join(own, "__n").groupBy("name", "id").agg(F.max("validated").alias("validated"))
-
-
 def search_stage(asked: DataFrame, people: DataFrame, nicknames: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(a row for each name: ids that were found and those of them that validate; a row for each candidate and its decision).
 
     asked: (name, class_year), names unique. people: (full_name, id, validated). nicknames: (name, search), normalised names and what
     to search instead; a name is searched again so if none of its candidates validates, and then only these candidates count.
+
+    What to search for is settled from the people's normalised names first, so people meet it once. Tables of names look small in
+    their files, but each name may have many people: they are merged by hint, and the candidates are written before they are counted.
     """
-    first = _found(asked.withColumn("__key", f.normalize_name(F.col("name"))), people, "__key")
-    sure = first.where("validated").select("name").distinct()
-    again = asked.join(sure, "name", "left_anti").withColumn("__n", f.normalize_name(F.col("name"))).join(nicknames.select(F.col("name").alias("__n"), "search"), "__n")
-    second = _found(again.withColumn("__key", f.normalize_name(F.col("search"))), people, "__key")
-    found = first.join(again.select("name"), "name", "left_anti").withColumn("stage", F.lit("search")).unionByName(second.withColumn("stage", F.lit("nickname")))
-    given_up = first.join(again.select("name"), "name", "left_semi").select("name", "id", F.lit("search").alias("stage"), F.lit("given up for the nickname").alias("decision"))
-    told = found.select("name", "id", "stage", F.when(F.col("validated"), "validated").otherwise("without pro stats").alias("decision"))
-    ids = found.groupBy("name").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.array_sort(F.collect_set(F.when(F.col("validated"), F.col("id")))).alias("valid"))
-    return asked.join(ids, "name", "left"), told.unionByName(given_up)
+    asked = quantiles.stored(asked.withColumn("__n", f.normalize_name(F.col("name"))))
+    own = people.select(f.normalize_name(F.col("full_name")).alias("__n"), "id", F.coalesce("validated", F.lit(False)).alias("validated")).where("__n IS NOT NULL")
+    own = quantiles.stored(own.groupBy("__n", "id").agg(F.max("validated").alias("validated")))
+    sure = own.where("validated").select("__n").distinct()
+    searches = nicknames.select(F.col("name").alias("__n"), f.normalize_name(F.col("search")).alias("__s"))
+    again = quantiles.stored(asked.join(sure, "__n", "left_anti").join(searches, "__n").select("name", "__s"))
+    given_up = F.when(F.col("__again"), "given up").otherwise("search")
+    first = asked.join(again.select("name", F.lit(True).alias("__again")).distinct(), "name", "left").select("name", "__n", given_up.alias("stage"))
+    wanted = first.unionByName(again.select("name", F.col("__s").alias("__n"), F.lit("nickname").alias("stage"))).where("__n IS NOT NULL")
+    found = quantiles.stored(own.join(wanted.hint("merge"), "__n").groupBy("name", "id", "stage").agg(F.max("validated").alias("validated")))
+    over = F.col("stage") == "given up"
+    decision = F.when(over, "given up for the nickname").when(F.col("validated"), "validated").otherwise("without pro stats")
+    told = found.select("name", "id", F.when(over, "search").otherwise(F.col("stage")).alias("stage"), decision.alias("decision"))
+    ids = found.where(~over).groupBy("name").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.array_sort(F.collect_set(F.when(F.col("validated"), F.col("id")))).alias("valid"))
+    return asked.drop("__n").join(ids, "name", "left"), told
 
 
 def directory_stage(left: DataFrame, directory: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -52,13 +55,16 @@ def directory_stage(left: DataFrame, directory: DataFrame) -> tuple[DataFrame, D
     own = left.withColumn("__t", folded_tokens(F.col("name")))
     without = F.when(last.isin(*f.SUFFIXES) & (F.size("__t") > 1), _joined(F.slice("__t", 1, F.size("__t") - 1)))
     rows = directory.withColumn("__t", folded_tokens(F.col("full_name"))).select("id", "sport", "season", _joined(tokens).alias("__whole"), without.alias("__short"))
-    queries = own.select("name", "class_year", _joined(tokens).alias("__q"), without.alias("__bare"))
-    same = queries.select("name", "class_year", F.explode(F.array_distinct(F.array_compact(F.array("__q", "__bare")))).alias("__whole")).join(rows.drop("__short"), "__whole").drop("__whole").distinct()
-    more = queries.join(same.select("name").distinct(), "name", "left_anti").select("name", "class_year", F.col("__q").alias("__short")).join(rows.where("__short IS NOT NULL").drop("__whole"), "__short").drop("__short").distinct()
-    hits = same.withColumn("how", F.lit("same name")).unionByName(more.withColumn("how", F.lit("suffix")))
+    rows = quantiles.stored(rows)
+    queries = quantiles.stored(own.select("name", "class_year", _joined(tokens).alias("__q"), without.alias("__bare")))
+    wholes = queries.select("name", "class_year", F.explode(F.array_distinct(F.array_compact(F.array("__q", "__bare")))).alias("__whole"))
+    same = quantiles.stored(rows.drop("__short").join(wholes.hint("merge"), "__whole").select("name", "class_year", "id", "sport", "season").distinct())
+    left_over = queries.join(same.select("name").distinct(), "name", "left_anti").select("name", "class_year", F.col("__q").alias("__short"))
+    more = rows.where("__short IS NOT NULL").drop("__whole").join(left_over.hint("merge"), "__short").select("name", "class_year", "id", "sport", "season").distinct()
+    hits = quantiles.stored(same.withColumn("how", F.lit("same name")).unionByName(more.withColumn("how", F.lit("suffix"))))
     cell = F.struct(F.abs(F.col("season") - F.col("class_year")).alias("far"), F.col("season"), F.col("sport"))
     nearest = hits.groupBy("name").agg(F.min(cell).alias("__c"))
-    met = hits.join(nearest, "name").withColumn("here", (F.col("season") == F.col("__c.season")) & (F.col("sport") == F.col("__c.sport")))
+    met = hits.join(nearest.hint("merge"), "name").withColumn("here", (F.col("season") == F.col("__c.season")) & (F.col("sport") == F.col("__c.sport")))
     chosen = met.where("here").groupBy("name", F.col("__c.season").alias("season"), F.col("__c.sport").alias("sport")).agg(F.array_sort(F.collect_set("id")).alias("hits"))
     told = met.select("name", "id", F.lit("directory").alias("stage"), F.concat_ws(" ", "how", F.when(F.col("here"), "nearest cell").otherwise("farther cell"), F.concat(F.lit("sport "), "sport"), F.concat(F.lit("season "), "season")).alias("decision"))
     return chosen, told
