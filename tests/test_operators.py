@@ -144,6 +144,27 @@ def test_boosted_trees_and_folds_find_the_planted_features(planted):
     assert min(got["a"]["importance"], got["b"]["importance"]) > 5 * max(got["c"]["importance"], got["d"]["importance"]) and got["a"]["oof_r2"] > 0.7
 
 
+def test_boosted_trees_of_cells_equal_those_of_rows(spark):
+    """Rows of the same bins are one weighted row, and the trees are those of all rows."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 9, (6000, 3))
+    pdf = pd.DataFrame(x.astype(float), columns=list("abc")).assign(y=x[:, 0] ** 2 - 3.0 * x[:, 1] + rng.normal(size=6000), row_id=range(6000), wide=rng.normal(size=6000), same=1.0)
+    df = spark.createDataFrame(pdf).cache()
+    cells = models.binned_cells(df, list("abc"), "y", []).agg(F.count("*").alias("cells"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mean")).alias("y")).first()
+    assert cells["cells"] == len(pdf[list("abc")].drop_duplicates()) <= 729 and cells["n"] == 6000 and np.isclose(cells["y"], pdf["y"].sum())
+    got = models.boosted_importance(df, list("abc"), "y", "row_id").toPandas()
+    ready = VectorAssembler(inputCols=list("abc"), outputCol="x").transform(df.withColumn("fold", models.fold_of(F.col("row_id"), 3)))
+    learner = GBTRegressor(featuresCol="x", labelCol="y", maxIter=10, maxDepth=3, stepSize=0.2, seed=7)
+    assert np.allclose(got["importance"], learner.fit(ready).featureImportances.toArray())
+    scored = pd.concat([learner.fit(ready.where(F.col("fold") != k)).transform(ready.where(F.col("fold") == k)).select("y", "prediction").toPandas() for k in range(3)])
+    assert np.allclose(got["oof_r2"], 1 - ((scored["y"] - scored["prediction"]) ** 2).sum() / ((scored["y"] - scored["y"].mean()) ** 2).sum())
+    bins = models.binned_cells(df, ["wide", "same"], "y", []).toPandas()
+    assert bins["wide"].nunique() == 32 and bins["same"].nunique() == 1 and bins["n"].between(180, 195).all()
+
+
 def test_weighted_medians_equal_repeated_values():
     rng = np.random.default_rng(4)
     values, owners, weights = rng.normal(0, 1, 300).round(1), rng.integers(0, 40, 300), rng.poisson(0.7, (40, 60)).astype(np.int32)

@@ -636,16 +636,49 @@ def spearman_by(frame: DataFrame, period: str, a: str, b: str) -> DataFrame:
     return rows.groupBy(period).agg((F.covar_pop("__ra", "__rb") / F.nullif(F.stddev_pop("__ra") * F.stddev_pop("__rb"), F.lit(0.0))).alias("spearman"), F.count("*").alias("n"))
 
 
+def _bins(rows: DataFrame, features: Sequence[str], most: int) -> dict[str, list[float]]:
+    """The lower bounds of each feature's bins but the first: a bin for each value where there are at most `most`, else quantiles."""
+    at = [i / most for i in range(1, most)]
+    found = rows.agg(*(F.struct(F.approx_count_distinct(c).alias("n"), F.min(c).alias("low"), F.percentile_approx(c, F.array(*map(F.lit, at))).alias("cuts")).alias(c) for c in features)).first()
+    if found[0]["n"] == 0:
+        return {c: [] for c in features}
+    few = [c for c in features if found[c]["n"] <= 2 * most]  # the number is not exact, but a set of so many values is small
+    sets = rows.agg(*(F.array_sort(F.collect_set(c)).alias(c) for c in few)).first() if few else {}
+    cuts = {c: sets[c][1:] if c in few and len(sets[c]) <= most else [v for v in sorted(set(found[c]["cuts"])) if v > found[c]["low"]] for c in features}
+    return {c: v or [found[c]["low"]] for c, v in cuts.items()}
+
+
+def binned_cells(rows: DataFrame, features: Sequence[str], target: str, by: Sequence[str], most: int = 32) -> DataFrame:
+    """(by, a bin's number for each feature, n, mean, ss): rows of the same bins as one, with their number and the target's mean and sum
+    of squares about it. Trees of at most `most` bins a feature see no more of a row than this."""
+    from pyspark.ml.feature import Bucketizer
+
+    doubles = rows.select(*by, *(F.col(c).cast("double").alias(c) for c in (*features, target)))
+    cuts = _bins(doubles, features, most)
+    names = [f"__b{i}" for i in range(len(features))]
+    splits = [[-float("inf"), *(cuts[c] or [0.0]), float("inf")] for c in features]
+    binned = Bucketizer(splitsArray=splits, inputCols=list(features), outputCols=names).transform(doubles)
+    binned = binned.withColumns({b: F.col(b).cast("int") for b in names})  # without the mark of a category: a tree's splits keep the order
+    cells = binned.groupBy(*by, *names).agg(F.count("*").cast("double").alias("n"), F.avg(target).alias("mean"), (F.var_pop(target) * F.count("*")).alias("ss"))
+    return cells.select(*by, *(F.col(b).alias(c) for b, c in zip(names, features, strict=True)), "n", "mean", "ss")
+
+
 def boosted_importance(frame: DataFrame, features: Sequence[str], target: str, key: str, folds: int = 3, iterations: int = 10, depth: int = 3) -> DataFrame:
-    """(feature, importance, oof_r2) of gradient-boosted trees; the R2 is that of predictions out of fold."""
+    """(feature, importance, oof_r2) of gradient-boosted trees; the R2 is that of predictions out of fold.
+
+    Trees see rows by bins alone, and their means and gains of squares need a cell's number and mean: the passes of all fits read cells,
+    not rows. What squares lie within a cell is added to the R2's sums."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     rows = frame.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in (*features, target)))).withColumn("fold", fold_of(F.col(key), folds))
-    ready = VectorAssembler(inputCols=list(features), outputCol="__x").transform(rows.select("fold", *features, F.col(target).cast("double").alias("__y")))
-    learner = GBTRegressor(featuresCol="__x", labelCol="__y", maxIter=iterations, maxDepth=depth, stepSize=0.2, seed=7)
+    cells = quantiles.stored(binned_cells(rows.select("fold", *features, F.col(target).alias("__y")), features, "__y", ["fold"]))
+    ready = VectorAssembler(inputCols=list(features), outputCol="__x").transform(cells)
+    learner = GBTRegressor(featuresCol="__x", labelCol="mean", weightCol="n", maxIter=iterations, maxDepth=depth, stepSize=0.2, seed=7)
     scored = [learner.fit(ready.where(F.col("fold") != k)).transform(ready.where(F.col("fold") == k)) for k in range(folds)]
     out = reduce(lambda a, b: a.unionByName(b), scored)
-    r2 = out.agg((1 - F.sum(F.pow(F.col("__y") - F.col("prediction"), 2)) / F.nullif(F.var_pop("__y") * F.count("*"), F.lit(0.0))).alias("r2")).first()["r2"]
+    middle = cells.agg(F.sum(F.col("n") * F.col("mean")) / F.sum("n")).first()[0]
+    about = lambda c: F.sum(F.col("ss") + F.col("n") * F.pow(F.col("mean") - c, 2))
+    r2 = out.agg((1 - about(F.col("prediction")) / F.nullif(about(F.lit(middle)), F.lit(0.0))).alias("r2")).first()["r2"]
     weights = learner.fit(ready).featureImportances.toArray()
     return frame.sparkSession.createDataFrame([(f, float(w), None if r2 is None else float(r2)) for f, w in zip(features, weights, strict=True)], "feature string, importance double, oof_r2 double")
