@@ -375,6 +375,50 @@ def test_spike_alerts_equal_a_loop(spark, tmp_path):
     assert got == alerts_of(rows) and got
 
 
+def test_spike_alerts_take_few_calls_to_the_store():
+    """Each call is a round trip: their number doesn't depend on the rows of a batch."""
+    calls = []
+
+    class Store:
+        def __init__(self):
+            self.held = []
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name in ("appendValue", "update"):
+                    self.held = [*self.held, args[0]] if name == "appendValue" else [args[0]]
+                elif name == "get":
+                    return iter(self.held) if self.listed else self.held[0] if self.held else None
+
+            return call
+
+    class Handle:
+        def getListState(self, *_):  # noqa: N802 - Spark's name
+            store = Store()
+            store.listed = True
+            return store
+
+        def getValueState(self, *_):  # noqa: N802 - Spark's name
+            store = Store()
+            store.listed = False
+            return store
+
+        def registerTimer(self, _):  # noqa: N802 - Spark's name
+            calls.append("registerTimer")
+
+    class Now:
+        def getCurrentWatermarkInMs(self):  # noqa: N802 - Spark's name
+            return 10**12
+
+    alerts = jobs.SpikeAlerts(0.1, 30, 3.0, 5, 7, 30)
+    alerts.init(Handle())
+    rows = pd.DataFrame({"at": [i * 10**9 for i in range(400)], "event_id": range(400), "raw_price": [0.5] * 399 + [0.9]})
+    assert not [r for r in alerts.handleInputRows((1,), iter([rows[:200], rows[200:]]), None) if len(r)] and len(calls) == 2
+    found = pd.concat(alerts.handleExpiredTimer((1,), Now(), None))
+    assert found["at"].tolist() == [399 * 10**9] and np.isclose(found["delta"], 0.4).all() and len(calls) <= 7
+
+
 def test_breakouts_on_the_bound(spark):
     """A last score that lies on 1.5 deviations is in, however its base is rounded; one less isn't."""
     cases = [((6, 6, 5, 5, 4, 3, 3, 0), 7), ((7, 7, 6, 6, 5, 4, 4, 1), 8), ((7, 7, 5, 4, 3, 3, 3, 3, 1), 7), ((3, 3, 2, 2, 0, 0, 0, 0, 0, 0), 3), ((4, 2, 2, 1, 1, 0, 0, 0, 0, 0), 3)]

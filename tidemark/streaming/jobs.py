@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +13,14 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Microseconds.
 _DAY = 86_400_000_000
+#: A row that waits.
+_WAITING = np.dtype([("at", "i8"), ("event_id", "i8"), ("price", "f8")])
+
+
+def _packed(at: pd.Series, number: pd.Series, price: pd.Series) -> np.ndarray:
+    out = np.empty(len(at), _WAITING)
+    out["at"], out["event_id"], out["price"] = at, number, price
+    return out
 
 
 def weekly_bars(sales: DataFrame, ts: str = "sale_date", late: str = "14 days") -> DataFrame:
@@ -36,8 +45,8 @@ def distinct_snapshots(rows: DataFrame, keys: list[str], ts: str = "ts", late: s
 class SpikeAlerts(StatefulProcessor):
     """A market's alerts in the order of time, whatever the order in which its rows come.
 
-    State: rows that wait (a list), the last price and its time, the last steps (a list), and the alerts that may still matter (a list).
-    Rows wait until the watermark has passed them, as an event-time timer tells; then they are taken in order. A market that stays silent
+    State: rows that wait (a list, an element for each batch that brought some), and in one value the last price and its time, the last
+    steps, and the alerts that may still matter: each call to the store is a round trip to the JVM, so a market takes few. Rows wait until the watermark has passed them, as an event-time timer tells; then they are taken in order. A market that stays silent
     for `silent_days` loses its state by a timer, too.
     """
 
@@ -47,44 +56,47 @@ class SpikeAlerts(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at bigint, event_id bigint, price double")
-        self.last = handle.getValueState("last", "at bigint, price double")
-        self.steps = handle.getListState("steps", "delta double")
-        self.alerts = handle.getListState("alerts", "at bigint, delta double")
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.kept = handle.getValueState("kept", "state binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
-        new = pd.concat(list(rows))
-        new = new[new["raw_price"].notna()]
-        if len(new):
-            self.waiting.appendList([(int(at), int(i), float(p)) for at, i, p in zip(new["at"], new["event_id"], new["raw_price"], strict=True)])
-            self._wake(int(new["at"].min()))
-        yield pd.DataFrame({"market_id": [], "at": [], "delta": []}).astype({"market_id": "int64", "at": "int64"})
+        parts = []
+        for new in rows:
+            new = new[new["raw_price"].notna()]
+            parts.append(_packed(new["at"].astype("int64"), new["event_id"].astype("int64"), new["raw_price"]))
+        held = np.concatenate(parts)
+        if len(held):
+            self.waiting.appendValue((held.tobytes(),))
+            self._wake(int(held["at"].min()))
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
         now, out = timerValues.getCurrentWatermarkInMs() * 1000, []
-        held = sorted(tuple(r) for r in self.waiting.get())
-        due = [r for r in held if r[0] <= now]
-        if due:
-            out = self._taken(due)
-            rest = held[len(due) :]
-            self.waiting.clear()
-            if rest:
-                self.waiting.appendList(rest)
-                self._wake(rest[0][0])
-            self._wake(due[-1][0] + self.silent)
-        elif not held and self.last.exists() and self.last.get()[0] + self.silent <= now:
-            for state in (self.last, self.steps, self.alerts):
-                state.clear()
-        yield pd.DataFrame([(key[0], *o) for o in out], columns=["market_id", "at", "delta"]).astype({"market_id": "int64", "at": "int64", "delta": "float64"})
+        parts = [np.frombuffer(r[0], _WAITING) for r in self.waiting.get()]
+        held = np.sort(np.concatenate(parts), order=["at", "event_id", "price"]) if parts else np.empty(0, _WAITING)
+        n = int(np.searchsorted(held["at"], now, side="right"))
+        if n:
+            out, last = self._taken(held[:n].tolist())
+            if n < len(held):
+                self.waiting.put([(held[n:].tobytes(),)])
+                self._wake(int(held["at"][n]))
+            else:
+                self.waiting.clear()
+            self._wake(last + self.silent)
+        elif not len(held):
+            kept = self.kept.get()
+            if kept is not None and pickle.loads(kept[0])[0] + self.silent <= now:
+                self.kept.clear()
+        if out:
+            yield pd.DataFrame([(key[0], *o) for o in out], columns=["market_id", "at", "delta"]).astype({"market_id": "int64", "at": "int64", "delta": "float64"})
 
     def _wake(self, at: int) -> None:
         self.handle.registerTimer(at // 1000 + 1)
 
-    def _taken(self, due: list[tuple]) -> list[tuple[int, float]]:
-        """The alerts of rows in order; the state follows."""
-        before, last = self.last.get() if self.last.exists() else (None, None)
-        steps = [r[0] for r in self.steps.get()]
-        alerts = [tuple(r) for r in self.alerts.get()]
+    def _taken(self, due: list[tuple]) -> tuple[list[tuple[int, float]], int]:
+        """The alerts of rows in order, and the last row's time; the state follows."""
+        kept = self.kept.get()
+        before, last, steps, alerts = (None, None, [], []) if kept is None else pickle.loads(kept[0])
         out = []
         for at, _, price in due:
             if before is not None and at - before > self.silent:  # a timer may come late, so it only frees the state
@@ -92,18 +104,15 @@ class SpikeAlerts(StatefulProcessor):
             if last is not None:
                 delta = price - last
                 steps = [*steps, delta][-self.rows :]
-                sd = float(np.std(steps, ddof=1)) if len(steps) >= self.least_rows else 0.0
                 alerts = [a for a in alerts if at - a[0] <= self.near]
-                if abs(delta) >= max(self.least, self.times * sd) and not any((a[1] > 0) == (delta > 0) for a in alerts):
-                    alerts.append((at, delta))
-                    out.append((at, delta))
+                if abs(delta) >= self.least and not any((a[1] > 0) == (delta > 0) for a in alerts):
+                    sd = float(np.std(steps, ddof=1)) if len(steps) >= self.least_rows else 0.0
+                    if abs(delta) >= self.times * sd:
+                        alerts.append((at, delta))
+                        out.append((at, delta))
             before, last = at, price
-        self.last.update((due[-1][0], last))
-        for state, values in ((self.steps, [(d,) for d in steps]), (self.alerts, alerts)):
-            state.clear()
-            if values:
-                state.appendList(values)
-        return out
+        self.kept.update((pickle.dumps((before, last, steps, alerts)),))
+        return out, before
 
     def close(self) -> None:
         pass
