@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -113,17 +114,22 @@ def lag_bins(windows: DataFrame, value: str, low: int = -14, high: int = 14) ->
     return days.join(found, "t_bin", "left").withColumn("n_sales", F.coalesce("n_sales", F.lit(0)))
 
 
-def weighted_medians(values: np.ndarray, owners: np.ndarray, weights: np.ndarray, block: int = 2048) -> np.ndarray:
+def weighted_medians(values: np.ndarray, owners: np.ndarray, weights: np.ndarray, block: int = 2048, total: np.ndarray | None = None, below: np.ndarray | None = None) -> np.ndarray:
     """For each column of weights (a row for each owner) the median of the values, each as often as its owner's weight says; NaN where
-    all weights are 0. Values are sorted once; sums of weights run over blocks of them, for all columns at once."""
+    all weights are 0. Values are sorted once; sums of weights run over blocks of them, for all columns at once.
+
+    Where the values are only those of a bracket, `total` has the weights of all values and `below` of those under the bracket; NaN then
+    says as well that the median lies elsewhere.
+    """
     order = np.argsort(values, kind="stable")
     values, owners = values[order], owners[order]
-    total = np.zeros(weights.shape[1], np.int64)
-    for at in range(0, len(values), block):
-        total += weights[owners[at : at + block]].sum(axis=0)
+    if total is None:
+        total = np.zeros(weights.shape[1], np.int64)
+        for at in range(0, len(values), block):
+            total += weights[owners[at : at + block]].sum(axis=0)
     ranks = [(total - 1) // 2, total // 2]
     found = [np.full(len(total), np.nan) for _ in ranks]
-    before = np.zeros(len(total), np.int64)
+    before = np.zeros(len(total), np.int64) if below is None else below
     for at in range(0, len(values), block):
         until = before + np.cumsum(weights[owners[at : at + block]], axis=0, dtype=np.int64)
         for rank, out in zip(ranks, found, strict=True):
@@ -133,31 +139,89 @@ def weighted_medians(values: np.ndarray, owners: np.ndarray, weights: np.ndarray
     return (found[0] + found[1]) / 2
 
 
-def lag_bounds(windows: DataFrame, value: str, n_reps: int = 2000, seed: int = 42, low: int = -14, high: int = 14, least_reps: int = 20, part: int = 250) -> DataFrame:
+#: Steps of the grid of quantiles from which brackets are taken, and weights (of values in a bracket) that one task holds.
+GRID, HELD = 200, 4_000_000
+
+
+def _brackets(placed: DataFrame, spread: float) -> dict[int, tuple[float, float]]:
+    """For each day the values between which the medians of resampled events lie.
+
+    An event that comes w times moves the median's rank by at most half its sales for each time, so the deviation of that rank is at most
+    half the root of the summed squares of the events' sales. The bracket is `spread` deviations wide on either side.
+    """
+    grid = F.percentile_approx("__v", F.array(*(F.lit(i / GRID) for i in range(GRID + 1))), quantiles.ACCURACY)
+    sizes = placed.groupBy("t_bin", "__i").agg(F.count("*").alias("c")).groupBy("t_bin").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    out = {}
+    for day in sizes.join(placed.groupBy("t_bin").agg(grid.alias("g")), "t_bin").collect():  # a row for each day
+        share = (spread * day["q"] ** 0.5 / 2 + 1) / day["n"] + 2 / quantiles.ACCURACY
+        low, high = math.floor((0.5 - share) * GRID), math.ceil((0.5 + share) * GRID)
+        out[day["t_bin"]] = (day["g"][low] if low > 0 else -math.inf, day["g"][high] if high < GRID else math.inf)
+    return out
+
+
+def _replicated(placed: DataFrame, brackets: dict[int, tuple[float, float]], n: int, n_reps: int, seed: int, part: int) -> DataFrame:
+    """(t_bin, m): the day's median of each replicate that draws a sale of the day; null where it doesn't lie in the day's bracket."""
+    spark, parts, block = placed.sparkSession, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), resample.BLOCK
+    of_day = spark.createDataFrame([(d, *b) for d, b in brackets.items()], "t_bin bigint, __low double, __high double")
+    inner = F.col("__v").between(F.col("__low"), F.col("__high"))
+    rows = placed.join(F.broadcast(of_day), "t_bin")  # a row for each day
+    most = rows.groupBy("t_bin").agg(F.sum(inner.cast("int")).alias("c")).agg(F.max("c")).first()[0]
+    part = max(1, min(part, HELD // max(most, 1), -(-n_reps * -(-n // block) // (2 * parts))))
+    of_event = rows.groupBy("__i", "t_bin").agg(F.count("*").alias("__all"), F.sum((F.col("__v") < F.col("__low")).cast("bigint")).alias("__below"), F.collect_list(F.when(inner, F.col("__v"))).alias("__in"))
+
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        """The sales of a day and block: for each event its place, its sales and those below the bracket; for each sale in it, place and value."""
+        at = (rows["__i"].to_numpy() % block).astype("<u2")
+        inside, own = np.concatenate(rows["__in"].to_list()).astype("<f8"), np.repeat(at, rows["__in"].map(len))
+        cells = {"at": at, "all": rows["__all"].to_numpy("<i8"), "below": rows["__below"].to_numpy("<i8"), "owners": own, "inside": inside}
+        return pd.DataFrame({"block": [rows["__i"].iloc[0] // block], "t_bin": rows["t_bin"].iloc[0], **{k: [v.tobytes()] for k, v in cells.items()}})
+
+    def weighed(draws: pd.DataFrame, days: pd.DataFrame) -> pd.DataFrame:
+        weights = np.zeros((part, block), np.uint32)
+        for rep, times in zip(draws["rep"], draws["times"], strict=True):
+            weights[rep % part, : len(times)] += np.frombuffer(times, np.uint8)
+        out = []
+        for day in days.itertuples():
+            own = weights[:, np.frombuffer(day.at, "<u2")]
+            sums = [(own @ np.frombuffer(x, "<i8")).astype("<i8").tobytes() for x in (day.all, day.below)]
+            out.append((day.t_bin, day.part, *sums, day.inside, weights[:, np.frombuffer(day.owners, "<u2")].T.astype("<u4").tobytes()))
+        return pd.DataFrame(out, columns=["t_bin", "part", "total", "below", "inside", "weights"])
+
+    def medians(group: pd.DataFrame) -> pd.DataFrame:
+        total, below = (sum(np.frombuffer(x, "<i8") for x in group[c]) for c in ("total", "below"))
+        values = np.concatenate([np.frombuffer(x, "<f8") for x in group["inside"]])
+        weights = np.concatenate([np.frombuffer(x, "<u4").reshape(-1, part) for x in group["weights"]])
+        found = weighted_medians(values, np.arange(len(values)), weights, total=total, below=below)
+        return pd.DataFrame({"t_bin": group["t_bin"].iloc[0], "m": found[total > 0]})
+
+    days = of_event.groupBy(F.floor(F.col("__i") / block).alias("__block"), "t_bin").applyInPandas(packed, "block bigint, t_bin bigint, at binary, all binary, below binary, owners binary, inside binary")
+    copies = days.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit((n_reps - 1) // part).cast("bigint"))))
+    draws = resample.block_weights(spark, n, n_reps, seed, part)
+    met = draws.groupBy("block", "part").cogroup(copies.groupBy("block", "part")).applyInPandas(weighed, "t_bin bigint, part bigint, total binary, below binary, inside binary, weights binary")
+    return met.groupBy("t_bin", "part").applyInPandas(medians, "t_bin bigint, m double")
+
+
+def lag_bounds(windows: DataFrame, value: str, n_reps: int = 2000, seed: int = 42, low: int = -14, high: int = 14, least_reps: int = 20, part: int = 250, spread: float = 8.0) -> DataFrame:
     """(t_bin, ci_lo, ci_hi): bounds of the medians over resampled events; all sales of an event that is drawn come along, as
     often as it is drawn.
 
-    An event's sales of a day are one row, and so are its weights in `part` replicates; a task has a day's rows and one part of the
-    replicates, sorts the sales once, and finds the medians of all its replicates from running sums of weights.
+    Events are numbered, and what a replicate draws from a block of them is one row of a byte an event, which meets the block's sales; no
+    draw is a row. Of the sales only those near the day's median are sorted: the others are counted, by replicate, below and in all. A day
+    of which any replicate's median lies elsewhere is done again with all its sales, so the bounds are exact whatever the brackets are.
     """
     t = F.floor(F.col("t_days") + 0.5)
     event = ["entity_id", "event_date"]
-    rows = quantiles.stored(windows.where(F.col(value).isNotNull() & t.between(low, high)).groupBy(*event, t.alias("t_bin")).agg(F.collect_list(F.col(value).cast("double")).alias("__v")))
+    rows = quantiles.stored(windows.where(F.col(value).isNotNull() & t.between(low, high)).select(*event, t.alias("t_bin"), F.col(value).cast("double").alias("__v")))
     pool = resample.numbered(rows.select(*event).distinct(), event)
-    weights = resample.places(pool, n_reps, seed).groupBy("__i", F.floor(F.col("rep") / part).cast("int").alias("__part")).agg(F.collect_list((F.col("rep") % part).cast("int")).alias("__rep"))
-    # Merges: the files of both are small beside what they take in memory, so a broadcast by their size would fill the driver.
-    placed = rows.join(pool.select(*event, "__i").hint("merge"), event).select("__i", "t_bin", "__v")
-    met = placed.join(weights.hint("merge"), "__i").select("t_bin", "__part", "__v", "__rep")
-
-    def medians(group: pd.DataFrame) -> pd.DataFrame:
-        sizes = [len(v) for v in group["__v"]]
-        dense = np.zeros((len(group), part), np.int32)
-        for i, reps in enumerate(group["__rep"]):
-            dense[i] = np.bincount(reps, minlength=part)
-        found = weighted_medians(np.concatenate(group["__v"].to_list()), np.repeat(np.arange(len(group)), sizes), dense)
-        return pd.DataFrame({"t_bin": group["t_bin"].iloc[0], "m": found[~np.isnan(found)]})
-
-    reps = met.groupBy("t_bin", "__part").applyInPandas(medians, "t_bin bigint, m double")
+    # A merge: the pool's file is small beside what it takes in memory, so a broadcast by its size would fill the driver.
+    placed = quantiles.stored(rows.join(pool.hint("merge"), event).select("__i", "__n", "t_bin", "__v"))
+    n = placed.agg(F.max("__n")).first()[0] or 0
+    left, reps = _brackets(placed, spread), windows.sparkSession.createDataFrame([], "t_bin bigint, m double")
+    while left:
+        found = quantiles.stored(_replicated(placed, left, n, n_reps, seed, part))
+        missed = [r["t_bin"] for r in found.where("m IS NULL").select("t_bin").distinct().collect()]
+        reps = reps.union(found.where(~F.col("t_bin").isin(missed)))
+        left = dict.fromkeys(missed, (-math.inf, math.inf))
     return reps.groupBy("t_bin").agg(F.percentile("m", F.lit(0.025)).alias("ci_lo"), F.percentile("m", F.lit(0.975)).alias("ci_hi"), F.count("*").alias("__n")).where(F.col("__n") >= least_reps).drop("__n")
 
 

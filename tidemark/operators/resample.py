@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import scratch
@@ -153,6 +153,29 @@ def draws(seed: int, rep: int, start: int, end: int, n: int, batch: int = 32_768
     return out % n
 
 
+def block_weights(spark: SparkSession, n: int, n_reps: int, seed: int, part: int) -> DataFrame:
+    """(block, part, rep, times): how often each replicate, of as many draws as a pool has rows (n), draws the places of a block of the
+    pool, a byte a place; the rows of a replicate and block add up. part is the replicate's number over the given one.
+
+    A task draws a replicate's slots a chunk at a time, so it holds a chunk, and the counts of the pool's places in it.
+    """
+    parts, chunks = int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // SLOTS)
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for work in batch["id"].tolist():
+                rep, chunk = divmod(work, chunks)
+                times = np.bincount(draws(seed, rep, chunk * SLOTS, min(n, (chunk + 1) * SLOTS), n), minlength=n)
+                while times.any():
+                    own = np.minimum(times, 255).astype(np.uint8)
+                    times -= own
+                    yield pd.DataFrame({"block": range(-(-n // BLOCK)), "part": rep // part, "rep": rep, "times": [own[at : at + BLOCK].tobytes() for at in range(0, n, BLOCK)]})
+
+    # A work item is a replicate and a chunk of its slots.
+    work = spark.range(0, n_reps * chunks, 1, max(parts, min(n_reps * chunks, n_reps * n // 50_000_000)))
+    return work.mapInPandas(counted, "block bigint, part bigint, rep bigint, times binary")
+
+
 def significance(observed: DataFrame, value: str, pool: DataFrame, pool_value: str, order: list[str], n_perm: int = 5000, seed: int = 42) -> DataFrame:
     """(observed, n_events, p_value): two-sided share of permutations, means of as many draws from the pool as there are observed
     rows, that lie as far out as the observed mean.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as f
 from tidemark.operators import aggregates as a
-from tidemark.operators import asof, events, joins, resample, windows
+from tidemark.operators import asof, events, joins, quantiles, resample, windows
 from tidemark.plans.q_series import KEYS, rounded
 from tidemark.plans.registry import query
 from tidemark.sources import views
@@ -308,7 +308,7 @@ BOOT_SQL = f"""wb AS (SELECT *, CAST(floor(t_days + 0.5) AS BIGINT) AS t_bin FRO
 
 def _curve(spark: SparkSession, sf_dir: str, n_reps: int = REPS) -> DataFrame:
     """The lag curve with bounds from resampled events: all sales of a drawn event come along."""
-    sold = _adjusted(spark, sf_dir)
+    sold = quantiles.stored(_adjusted(spark, sf_dir).select("entity_id", "event_date", "t_days", "rel_adj"))
     return events.lag_bins(sold, "rel_adj").join(events.lag_bounds(sold, "rel_adj", n_reps), "t_bin", "left")
 
 
