@@ -92,13 +92,20 @@ def liquidity(sales: DataFrame, chart: DataFrame, series: str = "card_slug", gra
 
 def league_means_to_date(logs: DataFrame) -> DataFrame:
     """(season, role, month, league_mean): mean of the players' season rates from rows before the month, weighed by playing time,
-    for the months of the season's year. Rows are summed by month first, so a player's season is at most twelve rows."""
+    for the months of the season's year. Rows are summed by month first, so a player's season is at most twelve rows; running sums hold
+    from the month after to the player's next one, so no row for a player and later month travels."""
     month = F.month("date").alias("__m")
     counts = ["hits", "at_bats", "walks", "hit_by_pitch", "sac_flies", "total_bases", "plate_appearances", "earned_runs", "outs", "batters_faced"]
     months = logs.groupBy("entity_id", "season", "role", month).agg(*(F.sum(c).alias(c) for c in counts))
-    later = months.where("__m < 12").withColumn("__to", F.explode(F.sequence(F.col("__m") + 1, F.lit(12))))
-    parts = [sums_with_rates(later, ["entity_id", "season", "role", "__to"], role) for role in ("hitting", "pitching")]
-    means = league_means(parts[0].unionByName(parts[1]).where("weight > 0"), ["season", "role", "__to"])
+    ordered = Window.partitionBy("entity_id", "season", "role").orderBy("__m")
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    hitting, c = F.col("role") == "hitting", {name: F.sum(name).over(so_far) for name in counts}
+    on_base = (c["hits"] + c["walks"] + c["hit_by_pitch"]) / F.nullif(F.sum(F.expr("at_bats + walks + hit_by_pitch + sac_flies")).over(so_far), F.lit(0))
+    ops, era = on_base + c["total_bases"] / F.nullif(c["at_bats"], F.lit(0)), c["earned_runs"] * 27 / F.nullif(c["outs"], F.lit(0))
+    rate, weight = F.when(hitting, ops).otherwise(era), F.when(hitting, c["plate_appearances"]).otherwise(c["batters_faced"])
+    lines = months.where("role IN ('hitting', 'pitching') AND __m IS NOT NULL").select("season", "role", "__m", F.lead("__m", 1, 12).over(ordered).alias("__until"), rate.alias("rate"), weight.alias("weight"))
+    later = lines.where("weight > 0 AND __m < 12").withColumn("__to", F.explode(F.sequence(F.col("__m") + 1, F.col("__until"))))
+    means = league_means(later, ["season", "role", "__to"])
     day = F.make_timestamp_ntz(F.col("season").cast("int"), F.col("__to"), F.lit(1), F.lit(0), F.lit(0), F.lit(0.0))
     return means.select("season", "role", day.alias("month"), "league_mean")
 

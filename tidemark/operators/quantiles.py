@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import scratch
+from tidemark.session import scratch, written
 
 #: Values that one task may sort; larger groups are narrowed first.
 FITS = 1_000_000
@@ -26,9 +26,7 @@ SPLITTERS = 31
 
 def stored(rows: DataFrame) -> DataFrame:
     """The rows, written to the shared folder, to be read several times."""
-    path = scratch(rows.sparkSession, "quantiles")
-    rows.write.parquet(path)
-    return rows.sparkSession.read.parquet(path)
+    return written(rows, scratch(rows.sparkSession, "quantiles"))
 
 
 def _ranks(n: Column, probs: Sequence[float]) -> Column:

@@ -222,7 +222,7 @@ CLASS_HOLD_SQL = f"""hf AS (SELECT card_slug, cp.entity_id, grade, month, CAST(y
 CLASS_HOLD_COLUMNS = list(dict.fromkeys([*panels.CLASS_HOLD_FEATURES, *panels.CLASS_PITCHER_FEATURES]))
 
 
-def _class_hold(spark: SparkSession, sf_dir: str, pitchers: bool) -> DataFrame:
+def _class_hold(spark: SparkSession, sf_dir: str, pitchers: bool | None = None) -> DataFrame:
     debuts = views.logs(spark, sf_dir).where("level = 'mlb'").groupBy("entity_id").agg(F.min("date").alias("event_date"))
     return panels.class_hold_frame(_class_panel(spark, sf_dir), debuts, views.info(spark, sf_dir), "ret_12m", pitchers)
 
@@ -232,8 +232,8 @@ def _class_hold(spark: SparkSession, sf_dir: str, pitchers: bool) -> DataFrame:
     *CLASS_VIEWS,
 )
 def n08_class_hold_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both groups: hitters and those of null position, and pitchers."""
-    return rounded(_class_hold(spark, sf_dir, False).unionByName(_class_hold(spark, sf_dir, True)))
+    """Both groups in one pass: hitters and those of null position, and pitchers."""
+    return rounded(_class_hold(spark, sf_dir))
 
 
 @query(

@@ -6,7 +6,7 @@ import io
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -28,6 +28,25 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: With this setting Spark removes the shuffle files of a query when it ends.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(rows: DataFrame, path: str) -> DataFrame:
+    """The rows, written to a folder and read from it; the shuffle files behind them are let go, as nothing reads them again."""
+    spark = rows.sparkSession
+    was = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        rows.select("*").write.parquet(path)  # a frame made under the setting
+    finally:
+        if was is None:
+            spark.conf.unset(_CLEAN_UP)
+        else:
+            spark.conf.set(_CLEAN_UP, was)
+    return spark.read.parquet(path)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder that the session names (spark.checkpoint.dir). Where it names none, a local
     session gets a folder of its machine; on a cluster that would lose data, so there it is an error.
